@@ -36,3 +36,81 @@ def _mcq_all_targets(spark, sf):
 def _mcq_all_targets_em(spark, sf):
     """Flagship: as mcq_all_targets with the EM-fitted Gaussian mixture (A5)."""
     return registry_qa.mcq_all_targets(spark, sf, gm_method="em")
+
+
+# ---------------------------------------------------------------- profiling / MI
+from quizloom.operators import gmm as _gmm  # noqa: E402
+from quizloom.operators import mutual_info as _mi  # noqa: E402
+from quizloom.plans.oracle import stats_sql  # noqa: E402
+from quizloom.sources.registry import registry as _registry  # noqa: E402
+
+
+def _prof(spark, sf, gm_method="terciles"):
+    reg = _registry(spark, sf)
+    return reg, registry_qa.build_profile(reg, gm_method=gm_method, materialize=False)
+
+
+@register("col_values", stats_sql.COL_VALUES)
+def _col_values(spark, sf):
+    """A1: distinct values per column with row counts, one aggregation for all columns."""
+    _, p = _prof(spark, sf)
+    return p.values.select("var", "value", F.col("n").cast("long").alias("n"))
+
+
+@register("col_profile", stats_sql.COL_PROFILE)
+def _col_profile(spark, sf):
+    """VOCAB/WEIGHTS (long form), FLOAT_RATIO, kept columns."""
+    _, p = _prof(spark, sf)
+    v = p.vocab.select("var", "value", F.col("n").alias("vn"), "weight")
+    return (p.summary.join(v, "var", "left")
+            .select("var", "value", F.col("vn").cast("long").alias("n"), F.round("weight", 6).alias("weight"),
+                    "n_keys", "n_vocab", F.round("float_ratio", 6).alias("float_ratio"), "is_numeric"))
+
+
+@register("numeric_shape", stats_sql.NUMERIC_SHAPE)
+def _numeric_shape(spark, sf):
+    """Share >= 0 (> 95 %) and share integral (> 90 %) of the numeric vocabulary."""
+    _, p = _prof(spark, sf)
+    return p.summary.where("is_numeric").select("var", "n_keys", "num_min", "num_max", "drop_negative", "round_int")
+
+
+@register("gmm_terciles", stats_sql.GM_TERCILES)
+def _gmm_terciles(spark, sf):
+    """A5 (closed form): tercile mixture, the SQL-checkable mixture and EM start."""
+    _, p = _prof(spark, sf)
+    r = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return p.gm.select("var", r("gm_means").alias("gm_means"), r("gm_stds").alias("gm_stds"),
+                       r("gm_weights").alias("gm_weights"))
+
+
+@register("gmm_profile")
+def _gmm_profile(spark, sf):
+    """A5: 3-component Gaussian mixture per numeric column (EM on bounded histograms)."""
+    reg, p = _prof(spark, sf, gm_method="em")
+    return p.gm
+
+
+def _mi_table(spark, sf, only_discrete):
+    reg, p = _prof(spark, sf)
+    stats = p.stats.checkpoint(eager=True)
+    return _mi.mutual_info(reg, stats, p.values, only_discrete=only_discrete)
+
+
+@register("mi_discrete", stats_sql.MI_DISCRETE)
+def _mi_discrete(spark, sf):
+    """A9 + A11: discrete-discrete MI matrix (long form), nulls as their own code."""
+    m = _mi_table(spark, sf, True)
+    return m.select("target", "feature", F.round("mi", 6).alias("mi"), "n_rows")
+
+
+@register("mi_binned", stats_sql.MI_BINNED)
+def _mi_binned(spark, sf):
+    """A10a + A11: MI with continuous columns in 16 equal-width bins."""
+    m = _mi_table(spark, sf, False)
+    return m.select("target", "feature", F.round("mi", 6).alias("mi"), "n_rows")
+
+
+@register("correlated_cols", stats_sql.CORRELATED.format(cutoff=_mi.MI_CUTOFF))
+def _correlated(spark, sf):
+    """Features with MI > 0.5 per target."""
+    return _mi.correlated_columns(_mi_table(spark, sf, False), _mi.MI_CUTOFF)
