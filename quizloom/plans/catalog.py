@@ -114,3 +114,32 @@ def _mi_binned(spark, sf):
 def _correlated(spark, sf):
     """Features with MI > 0.5 per target."""
     return _mi.correlated_columns(_mi_table(spark, sf, False), _mi.MI_CUTOFF)
+
+
+# ---------------------------------------------------------------- question variants
+_CAT = ["status", "priority", "segment", "nation", "line_count"]
+_NUM = ["total_price", "acct_bal", "ship_days"]
+for _name, _targets, _doc in [
+    ("mcq_categorical", _CAT, "M5: categorical columns - whole VOCAB when small, weighted draw otherwise."),
+    ("mcq_numeric", _NUM, "M6 + M9: numeric ladder around the label from the responsible component."),
+    ("mcq_fallback", ["discount"], "M7: sharp components (std < 0.1) fall back to a uniform ALL_VOCAB draw."),
+    ("mcq_mixed", ["quantity"], "M8: mixed text/number column - binomial split of categorical and numeric."),
+    ("mcq_fixed", ["segment"], "M3: fixed target list; records whose target is ineligible are skipped."),
+]:
+    def _mk(targets):
+        return lambda spark, sf: registry_qa.mcq_all_targets(spark, sf, gm_method="terciles", targets=targets)
+    _f = _mk(_targets)
+    _f.__doc__ = _doc
+    register(_name, mcq_sql.mcq_sql(targets=_targets))(_f)
+
+
+@register("mcq_random_target", mcq_sql.mcq_sql(pick_one=True))
+def _mcq_random(spark, sf):
+    """M1: one random usable target per record."""
+    return registry_qa.mcq_all_targets(spark, sf, gm_method="terciles", pick_one=True)
+
+
+@register("mcq_flat", mcq_sql.mcq_sql(sectioned=False))
+def _mcq_flat(spark, sf):
+    """T1 + M10 (flat template): every target, flat ``name: value`` text."""
+    return registry_qa.mcq_all_targets(spark, sf, gm_method="terciles", sectioned=False)

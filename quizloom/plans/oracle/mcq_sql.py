@@ -106,7 +106,14 @@ def _section_text(target: str = "q.var") -> str:
     return f"concat_ws(chr(10) || chr(10), {', '.join(blocks)})"
 
 
-def mcq_sql(n_choices: int = 5, difficulty: float = 2.0, targets=None, extra_where: str = "TRUE") -> str:
+def _flat_text(target: str = "q.var") -> str:
+    lines = [f"CASE WHEN r.{c} IS NOT NULL AND r.{c} <> '' THEN '{n}: ' || CASE WHEN {target} = '{c}' THEN '[MASK]' ELSE trim(r.{c}) END END"
+             for c, n, _ in COL_DICT]
+    return f"concat_ws(chr(10), {', '.join(lines)})"
+
+
+def mcq_sql(n_choices: int = 5, difficulty: float = 2.0, targets=None, extra_where: str = "TRUE",
+            pick_one: bool = False, sectioned: bool = True) -> str:
     nm1 = n_choices - 1
     targets = targets or VARS
     qrows = " UNION ALL ".join(f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS label_raw FROM registry"
@@ -174,10 +181,12 @@ fin AS (SELECT n.*, CASE WHEN len(n.fb_idx) > 0 THEN {fbv} END AS fb_vals FROM n
 ch AS (SELECT record_id, var, qid, {strip_sql('label_c')} AS label,
     list_sort(list_distinct(list_filter(list_transform(list_filter(list_concat(cat_vals, coalesce(fb_vals, num_vals)), lambda c: c != 'nan'),
       lambda c: {strip_sql('c')}), lambda c: c != {strip_sql('label_c')}))) AS choices FROM fin),
-sh AS (SELECT *, {shuffle} AS shuf, CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch WHERE len(choices) > 0),
+ch1 AS (SELECT * FROM ch WHERE len(choices) > 0),
+ch2 AS ({"SELECT * FROM ch1 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY " + u_('pick', 'record_id', 'var') + ") = 1" if pick_one else "SELECT * FROM ch1"}),
+sh AS (SELECT *, {shuffle} AS shuf, CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch2),
 q AS (SELECT *, list_concat(list_slice(shuf, 1, label_idx), [label], list_slice(shuf, label_idx + 1, len(shuf))) AS options FROM sh)
 SELECT q.record_id, q.var AS task,
-  {_section_text()} || chr(10) || printf('Q1. What would be the masked value of ''%s'' in section %s?', {names}, {secs})
+  {_section_text() if sectioned else _flat_text()} || chr(10) || {"printf('Q1. What would be the masked value of ''%s'' in section %s?', " + names + ", " + secs + ")" if sectioned else "printf('Q1. What would be the masked value of ''%s''?', " + names + ")"}
     || chr(10) || array_to_string(list_transform(options, lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c), chr(10)) AS user_message,
   chr(65 + q.label_idx) AS label_0, q.options AS choices_0
 FROM q JOIN registry r ON q.record_id = r.record_id"""

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quizloom.functions.hashing import u
 from quizloom.operators import gmm, profile
 from quizloom.operators.distractors import choose_distractors
 from quizloom.operators.questions import assemble, explode_targets
@@ -46,18 +47,23 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
 
 
 def mcq_questions(reg: DataFrame, prof: Profile, targets: list[str] | None = None, seed: int = 42,
-                  n_choices: int = 5, sectioned: bool = True) -> DataFrame:
+                  n_choices: int = 5, sectioned: bool = True, pick_one: bool = False) -> DataFrame:
     q = explode_targets(reg, "record_id", targets or VARS, prof.summary)
     q = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed, n_choices=n_choices)
     q = q.where(F.size("choices") > 0)
+    if pick_one:
+        # M1: one random usable target per record; the group is one record's columns.
+        w = Window.partitionBy("record_id").orderBy(u(seed, "pick", F.col("record_id"), F.col("var")))
+        q = q.withColumn("_pick", F.row_number().over(w)).where("_pick = 1").drop("_pick")
     text = serialize_sections(COL_DICT, F.col("var")) if sectioned else serialize_flat(COL_DICT, F.col("var"))
     return assemble(q, text, COL_DICT, seed=seed, sectioned=sectioned)
 
 
-def mcq_all_targets(spark: SparkSession, sf_dir: str, gm_method: str = "em", seed: int = 42) -> DataFrame:
-    """M2: one question per (record, profiled column)."""
+def mcq_all_targets(spark: SparkSession, sf_dir: str, gm_method: str = "em", seed: int = 42,
+                    targets: list[str] | None = None, pick_one: bool = False, sectioned: bool = True) -> DataFrame:
+    """M2: one question per (record, profiled column) (M1 with ``pick_one``)."""
     reg = registry(spark, sf_dir)
     prof = build_profile(reg, gm_method=gm_method)
-    q = mcq_questions(reg, prof, seed=seed)
+    q = mcq_questions(reg, prof, targets=targets, seed=seed, pick_one=pick_one, sectioned=sectioned)
     return q.select("record_id", F.col("var").alias("task"), "user_message", "label_0",
                     F.col("options").alias("choices_0"))
