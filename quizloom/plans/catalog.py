@@ -143,3 +143,20 @@ def _mcq_random(spark, sf):
 def _mcq_flat(spark, sf):
     """T1 + M10 (flat template): every target, flat ``name: value`` text."""
     return registry_qa.mcq_all_targets(spark, sf, gm_method="terciles", sectioned=False)
+
+
+# ---------------------------------------------------------------- time series / outcomes
+from quizloom.operators import timeseries as _ts  # noqa: E402
+from quizloom.plans import timeseries_qa as _tq  # noqa: E402
+from quizloom.plans.oracle import timeseries_sql as _tsql  # noqa: E402
+
+register("horizon_label", _tsql.HORIZON_LABEL)(lambda spark, sf: _tq.horizon_label(spark, sf))
+register("prefix_prompts", _tsql.PREFIX_PROMPTS)(lambda spark, sf: _tq.prefix_prompts(spark, sf))
+register("horizon_question", _tsql.HORIZON_QUESTION)(lambda spark, sf: _tq.horizon_question(spark, sf))
+register("horizon_sample", _tsql.HORIZON_SAMPLE)(lambda spark, sf: _tq.horizon_sample(spark, sf))
+register("trajectory_text", _tsql.TRAJECTORY_TEXT)(lambda spark, sf: _tq.trajectory_text(spark, sf))
+register("stay_having", _tsql.STAY_HAVING)(
+    lambda spark, sf: _tq.stay_having(_ts.trajectory(_tq.events(spark, sf))))
+register("forecast_question", _tsql.FORECAST_QUESTION)(lambda spark, sf: _tq.forecast_question(spark, sf))
+register("outcome_chain", _tsql.OUTCOME_CHAIN)(lambda spark, sf: _tq.outcome_chain(spark, sf))
+register("outcome_question", _tsql.OUTCOME_QUESTION)(lambda spark, sf: _tq.outcome_question(spark, sf))

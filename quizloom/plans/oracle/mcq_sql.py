@@ -31,9 +31,11 @@ def long_sql(vars_=VARS) -> str:
         f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS value FROM registry" for v in vars_) + ")"
 
 
-PROFILE_CTES = f"""
-{long_sql()},
-vals AS (SELECT var, CASE WHEN NOT {missing('value')} THEN value END AS value, count(*) AS n FROM long GROUP BY ALL),
+def profile_ctes(long_cte: str) -> str:
+    return long_cte + ",\n" + _PROFILE_BODY
+
+
+_PROFILE_BODY = f"""vals AS (SELECT var, CASE WHEN NOT {missing('value')} THEN value END AS value, count(*) AS n FROM long GROUP BY ALL),
 st0 AS (SELECT var,
     CAST(sum(CASE WHEN value IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_keys,
     max(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS has_missing,
@@ -88,6 +90,8 @@ gm AS (SELECT s.var,
     [coalesce((SELECT w FROM comp c WHERE c.var = s.var AND c.k = 0), 0.0), coalesce((SELECT w FROM comp c WHERE c.var = s.var AND c.k = 1), 0.0), coalesce((SELECT w FROM comp c WHERE c.var = s.var AND c.k = 2), 0.0)] AS gm_weights
   FROM stats s WHERE s.keep)"""
 
+PROFILE_CTES = profile_ctes(long_sql())
+
 
 def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '(\\d)\\.0+$', '\\1'), '(\\.\\d*?[1-9])0+$', '\\1')"
@@ -112,12 +116,9 @@ def _flat_text(target: str = "q.var") -> str:
     return f"concat_ws(chr(10), {', '.join(lines)})"
 
 
-def mcq_sql(n_choices: int = 5, difficulty: float = 2.0, targets=None, extra_where: str = "TRUE",
-            pick_one: bool = False, sectioned: bool = True) -> str:
+def distractor_ctes(n_choices: int = 5, difficulty: float = 2.0, pick_one: bool = False) -> str:
+    """CTEs from a ``q0(record_id, var, label_raw, qid)`` to ``ch2(record_id, var, qid, label, choices)``."""
     nm1 = n_choices - 1
-    targets = targets or VARS
-    qrows = " UNION ALL ".join(f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS label_raw FROM registry"
-                               for v in targets)
     binom = " + ".join(f"CASE WHEN {u_('binom', 'qid', str(j))} < 1 - float_ratio THEN 1 ELSE 0 END" for j in range(nm1))
     rounds = []
     prev = "q3"
@@ -145,14 +146,7 @@ r{j} AS (SELECT a.* EXCLUDE (rp, excl, excl_tot, cat_vals, cat_idx),
         f"LEFT JOIN all_vocab f{j} ON f{j}.var = n.var AND len(n.fb_idx) > {j} AND f{j}.idx = n.fb_idx[{j + 1}]"
         for j in range(nm1))
     fbv = "list_filter([" + ", ".join(f"f{j}.value" for j in range(nm1)) + "], lambda v: v IS NOT NULL)"
-    shuffle = f"list_transform(list_sort(list_transform(choices, lambda c: {{'k': {u_('shuffle', 'qid', 'c')}, 'v': c}})), lambda s: s.v)"
-    names = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{n}'" for v, n, _ in COL_DICT) + " END"
-    secs = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{s}'" for v, _, s in COL_DICT) + " END"
-    return f"""WITH {registry_sql()},
-{PROFILE_CTES},
-lk AS (SELECT a.var, a.value, a.idx, v.lo, v.n FROM all_vocab a LEFT JOIN vocab v ON a.var = v.var AND a.value = v.value),
-q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
-  WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary) AND {extra_where}),
+    return f"""lk AS (SELECT a.var, a.value, a.idx, v.lo, v.n FROM all_vocab a LEFT JOIN vocab v ON a.var = v.var AND a.value = v.value),
 q1 AS (SELECT q0.*, CASE WHEN TRY_CAST(label_raw AS DOUBLE) IS NOT NULL THEN CAST(TRY_CAST(label_raw AS DOUBLE) AS VARCHAR) ELSE label_raw END AS label_c,
     TRY_CAST(label_raw AS DOUBLE) AS label_d, s.float_ratio, s.n_vocab, s.vocab_total, s.n_all, s.drop_negative, s.round_int,
     g.gm_means, g.gm_stds, g.gm_weights
@@ -182,7 +176,23 @@ ch AS (SELECT record_id, var, qid, {strip_sql('label_c')} AS label,
     list_sort(list_distinct(list_filter(list_transform(list_filter(list_concat(cat_vals, coalesce(fb_vals, num_vals)), lambda c: c != 'nan'),
       lambda c: {strip_sql('c')}), lambda c: c != {strip_sql('label_c')}))) AS choices FROM fin),
 ch1 AS (SELECT * FROM ch WHERE len(choices) > 0),
-ch2 AS ({"SELECT * FROM ch1 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY " + u_('pick', 'record_id', 'var') + ") = 1" if pick_one else "SELECT * FROM ch1"}),
+ch2 AS ({"SELECT * FROM ch1 QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY " + u_('pick', 'record_id', 'var') + ") = 1" if pick_one else "SELECT * FROM ch1"})"""
+
+
+def mcq_sql(n_choices: int = 5, difficulty: float = 2.0, targets=None, extra_where: str = "TRUE",
+            pick_one: bool = False, sectioned: bool = True) -> str:
+    nm1 = n_choices - 1
+    targets = targets or VARS
+    qrows = " UNION ALL ".join(f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS label_raw FROM registry"
+                               for v in targets)
+    shuffle = f"list_transform(list_sort(list_transform(choices, lambda c: {{'k': {u_('shuffle', 'qid', 'c')}, 'v': c}})), lambda s: s.v)"
+    names = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{n}'" for v, n, _ in COL_DICT) + " END"
+    secs = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{s}'" for v, _, s in COL_DICT) + " END"
+    return f"""WITH {registry_sql()},
+{PROFILE_CTES},
+q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
+  WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary) AND {extra_where}),
+{distractor_ctes(n_choices, difficulty, pick_one)},
 sh AS (SELECT *, {shuffle} AS shuf, CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch2),
 q AS (SELECT *, list_concat(list_slice(shuf, 1, label_idx), [label], list_slice(shuf, label_idx + 1, len(shuf))) AS options FROM sh)
 SELECT q.record_id, q.var AS task,
