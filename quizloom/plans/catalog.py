@@ -160,3 +160,18 @@ register("stay_having", _tsql.STAY_HAVING)(
 register("forecast_question", _tsql.FORECAST_QUESTION)(lambda spark, sf: _tq.forecast_question(spark, sf))
 register("outcome_chain", _tsql.OUTCOME_CHAIN)(lambda spark, sf: _tq.outcome_chain(spark, sf))
 register("outcome_question", _tsql.OUTCOME_QUESTION)(lambda spark, sf: _tq.outcome_question(spark, sf))
+
+
+# ---------------------------------------------------------------- notes, chat, scoring
+from quizloom.plans import text_qa as _tx  # noqa: E402
+from quizloom.plans.oracle import text_sql as _txs  # noqa: E402
+
+for _name, _sql in [
+    ("note_category", _txs.NOTE_CATEGORY), ("note_tokens", _txs.NOTE_TOKENS), ("redact_regex", _txs.REDACT_REGEX),
+    ("redact_list", _txs.REDACT_LIST), ("split_header", _txs.SPLIT_HEADER), ("strip_after_sep", _txs.STRIP_AFTER_SEP),
+    ("chat_messages", _txs.CHAT_MESSAGES), ("chat_prompts", _txs.CHAT_PROMPTS), ("sys_fold", _txs.SYS_FOLD),
+    ("boxed_answer", _txs.BOXED_ANSWER), ("cut_delims", _txs.CUT_DELIMS), ("budget_trim", _txs.BUDGET_TRIM),
+    ("prompt_parts", _txs.PROMPT_PARTS), ("exact_match", _txs.EXACT_MATCH), ("accuracy_report", _txs.ACCURACY_REPORT),
+    ("reward_mean", _txs.REWARD_MEAN), ("truncation_rate", _txs.TRUNCATION_RATE), ("blind_pairs", _txs.BLIND_PAIRS),
+]:
+    register(_name, _sql)(getattr(_tx, _name))
