@@ -2,7 +2,7 @@
 
 ``u(seed, *parts)`` maps a key tuple to a double in (0, 1) from the first 52
 bits of an MD5 digest.  The same formula in SQL is
-``(CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0``
+``(CAST(CAST('0x' || substr(md5(k), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 2^52`` (doubles)
 with ``k = concat_ws('|', seed, parts...)``; both engines agree bit for bit.
 """
 
@@ -34,4 +34,4 @@ def u(seed, *parts) -> Column:
 def sql_u(seed, *parts: str) -> str:
     """The same uniform as a DuckDB/ANSI SQL expression (parts are SQL expressions)."""
     key = "concat_ws('|', " + ", ".join([f"'{seed}'"] + [f"CAST({p} AS VARCHAR)" for p in parts]) + ")"
-    return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    return f"((CAST(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"

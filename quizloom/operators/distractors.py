@@ -34,7 +34,7 @@ SHARP_STD = 0.1
 def spark_u_sql(seed, tag: str, *parts: str) -> str:
     """Hash uniform as a Spark SQL expression (same formula as functions.hashing.u)."""
     key = "concat_ws('|', " + ", ".join([f"'{seed}'", f"'{tag}'"] + [f"CAST({p} AS STRING)" for p in parts]) + ")"
-    return f"((CAST(conv(substr(md5({key}), 1, 13), 16, 10) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    return f"((CAST(CAST(conv(substr(md5({key}), 1, 13), 16, 10) AS BIGINT) AS DOUBLE) + 0.5D) / 4503599627370496.0D)"
 
 
 def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
@@ -84,8 +84,8 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
     base = (q.withColumn("label_c", canonical_float("label_raw"))
             .withColumn("label_d", F.col("label_raw").try_cast("double"))
             .join(F.broadcast(pc), "var"))
-    lab = lk.select("var", F.col("value").alias("label_c"), F.col("idx").alias("lab_idx"),
-                    F.col("lo").alias("lab_lo"), F.col("n").alias("lab_n"))
+    lab = maybe_broadcast(lk.select("var", F.col("value").alias("label_c"), F.col("idx").alias("lab_idx"),
+                                    F.col("lo").alias("lab_lo"), F.col("n").alias("lab_n")), broadcast_rows)
     base = base.join(lab, ["var", "label_c"], "left")
 
     nm1 = n_choices - 1

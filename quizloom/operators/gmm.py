@@ -23,17 +23,21 @@ REG_COVAR = 1e-6
 GM_SCHEMA = "var string, gm_means array<double>, gm_stds array<double>, gm_weights array<double>, gm_loglik double"
 
 
-def numeric_histogram(long: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
-    """(var, x, n): value (or bin mean) and row count for numeric columns."""
+def numeric_histogram(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
+    """(var, x, n): value (or bin mean) and row count for numeric columns.
+
+    Built from the distinct-value counts (A1), not from rows: one pass over the
+    data serves the whole profile.
+    """
     num = stats.where("keep AND is_numeric").select("var", "n_keys", "num_min", "num_max")
     d = F.col("value").try_cast("double")
-    rows = long.select("var", d.alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    rows = values.select("var", d.alias("x"), "n").where(F.col("x").isNotNull() & ~F.isnan("x"))
     rows = rows.join(F.broadcast(num), "var")               # one row per column
     width = (F.col("num_max") - F.col("num_min")) / max_bins
     key = F.when(F.col("n_keys") <= max_bins, F.col("x")).otherwise(
         F.least(F.floor((F.col("x") - F.col("num_min")) / width), F.lit(max_bins - 1)).cast("double"))
     return (rows.groupBy("var", key.alias("k"))
-            .agg(F.avg("x").alias("x"), F.count(F.lit(1)).cast("double").alias("n"))
+            .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").cast("double").alias("n"))
             .drop("k"))
 
 
@@ -70,10 +74,10 @@ def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
                          "gm_weights": [pi.tolist()], "gm_loglik": [ll]})
 
 
-def gmm_profile(long: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
+def gmm_profile(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
     """(var, gm_means, gm_stds, gm_weights) for every kept column; zeros for
     columns without numeric keys (as the reference's profile)."""
-    fitted = numeric_histogram(long, stats, max_bins).groupBy("var").applyInPandas(_fit, GM_SCHEMA)
+    fitted = numeric_histogram(values, stats, max_bins).groupBy("var").applyInPandas(_fit, GM_SCHEMA)
     zeros = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     kept = stats.where("keep").select("var")
     return (kept.join(fitted, "var", "left")

@@ -91,9 +91,9 @@ def _gmm_profile(spark, sf):
 
 
 def _mi_table(spark, sf, only_discrete):
-    reg, p = _prof(spark, sf)
-    stats = p.stats.checkpoint(eager=True)
-    return _mi.mutual_info(reg, stats, p.values, only_discrete=only_discrete)
+    reg = _registry(spark, sf)
+    p = registry_qa.build_profile(reg, gm_method=None, materialize="values")
+    return _mi.mutual_info(reg, p.stats, p.values, only_discrete=only_discrete)
 
 
 @register("mi_discrete", stats_sql.MI_DISCRETE)
@@ -175,3 +175,33 @@ for _name, _sql in [
     ("reward_mean", _txs.REWARD_MEAN), ("truncation_rate", _txs.TRUNCATION_RATE), ("blind_pairs", _txs.BLIND_PAIRS),
 ]:
     register(_name, _sql)(getattr(_tx, _name))
+
+
+# ---------------------------------------------------------------- cleaning / recoding
+from quizloom.plans import cleaning_qa as _cq  # noqa: E402
+from quizloom.plans.oracle import cleaning_sql as _cs  # noqa: E402
+
+for _name, _fn, _sql in [
+    ("registry_view", _cq.registry_view, _cs.REGISTRY_VIEW), ("unpivot_long", _cq.unpivot, _cs.UNPIVOT),
+    ("recode_codes", _cq.recode_codes, _cs.RECODE_CODES), ("multi_code", _cq.multi_code, _cs.MULTI_CODE),
+    ("sentinel_na", _cq.sentinel_na, _cs.SENTINEL_NA), ("gate_fill", _cq.gate_fill, _cs.GATE_FILL),
+    ("mask_overlay", _cq.mask_overlay, _cs.MASK_OVERLAY), ("case_collision", _cq.case_collision, _cs.CASE_COLLISION),
+    ("date_minutes", _cq.date_minutes, _cs.DATE_MINUTES), ("family_reset", _cq.family_reset, _cs.FAMILY_RESET),
+    ("binary_labels", _cq.binary_labels, _cs.BINARY_LABELS), ("ordinal_codes", _cq.ordinal_codes, _cs.ORDINAL_CODES),
+    ("leakage_guard", _cq.leakage_guard, _cs.LEAKAGE_GUARD),
+    ("csv_roundtrip", _cq.csv_roundtrip, _cs.CSV_ROUNDTRIP), ("read_split", _cq.read_split, _cs.READ_SPLIT),
+    ("section_hoist", _cq.section_hoist, _cs.SECTION_HOIST),
+    ("serialize_until_gap", _cq.serialize_until_gap, _cs.SERIALIZE_UNTIL_GAP),
+    ("serialize_flat", _cq.serialize_flat_text, _cs.SERIALIZE_FLAT),
+]:
+    register(_name, _sql)(_fn)
+
+
+# ---------------------------------------------------------------- sampling, sets, filters, joins
+from quizloom.plans import sampling_qa as _sq  # noqa: E402
+from quizloom.plans.oracle import sampling_sql as _ss  # noqa: E402
+
+for _name in ["holdout_split", "sample_groups", "one_per_group", "oversample_dedupe", "weighted_draw", "shuffle_head",
+              "union_tasks", "set_diff", "cohort_filter", "temporal_cohort", "token_len_filter", "left_lookup",
+              "positional_zip", "drop_null_cols"]:
+    register(_name, getattr(_ss, _name.upper()))(getattr(_sq, _name))

@@ -15,7 +15,7 @@ def U(tag: str, *parts: str) -> str:
 def u_(tag, *parts):
     # hash key = seed|tag|parts...
     key = "concat_ws('|', '42', '" + tag + "'" + "".join(f", CAST({p} AS VARCHAR)" for p in parts) + ")"
-    return f"((CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    return f"((CAST(CAST('0x' || substr(md5({key}), 1, 13) AS BIGINT) AS DOUBLE) + CAST(0.5 AS DOUBLE)) / CAST(4503599627370496 AS DOUBLE))"
 
 
 def bucket(x: str, b: int = 64) -> str:

@@ -26,19 +26,27 @@ class Profile:
     gm: DataFrame
 
 
-def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_method: str = "em",
-                  materialize: bool = True) -> Profile:
+def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_method: str | None = "em",
+                  materialize: bool | str = True) -> Profile:
+    """Profile tables of ``reg``.  ``materialize``: True writes every profile
+    table to the checkpoint folder, "values" only the value counts, False none."""
     long = profile.unpivot_long(reg, id_col, list(vars_))
     values = profile.col_values(long)
+    if materialize:
+        # The one pass over the data: (var, value, n).  Every other profile table
+        # derives from it, so it is written once to the checkpoint folder.
+        values = values.checkpoint(eager=True)
     stats = profile.col_stats(values)
     vocab = profile.vocab_table(values, stats)
     all_vocab = profile.all_vocab_table(values, stats)
     summary = profile.profile_summary(stats, vocab, all_vocab)
     if gm_method == "em":
-        gm = gmm.gmm_profile(long, stats)
-    else:
+        gm = gmm.gmm_profile(values, stats)
+    elif gm_method == "terciles":
         gm = gmm.tercile_mixture(values, stats)
-    if materialize:
+    else:
+        gm = None
+    if materialize is True:
         # Profile tables are column- or vocabulary-sized and are read many times by
         # the question plan: write them once to the checkpoint folder (reliable
         # checkpoint, survives executor loss) instead of recomputing the scan.

@@ -28,6 +28,10 @@ def get_spark(master: str | None = None, app: str = "quizloom", shuffle_partitio
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus) * 2))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # The question plans join on keys computed through deep projections; the
+        # dynamic-partition-pruning rule walks that lineage exponentially (47 s of
+        # planning for one plan) and none of these joins hit a partitioned table.
+        .config("spark.sql.optimizer.dynamicPartitionPruning.enabled", "false")
         .config("spark.driver.memory", os.environ.get("QUIZLOOM_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
