@@ -21,7 +21,7 @@ def top_n_by_hash(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
     """The n distinct keys with the smallest hash (a sampling operator:
     the limit is the feature).  TakeOrderedAndProject keeps n rows per task."""
     return (df.select(key).distinct()
-            .orderBy(hash_order(seed, "ids", key), key).limit(n))
+            .orderBy(hash_order(seed, F.lit("ids"), key), key).limit(n))
 
 
 def holdout_split(df: DataFrame, key: str, n_valid: int, seed=42) -> DataFrame:

@@ -205,3 +205,11 @@ for _name in ["holdout_split", "sample_groups", "one_per_group", "oversample_ded
               "union_tasks", "set_diff", "cohort_filter", "temporal_cohort", "token_len_filter", "left_lookup",
               "positional_zip", "drop_null_cols"]:
     register(_name, getattr(_ss, _name.upper()))(getattr(_sq, _name))
+
+
+# ---------------------------------------------------------------- codebook
+from quizloom.plans import codebook_qa as _cb  # noqa: E402
+from quizloom.plans.oracle import codebook_sql as _cbs  # noqa: E402
+
+for _name in ["codebook_ranges", "codebook_list", "header_ffill", "block_segments", "name_align"]:
+    register(_name, getattr(_cbs, _name.upper()))(getattr(_cb, _name))

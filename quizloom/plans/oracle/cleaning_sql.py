@@ -21,8 +21,8 @@ RECODE_CODES = H + ",\n" + long_sql(["status", "priority"]) + """,
 codes(var, code, label) AS (VALUES ('status', 'F', 'Finished'), ('status', 'O', 'Open'), ('status', 'P', 'Pending'))
 SELECT l.record_id, l.var, coalesce(c.label, l.value) AS value FROM long l LEFT JOIN codes c ON l.var = c.var AND l.value = c.code"""
 
-_MC = ("CASE WHEN record_id % 5 = 0 THEN concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(floor(record_id / 4) % 4 + 1 AS VARCHAR)) || ',' "
-       "ELSE concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(floor(record_id / 4) % 4 + 1 AS VARCHAR)) END")
+_MC = ("CASE WHEN record_id % 5 = 0 THEN concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(CAST(floor(record_id / 4) AS BIGINT) % 4 + 1 AS VARCHAR)) || ',' "
+       "ELSE concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(CAST(floor(record_id / 4) AS BIGINT) % 4 + 1 AS VARCHAR)) END")
 MULTI_CODE = H + f""", m AS (SELECT record_id, {_MC} AS raw FROM registry),
 p AS (SELECT record_id, raw, list_transform(list_sort(string_split(regexp_replace(raw, ',$', ''), ',')),
     lambda c: CASE trim(c) WHEN '1' THEN 'Alpha' WHEN '2' THEN 'Beta' WHEN '3' THEN 'Gamma' END) AS mp FROM m)
