@@ -45,8 +45,11 @@ def assemble(q: DataFrame, text: Column, col_dict, seed: int = 42, sectioned: bo
     """
     names = F.create_map(*[x for v, n, s in col_dict for x in (F.lit(v), F.lit(n))])
     secs = F.create_map(*[x for v, n, s in col_dict for x in (F.lit(v), F.lit(s))])
-    shuf = F.expr(f"transform(array_sort(transform(choices, c -> named_struct('k', "
-                  f"{spark_u_sql(seed, 'shuffle', 'qid', 'c')}, 'v', c))), s -> s.v)")
+    # at most n-1 choices: build (hash key, value) pairs element-wise and sort natively
+    n_max = 8
+    pairs = [F.when(F.size("choices") > i, F.struct(u(seed, "shuffle", F.col("qid"), F.col("choices")[i]).alias("k"),
+                                                    F.col("choices")[i].alias("v"))) for i in range(n_max)]
+    shuf = F.sort_array(F.array_compact(F.array(*pairs)))["v"]
     pos = F.floor(u(seed, "pos", F.col("qid")) * (F.size("choices") + 1)).cast("int")
     q = q.withColumn("_sh", shuf).withColumn("label_idx", pos)
     q = q.withColumn("options", F.expr("array_insert(_sh, label_idx + 1, label)"))
@@ -56,7 +59,8 @@ def assemble(q: DataFrame, text: Column, col_dict, seed: int = 42, sectioned: bo
     else:
         question = F.format_string(QUESTION_FLAT.replace("{}", "%s"), F.lit(str(q_index)),
                                    F.element_at(names, F.col("var")))
-    opts = F.expr("array_join(transform(options, (c, i) -> concat(char(65 + i), '. ', c)), '\\n')")
+    opts = F.concat_ws("\n", *[F.concat(F.lit(chr(65 + i) + ". "), F.try_element_at("options", F.lit(i + 1)))
+                               for i in range(n_max + 1)])
     return (q.withColumn("label_0", F.expr("char(65 + label_idx)"))
             .withColumn("user_message", F.concat(text, F.lit("\n"), question, F.lit("\n"), opts))
             .drop("_sh"))

@@ -56,9 +56,11 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
 
 def mcq_questions(reg: DataFrame, prof: Profile, targets: list[str] | None = None, seed: int = 42,
                   n_choices: int = 5, sectioned: bool = True, pick_one: bool = False) -> DataFrame:
-    q = explode_targets(reg, "record_id", targets or VARS, prof.summary)
+    # Distractors are drawn on narrow (record, column, label) rows; the wide record
+    # is joined back once, on its key, for the text.
+    q = explode_targets(reg, "record_id", targets or VARS, prof.summary).select("record_id", "var", "label_raw", "qid")
     q = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed, n_choices=n_choices)
-    q = q.where(F.size("choices") > 0)
+    q = q.where(F.size("choices") > 0).join(reg, "record_id")
     if pick_one:
         # M1: one random usable target per record; the group is one record's columns.
         w = Window.partitionBy("record_id").orderBy(u(seed, "pick", F.col("record_id"), F.col("var")))
