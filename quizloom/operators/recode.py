@@ -126,3 +126,28 @@ def ordinal_code(c, order: list[str]) -> Column:
     """Declared-order integer code; missing or unlisted = -1."""
     m = F.create_map(*[x for i, v in enumerate(order) for x in (F.lit(v), F.lit(i))])
     return F.coalesce(F.try_element_at(m, _c(c)), F.lit(-1))
+
+
+def reconcile_ranges(a, b, range_a=(1, 2), range_b=(3, 4)) -> Column:
+    """Two mutually exclusive code ranges -> one code (first match wins)."""
+    return F.when(_c(a).isin(*range_a), _c(a)).when(_c(b).isin(*range_b), _c(b))
+
+
+def merge_ordinal(a, b, table: dict) -> Column:
+    """(a, b) pair -> ordinal label by a declared table; ``None`` in the
+    key matches any b; an unknown pair gives null (quarantine)."""
+    expr = None
+    for (ka, kb), lab in table.items():
+        cond = (_c(a) == ka) if kb is None else ((_c(a) == ka) & (_c(b) == kb))
+        expr = F.when(cond, F.lit(lab)) if expr is None else expr.when(cond, F.lit(lab))
+    return expr
+
+
+def translate_if_script(df: DataFrame, col: str, dictionary: DataFrame, script_class: str) -> DataFrame:
+    """P24 + S3 + J6: values containing the script are replaced whole by their
+    dictionary entry (size-checked broadcast join); others are kept."""
+    from quizloom.operators.distractors import maybe_broadcast
+    d = maybe_broadcast(dictionary.select(F.col("source").alias("_src"), F.col("target").alias("_tgt")), 2_000_000)
+    j = df.join(d, df[col] == d["_src"], "left")
+    hit = F.col(col).rlike(script_class) & F.col("_tgt").isNotNull()
+    return j.withColumn(col, F.when(hit, F.col("_tgt")).otherwise(F.col(col))).drop("_src", "_tgt")

@@ -213,3 +213,9 @@ from quizloom.plans.oracle import codebook_sql as _cbs  # noqa: E402
 
 for _name in ["codebook_ranges", "codebook_list", "header_ffill", "block_segments", "name_align"]:
     register(_name, getattr(_cbs, _name.upper()))(getattr(_cb, _name))
+
+
+register("outcome_union", mcq_sql.outcome_union_sql())(lambda spark, sf: registry_qa.outcome_union(spark, sf))
+
+for _name in ["mv_reconcile", "edu_merge", "script_translate"]:
+    register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))

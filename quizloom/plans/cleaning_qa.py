@@ -167,3 +167,30 @@ def serialize_flat_text(spark, sf):
     """Flat ``name: value`` record text (no mask)."""
     from quizloom.operators.serialize import serialize_flat
     return registry(spark, sf).select("record_id", serialize_flat(COL_DICT).alias("text"))
+
+
+# Ordinal merge table of the fixture (edu1, edu2) -> label; None = any.
+EDU_TABLE = {(0, None): "None", (1, 0): "Primary", (1, 1): "Middle", (2, 0): "High", (2, 1): "College", (3, None): "Graduate"}
+ACCENTED = "[À-ÿ]"
+
+
+def mv_reconcile(spark, sf):
+    """P17."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    a, b = F.pmod(F.col("o_orderkey"), 5), F.pmod(F.floor(F.col("o_orderkey") / 5), 5)
+    return o.select("o_orderkey", R.reconcile_ranges(a, b).cast("int").alias("mv"))
+
+
+def edu_merge(spark, sf):
+    """P18."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
+    return c.select("c_custkey", R.merge_ordinal(F.pmod("c_custkey", 5), F.pmod("c_nationkey", 2), EDU_TABLE).alias("edu"))
+
+
+def script_translate(spark, sf):
+    """P24 + S3 + J6: first word of each document, translated through a
+    dictionary derived from the data when it contains an accented letter."""
+    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"^(\S+)", 1).alias("word"))
+    dic = (d.select(F.col("word").alias("source")).distinct().where(F.col("source").rlike(ACCENTED))
+           .select("source", F.concat(F.lit("tr:"), F.lower("source")).alias("target")))
+    return R.translate_if_script(d, "word", dic, ACCENTED)

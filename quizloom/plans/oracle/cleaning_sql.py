@@ -123,3 +123,14 @@ def _flat():
 
 
 SERIALIZE_FLAT = H + f"\nSELECT record_id, {_flat()} AS text FROM registry"
+
+
+MV_RECONCILE = """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 IN (1, 2) THEN o_orderkey % 5
+  WHEN CAST(floor(o_orderkey / 5) AS BIGINT) % 5 IN (3, 4) THEN CAST(floor(o_orderkey / 5) AS BIGINT) % 5 END AS INTEGER) AS mv FROM orders"""
+
+EDU_MERGE = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'None' WHEN c_custkey % 5 = 1 AND c_nationkey % 2 = 0 THEN 'Primary'
+  WHEN c_custkey % 5 = 1 AND c_nationkey % 2 = 1 THEN 'Middle' WHEN c_custkey % 5 = 2 AND c_nationkey % 2 = 0 THEN 'High'
+  WHEN c_custkey % 5 = 2 AND c_nationkey % 2 = 1 THEN 'College' WHEN c_custkey % 5 = 3 THEN 'Graduate' END AS edu FROM customer"""
+
+SCRIPT_TRANSLATE = """WITH d AS (SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS word FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(word, '[À-ÿ]') THEN 'tr:' || lower(word) ELSE word END AS word FROM d"""

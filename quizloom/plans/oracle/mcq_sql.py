@@ -200,3 +200,23 @@ SELECT q.record_id, q.var AS task,
     || chr(10) || array_to_string(list_transform(options, lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c), chr(10)) AS user_message,
   chr(65 + q.label_idx) AS label_0, q.options AS choices_0
 FROM q JOIN registry r ON q.record_id = r.record_id"""
+
+
+def outcome_union_sql() -> str:
+    targets = [("status", "Q. What will the order status be?"), ("priority", "Q. What will the order priority be?")]
+    kept = [c for c in COL_DICT if c[0] not in ("status", "priority")]
+    text = "concat_ws(chr(10), " + ", ".join(
+        f"CASE WHEN r.{c} IS NOT NULL AND r.{c} <> '' THEN '{n}: ' || trim(r.{c}) END" for c, n, _ in kept) + ")"
+    qrows = " UNION ALL ".join(f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS label_raw FROM registry" for v, _ in targets)
+    qcase = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{t}'" for v, t in targets) + " END"
+    return f"""WITH {registry_sql()},
+{PROFILE_CTES},
+q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
+  WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary)),
+{distractor_ctes()},
+fq AS (SELECT *, CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch),
+q AS (SELECT *, list_concat(list_slice(choices, 1, label_idx), [label], list_slice(choices, label_idx + 1, len(choices))) AS options FROM fq)
+SELECT q.record_id, {text} || chr(10) || {qcase}
+    || array_to_string(list_transform(q.options, lambda c, i: chr(10) || chr(CAST(64 + i AS INTEGER)) || '. ' || c), '') AS user_message,
+  chr(65 + q.label_idx) AS label_0, q.var AS task, q.options AS choices_0
+FROM q JOIN registry r ON q.record_id = r.record_id"""

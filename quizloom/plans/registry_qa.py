@@ -77,3 +77,32 @@ def mcq_all_targets(spark: SparkSession, sf_dir: str, gm_method: str = "em", see
     q = mcq_questions(reg, prof, targets=targets, seed=seed, pick_one=pick_one, sectioned=sectioned)
     return q.select("record_id", F.col("var").alias("task"), "user_message", "label_0",
                     F.col("options").alias("choices_0"))
+
+
+# Outcome questions of the two-target union.
+OUTCOME_TARGETS = [("status", "Q. What will the order status be?"),
+                   ("priority", "Q. What will the order priority be?")]
+
+
+def outcome_union(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame:
+    """M14 + P6 + T1 + U1: per target, flat text without both outcome columns,
+    the question, and the label inserted (no shuffle) into the sorted choices;
+    the two question sets are unioned."""
+    reg = registry(spark, sf_dir)
+    prof = build_profile(reg, gm_method="terciles")
+    targets = [t for t, _ in OUTCOME_TARGETS]
+    kept = [c for c in COL_DICT if c[0] not in targets]
+    text = serialize_flat(kept)
+    parts = []
+    for t, question in OUTCOME_TARGETS:
+        q = explode_targets(reg, "record_id", [t], prof.summary).select("record_id", "var", "label_raw", "qid")
+        q = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed)
+        q = q.withColumn("label_idx", F.floor(u(seed, "pos", F.col("qid")) * (F.size("choices") + 1)).cast("int"))
+        q = q.withColumn("options", F.expr("array_insert(choices, label_idx + 1, label)"))
+        opts = F.concat_ws("", *[F.concat(F.lit(f"\n{chr(65 + i)}. "), F.try_element_at("options", F.lit(i + 1)))
+                                 for i in range(9)])
+        q = q.join(reg, "record_id").select(
+            "record_id", F.concat(text, F.lit("\n" + question), opts).alias("user_message"),
+            F.expr("char(65 + label_idx)").alias("label_0"), F.lit(t).alias("task"), F.col("options").alias("choices_0"))
+        parts.append(q)
+    return parts[0].unionByName(parts[1])
