@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quizloom.plans import registry_qa
 from quizloom.plans.oracle import mcq_sql
-from quizloom.session import checkpoint_dir
+from quizloom.session import configure
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -15,7 +15,7 @@ ORACLE_SQL: dict = {}
 def register(name, sql=None):
     def deco(fn):
         def run(spark, sf_dir):
-            checkpoint_dir(spark)
+            configure(spark)
             return fn(spark, sf_dir)
         run.__name__ = name
         run.__doc__ = fn.__doc__

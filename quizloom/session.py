@@ -52,3 +52,21 @@ def checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     spark.sparkContext.setCheckpointDir(conf_dir)
     return conf_dir
+
+
+# Runtime SQL settings every plan here assumes; applied to sessions built elsewhere too.
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.optimizer.dynamicPartitionPruning.enabled": "false",
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """Apply ``RUNTIME_CONF`` and make sure a checkpoint folder is set."""
+    for k, v in RUNTIME_CONF.items():
+        spark.conf.set(k, v)
+    checkpoint_dir(spark)
+    return spark
