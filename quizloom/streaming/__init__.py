@@ -1,0 +1,5 @@
+"""No streaming operators: the reference builds question sets from batch tables
+only (no stream source, watermark, window or stateful operator anywhere), so
+this package is intentionally empty.  Every plan here is a batch DataFrame
+plan; the time-ordered operators (slot grids, horizon labels, prefixes) work on
+batch event tables."""
