@@ -64,3 +64,17 @@ def assemble(q: DataFrame, text: Column, col_dict, seed: int = 42, sectioned: bo
     return (q.withColumn("label_0", F.expr("char(65 + label_idx)"))
             .withColumn("user_message", F.concat(text, F.lit("\n"), question, F.lit("\n"), opts))
             .drop("_sh"))
+
+
+def shuffle_insert(choices: Column, label: Column, qid: Column, seed: int = 42, n_max: int = 8):
+    """(options, label_idx): distractors in hash order, label at a hash position."""
+    pairs = [F.when(F.size(choices) > i, F.struct(u(seed, "shuffle", qid, choices[i]).alias("k"), choices[i].alias("v")))
+             for i in range(n_max)]
+    sh = F.sort_array(F.array_compact(F.array(*pairs)))["v"]
+    pos = F.floor(u(seed, "pos", qid) * (F.size(choices) + 1)).cast("int")
+    return F.array_insert(sh, pos + 1, label), pos
+
+
+def render_options(options: Column, n_max: int = 9) -> Column:
+    return F.concat_ws("\n", *[F.concat(F.lit(chr(65 + i) + ". "), F.try_element_at(options, F.lit(i + 1)))
+                               for i in range(n_max)])

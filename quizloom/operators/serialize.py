@@ -21,11 +21,20 @@ def _present(c: str) -> Column:
 
 
 def _value(c: str, target: Column | None, strip: bool) -> Column:
+    """``target``: a column name Column (one masked target) or an array Column
+    of names (several masked targets)."""
     v = F.col(c).cast("string")
     v = F.trim(v) if strip else v
     if target is None:
         return v
-    return F.when(F.coalesce(target == F.lit(c), F.lit(False)), F.lit(MASK)).otherwise(v)
+    hit = F.array_contains(target, F.lit(c)) if getattr(target, "_is_array", False) else (target == F.lit(c))
+    return F.when(F.coalesce(hit, F.lit(False)), F.lit(MASK)).otherwise(v)
+
+
+def targets_array(col: Column) -> Column:
+    """Mark an array Column of target names for multi-target masking."""
+    col._is_array = True
+    return col
 
 
 def _skip(c: str, drop: Column | None) -> Column:

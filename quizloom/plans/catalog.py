@@ -219,3 +219,5 @@ register("outcome_union", mcq_sql.outcome_union_sql())(lambda spark, sf: registr
 
 for _name in ["mv_reconcile", "edu_merge", "script_translate"]:
     register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))
+
+register("mcq_multi", stats_sql.mcq_multi_sql(_mi.MI_CUTOFF))(lambda spark, sf: registry_qa.mcq_multi(spark, sf))

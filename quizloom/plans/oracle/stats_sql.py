@@ -54,3 +54,57 @@ MI_DISCRETE = _mi_body(True) + "\nSELECT target, feature, round(mi, 6) AS mi, n_
 MI_BINNED = _mi_body(False) + "\nSELECT target, feature, round(mi, 6) AS mi, n_rows FROM mi"
 CORRELATED = _mi_body(False) + """
 SELECT target, list_sort(list(feature)) AS correlated FROM mi WHERE mi > {cutoff} GROUP BY target"""
+
+
+
+def mcq_multi_sql(cutoff: float = 0.5) -> str:
+    from itertools import groupby
+    from quizloom.plans.oracle.mcq_sql import distractor_ctes, u_
+    from quizloom.sources.registry import COL_DICT, VARS
+    qrows = " UNION ALL ".join(f"SELECT record_id, '{v}' AS var, CAST({v} AS VARCHAR) AS label_raw FROM registry" for v in VARS)
+    blocks = []
+    for sec, items in groupby(COL_DICT, key=lambda t: t[2]):
+        items = list(items)
+        pres = {c: f"(r.{c} IS NOT NULL AND r.{c} <> '' AND NOT list_contains(x.drop_, '{c}'))" for c, _, _ in items}
+        lines = [f"CASE WHEN {pres[c]} THEN '{n}: ' || CASE WHEN x.var1 = '{c}' OR x.var2 = '{c}' THEN '[MASK]' ELSE r.{c} END END"
+                 for c, n, _ in items]
+        blocks.append(f"CASE WHEN {' OR '.join(pres.values())} THEN concat_ws(chr(10), '{sec}', {', '.join(lines)}) END")
+    text = f"concat_ws(chr(10) || chr(10), {', '.join(blocks)})"
+    names = lambda v: "CASE " + v + " " + " ".join(f"WHEN '{a}' THEN '{n}'" for a, n, _ in COL_DICT) + " END"
+    secs = lambda v: "CASE " + v + " " + " ".join(f"WHEN '{a}' THEN '{s}'" for a, _, s in COL_DICT) + " END"
+
+    def shuf(ch, qid):
+        return (f"list_transform(list_sort(list_transform({ch}, lambda c: {{'k': {u_('shuffle', qid, 'c')}, 'v': c}})), "
+                f"lambda s: s.v)")
+
+    def render(o):
+        return f"array_to_string(list_transform({o}, lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c), chr(10))"
+
+    return _mi_body(False) + f""",
+q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
+  WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary)),
+{distractor_ctes()},
+d AS (SELECT record_id, var, qid, label, choices, {u_('pick', 'record_id', 'var')} AS u_ FROM ch1),
+corr AS (SELECT target, feature FROM mi WHERE mi > {cutoff}),
+first AS (SELECT record_id, var AS var1, qid AS qid1, label AS label1, choices AS choices1 FROM d
+  QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY u_) = 1),
+second AS (SELECT d.record_id, d.var AS var2, d.qid AS qid2, d.label AS label2, d.choices AS choices2
+  FROM d JOIN first f ON d.record_id = f.record_id
+  WHERE d.var <> f.var1 AND NOT EXISTS (SELECT 1 FROM corr c WHERE c.target = f.var1 AND c.feature = d.var)
+  QUALIFY row_number() OVER (PARTITION BY d.record_id ORDER BY d.u_) = 1),
+feats AS (SELECT target, list(feature) AS f FROM corr GROUP BY target),
+qq AS (SELECT f.*, s.var2, s.qid2, s.label2, s.choices2,
+    list_concat(coalesce(a.f, []::VARCHAR[]), coalesce(b.f, []::VARCHAR[])) AS drop_,
+    {shuf('f.choices1', 'f.qid1')} AS sh1, CAST(floor({u_('pos', 'f.qid1')} * (len(f.choices1) + 1)) AS INTEGER) AS i1,
+    {shuf('s.choices2', 's.qid2')} AS sh2, CAST(floor({u_('pos', 's.qid2')} * (len(s.choices2) + 1)) AS INTEGER) AS i2
+  FROM first f JOIN second s ON f.record_id = s.record_id
+  LEFT JOIN feats a ON a.target = f.var1 LEFT JOIN feats b ON b.target = s.var2),
+x AS (SELECT *, list_concat(list_slice(sh1, 1, i1), [label1], list_slice(sh1, i1 + 1, len(sh1))) AS choices_0,
+    list_concat(list_slice(sh2, 1, i2), [label2], list_slice(sh2, i2 + 1, len(sh2))) AS choices_1 FROM qq)
+SELECT x.record_id,
+  {text} || chr(10) || printf('Q1. What would be the masked value of ''%s'' in section %s?', {names('x.var1')}, {secs('x.var1')})
+    || chr(10) || {render('x.choices_0')} || chr(10)
+    || printf('Q2. What would be the masked value of ''%s'' in section %s?', {names('x.var2')}, {secs('x.var2')})
+    || chr(10) || {render('x.choices_1')} AS user_message,
+  chr(65 + x.i1) AS label_0, chr(65 + x.i2) AS label_1, x.choices_0, x.choices_1, [x.var1, x.var2] AS victims
+FROM x JOIN registry r ON x.record_id = r.record_id"""

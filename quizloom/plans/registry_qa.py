@@ -106,3 +106,48 @@ def outcome_union(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame
             F.expr("char(65 + label_idx)").alias("label_0"), F.lit(t).alias("task"), F.col("options").alias("choices_0"))
         parts.append(q)
     return parts[0].unionByName(parts[1])
+
+
+
+def mcq_multi(spark: SparkSession, sf_dir: str, seed: int = 42, cutoff: float = 0.5) -> DataFrame:
+    """M4 (k = 2): the second target excludes the first and the first's
+    correlated columns (MI > cutoff); the text masks both targets and leaves
+    out every column correlated with either (T2)."""
+    from quizloom.operators import mutual_info as mi_ops
+    from quizloom.operators.questions import render_options, shuffle_insert
+    from quizloom.operators.serialize import targets_array
+    reg = registry(spark, sf_dir)
+    prof = build_profile(reg, gm_method="terciles")
+    corr = mi_ops.mutual_info(reg, prof.stats, prof.values).where(F.col("mi") > cutoff).select("target", "feature")
+    corr = corr.checkpoint(eager=True)            # at most (#columns)^2 rows
+    q = explode_targets(reg, "record_id", VARS, prof.summary).select("record_id", "var", "label_raw", "qid")
+    d = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed).where(F.size("choices") > 0)
+    d = d.withColumn("_u", u(seed, "pick", F.col("record_id"), F.col("var"))).select("record_id", "var", "qid", "label", "choices", "_u")
+    w = Window.partitionBy("record_id").orderBy("_u")          # one record's columns
+    first = d.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
+        "record_id", F.col("var").alias("var1"), F.col("qid").alias("qid1"), F.col("label").alias("label1"),
+        F.col("choices").alias("choices1"))
+    c2 = d.join(first.select("record_id", "var1"), "record_id").where(F.col("var") != F.col("var1"))
+    c2 = c2.join(F.broadcast(corr), (c2["var1"] == corr["target"]) & (c2["var"] == corr["feature"]), "left_anti")
+    second = c2.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
+        "record_id", F.col("var").alias("var2"), F.col("qid").alias("qid2"), F.col("label").alias("label2"),
+        F.col("choices").alias("choices2"))
+    feats = corr.groupBy("target").agg(F.collect_list("feature").alias("f"))     # per column: schema sized
+    f1 = F.broadcast(feats.select(F.col("target").alias("var1"), F.col("f").alias("f1")))
+    f2 = F.broadcast(feats.select(F.col("target").alias("var2"), F.col("f").alias("f2")))
+    qq = first.join(second, "record_id").join(f1, "var1", "left").join(f2, "var2", "left")
+    o1, i1 = shuffle_insert(F.col("choices1"), F.col("label1"), F.col("qid1"), seed)
+    o2, i2 = shuffle_insert(F.col("choices2"), F.col("label2"), F.col("qid2"), seed)
+    qq = qq.withColumn("choices_0", o1).withColumn("_i1", i1).withColumn("choices_1", o2).withColumn("_i2", i2)
+    qq = qq.join(reg, "record_id")
+    drop = F.concat(F.coalesce("f1", F.array().cast("array<string>")), F.coalesce("f2", F.array().cast("array<string>")))
+    text = serialize_sections(COL_DICT, targets_array(F.array("var1", "var2")), drop)
+    names = F.create_map(*[x for v, n, s in COL_DICT for x in (F.lit(v), F.lit(n))])
+    secs = F.create_map(*[x for v, n, s in COL_DICT for x in (F.lit(v), F.lit(s))])
+    qtext = lambda k, v: F.format_string(f"Q{k}. What would be the masked value of '%s' in section %s?",
+                                         F.element_at(names, F.col(v)), F.element_at(secs, F.col(v)))
+    msg = F.concat(text, F.lit("\n"), qtext(1, "var1"), F.lit("\n"), render_options(F.col("choices_0")),
+                   F.lit("\n"), qtext(2, "var2"), F.lit("\n"), render_options(F.col("choices_1")))
+    return qq.select("record_id", msg.alias("user_message"), F.expr("char(65 + _i1)").alias("label_0"),
+                     F.expr("char(65 + _i2)").alias("label_1"), "choices_0", "choices_1",
+                     F.array("var1", "var2").alias("victims"))
