@@ -27,7 +27,7 @@ def _value(c: str, target: Column | None, strip: bool) -> Column:
     v = F.trim(v) if strip else v
     if target is None:
         return v
-    hit = F.array_contains(target, F.lit(c)) if getattr(target, "_is_array", False) else (target == F.lit(c))
+    hit = F.array_contains(target, F.lit(c)) if vars(target).get("_is_array", False) else (target == F.lit(c))
     return F.when(F.coalesce(hit, F.lit(False)), F.lit(MASK)).otherwise(v)
 
 
