@@ -100,8 +100,9 @@ def vocab_table(values: DataFrame, stats: DataFrame) -> DataFrame:
          .join(F.broadcast(kept), "var")               # one row per column: schema sized
          .where(~F.col("is_numeric") | F.col("value").try_cast("double").isNull())
          .select("var", "value", "n"))
-    w = Window.partitionBy("var")
-    v = v.withColumn("weight", F.col("n") / F.sum("n").over(w))
+    # per-column totals: one row per column (broadcast), no per-column window task
+    tot = v.groupBy("var").agg(F.sum("n").alias("_tot"))
+    v = v.join(F.broadcast(tot), "var").withColumn("weight", F.col("n") / F.col("_tot")).drop("_tot")
     return group_cumsum(v, "var", "value", "n")
 
 

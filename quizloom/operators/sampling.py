@@ -40,7 +40,12 @@ def sample_groups(df: DataFrame, key: str, n: int, seed=42) -> DataFrame:
 
 
 def n_per_group(df: DataFrame, key: str, order_key: Column, n: int = 1) -> DataFrame:
-    """N rows per group by hash order."""
+    """N rows per group by hash order.  n = 1 is a ``min_by`` aggregate
+    (map-side combine, so a hot group never lands whole in one task)."""
+    if n == 1:
+        cols = [c for c in df.columns if c != key]
+        best = df.groupBy(key).agg(F.min_by(F.struct(*cols), order_key).alias("_b"))
+        return best.select(key, *[F.col("_b")[c].alias(c) for c in cols]).select(*df.columns)
     w = Window.partitionBy(key).orderBy(order_key)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
