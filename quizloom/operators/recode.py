@@ -151,3 +151,47 @@ def translate_if_script(df: DataFrame, col: str, dictionary: DataFrame, script_c
     j = df.join(d, df[col] == d["_src"], "left")
     hit = F.col(col).rlike(script_class) & F.col("_tgt").isNotNull()
     return j.withColumn(col, F.when(hit, F.col("_tgt")).otherwise(F.col(col))).drop("_src", "_tgt")
+
+
+# Units shown after a display name, and unit spellings rewritten.
+ACTIVE_UNITS = ["cm", "kg", "kg/m2", "mmHg", "/min", "℃", "mmol/L", "∙103/uL", "%", "/uL", "g/dL", "mg/dL", "U/L",
+                "INR", "mg/L", "ng/mL", "mcg/mL", "pg/mL", "103/uL", "mL", "Days", "Minutes"]
+UNIT_REWRITES = {"kg/m2": "kg/m^2", "∙103/uL": "10^3/uL", "103/uL": "10^3/uL"}
+
+
+def name_with_unit(name, unit) -> Column:
+    """``name (unit)`` when the unit is whitelisted (rewritten if listed), else the trimmed name."""
+    n, u_ = F.trim(_c(name)), _c(unit)
+    rew = F.create_map(*[x for k, v in UNIT_REWRITES.items() for x in (F.lit(k), F.lit(v))])
+    shown = F.coalesce(F.try_element_at(rew, u_), u_)
+    return F.when(u_.isin(*ACTIVE_UNITS), F.concat(n, F.lit(" ("), shown, F.lit(")"))).otherwise(n)
+
+
+def residual_recode(x, mapping: dict, aliases: dict | None = None) -> tuple[Column, Column]:
+    """Code -> label with the residual rules: a yes-type codebook maps 0 ->
+    "no" and 9 -> "NA" (anything else is bad: null + flag); otherwise aliases
+    (e.g. 11 -> 10) resolve first, 9 -> "NA", anything else null."""
+    m = F.create_map(*[y for k, v in mapping.items() for y in (F.lit(str(k)), F.lit(v))])
+    xs = F.trim(_c(x).cast("string"))
+    direct = F.try_element_at(m, xs)
+    if mapping.get(1) in ("yes", "Yes"):
+        res = F.when(direct.isNotNull(), direct).when(xs == "0", F.lit("no")).when(xs == "9", F.lit("NA"))
+        bad = direct.isNull() & ~xs.isin("0", "9")
+        return res, bad
+    al = F.create_map(*[y for k, v in (aliases or {}).items() for y in (F.lit(str(k)), F.lit(str(v)))])
+    via = F.try_element_at(m, F.try_element_at(al, xs))
+    res = F.when(direct.isNotNull(), direct).when(via.isNotNull(), via).when(xs == "9", F.lit("NA"))
+    return res, F.lit(False)
+
+
+def single_value_fill(df: DataFrame, col: str, pivot: str) -> DataFrame:
+    """A column with exactly one value besides "" and "NA" keeps it; other
+    rows become "" where the pivot column is "NA", else "No".  The one-value test
+    is one aggregate (A6) over the column."""
+    row = (df.where(F.col(col).isNotNull() & ~F.col(col).isin("", "NA"))
+           .agg(F.count_distinct(col).alias("nd"), F.min(col).alias("key")).first())   # one summary row
+    if row["nd"] != 1:
+        return df
+    key = row["key"]
+    return df.withColumn(col, F.when(F.col(col) == key, F.col(col)).when(F.col(pivot) == "NA", F.lit(""))
+                         .otherwise(F.lit("No")))

@@ -194,3 +194,35 @@ def script_translate(spark, sf):
     dic = (d.select(F.col("word").alias("source")).distinct().where(F.col("source").rlike(ACCENTED))
            .select("source", F.concat(F.lit("tr:"), F.lower("source")).alias("target")))
     return R.translate_if_script(d, "word", dic, ACCENTED)
+
+
+# Fixture codebooks of the residual recode.
+YES_CODES = {1: "Yes"}
+NUM_CODES = {1: "One", 2: "Two", 10: "Ten"}
+NUM_ALIASES = {11: 10}
+
+
+def residual_codes(spark, sf):
+    """Yes-type and numbered codebooks with the residual fallbacks."""
+    c = table(spark, sf, "customer").select("c_custkey", F.pmod("c_custkey", 12).cast("string").alias("code"))
+    ya, yb = R.residual_recode("code", YES_CODES)
+    na, _ = R.residual_recode("code", NUM_CODES, NUM_ALIASES)
+    return c.select("c_custkey", "code", ya.alias("yes_label"), yb.alias("bad"), na.alias("num_label"))
+
+
+def single_value(spark, sf):
+    """Single-valued daily column filled from its pivot column."""
+    reg = registry(spark, sf)
+    d = reg.select("record_id",
+                   F.when(F.col("status") == "F", F.lit("Yes"))
+                   .when(u("sv", F.col("record_id")) < 0.3, F.lit("NA")).otherwise(F.lit("")).alias("d1_icud1"),
+                   F.when(u("piv", F.col("record_id")) < 0.2, F.lit("NA")).otherwise(F.lit("Y")).alias("na_icud1"))
+    return R.single_value_fill(d, "d1_icud1", "na_icud1")
+
+
+def unit_names(spark, sf):
+    """Display names with whitelisted, rewritten units."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
+    unit = F.element_at(F.array(F.lit("kg"), F.lit("kg/m2"), F.lit("furlong"), F.lit("103/uL")),
+                        (F.pmod("p_size", 4) + 1).cast("int"))
+    return p.select("p_partkey", R.name_with_unit(F.concat(F.lit(" "), F.col("p_name")), unit).alias("display"))

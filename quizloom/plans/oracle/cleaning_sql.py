@@ -134,3 +134,18 @@ EDU_MERGE = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'None' WHEN c_
 
 SCRIPT_TRANSLATE = """WITH d AS (SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS word FROM documents)
 SELECT doc_id, CASE WHEN regexp_matches(word, '[À-ÿ]') THEN 'tr:' || lower(word) ELSE word END AS word FROM d"""
+
+
+RESIDUAL_CODES = """SELECT c_custkey, CAST(c_custkey % 12 AS VARCHAR) AS code,
+  CASE WHEN c_custkey % 12 = 1 THEN 'Yes' WHEN c_custkey % 12 = 0 THEN 'no' WHEN c_custkey % 12 = 9 THEN 'NA' END AS yes_label,
+  c_custkey % 12 NOT IN (0, 1, 9) AS bad,
+  CASE c_custkey % 12 WHEN 1 THEN 'One' WHEN 2 THEN 'Two' WHEN 10 THEN 'Ten' WHEN 11 THEN 'Ten' WHEN 9 THEN 'NA' END AS num_label
+FROM customer"""
+
+SINGLE_VALUE = H + f""", d AS (SELECT record_id,
+    CASE WHEN status = 'F' THEN 'Yes' WHEN {U('sv', 'record_id')} < 0.3 THEN 'NA' ELSE '' END AS d1_icud1,
+    CASE WHEN {U('piv', 'record_id')} < 0.2 THEN 'NA' ELSE 'Y' END AS na_icud1 FROM registry)
+SELECT record_id, CASE WHEN d1_icud1 = 'Yes' THEN d1_icud1 WHEN na_icud1 = 'NA' THEN '' ELSE 'No' END AS d1_icud1, na_icud1 FROM d"""
+
+UNIT_NAMES = """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN trim(p_name) || ' (kg)' WHEN 1 THEN trim(p_name) || ' (kg/m^2)'
+  WHEN 2 THEN trim(p_name) WHEN 3 THEN trim(p_name) || ' (10^3/uL)' END AS display FROM part"""
