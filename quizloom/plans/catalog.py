@@ -223,3 +223,4 @@ for _name in ["mv_reconcile", "edu_merge", "script_translate"]:
 register("mcq_multi", stats_sql.mcq_multi_sql(_mi.MI_CUTOFF))(lambda spark, sf: registry_qa.mcq_multi(spark, sf))
 for _name in ["residual_codes", "single_value", "unit_names"]:
     register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))
+register("metadata_override", _cbs.METADATA_OVERRIDE)(_cb.metadata_override)

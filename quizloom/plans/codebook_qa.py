@@ -45,3 +45,11 @@ def name_align(spark, sf):
     a = p.where("p_size < 25").select(F.col("p_brand").alias("name"))
     b = p.where("p_size >= 25").select(F.regexp_replace("p_brand", "Brand#", "brand-").alias("name"))
     return C.align_names(a, b, "name")
+
+
+def metadata_override(spark, sf, from_ord: int = 100):
+    """For codebook rows at or after ``from_ord`` the range text is taken
+    from the decision (coding) column."""
+    cb = codebook(spark, sf)
+    return cb.select("var", F.when(F.col("ord") >= from_ord, F.col("coding_text")).otherwise(F.col("range_text"))
+                     .alias("range_text"))

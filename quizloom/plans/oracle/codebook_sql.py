@@ -47,3 +47,6 @@ b AS (SELECT DISTINCT replace(p_brand, 'Brand#', 'brand-') AS name FROM part WHE
 oa AS (SELECT name, row_number() OVER (ORDER BY name) AS pos FROM a WHERE name NOT IN (SELECT name FROM b)),
 ob AS (SELECT name, row_number() OVER (ORDER BY name) AS pos FROM b WHERE name NOT IN (SELECT name FROM a))
 SELECT oa.name AS name_a, ob.name AS name_b FROM oa JOIN ob ON oa.pos = ob.pos"""
+
+METADATA_OVERRIDE = "WITH " + CB + """
+SELECT var, CASE WHEN ord >= 100 THEN coding_text ELSE range_text END AS range_text FROM cb"""
