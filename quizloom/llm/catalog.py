@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizloom.llm import substring_dedup
+from quizloom.llm import simhash_dedup, substring_dedup
 from quizloom.session import configure
 
 
@@ -16,6 +16,7 @@ def _query(fn):
 
 _OPS = [
     (substring_dedup.op4_substring_dedup, substring_dedup.OP4_SQL),
+    (simhash_dedup.op6_simhash_dedup, None),
 ]
 
 QUERIES = {fn.__name__: _query(fn) for fn, _ in _OPS}
