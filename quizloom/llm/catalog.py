@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizloom.llm import decontaminate, sentence_pieces, simhash_dedup, substring_dedup
+from quizloom.llm import decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup
 from quizloom.session import configure
 
 
@@ -17,6 +17,7 @@ def _query(fn):
 _OPS = [
     (sentence_pieces.op3_sentencepiece, None),
     (substring_dedup.op4_substring_dedup, substring_dedup.OP4_SQL),
+    (language_id.op5_language_id, None),
     (simhash_dedup.op6_simhash_dedup, None),
     (decontaminate.op9_benchmark_decontamination, decontaminate.OP9_SQL),
 ]
