@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizloom.llm import decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup
+from quizloom.llm import decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, warc_convert
 from quizloom.session import configure
 
 
@@ -19,6 +19,7 @@ _OPS = [
     (substring_dedup.op4_substring_dedup, substring_dedup.OP4_SQL),
     (language_id.op5_language_id, None),
     (simhash_dedup.op6_simhash_dedup, None),
+    (warc_convert.op7_warc_convert, warc_convert.OP7_SQL),
     (decontaminate.op9_benchmark_decontamination, decontaminate.OP9_SQL),
 ]
 

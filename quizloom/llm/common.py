@@ -56,12 +56,22 @@ def stored(df: DataFrame) -> DataFrame:
     when the driver's Python ends.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = scratch_folder(spark, "stored")
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    forget_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a new folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def forget_at_end(spark: SparkSession, path: str) -> None:
+    """Remove a folder when the driver's Python ends."""
+    atexit.register(_remove, spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)
