@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quizloom.llm import decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, warc_convert
+from quizloom.llm import chat_format, decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, warc_convert
 from quizloom.session import configure
 
 
@@ -20,6 +20,7 @@ _OPS = [
     (language_id.op5_language_id, None),
     (simhash_dedup.op6_simhash_dedup, None),
     (warc_convert.op7_warc_convert, warc_convert.OP7_SQL),
+    (chat_format.op8_chat_format, chat_format.OP8_SQL),
     (decontaminate.op9_benchmark_decontamination, decontaminate.OP9_SQL),
 ]
 
