@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from quizloom.llm import chat_format, decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, warc_convert
+from quizloom.llm import (
+    chat_format, decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, vector_dedup, warc_convert)
 from quizloom.session import configure
 
 
@@ -15,6 +16,7 @@ def _query(fn):
 
 
 _OPS = [
+    (vector_dedup.op1_embedding_dedup, None),
     (sentence_pieces.op3_sentencepiece, None),
     (substring_dedup.op4_substring_dedup, substring_dedup.OP4_SQL),
     (language_id.op5_language_id, None),
