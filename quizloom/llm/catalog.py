@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from quizloom.llm import (
-    chat_format, decontaminate, language_id, sentence_pieces, simhash_dedup, substring_dedup, vector_dedup, warc_convert)
+    chat_format, decontaminate, language_id, license_scan, page_text, sentence_pieces, simhash_dedup, substring_dedup,
+    vector_dedup, warc_convert)
 from quizloom.session import configure
 
 
@@ -17,6 +18,7 @@ def _query(fn):
 
 _OPS = [
     (vector_dedup.op1_embedding_dedup, None),
+    (license_scan.op2_license_scan, None),
     (sentence_pieces.op3_sentencepiece, None),
     (substring_dedup.op4_substring_dedup, substring_dedup.OP4_SQL),
     (language_id.op5_language_id, None),
@@ -24,6 +26,7 @@ _OPS = [
     (warc_convert.op7_warc_convert, warc_convert.OP7_SQL),
     (chat_format.op8_chat_format, chat_format.OP8_SQL),
     (decontaminate.op9_benchmark_decontamination, decontaminate.OP9_SQL),
+    (page_text.op10_html_text, None),
 ]
 
 QUERIES = {fn.__name__: _query(fn) for fn, _ in _OPS}
