@@ -1,7 +1,7 @@
 """Codebook parsing and layout operators.
 
-A codebook is (sheet, ord, var, heading, range_text, coding_text).  Windows are
-partitioned by sheet, never over the whole codebook in one task.
+A codebook is (sheet, ord, var, heading, range_text, coding_text).  Codes are read inside
+their own row; windows are partitioned by sheet, never over the whole codebook in one task.
 """
 
 from __future__ import annotations
@@ -9,54 +9,77 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BRACKET = r"^\[(\d+)\]\s*(.*)$"
-EQUALS = r"^(\d+)\s*=\s*(.*)$"
+# The forms of a coding line.
+SINGLE = r"\[(\d)\] (.*)"
+BRACKET = r"\[([A-Z0-9]+)\](.*)"
+EQUALS = r"(\d+)\s?=\s?(.*)"
 # Separators tried in order for comma-list codings.
 LIST_SEPARATORS = ["=", ".", "-"]
 
 
-def parse_ranges(cb: DataFrame) -> DataFrame:
-    """``[k]label`` / ``k = label`` lines -> (var, code, label).
+def _translated(label, words: dict | None):
+    """The label's entry in a translation table, or the label."""
+    if not words:
+        return label
+    table = F.create_map(*[x for k, v in words.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(table, label), label)
 
-    A single ``[k] text`` line means {k: Yes, 0: No}; the first line may be a
-    title; any later line matching neither form voids the whole variable.
+
+def _code(text):
+    """Digits as a number's text (``01`` is 1), other codes as they are."""
+    return F.when(text.rlike(r"^\d+$"), text.cast("decimal(38,0)").cast("string")).otherwise(text)
+
+
+def _last_wins(entries):
+    """Of entries with one code the last."""
+    return F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda f: f["code"] == e["code"]))
+
+
+def parse_ranges(cb: DataFrame, words: dict | None = None) -> DataFrame:
+    """``[k]label`` / ``k = label`` lines -> (var, code, label), labels translated by ``words``.
+
+    A text of one line is only read as ``[k] text`` and means {k: Yes, 0: No}.  Of several
+    lines the first may be a title; a later one that begins like a code (``[`` or a digit)
+    and isn't one voids the variable, and lines that begin otherwise are passed over.
     """
-    lines = cb.select("var", F.posexplode(F.split("range_text", "\n")).alias("pos", "line"))
-    lines = lines.where(F.trim("line") != "")
-    b_code, b_lab = F.regexp_extract("line", BRACKET, 1), F.regexp_extract("line", BRACKET, 2)
-    e_code, e_lab = F.regexp_extract("line", EQUALS, 1), F.regexp_extract("line", EQUALS, 2)
-    is_b, is_e = F.col("line").rlike(BRACKET), F.col("line").rlike(EQUALS)
-    p = lines.select("var", "pos", is_b.alias("is_b"),
-                     F.when(is_b, b_code).when(is_e, e_code).alias("code"),
-                     F.when(is_b, F.trim(b_lab)).when(is_e, F.trim(e_lab)).alias("label"))
-    w = Window.partitionBy("var")            # one variable's lines: bounded by its range text
-    p = (p.withColumn("_bad", F.max(F.when(F.col("code").isNull() & (F.col("pos") > 0), 1).otherwise(0)).over(w))
-         .withColumn("_n", F.count("code").over(w))
-         .withColumn("_nb", F.sum(F.col("is_b").cast("int")).over(w)))
-    p = p.where((F.col("_bad") == 0) & F.col("code").isNotNull())
-    single = (F.col("_n") == 1) & (F.col("_nb") == 1)
-    yes = p.where(single).select("var", "code", F.lit("Yes").alias("label"))
-    no = p.where(single).select("var", F.lit("0").alias("code"), F.lit("No").alias("label"))
-    multi = p.where(~single).select("var", "code", "label")
-    return multi.unionByName(yes).unionByName(no)
-
-
-def parse_coding_list(cb: DataFrame) -> DataFrame:
-    """``1=A,2=B`` -> codes, trying ``=`` then ``.`` then ``-`` as the
-    separator for all parts; none fits -> no codes."""
+    lines = F.split("range_text", "\n")
+
+    def entry(line, i):
+        is_b, is_e = line.startswith("["), line.rlike(r"^\d")
+        b, e = is_b & line.rlike(BRACKET), is_e & line.rlike(EQUALS)
+        code = F.when(b, F.regexp_extract(line, BRACKET, 1)).when(e, F.regexp_extract(line, EQUALS, 1))
+        label = F.when(b, F.regexp_extract(line, BRACKET, 2)).when(e, F.regexp_extract(line, EQUALS, 2))
+        return F.struct(_code(code).alias("code"), _translated(F.trim(label), words).alias("label"),
+                        ((is_b | is_e) & code.isNull() & (i > 0)).alias("bad"))
+
+    k = F.regexp_extract("range_text", SINGLE, 1)
+    pair = lambda c, x: F.struct(c.alias("code"), F.lit(x).alias("label"))
+    single = F.when(k == "", F.array().cast("array<struct<code:string,label:string>>")).when(
+        k == "0", F.array(pair(F.lit("0"), "No"))).otherwise(F.array(pair(k, "Yes"), pair(F.lit("0"), "No")))
+    p = cb.select("var", "range_text", F.transform(lines, entry).alias("p"))
+    good = F.transform(F.filter("p", lambda e: e["code"].isNotNull()), lambda e: F.struct(e["code"].alias("code"), e["label"].alias("label")))
+    several = F.when(~F.exists("p", lambda e: e["bad"]), good)
+    p = p.select("var", F.when(F.instr("range_text", "\n") > 0, several).otherwise(single).alias("e"))
+    return p.select("var", F.explode(_last_wins(F.col("e"))).alias("e")).select("var", "e.code", "e.label")
+
+
+def parse_coding_list(cb: DataFrame, overrides: dict[str, dict] | None = None, words: dict | None = None) -> DataFrame:
+    """``1=A,2=B`` -> codes.  The text needs a comma; of ``=``, ``.`` and ``-`` the first that cuts
+    every part in exactly two is the separator; none does -> no codes.  ``overrides`` gives the
+    codes of whole texts by hand, ``words`` translates labels."""
     parts = F.split("coding_text", ",")
-    sep = None
-    def has(sep_):
-        return lambda x: F.instr(x, sep_) > 0
-
-    for s in reversed(LIST_SEPARATORS):
-        fits = F.forall(parts, has(s))
-        sep = F.when(fits, F.lit(s)) if sep is None else F.when(fits, F.lit(s)).otherwise(sep)
-    c = cb.select("var", parts.alias("parts"), sep.alias("sep")).where(F.col("sep").isNotNull())
-    e = c.select("var", "sep", F.explode("parts").alias("p"))
-    pos = F.instr(F.col("p"), F.col("sep"))
-    return e.select("var", F.trim(F.expr("substring(p, 1, instr(p, sep) - 1)")).alias("code"),
-                    F.trim(F.expr("substring(p, instr(p, sep) + 1)")).alias("label")).where(pos.isNotNull())
+    cut = lambda s: F.transform(parts, lambda x: F.split(x, F.lit("\\Q" + s + "\\E")))
+    chosen = None
+    for s in LIST_SEPARATORS:
+        fits = F.forall(cut(s), lambda x: F.size(x) == 2)
+        chosen = F.when(fits, cut(s)) if chosen is None else chosen.when(fits, cut(s))
+    entries = F.transform(F.when(F.instr("coding_text", ",") > 0, chosen), lambda x: F.struct(
+        _code(F.trim(x[0])).alias("code"), F.trim(_translated(x[1], words)).alias("label")))
+    for text, codes in (overrides or {}).items():
+        own = F.array(*[F.struct(F.lit(str(k)).alias("code"), F.lit(v).alias("label")) for k, v in codes.items()])
+        entries = F.when(F.col("coding_text") == text, own).otherwise(entries)
+    e = cb.select("var", entries.alias("e"))
+    return e.select("var", F.explode(_last_wins(F.col("e"))).alias("e")).select("var", "e.code", "e.label")
 
 
 def header_ffill(cb: DataFrame) -> DataFrame:

@@ -37,14 +37,6 @@ def spark_u_sql(seed, tag: str, *parts: str) -> str:
     return f"((CAST(CAST(conv(substr(md5({key}), 1, 13), 16, 10) AS BIGINT) AS DOUBLE) + 0.5D) / 4503599627370496.0D)"
 
 
-def maybe_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` only after checking its row count (an action on a small,
-    already materialised profile table); otherwise leave the join to a shuffle."""
-    if max_rows and df.count() <= max_rows:
-        return F.broadcast(df)
-    return df
-
-
 def lookup_table(vocab: DataFrame, all_vocab: DataFrame) -> DataFrame:
     """(var, value, idx, lo, n): ALL_VOCAB index plus VOCAB cumulative interval."""
     return all_vocab.select("var", "value", "idx").join(
@@ -69,13 +61,14 @@ def vocab_blocks(lookup: DataFrame, prof: DataFrame) -> DataFrame:
 
 
 def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: DataFrame, all_vocab: DataFrame,
-                       seed: int = 42, n_choices: int = N_CHOICES, difficulty: float = DIFFICULTY,
-                       broadcast_rows: int = 2_000_000) -> DataFrame:
+                       seed: int = 42, n_choices: int = N_CHOICES, difficulty: float = DIFFICULTY) -> DataFrame:
     """Add ``label`` (canonical text) and ``choices`` (sorted distractors) to ``q``.
 
     ``q`` needs ``qid`` (unique text key), ``var`` and ``label_raw``.  ``prof``,
     ``gm`` are one row per column (broadcast: schema sized); ``vocab`` and
-    ``all_vocab`` are the long profile tables (joined, not broadcast blindly).
+    ``all_vocab`` are the long profile tables, stored as Parquet: Spark picks each join
+    by their real size.  The label is found in them by its raw text, since "3" is
+    canonically "3.0" but stands as "3" in the vocabulary.
     """
     lk = lookup_table(vocab, all_vocab)
     pc = prof.select("var", "float_ratio", "n_vocab", "vocab_total", "n_all", "drop_negative", "round_int",
@@ -84,9 +77,9 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
     base = (q.withColumn("label_c", canonical_float("label_raw"))
             .withColumn("label_d", F.col("label_raw").try_cast("double"))
             .join(F.broadcast(pc), "var"))
-    lab = maybe_broadcast(lk.select("var", F.col("value").alias("label_c"), F.col("idx").alias("lab_idx"),
-                                    F.col("lo").alias("lab_lo"), F.col("n").alias("lab_n")), broadcast_rows)
-    base = base.join(lab, ["var", "label_c"], "left")
+    lab = lk.select("var", F.col("value").alias("label_raw"), F.col("idx").alias("lab_idx"),
+                    F.col("lo").alias("lab_lo"), F.col("n").alias("lab_n"))
+    base = base.join(lab, ["var", "label_raw"], "left")
 
     nm1 = n_choices - 1
     binom = "(" + " + ".join(
@@ -112,7 +105,7 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
     )
     base = base.withColumn("_excl", F.col("_excl").cast("array<struct<lo:bigint,n:bigint>>"))
 
-    blocks = maybe_broadcast(vocab_blocks(lk, prof), broadcast_rows)
+    blocks = vocab_blocks(lk, prof)
     # A row that is not drawing in round j gets a negative, salted block key:
     # it matches nothing and spreads over partitions instead of piling on null.
     salt = F.pmod(F.xxhash64("qid"), F.lit(1 << 20)).cast("long")
@@ -166,8 +159,7 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
             f"(a, e) -> CASE WHEN e <= a THEN a + 1 ELSE a END))))")
     cur = cur.selectExpr("*", f"CASE WHEN _kfb > 0 THEN {draw} ELSE CAST(array() AS array<bigint>) END AS _fb_idx")
 
-    av = maybe_broadcast(all_vocab.select(F.col("var").alias("a_var"), F.col("idx").alias("a_idx"),
-                                          F.col("value").alias("a_value")), broadcast_rows)
+    av = all_vocab.select(F.col("var").alias("a_var"), F.col("idx").alias("a_idx"), F.col("value").alias("a_value"))
     fb_vals = []
     for j in range(nm1):
         key = F.when(F.size("_fb_idx") > j, F.col("_fb_idx")[j]).otherwise(-1 - salt)

@@ -7,7 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Token pattern of the default (regex) tokenizer.
-TOKEN_PATTERN = r"\w+|[^\w\s]"
+TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\x0B\f\r]"
 # Delimiters of the answer cut, in the reference's order.
 CUT_DELIMITERS = ["Q:", "\n\n", "</s>", "."]
 # Separator written between note parts.
@@ -48,9 +48,11 @@ def replace_all(text, names) -> Column:
 
 
 def redact_captured(text, pattern: str, group: int = 1) -> Column:
-    """Names captured by ``pattern`` are replaced everywhere in the text."""
-    names = F.filter(F.regexp_extract_all(_c(text), F.lit(pattern), group), lambda n: n != F.lit(""))
-    return replace_all(text, names)
+    """Names captured by ``pattern`` are replaced everywhere in the text, each once and the
+    longest first, so that no name leaves a piece of a longer one."""
+    names = F.filter(F.array_distinct(F.regexp_extract_all(_c(text), F.lit(pattern), group)), lambda n: n != F.lit(""))
+    keyed = F.array_sort(F.transform(names, lambda n: F.struct((-F.length(n)).alias("k"), n.alias("n"))))
+    return replace_all(text, F.transform(keyed, lambda x: x["n"]))
 
 
 def parse_name_list(list_text) -> Column:

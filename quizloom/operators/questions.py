@@ -45,36 +45,25 @@ def assemble(q: DataFrame, text: Column, col_dict, seed: int = 42, sectioned: bo
     """
     names = F.create_map(*[x for v, n, s in col_dict for x in (F.lit(v), F.lit(n))])
     secs = F.create_map(*[x for v, n, s in col_dict for x in (F.lit(v), F.lit(s))])
-    # at most n-1 choices: build (hash key, value) pairs element-wise and sort natively
-    n_max = 8
-    pairs = [F.when(F.size("choices") > i, F.struct(u(seed, "shuffle", F.col("qid"), F.col("choices")[i]).alias("k"),
-                                                    F.col("choices")[i].alias("v"))) for i in range(n_max)]
-    shuf = F.sort_array(F.array_compact(F.array(*pairs)))["v"]
-    pos = F.floor(u(seed, "pos", F.col("qid")) * (F.size("choices") + 1)).cast("int")
-    q = q.withColumn("_sh", shuf).withColumn("label_idx", pos)
-    q = q.withColumn("options", F.expr("array_insert(_sh, label_idx + 1, label)"))
+    options, pos = shuffle_insert(F.col("choices"), F.col("label"), F.col("qid"), seed)
+    q = q.withColumn("options", options).withColumn("label_idx", pos)
     if sectioned:
         question = F.format_string(QUESTION_SECTIONED.replace("{}", "%s"), F.lit(str(q_index)),
                                    F.element_at(names, F.col("var")), F.element_at(secs, F.col("var")))
     else:
         question = F.format_string(QUESTION_FLAT.replace("{}", "%s"), F.lit(str(q_index)),
                                    F.element_at(names, F.col("var")))
-    opts = F.concat_ws("\n", *[F.concat(F.lit(chr(65 + i) + ". "), F.try_element_at("options", F.lit(i + 1)))
-                               for i in range(n_max + 1)])
     return (q.withColumn("label_0", F.expr("char(65 + label_idx)"))
-            .withColumn("user_message", F.concat(text, F.lit("\n"), question, F.lit("\n"), opts))
-            .drop("_sh"))
+            .withColumn("user_message", F.concat(text, F.lit("\n"), question, F.lit("\n"), render_options(F.col("options")))))
 
 
-def shuffle_insert(choices: Column, label: Column, qid: Column, seed: int = 42, n_max: int = 8):
-    """(options, label_idx): distractors in hash order, label at a hash position."""
-    pairs = [F.when(F.size(choices) > i, F.struct(u(seed, "shuffle", qid, choices[i]).alias("k"), choices[i].alias("v")))
-             for i in range(n_max)]
-    sh = F.sort_array(F.array_compact(F.array(*pairs)))["v"]
+def shuffle_insert(choices: Column, label: Column, qid: Column, seed: int = 42):
+    """(options, label_idx): all distractors in hash order, label at a hash position."""
+    sh = F.sort_array(F.transform(choices, lambda c: F.struct(u(seed, "shuffle", qid, c).alias("k"), c.alias("v"))))["v"]
     pos = F.floor(u(seed, "pos", qid) * (F.size(choices) + 1)).cast("int")
     return F.array_insert(sh, pos + 1, label), pos
 
 
-def render_options(options: Column, n_max: int = 9) -> Column:
-    return F.concat_ws("\n", *[F.concat(F.lit(chr(65 + i) + ". "), F.try_element_at(options, F.lit(i + 1)))
-                               for i in range(n_max)])
+def render_options(options: Column, sep: str = "\n") -> Column:
+    """All options, lettered."""
+    return F.array_join(F.transform(options, lambda o, i: F.concat(F.chr(F.lit(65) + i), F.lit(". "), o)), sep)

@@ -32,21 +32,25 @@ def drop_by_rule(df: DataFrame, contains=(), prefixes=(), regex: str | None = No
 
 
 def recode_long(long: DataFrame, codes: DataFrame) -> DataFrame:
-    """(var, code) -> label via a broadcast code table (column-count sized); unmapped values kept."""
+    """(var, code) -> label; unmapped values kept.  The join follows the code table's size."""
     c = codes.select("var", F.col("code").alias("value"), "label")
-    return long.join(F.broadcast(c), ["var", "value"], "left").withColumn(
+    return long.join(c, ["var", "value"], "left").withColumn(
         "value", F.coalesce("label", "value")).drop("label")
 
 
 def multi_code(v, mapping: dict) -> tuple[Column, Column]:
-    """P10: ``"3,1"`` -> sorted codes mapped and joined by ", "; trailing comma
-    stripped.  Returns (mapped, unknown): an unknown code yields null and
-    unknown = true (quarantine instead of failing the job)."""
+    """P10: every trailing comma is stripped, then the whole value decides: blank -> null, "NA"
+    stays, a code -> its label, ``"3,1"`` -> sorted codes mapped and joined by ", ", "No" stays.
+    Returns (mapped, unknown): anything else yields null and unknown = true (quarantine
+    instead of failing the job)."""
     m = F.create_map(*[x for k, lab in mapping.items() for x in (F.lit(str(k)), F.lit(lab))])
-    parts = F.array_sort(F.split(F.regexp_replace(_c(v), ",$", ""), ","))
-    mapped = F.transform(parts, lambda p: F.try_element_at(m, F.trim(p)))
-    unknown = F.exists(mapped, lambda x: x.isNull())
-    return F.when(~unknown, F.array_join(mapped, ", ")), unknown
+    s = F.regexp_replace(_c(v).cast("string"), ",+$", "")
+    parts = F.transform(F.array_sort(F.split(s, ",")), lambda p: F.try_element_at(m, F.trim(p)))
+    several = s.contains(",") & ~F.exists(parts, lambda x: x.isNull())
+    one = F.try_element_at(m, s)
+    mapped = (F.when(s == "", F.lit(None)).when(s == "NA", s).when(one.isNotNull(), one)
+              .when(several, F.array_join(parts, ", ")).when(s == "No", s))
+    return mapped, F.coalesce(mapped.isNull() & (s != ""), F.lit(False))
 
 
 def sentinel_na(v, sentinels=(999, 9999)) -> Column:
@@ -112,12 +116,9 @@ def days_to_years(days) -> Column:
 def case_collisions(df: DataFrame, col: str) -> DataFrame:
     """Lower-case values of ``col`` whose lower-case form has more than one spelling.
 
-    The collision table has one row per distinct lower-case value and joins
-    back by broadcast only when its size is checked small."""
-    from quizloom.operators.distractors import maybe_broadcast
+    The collision table has one row per colliding value; the join follows its size."""
     g = (df.where(F.col(col).isNotNull()).groupBy(F.lower(col).alias("_lk"))
          .agg(F.count_distinct(col).alias("_nd")).where("_nd > 1").select("_lk"))
-    g = maybe_broadcast(g, 1_000_000)
     j = df.join(g, F.lower(df[col]) == g["_lk"], "left")
     return j.withColumn(col, F.when(F.col("_lk").isNotNull(), F.lower(col)).otherwise(F.col(col))).drop("_lk")
 
@@ -128,9 +129,16 @@ def ordinal_code(c, order: list[str]) -> Column:
     return F.coalesce(F.try_element_at(m, _c(c)), F.lit(-1))
 
 
-def reconcile_ranges(a, b, range_a=(1, 2), range_b=(3, 4)) -> Column:
-    """Two mutually exclusive code ranges -> one code (first match wins)."""
-    return F.when(_c(a).isin(*range_a), _c(a)).when(_c(b).isin(*range_b), _c(b))
+def reconcile_ranges(a, b, range_a=("1", "2"), range_b=("3", "4")) -> tuple[Column, Column]:
+    """(a, b) whose codes belong to two exclusive ranges: a code in the wrong column moves
+    to the right one and the other becomes "NA" (a is looked at first); no code: unchanged."""
+    a, b, na = _c(a).cast("string"), _c(b).cast("string"), F.lit("NA")
+    cases = [(a.isin(*range_b), na, a), (a.isin(*range_a), a, na), (b.isin(*range_b), na, b), (b.isin(*range_a), b, na)]
+    left, right = None, None
+    for is_it, x, y in cases:
+        left = F.when(is_it, x) if left is None else left.when(is_it, x)
+        right = F.when(is_it, y) if right is None else right.when(is_it, y)
+    return left.otherwise(a), right.otherwise(b)
 
 
 def merge_ordinal(a, b, table: dict) -> Column:
@@ -145,9 +153,8 @@ def merge_ordinal(a, b, table: dict) -> Column:
 
 def translate_if_script(df: DataFrame, col: str, dictionary: DataFrame, script_class: str) -> DataFrame:
     """P24 + S3 + J6: values containing the script are replaced whole by their
-    dictionary entry (size-checked broadcast join); others are kept."""
-    from quizloom.operators.distractors import maybe_broadcast
-    d = maybe_broadcast(dictionary.select(F.col("source").alias("_src"), F.col("target").alias("_tgt")), 2_000_000)
+    dictionary entry; others are kept and don't take part in the join's key."""
+    d = dictionary.select(F.col("source").alias("_src"), F.col("target").alias("_tgt"))
     j = df.join(d, df[col] == d["_src"], "left")
     hit = F.col(col).rlike(script_class) & F.col("_tgt").isNotNull()
     return j.withColumn(col, F.when(hit, F.col("_tgt")).otherwise(F.col(col))).drop("_src", "_tgt")

@@ -62,15 +62,18 @@ def weighted_keys(weight: Column, uni: Column) -> Column:
     return -F.log(uni) / weight
 
 
-def global_position(df: DataFrame, order_cols: list[str], buckets: int = 64) -> DataFrame:
+def global_position(df: DataFrame, order_cols: list[str]) -> DataFrame:
     """W9 helper: 0-based position in a global order without a single-task window.
 
-    Rows are range-partitioned by the order, numbered within each partition,
-    and partition offsets come from a (#partitions)-row table.
+    Rows are range-partitioned by the order and numbered within each partition.  The
+    numbered rows are written once and both the offsets and the result read that table:
+    range boundaries are sampled, so two exchanges of the same rows need not agree.
     """
+    from quizloom.sources.files import stored
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     p = df.repartitionByRange(buckets, *order_cols).withColumn("_pid", F.spark_partition_id())
     w = Window.partitionBy("_pid").orderBy(*order_cols)
-    p = p.withColumn("_rn", F.row_number().over(w) - 1)
+    p = stored(p.withColumn("_rn", F.row_number().over(w) - 1), "positions")
     cnt = p.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c"))
     off = cnt.withColumn("_off", F.coalesce(F.sum("_c").over(Window.orderBy("_pid").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")

@@ -30,13 +30,15 @@ def unpivot(spark, sf):
 def recode_codes(spark, sf):
     """Codebook recode in long form."""
     codes = spark.createDataFrame(STATUS_CODES, "var string, code string, label string")
-    return R.recode_long(unpivot_long(registry(spark, sf), "record_id", ["status", "priority"]), codes)
+    return R.recode_long(unpivot_long(registry(spark, sf), "record_id", VARS), codes)
 
 
 def _mc_raw():
-    rid = F.col("record_id")
-    base = F.concat_ws(",", (F.pmod(rid, 4) + 1).cast("string"), (F.pmod(F.floor(rid / 4), 4) + 1).cast("string"))
-    return F.when(F.pmod(rid, 5) == 0, F.concat(base, F.lit(","))).otherwise(base)
+    """Multi-code text from the record's own columns; every branch of P10 has rows."""
+    n, p = F.col("line_count"), F.col("priority")
+    return (F.when(p == "1-URGENT", F.concat_ws(",", n, F.substring(p, 1, 1))).when(p == "2-HIGH", F.concat(n, F.lit(",,")))
+            .when(p == "3-MEDIUM", n).when(F.col("status") == "F", F.lit("No")).when(F.col("status") == "O", F.lit("NA,"))
+            .otherwise(F.lit("")))
 
 
 def multi_code(spark, sf):
@@ -176,9 +178,9 @@ ACCENTED = "[À-ÿ]"
 
 def mv_reconcile(spark, sf):
     """P17."""
-    o = table(spark, sf, "orders").select("o_orderkey")
-    a, b = F.pmod(F.col("o_orderkey"), 5), F.pmod(F.floor(F.col("o_orderkey") / 5), 5)
-    return o.select("o_orderkey", R.reconcile_ranges(a, b).cast("int").alias("mv"))
+    reg = registry(spark, sf).select("record_id", F.col("line_count").alias("a"), F.substring("priority", 1, 1).alias("b"))
+    x, y = R.reconcile_ranges("a", "b")
+    return reg.select("record_id", "a", "b", x.alias("mv_a"), y.alias("mv_b"))
 
 
 def edu_merge(spark, sf):
@@ -188,12 +190,12 @@ def edu_merge(spark, sf):
 
 
 def script_translate(spark, sf):
-    """P24 + S3 + J6: first word of each document, translated through a
-    dictionary derived from the data when it contains an accented letter."""
-    d = table(spark, sf, "documents").select("doc_id", F.regexp_extract("text", r"^(\S+)", 1).alias("word"))
-    dic = (d.select(F.col("word").alias("source")).distinct().where(F.col("source").rlike(ACCENTED))
+    """P24 + S3 + J6: every line of each document, translated through a dictionary
+    derived from the data when it contains an accented letter."""
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    dic = (d.select(F.col("line").alias("source")).distinct().where(F.col("source").rlike(ACCENTED))
            .select("source", F.concat(F.lit("tr:"), F.lower("source")).alias("target")))
-    return R.translate_if_script(d, "word", dic, ACCENTED)
+    return R.translate_if_script(d, "line", dic, ACCENTED)
 
 
 # Fixture codebooks of the residual recode.
@@ -204,7 +206,7 @@ NUM_ALIASES = {11: 10}
 
 def residual_codes(spark, sf):
     """Yes-type and numbered codebooks with the residual fallbacks."""
-    c = table(spark, sf, "customer").select("c_custkey", F.pmod("c_custkey", 12).cast("string").alias("code"))
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code"))
     ya, yb = R.residual_recode("code", YES_CODES)
     na, _ = R.residual_recode("code", NUM_CODES, NUM_ALIASES)
     return c.select("c_custkey", "code", ya.alias("yes_label"), yb.alias("bad"), na.alias("num_label"))

@@ -13,12 +13,14 @@ def codebook(spark, sf):
     k = F.col("p_partkey")
     rng = (F.when(F.pmod(F.col("p_size"), 4) == 0, F.concat(F.lit("[1]"), F.col("p_type"), F.lit("\n[2]"), F.col("p_name")))
            .when(F.pmod(F.col("p_size"), 4) == 1, F.concat(F.lit("Codes\n1 = "), F.col("p_type"), F.lit("\n2 = "), F.col("p_name")))
-           .when(F.pmod(F.col("p_size"), 4) == 2, F.concat(F.lit("[1] "), F.col("p_name")))
-           .otherwise(F.concat(F.lit("[1]"), F.col("p_type"), F.lit("\nbad line"))))
+           .when(F.pmod(F.col("p_size"), 4) == 2, F.when(F.pmod(k, 2) == 0, F.concat(F.lit("[1] "), F.col("p_name")))
+                 .otherwise(F.concat(F.lit("1 = "), F.col("p_name"))))
+           .otherwise(F.concat(F.when(F.pmod(k, 2) == 0, F.lit("Title\n[A]")).otherwise(F.lit("[01]")), F.col("p_type"),
+                               F.lit("\npassed over"), F.when(F.pmod(k, 3) == 0, F.lit("\n[x] void")).otherwise(F.lit("\n[2] two\n[2] last")))))
     coding = (F.when(F.pmod(k, 4) == 0, F.concat(F.lit("1="), F.col("p_type"), F.lit(",2="), F.col("p_brand")))
               .when(F.pmod(k, 4) == 1, F.concat(F.lit("1."), F.col("p_type"), F.lit(",2."), F.col("p_name")))
-              .when(F.pmod(k, 4) == 2, F.concat(F.lit("1-"), F.col("p_type"), F.lit(",2-x")))
-              .otherwise(F.col("p_name")))
+              .when(F.pmod(k, 4) == 2, F.concat(F.lit("1-"), F.col("p_type"), F.lit(",02-x")))
+              .otherwise(F.when(F.col("p_size") > 25, F.concat(F.lit("1=x=y,2="), F.col("p_type"))).otherwise(F.col("p_name"))))
     return p.select(F.col("p_brand").alias("sheet"), k.alias("ord"), F.concat(F.lit("v"), k.cast("string")).alias("var"),
                     F.when(F.pmod(k, 7) == 0, F.concat(F.lit("Section "), F.col("p_type"))).alias("heading"),
                     rng.alias("range_text"), coding.alias("coding_text"))

@@ -17,17 +17,19 @@ REGISTRY_VIEW = H + "\nSELECT record_id, " + ", ".join(VARS) + ", 'valid' AS spl
 
 UNPIVOT = H + ",\n" + long_sql() + "\nSELECT record_id, var, value FROM long"
 
-RECODE_CODES = H + ",\n" + long_sql(["status", "priority"]) + """,
+RECODE_CODES = H + ",\n" + long_sql() + """,
 codes(var, code, label) AS (VALUES ('status', 'F', 'Finished'), ('status', 'O', 'Open'), ('status', 'P', 'Pending'))
 SELECT l.record_id, l.var, coalesce(c.label, l.value) AS value FROM long l LEFT JOIN codes c ON l.var = c.var AND l.value = c.code"""
 
-_MC = ("CASE WHEN record_id % 5 = 0 THEN concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(CAST(floor(record_id / 4) AS BIGINT) % 4 + 1 AS VARCHAR)) || ',' "
-       "ELSE concat_ws(',', CAST(record_id % 4 + 1 AS VARCHAR), CAST(CAST(floor(record_id / 4) AS BIGINT) % 4 + 1 AS VARCHAR)) END")
+_MC = ("CASE WHEN priority = '1-URGENT' THEN concat_ws(',', line_count, substr(priority, 1, 1)) WHEN priority = '2-HIGH' THEN line_count || ',,' "
+       "WHEN priority = '3-MEDIUM' THEN line_count WHEN status = 'F' THEN 'No' WHEN status = 'O' THEN 'NA,' ELSE '' END")
 MULTI_CODE = H + f""", m AS (SELECT record_id, {_MC} AS raw FROM registry),
-p AS (SELECT record_id, raw, list_transform(list_sort(string_split(regexp_replace(raw, ',$', ''), ',')),
-    lambda c: CASE trim(c) WHEN '1' THEN 'Alpha' WHEN '2' THEN 'Beta' WHEN '3' THEN 'Gamma' END) AS mp FROM m)
-SELECT record_id, raw, CASE WHEN list_bool_or(list_transform(mp, lambda x: x IS NULL)) THEN NULL ELSE array_to_string(mp, ', ') END AS mapped,
-  list_bool_or(list_transform(mp, lambda x: x IS NULL)) AS unknown FROM p"""
+s AS (SELECT record_id, raw, regexp_replace(raw, ',+$', '') AS s FROM m),
+p AS (SELECT *, list_transform(list_sort(string_split(s, ',')),
+    lambda c: CASE trim(c) WHEN '1' THEN 'Alpha' WHEN '2' THEN 'Beta' WHEN '3' THEN 'Gamma' END) AS mp FROM s),
+r AS (SELECT record_id, raw, s, CASE WHEN s = '' THEN NULL WHEN s IN ('NA', 'No') THEN s
+    WHEN list_bool_or(list_transform(mp, lambda x: x IS NULL)) THEN NULL ELSE array_to_string(mp, ', ') END AS mapped FROM p)
+SELECT record_id, raw, mapped, coalesce(mapped IS NULL AND s <> '', false) AS unknown FROM r"""
 
 _SRAW = (f"CASE WHEN {U('sent', 'record_id')} < 0.05 THEN '999' WHEN {U('sent', 'record_id')} < 0.08 THEN '9999.0' "
          f"WHEN {U('sent', 'record_id')} < 0.1 THEN ' ' ELSE line_count END")
@@ -125,21 +127,23 @@ def _flat():
 SERIALIZE_FLAT = H + f"\nSELECT record_id, {_flat()} AS text FROM registry"
 
 
-MV_RECONCILE = """SELECT o_orderkey, CAST(CASE WHEN o_orderkey % 5 IN (1, 2) THEN o_orderkey % 5
-  WHEN CAST(floor(o_orderkey / 5) AS BIGINT) % 5 IN (3, 4) THEN CAST(floor(o_orderkey / 5) AS BIGINT) % 5 END AS INTEGER) AS mv FROM orders"""
+MV_RECONCILE = H + """, m AS (SELECT record_id, line_count AS a, substr(priority, 1, 1) AS b FROM registry)
+SELECT *, CASE WHEN a IN ('3', '4') THEN 'NA' WHEN a IN ('1', '2') THEN a WHEN b IN ('3', '4') THEN 'NA' WHEN b IN ('1', '2') THEN b ELSE a END AS mv_a,
+  CASE WHEN a IN ('3', '4') THEN a WHEN a IN ('1', '2') THEN 'NA' WHEN b IN ('3', '4') THEN b WHEN b IN ('1', '2') THEN 'NA' ELSE b END AS mv_b FROM m"""
 
 EDU_MERGE = """SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'None' WHEN c_custkey % 5 = 1 AND c_nationkey % 2 = 0 THEN 'Primary'
   WHEN c_custkey % 5 = 1 AND c_nationkey % 2 = 1 THEN 'Middle' WHEN c_custkey % 5 = 2 AND c_nationkey % 2 = 0 THEN 'High'
   WHEN c_custkey % 5 = 2 AND c_nationkey % 2 = 1 THEN 'College' WHEN c_custkey % 5 = 3 THEN 'Graduate' END AS edu FROM customer"""
 
-SCRIPT_TRANSLATE = """WITH d AS (SELECT doc_id, regexp_extract(text, '^(\\S+)', 1) AS word FROM documents)
-SELECT doc_id, CASE WHEN regexp_matches(word, '[À-ÿ]') THEN 'tr:' || lower(word) ELSE word END AS word FROM d"""
+SCRIPT_TRANSLATE = """WITH d AS (SELECT doc_id, CAST(generate_subscripts(string_split(text, chr(10)), 1) - 1 AS INTEGER) AS line_no,
+    unnest(string_split(text, chr(10))) AS line FROM documents)
+SELECT doc_id, line_no, CASE WHEN regexp_matches(line, '[À-ÿ]') THEN 'tr:' || lower(line) ELSE line END AS line FROM d"""
 
 
-RESIDUAL_CODES = """SELECT c_custkey, CAST(c_custkey % 12 AS VARCHAR) AS code,
-  CASE WHEN c_custkey % 12 = 1 THEN 'Yes' WHEN c_custkey % 12 = 0 THEN 'no' WHEN c_custkey % 12 = 9 THEN 'NA' END AS yes_label,
-  c_custkey % 12 NOT IN (0, 1, 9) AS bad,
-  CASE c_custkey % 12 WHEN 1 THEN 'One' WHEN 2 THEN 'Two' WHEN 10 THEN 'Ten' WHEN 11 THEN 'Ten' WHEN 9 THEN 'NA' END AS num_label
+RESIDUAL_CODES = """SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code,
+  CASE WHEN c_nationkey = 1 THEN 'Yes' WHEN c_nationkey = 0 THEN 'no' WHEN c_nationkey = 9 THEN 'NA' END AS yes_label,
+  c_nationkey NOT IN (0, 1, 9) AS bad,
+  CASE c_nationkey WHEN 1 THEN 'One' WHEN 2 THEN 'Two' WHEN 10 THEN 'Ten' WHEN 11 THEN 'Ten' WHEN 9 THEN 'NA' END AS num_label
 FROM customer"""
 
 SINGLE_VALUE = H + f""", d AS (SELECT record_id,

@@ -4,33 +4,38 @@ CB = """cb AS (SELECT p_brand AS sheet, p_partkey AS ord, 'v' || CAST(p_partkey
   CASE WHEN p_partkey % 7 = 0 THEN 'Section ' || p_type END AS heading,
   CASE p_size % 4 WHEN 0 THEN '[1]' || p_type || chr(10) || '[2]' || p_name
                   WHEN 1 THEN 'Codes' || chr(10) || '1 = ' || p_type || chr(10) || '2 = ' || p_name
-                  WHEN 2 THEN '[1] ' || p_name ELSE '[1]' || p_type || chr(10) || 'bad line' END AS range_text,
+                  WHEN 2 THEN CASE WHEN p_partkey % 2 = 0 THEN '[1] ' ELSE '1 = ' END || p_name
+                  ELSE CASE WHEN p_partkey % 2 = 0 THEN 'Title' || chr(10) || '[A]' ELSE '[01]' END || p_type || chr(10) || 'passed over'
+                    || CASE WHEN p_partkey % 3 = 0 THEN chr(10) || '[x] void' ELSE chr(10) || '[2] two' || chr(10) || '[2] last' END END AS range_text,
   CASE p_partkey % 4 WHEN 0 THEN '1=' || p_type || ',2=' || p_brand WHEN 1 THEN '1.' || p_type || ',2.' || p_name
-                     WHEN 2 THEN '1-' || p_type || ',2-x' ELSE p_name END AS coding_text FROM part)"""
+                     WHEN 2 THEN '1-' || p_type || ',02-x'
+    ELSE CASE WHEN p_size > 25 THEN '1=x=y,2=' || p_type ELSE p_name END END AS coding_text FROM part)"""
+
+_NUM = "CASE WHEN regexp_matches({0}, '^[0-9]+$') THEN CAST(CAST({0} AS HUGEINT) AS VARCHAR) ELSE {0} END"
 
 CODEBOOK_RANGES = "WITH " + CB + r""",
-l AS (SELECT var, CAST(generate_subscripts(string_split(range_text, chr(10)), 1) - 1 AS INTEGER) AS pos,
-        unnest(string_split(range_text, chr(10))) AS line FROM cb),
-p AS (SELECT var, pos, regexp_matches(line, '^\[(\d+)\]\s*(.*)$') AS is_b,
-    CASE WHEN regexp_matches(line, '^\[(\d+)\]\s*(.*)$') THEN regexp_extract(line, '^\[(\d+)\]\s*(.*)$', 1)
-         WHEN regexp_matches(line, '^(\d+)\s*=\s*(.*)$') THEN regexp_extract(line, '^(\d+)\s*=\s*(.*)$', 1) END AS code,
-    CASE WHEN regexp_matches(line, '^\[(\d+)\]\s*(.*)$') THEN trim(regexp_extract(line, '^\[(\d+)\]\s*(.*)$', 2))
-         WHEN regexp_matches(line, '^(\d+)\s*=\s*(.*)$') THEN trim(regexp_extract(line, '^(\d+)\s*=\s*(.*)$', 2)) END AS label
-  FROM l WHERE trim(line) <> ''),
-q AS (SELECT *, max(CASE WHEN code IS NULL AND pos > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY var) AS bad,
-    count(code) OVER (PARTITION BY var) AS n, sum(CAST(is_b AS INTEGER)) OVER (PARTITION BY var) AS nb FROM p),
-ok AS (SELECT * FROM q WHERE bad = 0 AND code IS NOT NULL)
-SELECT var, code, label FROM ok WHERE NOT (n = 1 AND nb = 1)
-UNION ALL SELECT var, code, 'Yes' FROM ok WHERE n = 1 AND nb = 1
-UNION ALL SELECT var, '0', 'No' FROM ok WHERE n = 1 AND nb = 1"""
+l AS (SELECT var, generate_subscripts(string_split(range_text, chr(10)), 1) AS pos, unnest(string_split(range_text, chr(10))) AS line
+  FROM cb WHERE contains(range_text, chr(10))),
+p AS (SELECT var, pos, starts_with(line, '[') OR regexp_matches(line, '^\d') AS like_code,
+    CASE WHEN starts_with(line, '[') THEN nullif(regexp_extract(line, '\[([A-Z0-9]+)\](.*)', 1), '')
+         WHEN regexp_matches(line, '^\d') THEN nullif(regexp_extract(line, '(\d+)\s?=\s?(.*)', 1), '') END AS code,
+    trim(CASE WHEN starts_with(line, '[') THEN regexp_extract(line, '\[([A-Z0-9]+)\](.*)', 2)
+         ELSE regexp_extract(line, '(\d+)\s?=\s?(.*)', 2) END) AS label FROM l),
+bad AS (SELECT DISTINCT var FROM p WHERE like_code AND code IS NULL AND pos > 1),
+several AS (SELECT var, """ + _NUM.format("code") + r""" AS code, label, pos FROM p WHERE code IS NOT NULL AND var NOT IN (SELECT var FROM bad)),
+single AS (SELECT var, regexp_extract(range_text, '\[(\d)\] (.*)', 1) AS k FROM cb WHERE NOT contains(range_text, chr(10)))
+SELECT var, code, arg_max(label, pos) AS label FROM several GROUP BY var, code
+UNION ALL SELECT var, k, 'Yes' FROM single WHERE k NOT IN ('', '0')
+UNION ALL SELECT var, '0', 'No' FROM single WHERE k <> ''"""
 
 CODEBOOK_LIST = "WITH " + CB + """,
-c AS (SELECT var, string_split(coding_text, ',') AS parts FROM cb),
-s AS (SELECT var, parts, CASE WHEN list_bool_and(list_transform(parts, lambda x: instr(x, '=') > 0)) THEN '='
-    WHEN list_bool_and(list_transform(parts, lambda x: instr(x, '.') > 0)) THEN '.'
-    WHEN list_bool_and(list_transform(parts, lambda x: instr(x, '-') > 0)) THEN '-' END AS sep FROM c),
-e AS (SELECT var, sep, unnest(parts) AS p FROM s WHERE sep IS NOT NULL)
-SELECT var, trim(substr(p, 1, instr(p, sep) - 1)) AS code, trim(substr(p, instr(p, sep) + 1)) AS label FROM e"""
+c AS (SELECT var, string_split(coding_text, ',') AS parts FROM cb WHERE contains(coding_text, ',')),
+s AS (SELECT var, parts, CASE WHEN list_bool_and(list_transform(parts, lambda x: len(string_split(x, '=')) = 2)) THEN '='
+    WHEN list_bool_and(list_transform(parts, lambda x: len(string_split(x, '.')) = 2)) THEN '.'
+    WHEN list_bool_and(list_transform(parts, lambda x: len(string_split(x, '-')) = 2)) THEN '-' END AS sep FROM c),
+e AS (SELECT var, sep, generate_subscripts(parts, 1) AS pos, unnest(parts) AS p FROM s WHERE sep IS NOT NULL),
+f AS (SELECT var, pos, trim(split_part(p, sep, 1)) AS c, trim(split_part(p, sep, 2)) AS label FROM e)
+SELECT var, """ + _NUM.format("c") + """ AS code, arg_max(label, pos) AS label FROM f GROUP BY 1, 2"""
 
 HEADER_FFILL = "WITH " + CB + """
 SELECT var, CASE WHEN h IS NOT NULL THEN '[' || sheet || '/' || h || ']' END AS header FROM (

@@ -154,7 +154,7 @@ q1 AS (SELECT q0.*, CASE WHEN TRY_CAST(label_raw AS DOUBLE) IS NOT NULL THEN CAS
 q2 AS (SELECT q1.*, l.idx AS lab_idx, l.lo AS lab_lo, l.n AS lab_n,
     (float_ratio = 0 AND n_vocab <= {n_choices}) AS b1, CASE WHEN l.lo IS NULL THEN 0 ELSE 1 END AS in_vocab,
     ({binom}) AS binom
-  FROM q1 LEFT JOIN lk l ON q1.var = l.var AND q1.label_c = l.value),
+  FROM q1 LEFT JOIN lk l ON q1.var = l.var AND q1.label_raw = l.value),
 q3a AS (SELECT *, CASE WHEN b1 THEN n_vocab - in_vocab ELSE least(binom, n_vocab - CASE WHEN label_d IS NULL THEN 1 ELSE 0 END) END AS kref FROM q2),
 q3 AS (SELECT *, greatest(least(kref, n_vocab - in_vocab), 0) AS k_cat, CASE WHEN b1 THEN 0 ELSE {nm1} - kref END AS k_num,
     CASE WHEN lab_lo IS NULL THEN []::STRUCT(lo BIGINT, n BIGINT)[] ELSE [{{'lo': lab_lo, 'n': lab_n}}] END AS excl,

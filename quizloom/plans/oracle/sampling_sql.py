@@ -32,7 +32,7 @@ SHUFFLE_HEAD = f"SELECT o_orderkey FROM orders ORDER BY {u_('shuf', 'o_orderkey'
 UNION_TASKS = ("WITH h AS (" + HORIZON_QUESTION.replace("SELECT * FROM hq2", "SELECT *, 'horizon' AS task FROM hq2")
                + "), o AS (" + OUTCOME_QUESTION + ")\nSELECT * FROM h UNION ALL BY NAME SELECT * FROM o")
 
-SET_DIFF = """SELECT DISTINCT c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT s_nationkey FROM supplier)"""
+SET_DIFF = """SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 COHORT_FILTER = f"""WITH {registry_sql()}
 SELECT record_id FROM registry WHERE status IS DISTINCT FROM 'P' AND priority = '1-URGENT'"""
@@ -42,8 +42,8 @@ SELECT o.o_orderkey FROM orders o JOIN li ON o.o_orderkey = li.l_orderkey
 WHERE o.o_orderdate < li.fu AND (CASE WHEN {u_('ev', 'o.o_orderkey')} < 0.3 THEN NULL ELSE li.ev0 END IS NULL
   OR li.fu < CASE WHEN {u_('ev', 'o.o_orderkey')} < 0.3 THEN NULL ELSE li.ev0 END)"""
 
-TOKEN_LEN_FILTER = f"""WITH pre AS (SELECT doc_id, text, {u_('tl', 'doc_id')} AS k FROM documents ORDER BY k, doc_id LIMIT 400)
-SELECT doc_id FROM pre WHERE {tok_count('text')} < 2000 ORDER BY k, doc_id LIMIT 100"""
+TOKEN_LEN_FILTER = f"""SELECT doc_id FROM documents WHERE {tok_count('text')} < 2000
+ORDER BY {u_('tl', 'doc_id')}, doc_id LIMIT 100"""
 
 LEFT_LOOKUP = "SELECT o.o_orderkey, c.c_name FROM orders o LEFT JOIN customer c ON o.o_custkey = c.c_custkey"
 

@@ -14,14 +14,18 @@ PUNCT = "'!\"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~'"
 
 GEN = f"""gen AS (SELECT d.doc_id, d.source,
     CASE WHEN {u_('box', 'd.doc_id')} >= 0.1 THEN d.text || ' \\boxed{{' || chr(CAST(65 + floor({u_('gen', 'd.doc_id')} * 5) AS INTEGER)) || '}}' ELSE d.text END AS generated,
-    CASE WHEN l.quality = 1 THEN 'A' ELSE 'B' END AS label_0, CASE WHEN l.toxic = 1 THEN 'A' ELSE 'B' END AS label_1,
+    CASE WHEN l.quality = 1 THEN 'A' WHEN l.quality IS NOT NULL THEN 'B' END AS label_0,
+    CASE WHEN l.toxic = 1 THEN 'A' WHEN l.toxic IS NOT NULL THEN 'B' END AS label_1,
     chr(CAST(65 + floor({u_('gen1', 'd.doc_id')} * 2) AS INTEGER)) AS value_1
-  FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 g AS (SELECT *, regexp_extract(generated, '\\\\boxed\\{{([A-E])\\}}', 1) AS value_0 FROM gen)"""
 
 
+TOKEN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\x0B\f\r]"
+
+
 def tok_count(x):
-    return f"len(regexp_extract_all({x}, '\\w+|[^\\w\\s]'))"
+    return f"len(regexp_extract_all({x}, '{TOKEN}'))"
 
 
 def cut(x):
@@ -39,11 +43,13 @@ NOTE_CATEGORY = """SELECT doc_id, CASE WHEN contains(text, 'http') THEN 'web' WH
 
 NOTE_TOKENS = f"SELECT doc_id, CAST({tok_count('text')} AS BIGINT) AS n_tokens FROM documents"
 
-REDACT_REGEX = f"""SELECT doc_id, list_reduce(list_filter(regexp_extract_all(text, '{EMAIL}', 1), lambda n: n <> ''),
+REDACT_REGEX = f"""SELECT doc_id, list_reduce(list_transform(list_sort(list_transform(
+    list_distinct(list_filter(regexp_extract_all(text, '{EMAIL}', 1), lambda n: n <> '')),
+    lambda n: {{'k': -length(n), 'n': n}})), lambda x: x.n),
   lambda t, n: replace(t, n, '[NAME]'), text) AS redacted FROM documents"""
 
 REDACT_LIST = f"""WITH d AS (SELECT doc_id, text, array_to_string(list_transform(regexp_extract_all(text, '{EMAIL_FULL}'),
-    lambda e, i: CAST(i AS VARCHAR) || '. ' || e), chr(10)) AS name_list FROM documents WHERE regexp_matches(text, '{EMAIL}'))
+    lambda e, i: CAST(i AS VARCHAR) || '. ' || e), chr(10)) AS name_list FROM documents)
 SELECT doc_id, name_list, list_reduce(
   list_filter(list_transform(string_split(regexp_replace(name_list, '^\\s+|\\s+$', '', 'g'), chr(10)),
     lambda x: string_split(x, '. ')[-1]), lambda n: n <> ''),
@@ -74,19 +80,19 @@ STRIP_AFTER_SEP = (f"WITH {_HEADERED} SELECT doc_id, 'Given the note, continue t
 CHAT_MESSAGES = """SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) AS contents,
   string_agg('<|' || role || '|>' || chr(10) || text, chr(10) ORDER BY turn) AS rendered FROM conversations GROUP BY conv_id"""
 
-_FIRST = "f AS (SELECT conv_id, arg_min(text, turn) AS user_message FROM conversations WHERE role = 'user' GROUP BY conv_id)"
+_FIRST = "f AS (SELECT conv_id, turn, text AS user_message FROM conversations WHERE role = 'user')"
 _TAIL = "chr(10) || '<|assistant|>' || chr(10) || 'Let''s think step by step.'"
 
-CHAT_PROMPTS = (f"WITH {_FIRST} SELECT conv_id, '<|system|>' || chr(10) || {SYS} || chr(10) || '<|user|>' || chr(10) || "
+CHAT_PROMPTS = (f"WITH {_FIRST} SELECT conv_id, turn, '<|system|>' || chr(10) || {SYS} || chr(10) || '<|user|>' || chr(10) || "
                 f"user_message || {_TAIL} AS prompt FROM f")
 
-SYS_FOLD = (f"WITH {_FIRST} SELECT conv_id, '<|user|>' || chr(10) || {SYS} || chr(10) || user_message || {_TAIL} AS prompt FROM f")
+SYS_FOLD = (f"WITH {_FIRST} SELECT conv_id, turn, '<|user|>' || chr(10) || {SYS} || chr(10) || user_message || {_TAIL} AS prompt FROM f")
 
 BOXED_ANSWER = f"WITH {GEN} SELECT doc_id, value_0 FROM g"
 
 CUT_DELIMS = f"WITH {GEN} SELECT doc_id, {cut('generated')} AS cut FROM g"
 
-_TOK = "regexp_extract_all(generated, '\\w+|[^\\w\\s]')"
+_TOK = f"regexp_extract_all(generated, '{TOKEN}')"
 BUDGET_TRIM = f"""WITH {GEN} SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens,
   CAST(CASE WHEN len({_TOK}) + 5 + 1 >= 11000 THEN least(len({_TOK}), 11000 - 5 - 1) ELSE len({_TOK}) END AS BIGINT) AS n_kept FROM g"""
 
@@ -102,15 +108,15 @@ SELECT user_id, slot_idx,
 FROM l"""
 
 EXACT_MATCH = (f"WITH {GEN} SELECT count(*) AS n, round(avg(CASE WHEN {norm(cut('value_0'))} = {norm('label_0')} "
-               f"THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g")
+               f"THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM g WHERE label_0 IS NOT NULL")
 
-ACCURACY_REPORT = f"""WITH {GEN}, x AS (SELECT source, 0 AS question_idx, value_0 AS v, label_0 AS l FROM g
-  UNION ALL SELECT source, 1, value_1, label_1 FROM g)
+ACCURACY_REPORT = f"""WITH {GEN}, x AS (SELECT source, 0 AS question_idx, value_0 AS v, label_0 AS l FROM g WHERE label_0 IS NOT NULL
+  UNION ALL SELECT source, 1, value_1, label_1 FROM g WHERE label_0 IS NOT NULL)
 SELECT source, question_idx, count(*) AS n, round(avg(CASE WHEN {norm(cut('v'))} = {norm('l')} THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM x GROUP BY ALL"""
 
 REWARD_MEAN = (f"WITH {GEN} SELECT source, count(*) AS n, round(avg(CASE WHEN value_0 = label_0 THEN 1.0 ELSE 0.0 END), 6) "
-               f"AS mean_reward FROM g GROUP BY source")
+               f"AS mean_reward FROM g WHERE label_0 IS NOT NULL GROUP BY source")
 
 TRUNCATION_RATE = (f"WITH {GEN} SELECT source, count(*) AS n, round(avg(CASE WHEN {tok_count('generated')} >= 2000 "
                    f"THEN 1.0 ELSE 0.0 END), 6) AS truncation_rate FROM g GROUP BY source")

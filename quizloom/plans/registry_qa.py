@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quizloom.functions.hashing import u
 from quizloom.operators import gmm, profile
 from quizloom.operators.distractors import choose_distractors
-from quizloom.operators.questions import assemble, explode_targets
+from quizloom.operators.questions import assemble, explode_targets, render_options
 from quizloom.operators.serialize import serialize_flat, serialize_sections
+from quizloom.sources.files import stored
 from quizloom.sources.registry import COL_DICT, VARS, registry
 
 
@@ -35,7 +36,7 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
     if materialize:
         # The one pass over the data: (var, value, n).  Every other profile table
         # derives from it, so it is written once to the checkpoint folder.
-        values = values.checkpoint(eager=True)
+        values = stored(values, "col-values")
     stats = profile.col_stats(values)
     vocab = profile.vocab_table(values, stats)
     all_vocab = profile.all_vocab_table(values, stats)
@@ -48,9 +49,10 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
         gm = None
     if materialize is True:
         # Profile tables are column- or vocabulary-sized and are read many times by
-        # the question plan: write them once to the checkpoint folder (reliable
-        # checkpoint, survives executor loss) instead of recomputing the scan.
-        summary, gm, vocab, all_vocab = (d.checkpoint(eager=True) for d in (summary, gm, vocab, all_vocab))
+        # the question plan: write them once as Parquet (survives executor loss, has
+        # sizes for the join choice) instead of recomputing the scan.
+        summary, gm, vocab, all_vocab = (stored(d, n) for d, n in (
+            (summary, "summary"), (gm, "mixture"), (vocab, "vocab"), (all_vocab, "all-vocab")))
     return Profile(long, values, stats, vocab, all_vocab, summary, gm)
 
 
@@ -99,10 +101,8 @@ def outcome_union(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame
         q = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed)
         q = q.withColumn("label_idx", F.floor(u(seed, "pos", F.col("qid")) * (F.size("choices") + 1)).cast("int"))
         q = q.withColumn("options", F.expr("array_insert(choices, label_idx + 1, label)"))
-        opts = F.concat_ws("", *[F.concat(F.lit(f"\n{chr(65 + i)}. "), F.try_element_at("options", F.lit(i + 1)))
-                                 for i in range(9)])
         q = q.join(reg, "record_id").select(
-            "record_id", F.concat(text, F.lit("\n" + question), opts).alias("user_message"),
+            "record_id", F.concat(text, F.lit("\n" + question + "\n"), render_options(F.col("options"))).alias("user_message"),
             F.expr("char(65 + label_idx)").alias("label_0"), F.lit(t).alias("task"), F.col("options").alias("choices_0"))
         parts.append(q)
     return parts[0].unionByName(parts[1])
@@ -114,12 +114,12 @@ def mcq_multi(spark: SparkSession, sf_dir: str, seed: int = 42, cutoff: float =
     correlated columns (MI > cutoff); the text masks both targets and leaves
     out every column correlated with either (T2)."""
     from quizloom.operators import mutual_info as mi_ops
-    from quizloom.operators.questions import render_options, shuffle_insert
+    from quizloom.operators.questions import shuffle_insert
     from quizloom.operators.serialize import targets_array
     reg = registry(spark, sf_dir)
     prof = build_profile(reg, gm_method="terciles")
     corr = mi_ops.mutual_info(reg, prof.stats, prof.values).where(F.col("mi") > cutoff).select("target", "feature")
-    corr = corr.checkpoint(eager=True)            # at most (#columns)^2 rows
+    corr = stored(corr, "correlated")             # at most (#columns)^2 rows
     q = explode_targets(reg, "record_id", VARS, prof.summary).select("record_id", "var", "label_raw", "qid")
     d = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed).where(F.size("choices") > 0)
     d = d.withColumn("_u", u(seed, "pick", F.col("record_id"), F.col("var"))).select("record_id", "var", "qid", "label", "choices", "_u")

@@ -69,10 +69,10 @@ def union_tasks(spark, sf):
 
 
 def set_diff(spark, sf):
-    """Customer nations without a supplier (anti-join on distinct keys)."""
-    c = table(spark, sf, "customer").select("c_nationkey").distinct()
-    s = table(spark, sf, "supplier").select("s_nationkey").distinct()
-    return c.join(s, c.c_nationkey == s.s_nationkey, "left_anti")
+    """Customers without an urgent order (anti-join on distinct keys)."""
+    c = table(spark, sf, "customer").select("c_custkey").distinct()
+    o = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey").distinct()
+    return c.join(o, c.c_custkey == o.o_custkey, "left_anti")
 
 
 def cohort_filter(spark, sf):
@@ -92,12 +92,11 @@ def temporal_cohort(spark, sf):
 
 
 def token_len_filter(spark, sf):
-    """F6 + L8: shuffle, pre-limit 4n, keep texts under the token limit, first n."""
+    """F6 + L8: texts under the token limit, shuffled, first n: never fewer than there are."""
     n, limit = 100, 2000
     d = table(spark, sf, "documents").select("doc_id", "text")
     k = u(SEED, "tl", F.col("doc_id"))
-    pre = d.orderBy(k, "doc_id").limit(4 * n)
-    return pre.where(N.token_count("text") < limit).orderBy(k, "doc_id").limit(n).select("doc_id")
+    return d.where(N.token_count("text") < limit).select("doc_id").orderBy(k, "doc_id").limit(n)
 
 
 def drop_null_cols(spark, sf):

@@ -28,16 +28,15 @@ def documents(spark, sf) -> DataFrame:
 
 def generations(spark, sf) -> DataFrame:
     """Recorded generations stand-in: document text + a hash-drawn boxed letter
-    (10 % without a box), labels from ``labels`` (quality, toxic -> A/B)."""
+    (10 % without a box), labels from ``labels`` (quality, toxic -> A/B; null where there are none)."""
     d = documents(spark, sf)
     lab = table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     letter = F.chr(F.lit(65) + F.floor(u(SEED, "gen", F.col("doc_id")) * 5).cast("int"))
     gen = F.when(u(SEED, "box", F.col("doc_id")) >= 0.1,
                  F.concat(F.col("text"), F.lit(" \\boxed{"), letter, F.lit("}"))).otherwise(F.col("text"))
-    g = d.join(lab, "doc_id").select(
-        "doc_id", "source", gen.alias("generated"),
-        F.when(F.col("quality") == 1, "A").otherwise("B").alias("label_0"),
-        F.when(F.col("toxic") == 1, "A").otherwise("B").alias("label_1"),
+    letter_of = lambda c: F.when(F.col(c) == 1, "A").when(F.col(c).isNotNull(), "B")
+    g = d.join(lab, "doc_id", "left").select(
+        "doc_id", "source", gen.alias("generated"), letter_of("quality").alias("label_0"), letter_of("toxic").alias("label_1"),
         F.chr(F.lit(65) + F.floor(u(SEED, "gen1", F.col("doc_id")) * 2).cast("int")).alias("value_1"))
     return g.withColumn("value_0", N.boxed_letter("generated"))
 
@@ -55,7 +54,7 @@ def redact_regex(spark, sf):
 
 
 def redact_list(spark, sf):
-    d = documents(spark, sf).where(F.col("text").rlike(EMAIL))
+    d = documents(spark, sf)
     lst = F.array_join(F.transform(F.regexp_extract_all("text", F.lit(EMAIL_FULL), 0),
                                    lambda e, i: F.concat((i + 1).cast("string"), F.lit(". "), e)), "\n")
     d = d.withColumn("name_list", lst)
@@ -89,21 +88,21 @@ def chat_messages(spark, sf):
                     N.render("messages").alias("rendered"))
 
 
-def _first_user(spark, sf):
+def _user_turns(spark, sf):
     c = table(spark, sf, "conversations").where(F.col("role") == "user")
-    return c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("user_message"))
+    return c.select("conv_id", "turn", F.col("text").alias("user_message"))
 
 
 def chat_prompts(spark, sf):
     """[system], user, assistant-prefix chat rendered with a system-capable template."""
-    f = _first_user(spark, sf)
-    return f.select("conv_id", N.render(N.chat("user_message", SYS_PROMPT)).alias("prompt"))
+    f = _user_turns(spark, sf)
+    return f.select("conv_id", "turn", N.render(N.chat("user_message", SYS_PROMPT)).alias("prompt"))
 
 
 def sys_fold(spark, sf):
     """Template without a system slot: the system prompt is folded into the user turn."""
-    f = _first_user(spark, sf)
-    return f.select("conv_id", N.render_with_fold("user_message", SYS_PROMPT, keep_system=False).alias("prompt"))
+    f = _user_turns(spark, sf)
+    return f.select("conv_id", "turn", N.render_with_fold("user_message", SYS_PROMPT, keep_system=False).alias("prompt"))
 
 
 def boxed_answer(spark, sf):
@@ -138,13 +137,13 @@ def prompt_parts(spark, sf):
 
 
 def exact_match(spark, sf):
-    g = generations(spark, sf)
+    g = generations(spark, sf).where("label_0 IS NOT NULL")
     eq = (N.normalize_answer(N.cut_at_delimiters("value_0")) == N.normalize_answer("label_0")).cast("double")
     return g.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(eq), 6).alias("accuracy"))
 
 
 def accuracy_report(spark, sf):
-    g = generations(spark, sf)
+    g = generations(spark, sf).where("label_0 IS NOT NULL")
     pairs = F.array(F.struct(F.lit(0).alias("q"), F.col("value_0").alias("v"), F.col("label_0").alias("l")),
                     F.struct(F.lit(1).alias("q"), F.col("value_1").alias("v"), F.col("label_1").alias("l")))
     x = g.select("source", F.explode(pairs).alias("p")).select("source", "p.*")
@@ -154,7 +153,7 @@ def accuracy_report(spark, sf):
 
 
 def reward_mean(spark, sf):
-    g = generations(spark, sf)
+    g = generations(spark, sf).where("label_0 IS NOT NULL")
     r = (N.boxed_letter("generated") == F.col("label_0")).cast("double")
     return g.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(r), 6).alias("mean_reward"))
 

@@ -19,6 +19,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """Write ``df`` as Parquet below the shared folder and read it back.  Later plans see
+    its size and columns, and a lost executor costs one file read, not a recomputation."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_delimited(spark: SparkSession, path: str, columns: list[str], na_policy: str = "default") -> DataFrame:
     """S1 (``default``: pandas' NA tokens -> null) / S2 (``literal``: blanks and
     "NA" kept as values).  Every column is read as text with a declared schema."""
