@@ -1,10 +1,10 @@
 """A5: 3-component 1-D Gaussian mixture per numeric column.
 
-Spark does the data work: a per-column histogram of the numeric values
-(exact distinct values, or at most ``MAX_BINS`` equal-width bins for columns
-with more distinct values) built by one ``groupBy``.  Weighted EM then runs in
-a grouped-map Pandas UDF whose input per column is bounded by ``MAX_BINS`` rows,
-whatever the row count.  Initialisation is deterministic (weighted quantiles).
+Spark does the data work: a per-column histogram over ``MAX_BINS`` equal shares of
+the rows in value order (one rule at every size: a value that fills a share keeps a
+bin of its own, rarer neighbours share one).  Weighted EM then runs in a grouped-map
+Pandas UDF whose input per column is bounded by the bins, whatever the row count.
+Initialisation is deterministic (weighted quantiles).
 """
 
 from __future__ import annotations
@@ -24,19 +24,13 @@ GM_SCHEMA = "var string, gm_means array<double>, gm_stds array<double>, gm_weigh
 
 
 def numeric_histogram(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
-    """(var, x, n): value (or bin mean) and row count for numeric columns.
+    """(var, x, n): mean value and row count of each bin of the numeric columns.
 
-    Built from the distinct-value counts (A1), not from rows: one pass over the
-    data serves the whole profile.
+    A value's bin is the share its first row falls in.  Built from the distinct-value counts
+    (A1), not from rows: one pass over the data serves the whole profile.
     """
-    num = stats.where("keep AND is_numeric").select("var", "n_keys", "num_min", "num_max")
-    d = F.col("value").try_cast("double")
-    rows = values.select("var", d.alias("x"), "n").where(F.col("x").isNotNull() & ~F.isnan("x"))
-    rows = rows.join(F.broadcast(num), "var")               # one row per column
-    width = (F.col("num_max") - F.col("num_min")) / max_bins
-    key = F.when(F.col("n_keys") <= max_bins, F.col("x")).otherwise(
-        F.least(F.floor((F.col("x") - F.col("num_min")) / width), F.lit(max_bins - 1)).cast("double"))
-    return (rows.groupBy("var", key.alias("k"))
+    rows = ordered_counts(values, stats)
+    return (rows.groupBy("var", F.floor(F.col("lo") * max_bins / F.col("n_tot")).alias("k"))
             .agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").cast("double").alias("n"))
             .drop("k"))
 
@@ -87,10 +81,8 @@ def gmm_profile(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -
                     F.coalesce("gm_weights", zeros).alias("gm_weights")))
 
 
-def tercile_mixture(values: DataFrame, stats: DataFrame, buckets: int = 256) -> DataFrame:
-    """Closed-form 3-component mixture: rows split into ntile(3) by value, each
-    tercile's weight, mean and std (+ reg).  Used where the mixture must be
-    reproducible by SQL, and as a deterministic EM start.
+def ordered_counts(values: DataFrame, stats: DataFrame, buckets: int = 256) -> DataFrame:
+    """(var, x, n, lo, n_tot): for each numeric value its rows, those below it and those in all.
 
     The value order is computed without a per-column sort in one task: rows are
     range-bucketed by value, sorted within (var, bucket), and bucket offsets come
@@ -99,7 +91,7 @@ def tercile_mixture(values: DataFrame, stats: DataFrame, buckets: int = 256) ->
     num = stats.where("keep AND is_numeric").select("var", "num_min", "num_max")
     h = (values.where(F.col("value").isNotNull())
          .select("var", F.col("value").try_cast("double").alias("x"), "n")
-         .where(F.col("x").isNotNull())
+         .where(F.col("x").isNotNull() & ~F.isnan("x"))
          .groupBy("var", "x").agg(F.sum("n").cast("long").alias("n"))
          .join(F.broadcast(num), "var"))
     width = (F.col("num_max") - F.col("num_min")) / buckets
@@ -112,8 +104,15 @@ def tercile_mixture(values: DataFrame, stats: DataFrame, buckets: int = 256) ->
     w_b = Window.partitionBy("var").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.withColumn("_off", F.coalesce(F.sum("_t").over(w_b), F.lit(0))).drop("_t")
     totals = tot.groupBy("var").agg(F.sum("_t").cast("long").alias("n_tot"))
-    h = (h.join(off, ["var", "_b"]).join(totals, "var")
-         .withColumn("lo", F.col("_off") + F.col("_lo_in")))
+    return h.join(off, ["var", "_b"]).join(totals, "var").select(
+        "var", "x", "n", (F.col("_off") + F.col("_lo_in")).alias("lo"), "n_tot")
+
+
+def tercile_mixture(values: DataFrame, stats: DataFrame) -> DataFrame:
+    """Closed-form 3-component mixture: rows split into ntile(3) by value, each
+    tercile's weight, mean and std (+ reg).  Used where the mixture must be
+    reproducible by SQL, and as a deterministic EM start."""
+    h = ordered_counts(values, stats)
     base, extra = F.floor(F.col("n_tot") / 3), F.col("n_tot") % 3
     b1 = base + F.when(extra >= 1, 1).otherwise(0)
     b2 = b1 + base + F.when(extra >= 2, 1).otherwise(0)

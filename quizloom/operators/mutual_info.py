@@ -61,13 +61,18 @@ def code_columns(df: DataFrame, vars_order: list[str], disc: dict, cont: dict) -
 
 
 def pair_counts(df: DataFrame, vars_order: list[str], disc: dict, cont: dict) -> DataFrame:
-    """(vi, vj, ci, cj, n) for every unordered column pair i < j."""
-    codes = F.array(*code_columns(df, vars_order, disc, cont))
-    pairs = F.flatten(F.transform(codes, lambda a: F.transform(
-        F.filter(codes, lambda b: b["i"] > a["i"]),
-        lambda b: F.struct(a["i"].alias("vi"), b["i"].alias("vj"), a["c"].alias("ci"), b["c"].alias("cj")))))
-    return (df.select(F.explode(pairs).alias("p")).select("p.*")
-            .groupBy("vi", "vj", "ci", "cj").agg(F.count(F.lit(1)).alias("n")))
+    """(vi, vj, ci, cj, n) for every unordered column pair i < j.
+
+    A row's codes are computed once; equal code rows are counted before they are paired.
+    """
+    coded = df.select(*[c["c"].alias(f"c{i}") for i, c in enumerate(code_columns(df, vars_order, disc, cont))])
+    rows = coded.groupBy(*coded.columns).agg(F.count(F.lit(1)).alias("n"))
+    m = len(vars_order)
+    pairs = F.array(*[F.struct(F.lit(i).alias("vi"), F.lit(j).alias("vj"), F.col(f"c{i}").alias("ci"), F.col(f"c{j}").alias("cj"))
+                      for i in range(m) for j in range(i + 1, m)]) if m > 1 else F.array().cast(
+        "array<struct<vi:int,vj:int,ci:int,cj:int>>")
+    return (rows.select("n", F.explode(pairs).alias("p")).select("p.*", "n")
+            .groupBy("vi", "vj", "ci", "cj").agg(F.sum("n").alias("n")))
 
 
 def mi_from_counts(pc: DataFrame, vars_order: list[str]) -> DataFrame:

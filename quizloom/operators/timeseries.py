@@ -1,8 +1,8 @@
 """Time-ordered operators over an event history.
 
 ``events(user_id, ts, event_type, value)`` plays an ICU stay: the user is the
-stay, ``error`` events are the clinical event, 8-hour slots from
-``ORIGIN_EPOCH`` form the slot grid.  Per-user state is never gathered
+stay, ``error`` events are the clinical event, and 8-hour slots from the user's
+own first event on form the slot grid.  Per-user state is never gathered
 unbounded: events are first aggregated to (user, slot) or (user, hour) rows,
 so a user's group holds at most one row per slot/hour of the time span,
 however many raw events it has.
@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from quizloom.functions.text import format_number
 
 # Slot grid of the horizon task.
-ORIGIN_EPOCH = 1704067200          # 2024-01-01 00:00:00 UTC
 SLOT_SECONDS = 8 * 3600
 N_SLOTS = 24                       # 8 days x 3 slots of flags
 TEXT_DAYS = 7                      # text covers days 1..7
@@ -29,9 +28,14 @@ def epoch_micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
-def slot_index(ts: Column) -> Column:
-    """0-based 8-hour slot since the origin."""
-    return (F.floor(epoch_micros(ts) / F.lit(SLOT_SECONDS * 1_000_000)) - F.lit(ORIGIN_EPOCH // SLOT_SECONDS)).cast("int")
+def with_slots(events: DataFrame) -> DataFrame:
+    """``slot_idx``, the 0-based 8-hour slot since the user's own first one (day 1 starts there).
+
+    The first slot is a partial aggregate joined back, so no user is gathered in one task.
+    """
+    slot = F.floor(epoch_micros(F.col("ts")) / F.lit(SLOT_SECONDS * 1_000_000))
+    first = events.groupBy("user_id").agg(F.min(slot).alias("_origin"))
+    return events.join(first, "user_id").withColumn("slot_idx", (slot - F.col("_origin")).cast("int")).drop("_origin")
 
 
 def slot_header(day: Column, t: Column) -> Column:
@@ -41,7 +45,7 @@ def slot_header(day: Column, t: Column) -> Column:
 
 def slot_flags(events: DataFrame) -> DataFrame:
     """(user_id, slot_idx, flag) on the full 24-slot grid; a slot with no rows has a null flag."""
-    ev = events.select("user_id", slot_index(F.col("ts")).alias("slot_idx"), "event_type")
+    ev = with_slots(events.select("user_id", "ts", "event_type"))
     flags = (ev.where(F.col("slot_idx").between(0, N_SLOTS - 1))
              .groupBy("user_id", "slot_idx").agg(F.max((F.col("event_type") == EVENT).cast("int")).alias("flag")))
     grid = events.select("user_id").distinct().select("user_id", F.explode(F.sequence(F.lit(0), F.lit(N_SLOTS - 1))).alias("slot_idx"))
@@ -69,8 +73,7 @@ def sections(events: DataFrame) -> DataFrame:
     daily section ``[Day d]``: ``type count: n``.  ``body`` is null when empty.
     """
     last_slot = TEXT_DAYS * 3 - 1
-    ev = (events.select("user_id", slot_index(F.col("ts")).alias("slot_idx"), "event_type", "value")
-          .where(F.col("slot_idx").between(0, last_slot) & (F.col("event_type") != EVENT)))
+    ev = (with_slots(events).where(F.col("slot_idx").between(0, last_slot) & (F.col("event_type") != EVENT)))
     sl = (ev.groupBy("user_id", "slot_idx", "event_type").agg(F.sum("value").alias("v"))
           .groupBy("user_id", "slot_idx")
           .agg(F.sort_array(F.collect_list(F.struct("event_type", F.format_string("%s: %.2f", "event_type", "v").alias("line"))))

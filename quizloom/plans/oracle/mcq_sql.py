@@ -97,15 +97,16 @@ def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '(\\d)\\.0+$', '\\1'), '(\\.\\d*?[1-9])0+$', '\\1')"
 
 
-def _section_text(target: str = "q.var") -> str:
-    """T2 sectioned serialiser over the registry columns (r.*), target masked."""
+def _section_text(target: str = "q.var", drop: str = "q.drop_") -> str:
+    """T2 sectioned serialiser over the registry columns (r.*): target masked, columns in ``drop`` left out."""
     from itertools import groupby
     blocks = []
     for sec, items in groupby(COL_DICT, key=lambda t: t[2]):
         items = list(items)
-        lines = [f"CASE WHEN r.{c} IS NOT NULL AND r.{c} <> '' THEN '{n}: ' || CASE WHEN {target} = '{c}' THEN '[MASK]' ELSE r.{c} END END"
+        shown = {c: f"(r.{c} IS NOT NULL AND r.{c} <> '' AND NOT list_contains({drop}, '{c}'))" for c, _, _ in items}
+        lines = [f"CASE WHEN {shown[c]} THEN '{n}: ' || CASE WHEN {target} = '{c}' THEN '[MASK]' ELSE r.{c} END END"
                  for c, n, _ in items]
-        anyp = " OR ".join(f"(r.{c} IS NOT NULL AND r.{c} <> '')" for c, _, _ in items)
+        anyp = " OR ".join(shown.values())
         blocks.append(f"CASE WHEN {anyp} THEN concat_ws(chr(10), '{sec}', {', '.join(lines)}) END")
     return f"concat_ws(chr(10) || chr(10), {', '.join(blocks)})"
 
@@ -188,12 +189,18 @@ def mcq_sql(n_choices: int = 5, difficulty: float = 2.0, targets=None, extra_whe
     shuffle = f"list_transform(list_sort(list_transform(choices, lambda c: {{'k': {u_('shuffle', 'qid', 'c')}, 'v': c}})), lambda s: s.v)"
     names = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{n}'" for v, n, _ in COL_DICT) + " END"
     secs = "CASE q.var " + " ".join(f"WHEN '{v}' THEN '{s}'" for v, _, s in COL_DICT) + " END"
-    return f"""WITH {registry_sql()},
-{PROFILE_CTES},
+    head = f"WITH {registry_sql()},\n{PROFILE_CTES}"
+    feats = "feats AS (SELECT NULL::VARCHAR AS target, NULL::VARCHAR[] AS f WHERE false)"
+    if sectioned:
+        from quizloom.plans.oracle.stats_sql import _mi_body
+        head, feats = _mi_body(False), "feats AS (SELECT target, list(feature) AS f FROM mi WHERE mi > 0.5 GROUP BY target)"
+    return f"""{head},
+{feats},
 q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
   WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary) AND {extra_where}),
 {distractor_ctes(n_choices, difficulty, pick_one)},
-sh AS (SELECT *, {shuffle} AS shuf, CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch2),
+sh AS (SELECT z.*, coalesce(f.f, []::VARCHAR[]) AS drop_, {shuffle} AS shuf,
+    CAST(floor({u_('pos', 'qid')} * (len(choices) + 1)) AS INTEGER) AS label_idx FROM ch2 z LEFT JOIN feats f ON f.target = z.var),
 q AS (SELECT *, list_concat(list_slice(shuf, 1, label_idx), [label], list_slice(shuf, label_idx + 1, len(shuf))) AS options FROM sh)
 SELECT q.record_id, q.var AS task,
   {_section_text() if sectioned else _flat_text()} || chr(10) || {"printf('Q1. What would be the masked value of ''%s'' in section %s?', " + names + ", " + secs + ")" if sectioned else "printf('Q1. What would be the masked value of ''%s''?', " + names + ")"}

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from quizloom.plans.oracle.mcq_sql import distractor_ctes, profile_ctes, u_
 
-SLOT = "(CAST(floor(epoch_us(ts) / 28800000000) AS INTEGER) - 59169)"
+EVS = """evs AS (SELECT *, CAST(floor(epoch_us(ts) / 28800000000) AS INTEGER)
+    - CAST(floor(min(epoch_us(ts)) OVER (PARTITION BY user_id) / 28800000000) AS INTEGER) AS slot FROM events)"""
 
-FLAGS = f"""flags AS (
+FLAGS = f"""{EVS},
+flags AS (
   SELECT g.user_id, g.slot_idx, f.flag FROM
     (SELECT DISTINCT user_id, CAST(unnest(range(0, 24)) AS INTEGER) AS slot_idx FROM events) g
-  LEFT JOIN (SELECT user_id, {SLOT} AS slot_idx, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flag
-             FROM events WHERE {SLOT} BETWEEN 0 AND 23 GROUP BY ALL) f
+  LEFT JOIN (SELECT user_id, slot AS slot_idx, max(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS flag
+             FROM evs WHERE slot BETWEEN 0 AND 23 GROUP BY ALL) f
   ON g.user_id = f.user_id AND g.slot_idx = f.slot_idx),
 labels AS (
   SELECT user_id, slot_idx,
@@ -20,8 +22,8 @@ labels AS (
 
 HORIZON_LABEL = f"WITH {FLAGS}\nSELECT * FROM labels"
 
-SECTIONS = f"""ev AS (SELECT user_id, {SLOT} AS slot_idx, event_type, value FROM events
-  WHERE {SLOT} BETWEEN 0 AND 20 AND event_type <> 'error'),
+SECTIONS = f"""ev AS (SELECT user_id, slot AS slot_idx, event_type, value FROM evs
+  WHERE slot BETWEEN 0 AND 20 AND event_type <> 'error'),
 sl AS (SELECT user_id, CAST(floor(slot_idx / 3) * 4 + slot_idx % 3 AS INTEGER) AS sec_ord,
          string_agg(printf('%s: %.2f', event_type, v), chr(10) ORDER BY event_type) AS body
   FROM (SELECT user_id, slot_idx, event_type, sum(value) AS v FROM ev GROUP BY ALL) GROUP BY ALL),
@@ -44,7 +46,7 @@ prefix AS (SELECT q.user_id, q.slot_idx,
     string_agg(chr(10) || s.header || chr(10) || s.body || chr(10), '' ORDER BY s.sec_ord) AS prefix
   FROM qsec q JOIN secs s ON q.user_id = s.user_id AND s.sec_ord <= q.sec_ord GROUP BY q.user_id, q.slot_idx)"""
 
-PREFIX_PROMPTS = f"WITH {SECTIONS}\nSELECT user_id, slot_idx, prefix FROM prefix"
+PREFIX_PROMPTS = f"WITH {EVS},\n{SECTIONS}\nSELECT user_id, slot_idx, prefix FROM prefix"
 
 _HQ = f"""hq AS (SELECT p.user_id, p.slot_idx, {u_('coin', 'p.user_id', 'p.slot_idx')} > 0.5 AS yes_first, l.label_strict AS lab, p.prefix
   FROM prefix p JOIN labels l ON p.user_id = l.user_id AND p.slot_idx = l.slot_idx),
@@ -144,14 +146,12 @@ CHAIN = """chain AS (SELECT o.o_orderkey, o.o_orderdate, c.c_mktsegment, n.n_nam
 OUTCOME_CHAIN = f"WITH {CHAIN}\nSELECT * FROM chain"
 
 _OF = [("l_quantity", "Quantity"), ("l_extendedprice", "Extended price"), ("l_discount", "Discount"), ("l_tax", "Tax")]
-_OH = "CAST(floor((epoch(l.l_shipdate) - epoch(c.o_orderdate)) / 3600) AS BIGINT)"
-_OBLOCK = (f"chr(10) || '[Time: Onset' || CASE WHEN {_OH} < 0 THEN CAST({_OH} AS VARCHAR) ELSE '+' || CAST({_OH} AS VARCHAR) END "
-           f"|| 'h]' || chr(10) || " + " || ".join(f"'{n}: ' || {fmt_num('l.' + v)} || chr(10)" for v, n in _OF))
+_OBLOCK = ("chr(10) || '[Time: Onset+0h]' || chr(10) || " + " || ".join(f"'{n}: ' || {fmt_num('l.' + v)} || chr(10)" for v, n in _OF))
 
 OUTCOME_QUESTION = f"""WITH {CHAIN}
 SELECT c.o_orderkey AS record_id,
   '[Patient Information]' || chr(10) || 'Segment: ' || any_value(c.c_mktsegment) || chr(10) || 'Nation: ' || any_value(c.n_name) || chr(10)
-   || string_agg({_OBLOCK}, '' ORDER BY l.l_shipdate, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice)
+   || string_agg({_OBLOCK}, '' ORDER BY l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity, l.l_extendedprice)
    || 'Q. Is the order likely to ship within 30 days?' || chr(10) || 'A. Yes' || chr(10) || 'B. No' AS user_message,
   CASE WHEN any_value(c.label) THEN 'A' ELSE 'B' END AS label_0, 'ship30' AS task, ['Yes', 'No'] AS choices_0
 FROM chain c JOIN lineitem l ON l.l_orderkey = c.o_orderkey GROUP BY c.o_orderkey"""

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quizloom.functions.hashing import u
 from quizloom.operators import gmm, profile
+from quizloom.operators import mutual_info as mi_ops
 from quizloom.operators.distractors import choose_distractors
+from quizloom.operators.mutual_info import MI_CUTOFF
 from quizloom.operators.questions import assemble, explode_targets, render_options
 from quizloom.operators.serialize import serialize_flat, serialize_sections
 from quizloom.sources.files import stored
@@ -56,8 +58,16 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
     return Profile(long, values, stats, vocab, all_vocab, summary, gm)
 
 
+def correlated(reg: DataFrame, prof: Profile, cutoff: float = MI_CUTOFF) -> DataFrame:
+    """(var, correlated): per target the columns with MI above the cutoff; one row per column."""
+    return mi_ops.correlated_columns(mi_ops.mutual_info(reg, prof.stats, prof.values), cutoff).select(
+        F.col("target").alias("var"), "correlated")
+
+
 def mcq_questions(reg: DataFrame, prof: Profile, targets: list[str] | None = None, seed: int = 42,
                   n_choices: int = 5, sectioned: bool = True, pick_one: bool = False) -> DataFrame:
+    """M1-M3: in a sectioned text the columns correlated with the target are left out, since they
+    would tell the masked value."""
     # Distractors are drawn on narrow (record, column, label) rows; the wide record
     # is joined back once, on its key, for the text.
     q = explode_targets(reg, "record_id", targets or VARS, prof.summary).select("record_id", "var", "label_raw", "qid")
@@ -67,7 +77,11 @@ def mcq_questions(reg: DataFrame, prof: Profile, targets: list[str] | None = Non
         # M1: one random usable target per record; the group is one record's columns.
         w = Window.partitionBy("record_id").orderBy(u(seed, "pick", F.col("record_id"), F.col("var")))
         q = q.withColumn("_pick", F.row_number().over(w)).where("_pick = 1").drop("_pick")
-    text = serialize_sections(COL_DICT, F.col("var")) if sectioned else serialize_flat(COL_DICT, F.col("var"))
+    if sectioned:
+        q = q.join(F.broadcast(correlated(reg, prof)), "var", "left")      # one row per column
+        text = serialize_sections(COL_DICT, F.col("var"), F.col("correlated"))
+    else:
+        text = serialize_flat(COL_DICT, F.col("var"))
     return assemble(q, text, COL_DICT, seed=seed, sectioned=sectioned)
 
 
@@ -113,7 +127,6 @@ def mcq_multi(spark: SparkSession, sf_dir: str, seed: int = 42, cutoff: float =
     """M4 (k = 2): the second target excludes the first and the first's
     correlated columns (MI > cutoff); the text masks both targets and leaves
     out every column correlated with either (T2)."""
-    from quizloom.operators import mutual_info as mi_ops
     from quizloom.operators.questions import shuffle_insert
     from quizloom.operators.serialize import targets_array
     reg = registry(spark, sf_dir)

@@ -108,20 +108,17 @@ def outcome_chain(spark, sf) -> DataFrame:
 
 
 def outcome_question(spark, sf) -> DataFrame:
-    """Order history text (one block per lineitem in ship order) + binary outcome question."""
+    """What is known when the order is placed (one block per line, at onset) + binary outcome
+    question.  Ship dates lie after that cut and would tell the answer, so they stay out."""
     ch = outcome_chain(spark, sf)
-    li = table(spark, sf, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey",
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
                                              "l_quantity", "l_extendedprice", "l_discount", "l_tax")
-    hours = F.floor((F.unix_seconds(F.col("l_shipdate").cast("timestamp")) -
-                     F.unix_seconds(F.col("o_orderdate").cast("timestamp"))) / 3600).cast("long")
     feats = [("l_quantity", "Quantity"), ("l_extendedprice", "Extended price"), ("l_discount", "Discount"), ("l_tax", "Tax")]
-    hs = F.when(hours < 0, hours.cast("string")).otherwise(F.concat(F.lit("+"), hours.cast("string")))
     from quizloom.functions.text import format_number
-    block = F.concat(F.lit("\n[Time: Onset"), hs, F.lit("h]\n"),
+    block = F.concat(F.lit("\n[Time: Onset+0h]\n"),
                      *[F.concat(F.lit(f"{n}: "), format_number(F.col(v).cast("string")), F.lit("\n")) for v, n in feats])
-    j = li.join(ch.select("o_orderkey", "o_orderdate"), li.l_orderkey == ch.o_orderkey)
-    blocks = j.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
-        "l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", block.alias("b")))).alias("bs"))
+    blocks = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", block.alias("b")))).alias("bs"))
     head = F.concat(F.lit("[Patient Information]\nSegment: "), F.col("c_mktsegment"), F.lit("\nNation: "), F.col("n_name"),
                     F.lit("\n"))
     return ch.join(blocks, ch.o_orderkey == blocks.l_orderkey).select(
