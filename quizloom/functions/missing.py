@@ -24,10 +24,6 @@ def is_missing(c) -> Column:
     return c.isNull() | s.isin(*MISSING_TOKENS) | F.lower(s).isin("nan")
 
 
-def not_missing(c) -> Column:
-    return ~is_missing(c)
-
-
 def null_if_tokens(c, tokens=DEFAULT_NA_TOKENS) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return F.when(~c.isin(*tokens), c)

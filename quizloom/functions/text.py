@@ -10,11 +10,6 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def as_double(c) -> Column:
-    """Float-parsability test and value (``try_cast``; null when not numeric)."""
-    return _c(c).try_cast("double")
-
-
 def canonical_float(c) -> Column:
     """``str(float(x))`` for numeric text, the text itself otherwise."""
     c = _c(c)
@@ -29,10 +24,6 @@ def strip_zeros(c) -> Column:
     return F.regexp_replace(step1, r"(\.\d*?[1-9])0+$", "$1")
 
 
-def sql_strip_zeros(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, '(\\d)\\.0+$', '\\1'), '(\\.\\d*?[1-9])0+$', '\\1')"
-
-
 def format_number(c) -> Column:
     """Text as is; integral -> ``%d``; else ``%.3f``."""
     c = _c(c)
@@ -47,10 +38,3 @@ def format_number(c) -> Column:
 def letter(idx) -> Column:
     """``chr(65 + idx)``."""
     return F.chr(F.lit(65) + _c(idx))
-
-
-def normal_pdf(x, mean, std) -> Column:
-    """C4: Gaussian density; 0 when std <= 0."""
-    x, mean, std = _c(x), _c(mean), _c(std)
-    z = (x - mean) / std
-    return F.when(std > 0, F.exp(-(z * z) / 2) / (std * F.sqrt(F.lit(2.0) * F.pi()))).otherwise(F.lit(0.0))

@@ -42,7 +42,8 @@ def parse_ranges(cb: DataFrame, words: dict | None = None) -> DataFrame:
     lines the first may be a title; a later one that begins like a code (``[`` or a digit)
     and isn't one voids the variable, and lines that begin otherwise are passed over.
     """
-    lines = F.split("range_text", "\n")
+    text = F.coalesce("range_text", F.lit(""))
+    lines = F.split(text, "\n")
 
     def entry(line, i):
         is_b, is_e = line.startswith("["), line.rlike(r"^\d")
@@ -52,14 +53,14 @@ def parse_ranges(cb: DataFrame, words: dict | None = None) -> DataFrame:
         return F.struct(_code(code).alias("code"), _translated(F.trim(label), words).alias("label"),
                         ((is_b | is_e) & code.isNull() & (i > 0)).alias("bad"))
 
-    k = F.regexp_extract("range_text", SINGLE, 1)
+    k = F.regexp_extract(text, SINGLE, 1)
     pair = lambda c, x: F.struct(c.alias("code"), F.lit(x).alias("label"))
     single = F.when(k == "", F.array().cast("array<struct<code:string,label:string>>")).when(
         k == "0", F.array(pair(F.lit("0"), "No"))).otherwise(F.array(pair(k, "Yes"), pair(F.lit("0"), "No")))
     p = cb.select("var", "range_text", F.transform(lines, entry).alias("p"))
     good = F.transform(F.filter("p", lambda e: e["code"].isNotNull()), lambda e: F.struct(e["code"].alias("code"), e["label"].alias("label")))
     several = F.when(~F.exists("p", lambda e: e["bad"]), good)
-    p = p.select("var", F.when(F.instr("range_text", "\n") > 0, several).otherwise(single).alias("e"))
+    p = p.select("var", F.when(F.instr(text, "\n") > 0, several).otherwise(single).alias("e"))
     return p.select("var", F.explode(_last_wins(F.col("e"))).alias("e")).select("var", "e.code", "e.label")
 
 

@@ -103,8 +103,3 @@ def registry_sql(missing_rate: float = MISSING_RATE) -> str:
 registry AS (SELECT record_id,
 {masked}
   FROM registry_raw)"""
-
-
-def col_dict_sql() -> str:
-    rows = ", ".join(f"('{v}', {i}, '{n}', '{s}')" for i, (v, n, s) in enumerate(COL_DICT))
-    return f"col_dict(var, ord, display_name, section) AS (VALUES {rows})"
