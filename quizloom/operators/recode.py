@@ -202,3 +202,50 @@ def single_value_fill(df: DataFrame, col: str, pivot: str) -> DataFrame:
     key = row["key"]
     return df.withColumn(col, F.when(F.col(col) == key, F.col(col)).when(F.col(pivot) == "NA", F.lit(""))
                          .otherwise(F.lit("No")))
+
+
+def correct_codes(c, mapper: dict) -> Column:
+    """Wrong codes -> right ones; others kept."""
+    m = F.create_map(*[x for k, v in mapper.items() for x in (F.lit(k), F.lit(v))])
+    return F.coalesce(F.try_element_at(m, _c(c)), _c(c))
+
+
+def drop_identifying(df: DataFrame, names: list[str]) -> DataFrame:
+    """Drop the named columns that are there (case ignored)."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low])
+
+
+def section_by_rows(ord_col, ranges: list[tuple]) -> Column:
+    """Label of the range [from, to) that holds a row number; an open end is ``None``."""
+    o, expr = _c(ord_col), None
+    for lo, hi, label in ranges:
+        inside = (o >= lo) if hi is None else ((o >= lo) & (o < hi))
+        expr = F.when(inside, F.lit(label)) if expr is None else expr.when(inside, F.lit(label))
+    return expr
+
+
+def fill_missing(df: DataFrame, cols: list[str], value: str = "") -> DataFrame:
+    """Null -> ``value`` in text columns."""
+    return df.fillna(value, subset=cols)
+
+
+def patch_dictionary(dictionary: DataFrame, patch: DataFrame) -> DataFrame:
+    """(var, ord, display_name, section) with the patch's entries in place of their own;
+    entries for new columns come after the last, by name."""
+    p = patch.select(F.col("var").alias("_v"), F.col("display_name").alias("_n"), F.col("section").alias("_s"))
+    both = dictionary.join(p, dictionary["var"] == p["_v"], "full")
+    return both.select(F.coalesce("var", "_v").alias("var"), F.coalesce("_n", "display_name").alias("display_name"),
+                       F.coalesce("_s", "section").alias("section"), F.col("ord").isNull().alias("added"))
+
+
+def any_datetime(c, formats: list[str]) -> Column:
+    """The first format that reads the text; none -> null."""
+    return F.coalesce(*[F.try_to_timestamp(_c(c), F.lit(f)) for f in formats])
+
+
+def rows_of_arrays(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
+    """A struct of parallel arrays -> one row for each position."""
+    rest = [c for c in df.columns if c != struct]
+    zipped = F.arrays_zip(*[F.col(f"{struct}.{f}").alias(f) for f in fields])
+    return df.select(*rest, F.inline(zipped)).toDF(*rest, *fields)

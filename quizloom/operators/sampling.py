@@ -79,3 +79,8 @@ def global_position(df: DataFrame, order_cols: list[str]) -> DataFrame:
         Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     return p.join(F.broadcast(off), "_pid").withColumn("position", (F.col("_off") + F.col("_rn")).cast("long")) \
         .drop("_pid", "_rn", "_off")
+
+
+def debug_subset(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n rows by key."""
+    return df.orderBy(key).limit(n)

@@ -224,3 +224,12 @@ register("mcq_multi", stats_sql.mcq_multi_sql(_mi.MI_CUTOFF))(lambda spark, sf:
 for _name in ["residual_codes", "single_value", "unit_names"]:
     register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))
 register("metadata_override", _cbs.METADATA_OVERRIDE)(_cb.metadata_override)
+
+
+# ---------------------------------------------------------------- smaller cleaning, filter and source plans
+from quizloom.plans import extra_qa as _ex  # noqa: E402
+from quizloom.plans.oracle import extra_sql as _exs  # noqa: E402
+
+for _name in ["wrong_codes", "drop_identifying", "row_sections", "fill_blank", "tokens_to_null", "patched_dict", "class_minimum",
+              "flexible_dates", "parallel_explode", "map_of_pairs", "debug_subset", "csv_literal", "stored_profile"]:
+    register(_name, getattr(_exs, _name.upper()))(getattr(_ex, _name))
