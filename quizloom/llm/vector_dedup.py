@@ -37,6 +37,8 @@ SPILL = 0.04
 SAMPLE = 16_384
 DEPTH = 9
 ROUNDS = 12
+#: Rows of a node that are routed together.
+PART = 20_000
 #: A node of the sample is split while it has as many vectors.
 LEAST_SAMPLE = 16
 
@@ -92,7 +94,12 @@ def fit_splits(node: int, x: np.ndarray, levels: int, spill: float) -> dict[int,
     return splits
 
 
-def route(node: int, x: np.ndarray, splits: dict) -> list[tuple[int, np.ndarray]]:
+def with_directions(splits: dict[int, tuple[float, float]], size: int) -> dict[int, tuple]:
+    """(low, high, direction, children) of each split node."""
+    return {k: (*band, _direction(k, size), _child(k, 0), _child(k, 1)) for k, band in splits.items()}
+
+
+def route(node: int, x: np.ndarray, splits: dict[int, tuple]) -> list[tuple[int, np.ndarray]]:
     """(leaf, indices) of the vectors below ``node``; a vector may be in several leaves."""
     out, todo = [], [(node, np.arange(len(x)))]
     while todo:
@@ -100,11 +107,9 @@ def route(node: int, x: np.ndarray, splits: dict) -> list[tuple[int, np.ndarray]
         if name not in splits:
             out.append((name, own))
             continue
-        low, high = splits[name]
-        p = x[own] @ _direction(name, x.shape[1])
-        for side, part in ((0, own[p <= high]), (1, own[p >= low])):
-            if len(part):
-                todo.append((_child(name, side), part))
+        low, high, direction, left, right = splits[name]
+        p = x[own] @ direction
+        todo += [(to, part) for to, part in ((left, own[p <= high]), (right, own[p >= low])) if len(part)]
     return out
 
 
@@ -128,63 +133,82 @@ def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
         splits = stored(drawn.groupBy("node").applyInArrow(fit, "node long, splits binary"))
         if splits.isEmpty():
             break
+        # the rows of a node are dealt over parts of about PART rows; each part is led by the node's splits
+        parts = splits.join(count, "node").select("node", F.ceil(F.col("n") / PART).cast("long").alias("parts"), "splits")
+        marked = at.join(parts.select("node", "parts"), "node", "left")
+        none = F.lit(None)
+        rows = marked.where("parts IS NOT NULL").select(
+            "node", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("kind"), "id", "v", "w", none.cast("binary").alias("splits"))
+        heads = parts.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
+                             none.cast("long").alias("id"), none.cast("binary").alias("v"), none.cast("long").alias("w"), "splits")
 
         def move(batches):
-            loaded = {}
+            raw = held = None
             for b in batches:
-                node = b.column(0).to_numpy()
-                pieces = []
-                blobs, vectors = b.column(4), b.column(2).to_pylist()
-                for name in np.unique(node).tolist():
-                    rows = np.flatnonzero(node == name)
-                    body = blobs[int(rows[0])].as_py()
-                    if body is None:
-                        pieces.append((np.full(len(rows), name), rows))
+                node, kind = b.column(0).to_numpy(), b.column(2).to_numpy()
+                cuts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (kind[1:] != kind[:-1]))).tolist()
+                for lo, hi in zip(cuts, [*cuts[1:], len(node)]):
+                    if kind[lo] == 0:
+                        raw, held = pickle.loads(b.column(6)[lo].as_py()), None
                         continue
-                    if name not in loaded:
-                        if len(loaded) > 64:
-                            loaded.clear()
-                        loaded[name] = pickle.loads(body)
-                    for to, own in route(name, _unit([vectors[i] for i in rows]), loaded[name]):
-                        pieces.append((np.full(len(own), to), rows[own]))
-                take = pa.array(np.concatenate([r for _, r in pieces]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([n for n, _ in pieces]), pa.int64()), *[b.column(i).take(take) for i in (1, 2, 3)]],
-                    ["node", "id", "v", "w"])
-
-        at = stored(at.join(splits, "node", "left").select("node", "id", "v", "w", "splits").mapInArrow(
-            move, "node long, id long, v binary, w long"))
+                    x = _unit(b.column(4).slice(lo, hi - lo).to_pylist())
+                    held = held or with_directions(raw, x.shape[1])
+                    found = route(int(node[lo]), x, held)
+                    take = pa.array(np.concatenate([own for _, own in found]) + lo)
+                    names = np.concatenate([np.full(len(own), to) for to, own in found])
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[b.column(i).take(take) for i in (3, 4, 5)]],
+                                                     ["node", "id", "v", "w"])
+
+        moved = heads.unionByName(rows).repartition("node", "part").sortWithinPartitions("node", "part", "kind").mapInArrow(
+            move, "node long, id long, v binary, w long")
+        at = stored(moved.unionByName(marked.where("parts IS NULL").select("node", "id", "v", "w")))
     return at
 
 
+def _spans(near: np.ndarray) -> np.ndarray:
+    """Smallest index that each row reaches over a symmetric matrix of links."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def _met_before(leaves: np.ndarray, name: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether i and j share a leaf of a smaller name (rows of ``leaves``: sorted, filled up with ``name``)."""
+    out = np.zeros(len(i), bool)
+    for a in range(0, len(i), 1 << 14):
+        p, q = leaves[i[a:a + (1 << 14)]], leaves[j[a:a + (1 << 14)]]
+        seen = np.zeros(len(p), bool)
+        for k in range(p.shape[1]):
+            own = p[:, k]
+            if not (own < name).any():
+                break
+            seen |= (own < name) & (q == own[:, None]).any(axis=1)
+        out[a:a + (1 << 14)] = seen
+    return out
+
+
 def _leaf_links(ids, weights, x, leaves, name, cut, threshold):
     """Weighted numbers of links and spanning links of a leaf (cut > 0: only across [:cut] and [cut:])."""
     n = len(ids)
-    found = np.zeros(n, np.int64)
-    label = np.arange(n)
-    u, v = [], []
-    step = 512
-    for a in range(0, cut or n, step):
-        rows = slice(a, min(a + step, cut or n))
-        near = x[rows] @ x[cut:].T >= threshold - 1e-9
-        i, j = np.nonzero(near)
-        i, j = i + a, j + cut
-        if not cut:
-            i, j = i[j > i], j[j > i]
-        if not len(i):
-            continue
-        # the product of unit vectors found them; the quotient in double precision decides
-        ok = np.einsum("ij,ij->i", x[i], x[j]) >= threshold
-        i, j = i[ok], j[ok]
-        first = np.array([min(leaves[p] & leaves[q]) == name for p, q in zip(i.tolist(), j.tolist())], bool)
-        np.add.at(found, i[first], weights[j[first]])
-        np.add.at(found, j[first], weights[i[first]])
-        for p, q in zip(i.tolist(), j.tolist()):
-            if label[p] != label[q]:
-                u.append(ids[p])
-                v.append(ids[q])
-                label[label == label[q]] = label[p]
-    return found, u, v
+    product = x @ x.T
+    near = product >= threshold
+    for i, j in zip(*np.nonzero(np.abs(product - threshold) < 1e-9)):  # too near to call: the sum of products decides
+        near[i, j] = float(np.dot(x[i], x[j])) >= threshold
+    near &= near.T
+    np.fill_diagonal(near, False)
+    if cut:
+        near[:cut, :cut] = near[cut:, cut:] = False
+    i, j = np.nonzero(np.triu(near))
+    first = ~_met_before(leaves, name, i, j)
+    i, j = i[first], j[first]
+    found = np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)
+    label = _spans(near)
+    far = np.flatnonzero(label != np.arange(n))
+    return found.astype(np.int64), ids[far].tolist(), ids[label[far]].tolist()
 
 
 def leaf_links(forest: DataFrame, leaf: int, threshold: float) -> DataFrame:
@@ -210,7 +234,11 @@ def leaf_links(forest: DataFrame, leaf: int, threshold: float) -> DataFrame:
         ids, w = table.column("id").to_numpy(), table.column("w").to_numpy()
         u, v, n = ids, [None] * len(ids), np.zeros(len(ids), np.int64)
         if cut < len(ids):
-            leaves = [frozenset(x) for x in table.column("leaves").to_pylist()]
+            lists = table.column("leaves").combine_chunks()
+            size = lists.value_lengths().to_numpy()
+            leaves = np.full((len(size), int(size.max())), name, np.int64)
+            leaves[np.arange(leaves.shape[1]) < size[:, None]] = lists.flatten().to_numpy()
+            leaves = np.sort(np.where(leaves < name, leaves, name), axis=1)
             n, a, b = _leaf_links(ids, w, _unit(table.column("v").to_pylist()), leaves, name, cut, threshold)
             u, v, n = [*ids[n > 0], *a], [None] * int((n > 0).sum()) + b, [*n[n > 0], *[0] * len(a)]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
