@@ -281,3 +281,43 @@ def test_pipeline_odd_rows(llm, docs, tmp_path):
     docs(rows).limit(0).write.parquet(f"{tmp_path}/e/documents.parquet")
     llm.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/e/benchmark.parquet")
     assert corpus_pipeline.run(llm, f"{tmp_path}/e").collect() == []
+
+
+def test_pipeline_brute(llm):
+    """Stages two to four against plain Python, on what the first one keeps."""
+    from tests.llm.test_text_ops import _brute_fingerprint, _brute_groups, _brute_repeats
+    docs = stored(corpus_pipeline.STAGES[0][1](llm, llm.read.parquet(f"{SF}/documents.parquet"), SF)).toPandas().sort_values("doc_id")
+    ids, texts = docs.doc_id.tolist(), docs.text.tolist()
+    groups = _brute_groups(ids, np.array([_brute_fingerprint(t) for t in texts], np.uint64))
+    left = [(i, t) for i, t, g in zip(ids, texts, groups) if i == g]
+    cut = _brute_repeats([t for _, t in left], 35)
+    left = [(i, t if not gone else kept) for (i, t), (n, gone, kept) in zip(left, cut) if not gone or gone < n]
+
+    def words(t):
+        return [(m[0].lower(), m.start(), m.end()) for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", t)]
+
+    windows = {}
+    for t in pd.read_parquet(f"{SF}/benchmark.parquet").text:
+        own = [w.lower() if w.isascii() else "".join(c.lower() if c.isascii() else c for c in w) for w, *_ in words(t)]
+        m = min(13, len(own))
+        for i in range(len(own) - m + 1 if m else 0):
+            windows.setdefault(m, set()).add(tuple(own[i:i + m]))
+    want = {}
+    for i, t in left:
+        ws = words(t)
+        low = ["".join(c.lower() if c.isascii() else c for c in t[a:b]) for _, a, b in ws]
+        hit = set()
+        for m, some in windows.items():
+            for j in range(len(low) - m + 1):
+                if tuple(low[j:j + m]) in some:
+                    hit.update(range(j, j + m))
+        if hit and 20 * len(hit) >= len(ws):
+            continue
+        keep, at = [], 0
+        for j in sorted(hit):
+            if j - 1 not in hit:
+                keep.append(t[at:ws[j][1]])
+            at = ws[j][2]
+        want[i] = "".join(keep) + t[at:]
+    got = {r.doc_id: r.text for r in corpus_pipeline.run(llm, SF).collect()}
+    assert got == want
