@@ -16,6 +16,7 @@ CATEGORY_RULES = [("http", "web"), ("@", "contact"), ("***", "formatted")]
 EMAIL = r"([A-Za-z0-9._%+-]+)@[A-Za-z0-9.-]+"
 EMAIL_FULL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+"
 INSTRUCTION = "Given the note, continue the response.\n\n"
+# System prompt of the evaluation.
 SYS_PROMPT = ("Do not add a disclaimer or any other unnecessary sentences after the prediction.\n"
               "Put your final answer (letter choice only) within \\boxed{}.")
 MAX_MODEL_LEN = 11000
