@@ -22,7 +22,7 @@ from quizloom.session import checkpoint_dir
 ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
          "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 #: Bytes of text hashed at once (a longer single text is hashed whole).
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 
 _MASK = (1 << 64) - 1
 _rng = np.random.Generator(np.random.PCG64(20240607))

@@ -38,6 +38,8 @@ RATE = 0.05
 DECAY = 3e-4
 SEED = 7
 UNKNOWN = "und"
+#: Distinct words whose n-grams are held at once.
+WORDS_AT_ONCE = 16_384
 
 #: ASCII letters (lower case) and the bytes of non-ASCII characters.
 LETTERS = np.zeros(256, bool)
@@ -91,13 +93,22 @@ def _distinct(w: Words) -> tuple[Words, np.ndarray, np.ndarray]:
     return one, hashes, which
 
 
+class _Some:
+    """Some of the words of a ``Words``."""
+
+    def __init__(self, w: Words, lo: int, hi: int):
+        self.raw, self.start, self.end = w.raw, w.start[lo:hi], w.end[lo:hi]
+
+
 def _scores(model: Crf, one: Words, hashes: np.ndarray) -> np.ndarray:
-    """Emission scores (distinct words, K)."""
-    bucket, owner = _features(one)
-    order = np.argsort(owner, kind="stable")
-    weights = model.grams[bucket[order]]
-    out = np.add.reduceat(weights, np.searchsorted(owner[order], np.arange(len(hashes)))) if len(hashes) else weights
-    return out + model.words[_lexicon_row(model, hashes)]
+    """Emission scores (distinct words, K), some words at a time."""
+    out = model.words[_lexicon_row(model, hashes)]
+    for lo in range(0, len(hashes), WORDS_AT_ONCE):
+        hi = min(lo + WORDS_AT_ONCE, len(hashes))
+        bucket, owner = _features(_Some(one, lo, hi))
+        order = np.argsort(owner, kind="stable")
+        out[lo:hi] += np.add.reduceat(model.grams[bucket[order]], np.searchsorted(owner[order], np.arange(hi - lo)))
+    return out
 
 
 class _Chains:
@@ -271,7 +282,9 @@ _LOADED: dict = {}
 
 def _model(shared) -> Crf | None:
     name, model = shared.value
-    _LOADED.setdefault(name, model)
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = model
     return _LOADED[name]
 
 
