@@ -24,8 +24,11 @@ from __future__ import annotations
 
 import re
 import uuid
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,9 +38,13 @@ from quizloom.llm.common import free_name, prepare
 MARK = "▁"
 _WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Entries kept between batches: encoded words, and judged pairs of pieces.
-CACHE_WORDS = 400_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 400_000
+#: Characters of text split into words at once.
+SLAB_CHARS = 1 << 20
 UNKNOWN_PENALTY = 10.0
+#: (no piece, one character): a character outside the vocabulary.
+_OUTSIDE = (-1, 1)
 
 
 def default_model() -> str:
@@ -78,7 +85,10 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece reaches past a word's end")
         self.least = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, int] = {}  # of a key: its place in at, which bounds its ids in pool
+        self.pool, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        # line ends stand alone if no piece holds them
+        self.lines = self.prefix and bool(self.byte) and not any("\n" in p for p in self.id)
         self.pairs: dict[int, bool] = {}
         self._suffixes()
 
@@ -104,20 +114,20 @@ class PieceModel:
                 fail[down] = children[up].get(c, 0)
                 ends[down] += ends[fail[down]]
                 queue.append(down)
-        self.children, self.fail, self.ends = children, fail, ends
+        self.steps, self.fail, self.ends = children, fail, ends
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank: the adjacent pair with the best score first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
-                if s is not None and (best is None or s > best):
-                    best, at = s, i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
+        parts, get, none = list(text), self.score.get, float("-inf")
+        rank = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while rank and (best := max(rank)) > none:
+            i = rank.index(best)
+            parts[i:i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            if i:
+                rank[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(rank):
+                rank[i] = get(parts[i] + parts[i + 1], none)
         return parts
 
     def beside(self, left: int, right: int) -> bool:
@@ -125,33 +135,40 @@ class PieceModel:
         a, b = self.text.get(left, ""), self.text[right]
         if len(self.pairs) >= CACHE_PAIRS:
             self.pairs.clear()
-        got = self.pairs[(left + 1 << 32) | right] = self.merged(a + b) == ([a, b] if a else [b])
+        got = self.pairs[left * len(self.spelled) + right] = self.merged(a + b) == ([a, b] if a else [b])
         return got
 
     def _bpe(self, word, start, node, last, value) -> None:
-        children, fail, ends, pairs = self.children, self.fail, self.ends, self.pairs
+        steps, ends, pairs, many = self.steps, self.ends, self.pairs, len(self.spelled)
         at = node[start]
         for i in range(start + 1, len(word) + 1):
             c = word[i - 1]
-            while at and c not in children[at]:
-                at = fail[at]
-            node[i] = at = children[at].get(c, 0)
-            last[i] = (-1, 1)  # a character outside the vocabulary
+            to = steps[at].get(c)
+            node[i] = at = self._step(at, c) if to is None else to
+            last[i] = _OUTSIDE
             for end in ends[at]:
                 left = last[i - end[1]][0]
-                ok = pairs.get((left + 1 << 32) | end[0])
-                if self.beside(left, end[0]) if ok is None else ok:
+                ok = pairs.get(left * many + end[0])
+                if ok or ok is None and self.beside(left, end[0]):
                     last[i] = end
                     break
 
+    def _step(self, at: int, c: str) -> int:
+        """Node after ``c``, by the failure links; remembered for characters of the vocabulary."""
+        to = at
+        while to and c not in self.steps[to]:
+            to = self.fail[to]
+        to = self.steps[to].get(c, 0)
+        if to:
+            self.steps[at][c] = to
+        return to
+
     def _unigram(self, word, start, node, last, value) -> None:
-        children, fail, ends = self.children, self.fail, self.ends
+        ends, steps = self.ends, self.steps
         at = node[start]
         for i in range(start + 1, len(word) + 1):
-            c = word[i - 1]
-            while at and c not in children[at]:
-                at = fail[at]
-            node[i] = at = children[at].get(c, 0)
+            to = steps[at].get(word[i - 1])
+            node[i] = at = self._step(at, word[i - 1]) if to is None else to
             choice, top = None, 0.0
             for end in ends[at]:  # of equal sums the longest last piece
                 sum_ = value[i - end[1]] + self.scores[end[0]]
@@ -160,7 +177,7 @@ class PieceModel:
             if not ends[at] or ends[at][-1][1] > 1:
                 sum_ = value[i - 1] + self.least
                 if choice is None or sum_ > top:
-                    choice, top = (-1, 1), sum_
+                    choice, top = _OUTSIDE, sum_
             last[i], value[i] = choice, top
 
     def encode_words(self, words) -> dict[str, list[int]]:
@@ -194,26 +211,75 @@ class PieceModel:
             before = word
         return out
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [_WORD.findall((MARK if self.prefix else "") + t.replace(" ", MARK)) if t else [] for t in texts]
+    def _keys(self, text: str) -> list[str]:
+        """Names of a text's marked words in order: the word less its mark; ``\\n`` for a line end,
+        ``\\0`` before a word without a mark, ``\\1`` before a word as it stands."""
+        if self.lines and not ("\x00" in text or "\x01" in text or MARK in text):
+            spaced = text.replace("\n", " \n \x00")
+            if "  " not in spaced and spaced[0] != " " and spaced[-1] != " ":
+                return spaced.split(" ")
+        return ["\x01" + w for w in _WORD.findall((MARK if self.prefix else "") + text.replace(" ", MARK))]
+
+    def _marked(self, key: str) -> str:
+        return key if key == "\n" else key[1:] if key[:1] in ("\x00", "\x01") else MARK + key
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and where each text's begin (one longer than the texts)."""
+        ids, bounds, start, held = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], 0, 0
+        for i, t in enumerate(texts):
+            held += len(t or "")
+            if held > SLAB_CHARS or i + 1 == len(texts):
+                some, own = self._encode(texts[start:i + 1])
+                ids.append(some)
+                bounds.append(own[1:] + bounds[-1][-1])
+                start, held = i + 1, 0
+        return np.concatenate(ids), np.concatenate(bounds)
+
+    def _encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        keys = [self._keys(t) if t else [] for t in texts]
+        bounds = np.cumsum([0] + [len(k) for k in keys])
+        flat = list(chain.from_iterable(keys))
+        del keys
         if len(self.words) > CACHE_WORDS:
             self.words.clear()
-        new = set().union(*split) - self.words.keys()
-        self.words.update(self.encode_words(new))
-        known = self.words
-        out = []
-        for ws in split:
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            out.append(ids)
+            self.pool, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        new = list(set(flat).difference(self.words))
+        if new:
+            coded = self.encode_words({self._marked(k) for k in new})
+            ids = [coded[self._marked(k)] for k in new]
+            self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(i) for i in ids])])
+            self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), np.int32)])
+        word = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        del flat
+        ids, ends = _gather(self.pool, self.at, word)
+        return ids, np.append(0, ends)[bounds]
+
+    def decode(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
+        """Texts of ids laid out as ``encode`` does; ids that aren't in the model are passed over."""
+        n = len(self.spelled)
+        pool = np.frombuffer(b"".join(self.spelled), np.uint8)
+        at = np.append(0, np.cumsum([len(x) for x in self.spelled] + [0]))
+        out, start = [], 0
+        for i in range(1, len(bounds)):
+            if bounds[i] - bounds[start] > SLAB_CHARS or i + 1 == len(bounds):
+                own = ids[bounds[start]:bounds[i]]
+                body, ends = _gather(pool, at, np.where((own >= 0) & (own < n), own, n))
+                raw, cut = body.tobytes(), np.append(0, ends)[bounds[start:i + 1] - bounds[start]].tolist()
+                for a, b in zip(cut, cut[1:]):
+                    text = raw[a:b].decode("utf-8", "replace").replace(MARK, " ")
+                    out.append(text[1:] if self.prefix and text[:1] == " " else text)
+                start = i
         return out
 
-    def decode(self, ids) -> str:
-        """Text of ids; ids that aren't in the model are passed over."""
-        spelled, n = self.spelled, len(self.spelled)
-        text = b"".join([spelled[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace").replace(MARK, " ")
-        return text[1:] if self.prefix and text[:1] == " " else text
+
+def _gather(pool: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``pool[at[w]:at[w + 1]]`` of all ``which`` in a row, and their ends."""
+    size = at[which + 1] - at[which]
+    ends = np.cumsum(size)
+    if not len(ends) or not ends[-1]:
+        return pool[:0], ends
+    return pool[np.repeat(at[which] - ends + size, size) + np.arange(ends[-1])], ends
 
 
 _LOADED: dict = {}
@@ -249,8 +315,8 @@ def piece_encode(docs: DataFrame, model: str | None = None, text: str = "text",
         m = _model(shared)
         for b in batches:
             texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            ids = m.encode([t or "" for t in texts])
-            ids = pa.array([None if t is None else i for t, i in zip(texts, ids)], pa.list_(pa.int32()))
+            ids, bounds = m.encode(texts)
+            ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids), mask=pa.array([t is None for t in texts]))
             yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, out])
 
     return docs.mapInArrow(run, schema)
@@ -272,7 +338,10 @@ def piece_decode(rows: DataFrame, model: str | None = None, tokens: str = "token
         m = _model(shared)
         for b in batches:
             i = b.schema.get_field_index(tokens)
-            got = pa.array([None if t is None else m.decode(t) for t in b.column(i).to_pylist()], pa.string())
+            column = b.column(i)
+            size = np.append(0, pc.fill_null(pc.list_value_length(column), 0).to_numpy()).cumsum()
+            ids = pc.fill_null(pc.list_flatten(column), -1).to_numpy(zero_copy_only=False)
+            got = pa.array(m.decode(ids, size), pa.string(), mask=column.is_null().to_numpy(zero_copy_only=False))
             yield pa.RecordBatch.from_arrays([*[c for j, c in enumerate(b.columns) if j != i], got],
                                              [*[f.name for f in rest], out])
 
