@@ -4,16 +4,22 @@ Every tree splits recursively: a node projects its vectors on a random direction
 the lower part left and the upper part right; vectors in the band of ``SPILL`` of the rows on
 either side of the median go to both, so near pairs are seldom parted.  A node's thresholds
 come from a sample of at most about ``SAMPLE`` of its vectors (drawn by hash), every vector is
-routed.  Rounds go on until no node holds more than ``LEAF`` vectors; each round splits every
-large node by up to ``DEPTH`` levels, so the number of rounds grows with log(rows).
+routed.  Rounds go on until no node that may be split holds more than ``LEAF`` vectors; each
+round splits every large node by up to ``DEPTH`` levels, so the number of rounds grows with
+log(rows).
+
+Of some directions and cuts a node takes the one that parts the fewest near pairs of its sample.
+Where at least ``DENSE`` of all the sample's pairs are near and the best cut still parts more
+than ``PARTED`` of them, the node is not split: a large group of near vectors stays whole and is
+compared in full, at a cost of at most about 1 / ``DENSE`` pairs for each near one.
 
 Leaves compare all their vectors in double precision.  Across trees and through spill a pair
 may meet several times; it counts where the first leaf that holds both is met, which the
 vectors' lists of leaves tell, so no pairs are shuffled: a leaf gives each vector a number
 and links that span what it found connected, both linear in its rows.
 
-Skew: equal vectors are one node with their number.  A leaf that can't be split (equal
-projections) is compared as pairs of blocks.  Near pairs may be missed, none below the
+Skew: equal vectors are one node with their number.  A large leaf (a dense group, or equal
+projections) is compared as pairs of blocks, each vector in about the square root of its size.  Near pairs may be missed, none below the
 threshold is linked; tests measure the recall against brute force.
 """
 
@@ -41,6 +47,20 @@ ROUNDS = 12
 PART = 20_000
 #: A node of the sample is split while it has as many vectors.
 LEAST_SAMPLE = 16
+#: Vectors of a sample whose pairs are looked at, and the directions and cuts tried.
+MEASURED = 1024
+DIRECTIONS = 4
+CUTS = (0.5, 0.4, 0.6, 0.3, 0.7)
+#: What a cut off the median costs, as a share of the near pairs for a share of the rows.
+UNEVEN = 0.1
+#: A node with this share of near pairs isn't split where the best cut parts so many of them.
+DENSE = 0.05
+PARTED = 0.02
+#: Most rows of a block, and rows compared at once in a large leaf.
+BLOCK = 4096
+ROWS_AT_ONCE = 512
+#: Links of a leaf that are looked up one by one.
+FEW_LINKS = 1 << 16
 
 
 def packed_vectors(rows: DataFrame, id: str, vector: str) -> DataFrame:
@@ -67,36 +87,58 @@ def _unit(blobs) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _direction(node: int, size: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(node & ((1 << 64) - 1))).standard_normal(size)
+def _direction(node: int, size: int, number: int = 0) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64([node & ((1 << 64) - 1), number])).standard_normal(size)
 
 
 def _child(node: int, side: int) -> int:
     return int(mix(np.array([(node * 2 + side + 0x632BE59B) & ((1 << 64) - 1)], np.uint64)).view(np.int64)[0])
 
 
-def fit_splits(node: int, x: np.ndarray, levels: int, spill: float) -> dict[int, tuple[float, float]]:
-    """(low, high) of the band of each node below ``node``: under high goes left, over low goes right."""
+def _best_cut(node: int, x: np.ndarray, spill: float, threshold: float) -> tuple | None:
+    """(low, high, direction's number) of the band that parts the fewest near pairs; None if the node is better left whole."""
+    some = x[::-(-len(x) // MEASURED)]
+    near = (some @ some.T >= threshold).astype(np.float32)
+    np.fill_diagonal(near, 0)
+    pairs = float(near.sum(dtype=np.float64))
+    best = None
+    for k in range(DIRECTIONS):
+        d = _direction(node, x.shape[1], k)
+        p, own = x @ d, some @ d
+        bands = np.quantile(p, [c + e for c in CUTS for e in (-spill, spill)]).reshape(-1, 2)
+        for c, (low, high) in zip(CUTS, bands):
+            if (p <= high).all() or (p >= low).all():  # equal projections: no split
+                continue
+            parted = 2 * float((own < low) @ near @ (own > high)) / pairs if pairs else 0.0
+            cost = parted + UNEVEN * abs(c - 0.5)
+            if best is None or cost < best[0]:
+                best = cost, parted, (float(low), float(high), k)
+        if best and best[0] == 0:
+            break
+    if best is None or pairs >= DENSE * len(some) * (len(some) - 1) and best[1] > PARTED:
+        return None
+    return best[2]
+
+
+def fit_splits(node: int, x: np.ndarray, levels: int, spill: float, threshold: float = THRESHOLD) -> dict[int, tuple[float, float, int]]:
+    """(low, high, direction's number) of the band of each split node: under high goes left, over low goes right."""
     splits, level = {}, [(node, x)]
     for _ in range(levels):
         below = []
         for name, own in level:
-            if len(own) < LEAST_SAMPLE:
+            cut = _best_cut(name, own, spill, threshold) if len(own) >= LEAST_SAMPLE else None
+            if cut is None:
                 continue
-            p = own @ _direction(name, own.shape[1])
-            low, high = np.quantile(p, [0.5 - spill, 0.5 + spill])
-            left, right = own[p <= high], own[p >= low]
-            if len(left) == len(own) or len(right) == len(own):  # equal projections: no split
-                continue
-            splits[name] = (float(low), float(high))
-            below += [(_child(name, 0), left), (_child(name, 1), right)]
+            splits[name] = cut
+            p = own @ _direction(name, own.shape[1], cut[2])
+            below += [(_child(name, 0), own[p <= cut[1]]), (_child(name, 1), own[p >= cut[0]])]
         level = below
     return splits
 
 
-def with_directions(splits: dict[int, tuple[float, float]], size: int) -> dict[int, tuple]:
+def with_directions(splits: dict[int, tuple[float, float, int]], size: int) -> dict[int, tuple]:
     """(low, high, direction, children) of each split node."""
-    return {k: (*band, _direction(k, size), _child(k, 0), _child(k, 1)) for k, band in splits.items()}
+    return {k: (low, high, _direction(k, size, d), _child(k, 0), _child(k, 1)) for k, (low, high, d) in splits.items()}
 
 
 def route(node: int, x: np.ndarray, splits: dict[int, tuple]) -> list[tuple[int, np.ndarray]]:
@@ -113,7 +155,7 @@ def route(node: int, x: np.ndarray, splits: dict[int, tuple]) -> list[tuple[int,
     return out
 
 
-def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
+def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float, threshold: float) -> DataFrame:
     """(leaf, id): every vector in its leaves of every tree."""
     at = nodes.select("id", "v", "w", F.explode(F.array(*[
         F.xxhash64(F.lit(t), F.octet_length("v")) for t in range(trees)])).alias("node"))  # sizes never mix
@@ -126,7 +168,7 @@ def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
         def fit(key, table):
             node, n = key[0].as_py(), table.column("n")[0].as_py()
             levels = min(DEPTH, max(1, math.ceil(math.log(n / (0.6 * leaf)) / shrink)))
-            splits = fit_splits(node, _unit(table.column("v").to_pylist()), levels, spill)
+            splits = fit_splits(node, _unit(sorted(table.column("v").to_pylist())), levels, spill, threshold)
             return pa.table({"node": pa.array([node], pa.int64()), "splits": pa.array([pickle.dumps(splits)], pa.binary())}
                             if splits else {"node": pa.array([], pa.int64()), "splits": pa.array([], pa.binary())})
 
@@ -165,11 +207,18 @@ def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float) -> DataFrame:
     return at
 
 
-def _spans(near: np.ndarray) -> np.ndarray:
-    """Smallest index that each row reaches over a symmetric matrix of links."""
-    label = np.arange(len(near))
+def _spans(near: np.ndarray, cut: int = 0) -> np.ndarray:
+    """Smallest index that each row reaches over a symmetric matrix of links (cut > 0: links of [:cut] with [cut:])."""
+    n = len(near) + (near.shape[1] if cut else 0)
+    label = np.arange(n)
     while True:
-        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(axis=1, initial=len(near)))
+        new = label.copy()
+        for a in range(0, len(near), ROWS_AT_ONCE):
+            own = near[a:a + ROWS_AT_ONCE]
+            rows = slice(a, a + len(own))
+            new[rows] = np.minimum(new[rows], np.where(own, label[None, cut:], n).min(axis=1, initial=n))
+            if cut:
+                new[cut:] = np.minimum(new[cut:], np.where(own, label[rows, None], n).min(axis=0, initial=n))
         new = new[new]
         if (new == label).all():
             return label
@@ -191,31 +240,76 @@ def _met_before(leaves: np.ndarray, name: int, i: np.ndarray, j: np.ndarray) ->
     return out
 
 
+def _near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which rows of x and y are near each other."""
+    near = np.empty((len(x), len(y)), bool)
+    for a in range(0, len(x), ROWS_AT_ONCE):
+        product = x[a:a + ROWS_AT_ONCE] @ y.T
+        own = near[a:a + ROWS_AT_ONCE]
+        own[:] = product >= threshold
+        for i, j in zip(*np.nonzero(np.abs(product - threshold) < 1e-9)):  # too near to call: the sum of products decides
+            own[i, j] = float(np.dot(x[a + i], y[j])) >= threshold
+    return near
+
+
+def _classes(leaves: np.ndarray, name: int) -> tuple[np.ndarray, np.ndarray]:
+    """(class of each row, classes x leaves): rows in the same smaller leaves are one class."""
+    lists, which = np.unique(leaves, axis=0, return_inverse=True)
+    known, at = np.unique(lists, return_inverse=True)
+    at = at.reshape(lists.shape)
+    member = np.zeros((len(lists), len(known)), np.float32)
+    np.put_along_axis(member, at, 1, axis=1)
+    return which.reshape(-1), member[:, known < name]
+
+
 def _leaf_links(ids, weights, x, leaves, name, cut, threshold):
     """Weighted numbers of links and spanning links of a leaf (cut > 0: only across [:cut] and [cut:])."""
     n = len(ids)
-    product = x @ x.T
-    near = product >= threshold
-    for i, j in zip(*np.nonzero(np.abs(product - threshold) < 1e-9)):  # too near to call: the sum of products decides
-        near[i, j] = float(np.dot(x[i], x[j])) >= threshold
-    near &= near.T
-    np.fill_diagonal(near, False)
-    if cut:
-        near[:cut, :cut] = near[cut:, cut:] = False
-    i, j = np.nonzero(np.triu(near))
-    first = ~_met_before(leaves, name, i, j)
-    i, j = i[first], j[first]
-    found = np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)
-    label = _spans(near)
+    one, two = (slice(0, cut), slice(cut, n)) if cut else (slice(0, n), slice(0, n))
+    if n > ROWS_AT_ONCE:  # rows that have met all others before have no new links
+        which, member = _classes(leaves, name)
+        met = lambda a, b: (member[np.unique(which[a])] @ member[np.unique(which[b])].T > 0).all(axis=1)
+        fresh = np.zeros(n, bool)
+        for a, b in ((one, two), (two, one)):
+            fresh[a] |= ~met(a, b)[np.searchsorted(np.unique(which[a]), which[a])]
+        keep = np.flatnonzero(fresh)
+        if len(keep) < n:
+            if not len(keep):
+                return np.zeros(n, np.int64), [], []
+            inner, a, b = _leaf_links(ids[keep], weights[keep], x[keep], leaves[keep], name,
+                                      int((keep < cut).sum()), threshold)
+            found = np.zeros(n, np.int64)
+            found[keep] = inner
+            return found, a, b
+    near = _near(x[one], x[two], threshold)
+    if not cut:
+        np.fill_diagonal(near, False)
+    found = np.zeros(n)
+    if np.count_nonzero(near) <= FEW_LINKS:
+        i, j = np.nonzero(near if cut else np.triu(near))
+        j = j + cut
+        first = ~_met_before(leaves, name, i, j)
+        i, j = i[first], j[first]
+        found += np.bincount(i, weights[j], n) + np.bincount(j, weights[i], n)
+    else:
+        which, member = _classes(leaves, name)
+        for a in range(0, len(near), ROWS_AT_ONCE):
+            rows = slice(a, min(a + ROWS_AT_ONCE, len(near)))
+            own, like = np.unique(which[rows], return_inverse=True)
+            first = (near[rows] & ~(member[own] @ member.T > 0)[like.reshape(-1)[:, None], which[two]]).astype(np.float64)
+            found[rows] += first @ weights[two]
+            if cut:
+                found[two] += weights[rows] @ first
+    label = _spans(near, cut)
     far = np.flatnonzero(label != np.arange(n))
-    return found.astype(np.int64), ids[far].tolist(), ids[label[far]].tolist()
+    return np.rint(found).astype(np.int64), ids[far].tolist(), ids[label[far]].tolist()
 
 
 def leaf_links(forest: DataFrame, leaf: int, threshold: float) -> DataFrame:
     """(u, v, n): rows with v = null say that u has n (weighted) links, the others are spanning links."""
     lists = forest.groupBy("id").agg(F.collect_list("node").alias("leaves"))  # at most a few for each tree
     crowded = forest.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf).select(
-        "node", F.ceil(F.col("n") / (2 * leaf)).cast("long").alias("blocks"))
+        "node", F.ceil(F.greatest(F.sqrt(F.col("n") / leaf), F.col("n") / BLOCK)).cast("long").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
                         lambda b: F.shiftleft(F.least(b, own), 32).bitwiseOR(F.greatest(b, own)))
@@ -261,7 +355,7 @@ def vector_groups(rows: DataFrame, id: str = "vec_id", vector: str = "embedding"
     table = stored(packed_vectors(rows, id, vector))
     nodes = stored(table.where("v IS NOT NULL").groupBy("v").agg(
         F.coalesce(F.min("id"), F.min(F.xxhash64("v"))).alias("id"), F.count("*").alias("w")))
-    forest = _forest(nodes, trees, leaf, spill)
+    forest = _forest(nodes, trees, leaf, spill, threshold)
     links = stored(leaf_links(forest, leaf, threshold))
     numbers = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
     found = connected_components(links.where("v IS NOT NULL").select("u", "v"))

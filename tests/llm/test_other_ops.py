@@ -58,6 +58,26 @@ def test_unsplittable_leaf_is_compared_in_blocks(llm):
     assert set(got.n_links) == {899} and set(got.component_id) == {0}
 
 
+def _dense_group(m, size=64, seed=5):
+    """Unit vectors of which any two are at about 0.96."""
+    rng = np.random.default_rng(seed)
+    centre = rng.normal(size=size)
+    away = rng.normal(size=(m, size))
+    return centre / np.linalg.norm(centre) + 0.195 * away / np.linalg.norm(away, axis=1, keepdims=True)
+
+
+def test_dense_groups_keep_their_links(llm):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([_dense_group(2000), rng.normal(size=(1500, 64))])
+    ids = list(range(len(x)))
+    n, component = _brute_vectors(ids, x)
+    assert n.sum() > 3_000_000
+    rows = llm.createDataFrame(pd.DataFrame({"vec_id": ids, "embedding": x.tolist()}))
+    got = vector_dedup.vector_groups(rows).toPandas().sort_values("vec_id")
+    assert got.n_links.sum() >= 0.97 * n.sum() and (got.n_links.values <= n).all()
+    assert got.component_id.tolist() == component
+
+
 def test_vectors_odd_rows(llm):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []),
