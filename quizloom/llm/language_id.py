@@ -317,15 +317,14 @@ def language_id(docs: DataFrame, model: Crf | None, text: str = "text", out: str
     return docs.mapInArrow(run, schema), out
 
 
-def language_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
-                    least: float = 0.4) -> DataFrame:
-    """``docs`` whose language is told with a score of ``least`` or more, same columns.
+def language_filter(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """``docs`` whose language is told, same columns.
 
-    Rejected: null texts, texts without a letter, texts that no language explains.
+    Rejected: null texts and texts without a letter (and all texts if there is nothing to fit on).
+    A text that switches languages is kept, whatever the share of its first one.
     """
     rows, out = language_id(docs, fit_language_model(docs, id, text, lang), text)
-    keep = (F.col(f"{out}.lang_pred") != UNKNOWN) & (F.col(f"{out}.score") >= least)
-    return rows.where(keep).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return rows.where(F.col(f"{out}.lang_pred") != UNKNOWN).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

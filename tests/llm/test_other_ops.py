@@ -10,9 +10,10 @@ from html import unescape
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quizloom.llm import chat_format, license_scan, page_text, simhash_dedup, vector_dedup, warc_convert
+from quizloom.llm import chat_format, language_id, license_scan, page_text, simhash_dedup, vector_dedup, warc_convert
 from quizloom.llm.common import scratch_folder, stored
 from tests.llm.conftest import SF
 
@@ -291,6 +292,22 @@ def test_pipeline_stages(llm, docs):
     assert {r.doc_id for r in last.select("doc_id").collect()} == ids
 
 
+def test_language_stage_keeps_switching_texts(llm):
+    raw = llm.read.parquet(f"{SF}/documents.parquet")
+    d = raw.toPandas()
+    words = [" ".join(t.split()[:60]) for t in d.dropna(subset=["lang"]).groupby("lang").text.first()]
+    assert len(words) >= 3
+    mixed = raw.limit(1).withColumn("doc_id", F.lit(-5).cast(raw.schema["doc_id"].dataType)).withColumn(
+        "text", F.lit(" ".join(words))).withColumn("lang", F.lit(None).cast("string"))
+    out, name = language_id.language_id(mixed, language_id.fit_language_model(raw))
+    best = out.first()[name]
+    assert best.lang_pred != language_id.UNKNOWN and best.score < 0.4
+    kept = corpus_pipeline.language(llm, raw.unionByName(mixed), SF).select("doc_id").toPandas().doc_id
+    assert -5 in set(kept)
+    told = d[[isinstance(t, str) and any(c.isalpha() for c in t) for t in d.text]].doc_id
+    assert sorted(kept) == sorted([*told, -5])
+
+
 def test_pipeline_odd_rows(llm, docs, tmp_path):
     rows = [(1, None, "en"), (2, "", "en"), (None, "the cat sat on the mat by the sea", "en"), (4, "the dog and the fox ran away", "en"),
             (4, "the dog and the fox ran away", "en"), (5, "le chat est dans la maison avec un chien", "fr"), (6, "12 34", None)]
