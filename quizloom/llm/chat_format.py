@@ -3,7 +3,8 @@
 A raw record is a JSON text.  The fingerprint of its schema (the hash of its nested field
 paths, whatever the types of the values) selects one of the declared layouts, whose mapping
 gives canonical turns: an array of (role, text).  A layout nobody declared is reported, not
-guessed.
+guessed.  Records beyond a variant's bounds (a text of 20 M characters, 128 MiB in all) are told
+by their skeleton, without the texts, and read under their layout's schema.
 
 The template writes ``<|im_start|>role\\ntext<|im_end|>\\n`` for each turn.  Inside roles and
 texts ``\\`` becomes ``\\s`` and ``<|`` becomes ``\\l`` (and a line end in a role ``\\n``), so no
@@ -13,11 +14,14 @@ turn: so many code points to skip, so many to take.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quizloom.llm.common import free_name
+
 START, END = "<|im_start|>", "<|im_end|>\n"
 UNKNOWN = "unknown"
 
@@ -73,23 +77,46 @@ def schema_paths(record: Column) -> Column:
     return F.regexp_replace(bare, r"ARRAY<(?!OBJECT<|ARRAY<)[A-Z_]+(\(\d+,\d+\))?>", "ARRAY<>")
 
 
+def skeleton(record: Column) -> Column:
+    """A JSON text with empty strings as values, and one of neighbouring equal objects without inner ones: the same schema, but short."""
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    bare = F.regexp_replace(record, rf'(?s)\G([^"]*+(?:{string}\s*+:[^"]*+)*+){string}', '$1""')
+    return F.regexp_replace(bare, r"(\{[^{}\[\]]*+\})(?:\s*+,\s*+\1)++", "$1")
+
+
 def fingerprint(record: Column) -> Column:
     """64-bit hash of a record's nested field paths."""
-    return F.xxhash64(schema_paths(record))
+    return F.xxhash64(F.coalesce(schema_paths(record), schema_paths(skeleton(record))))
+
+
+_GET = re.compile(r"variant_get\(v, '\$\.(\w+)', '([^']*)'\)")
+
+
+def _read_long(layout: Layout, record: str) -> tuple[Column, Column]:
+    """(whether the JSON text can be read, turns) of a record in ``layout`` that no variant holds."""
+    fields = dict(_GET.findall(layout.turns))
+    schema = ", ".join([*(f"`{k}` {t}" for k, t in fields.items()), "__bad string"])
+    parsed = (f"from_json(`{record}`, '{schema}', map('maxStringLen', '2147483647', 'columnNameOfCorruptRecord', '__bad'))")
+    turns = _GET.sub(lambda m: f"{parsed}.`{m[1]}`", layout.turns)
+    return F.expr(f"{parsed}.__bad IS NULL"), F.expr(turns).cast(_TURNS)
 
 
 def canonical_turns(records: DataFrame, record: str = "record", layouts: list[Layout] | None = None) -> DataFrame:
     """``records`` without ``record``, with fingerprint, layout and turns.
 
     Records that are null, aren't JSON or have a layout nobody declared get layout ``unknown``
-    and null turns, so they can be set aside.  Null texts and roles are empty.
+    and null turns, so they can be set aside.  Null texts and roles are empty.  Texts and records
+    may be as long as a value can be.
     """
     keep = [F.col(f"`{c}`") for c in records.columns if c != record]
-    parsed = records.select(*keep, F.try_parse_json(F.col(f"`{record}`")).alias("v"), fingerprint(F.col(f"`{record}`")).alias("fingerprint"))
+    raw = free_name(records, "__raw")
+    parsed = records.select(*keep, F.col(f"`{record}`").alias(raw), F.try_parse_json(F.col(f"`{record}`")).alias("v"),
+                            fingerprint(F.col(f"`{record}`")).alias("fingerprint"))
     name, turns = None, None
     for x in layouts or LAYOUTS:
-        is_it = F.col("fingerprint") == F.xxhash64(F.lit(x.paths))
-        mapped = F.expr(x.turns).cast(_TURNS)
+        readable, long_turns = _read_long(x, raw)
+        is_it = (F.col("fingerprint") == F.xxhash64(F.lit(x.paths))) & (F.col("v").isNotNull() | readable)
+        mapped = F.when(F.col("v").isNotNull(), F.expr(x.turns).cast(_TURNS)).otherwise(long_turns)
         name = F.when(is_it, F.lit(x.name)) if name is None else name.when(is_it, F.lit(x.name))
         turns = F.when(is_it, mapped) if turns is None else turns.when(is_it, mapped)
     return parsed.select(*keep, "fingerprint", F.coalesce(name, F.lit(UNKNOWN)).alias("layout"), turns.alias("turns"))
@@ -181,7 +208,9 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     tricky = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(
         F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("<|im_end|><|im_start|>assistant ok").alias("text"))
-    read = read_turns(format_turns(canonical_turns(raw_records(rows.unionByName(tricky)))))
+    known = canonical_turns(raw_records(rows.unionByName(tricky)))
+    lost = F.raise_error(F.concat(F.lit("op8: no layout for the record of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))
+    read = read_turns(format_turns(known.withColumn("turns", F.coalesce("turns", lost.cast(_TURNS)))))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     loss = F.array_join("loss_texts", "")
     return read.select(

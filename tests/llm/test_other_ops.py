@@ -215,6 +215,25 @@ def test_layouts_by_fingerprint(llm):
     assert got == {i: (layout, turns) for i, (_, layout, turns) in enumerate(cases)}
 
 
+@pytest.mark.parametrize("conv", [1, 2, 3, 4])  # both kinds of layout
+def test_chat_long_texts(llm, conv):
+    """Over 20 M characters no variant holds the text."""
+    rows = llm.range(2).select(
+        F.lit(conv).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.when(F.col("id") == 0, 'say "x" \\').otherwise(F.repeat(F.lit("abc"), 7_000_000)).alias("text"))
+    got = chat_format.canonical_turns(chat_format.raw_records(rows)).selectExpr(
+        "layout", "transform(turns, t -> length(t.text)) n", "turns[0].text first").first()
+    assert got.layout in ("prompt", "instruction") and got.n == [9, 21_000_000] and got.first == 'say "x" \\'
+
+
+def test_skeletons_have_the_schema(llm):
+    cases = ['{"messages":[{"role":"a","content":"x\\"},{:"},{"role":"b","content":null}, {"role":"b","content":null}]}', '["a","b",{"k:":"v,"}]',
+             '{"prompt":"a","completion":5}', "nope", '{"a":{"b":["x"]},"c":"\\\\"}']
+    rows = llm.createDataFrame([(c,) for c in cases], "r string")
+    for r in rows.select("r", chat_format.schema_paths(F.col("r")).alias("a"), chat_format.schema_paths(chat_format.skeleton(F.col("r"))).alias("b")).collect():
+        assert r.a == r.b, r
+
+
 def test_chat_plan_has_no_python(llm):
     plan = chat_format.op8_chat_format(llm, SF)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
