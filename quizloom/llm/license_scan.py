@@ -1,11 +1,12 @@
 """License scans by conditional compression.
 
-A candidate block is a line or sentence with a license cue.  Its normalised words are
-compressed plainly and with each template as a raw zstandard dictionary; the bytes that a
-template saves rank the templates.  The best ones are then held against the block word by
-word: the core of a wording (license name and version) must stand in the block unbroken and
-not go on into another license's name, and the differences of the rest are counted and
-reported.  A lower-ranked template wins if those above it fail.
+A candidate block is a line or sentence with a license cue, and a sentence over several lines
+of a paragraph where a wording crosses a line end.  Its normalised words are compressed plainly
+and with each template as a raw zstandard dictionary; the bytes that a template saves rank the
+templates.  Each that saves enough is then held against the block word by word: the core of a
+wording (license name and version) must stand in the block unbroken and not go on into another
+license's name, and the differences of the rest are counted and reported.  Every license
+confirmed is reported, best ranked first.
 
 Only texts with a cue reach Python, nothing is shuffled, and whole texts are read.
 """
@@ -29,10 +30,13 @@ from quizloom.llm.common import free_name, prepare
 CUE = (r"(?i)licen[sc]|copyright|spdx|public\W+domain|creative\W+commons|all\W+rights\W+reserved|"
        r"permission\W+is\W+hereby|redistribution\W+and\W+use|\bCC\W+BY\b|\bCC0\b|unlicense")
 _CUE = re.compile(CUE)
-_BLOCK = re.compile(r"\n+|(?<=\w[.!?;])\s+")
+#: Between a sentence's end and the next; "v. 2.0" is one word.
+_STOP = r"(?:(?<!\W[vV]\.)|(?!\s*\d))\s+"
+_BLOCK = re.compile(r"\n+|(?<=\w[.!?;])" + _STOP)
+#: Sentences of a paragraph, which ends at a line without words; a license's sentence may go on after a semicolon.
+_SENTENCE = re.compile(r"\n(?:[^\w\n]*\n)+|(?<=\w[.!?])" + _STOP)
 _WORD = re.compile(r"[^\W_]+")
-#: Templates tried in the word check, best first; bytes a template must save.
-TRIED = 5
+#: Bytes a template must save.
 LEAST_SAVED = 4
 LEVEL = 9
 #: Where so many words of a wording stand outside its core, the share of them that may differ.
@@ -131,22 +135,44 @@ class Scanner:
                 best = ((differ, -len(w.words)), (differ, told))
         return best[1] if best else None
 
+    def crossing(self, lines: list[list[str]]) -> set[str]:
+        """Templates with a core that stands in the lines' words and crosses a line end."""
+        line_of = [k for k, own in enumerate(lines) for _ in own]
+        block = [w for own in lines for w in own]
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(block):
+            at.setdefault(w, []).append(i)
+        return {name for name, wordings in self.wordings.items() for w in wordings for i in at.get(w.core[0], ())
+                if tuple(block[i:i + len(w.core)]) == w.core and line_of[i] != line_of[i + len(w.core) - 1]}
+
+    def confirmed(self, block: list[str], text: str, names: set[str] | None = None) -> list[dict]:
+        """The finds in a block, best ranked first (of some templates)."""
+        found = []
+        for rank, (saved, name) in enumerate(self.ranked(block)):
+            got = self.differences(name, block) if names is None or name in names else None
+            if got:
+                found.append({"license": name, "saved_bytes": saved, "rank": rank + 1, "n_differences": got[0],
+                              "differences": got[1], "block": text.strip()})
+        return found
+
     def scan(self, text: str) -> tuple[int, list[dict]]:
         """Number of candidate blocks, and the confirmed finds in order."""
         blocks, found = 0, []
-        for piece in _BLOCK.split(text):
-            if not _CUE.search(piece):
-                continue
-            block = words_of(piece)
-            if not block:
+        for sentence in _SENTENCE.split(text):
+            if not _CUE.search(sentence):
                 continue
-            blocks += 1
-            for rank, (saved, name) in enumerate(self.ranked(block)[:TRIED]):
-                got = self.differences(name, block)
-                if got:
-                    found.append({"license": name, "saved_bytes": saved, "rank": rank + 1, "n_differences": got[0],
-                                  "differences": got[1], "block": piece.strip()})
-                    break
+            own: list[dict] = []
+            for piece in _BLOCK.split(sentence):
+                block = words_of(piece) if _CUE.search(piece) else []
+                if block:
+                    blocks += 1
+                    own += self.confirmed(block, piece)
+            lines = [words_of(x) for x in sentence.split("\n")]
+            over = self.crossing(lines) - {f["license"] for f in own} if len(lines) > 1 else set()
+            if over:
+                blocks += 1
+                own += self.confirmed([w for x in lines for w in x], sentence, over)
+            found += own
         return blocks, found
 
 

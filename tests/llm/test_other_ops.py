@@ -123,6 +123,26 @@ def test_license_wordings(text, names):
     assert n >= 1 and [f["license"] for f in found] == names
 
 
+@pytest.mark.parametrize("text,names", [
+    ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files "
+     "(the \"Software\"), to deal\nin the Software without restriction, including without limitation", ["MIT"]),
+    ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided "
+     "that the above\ncopyright notice appear in all copies.", ["ISC"]),
+    ("# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the "
+     "License, or\n# (at your option) any later version.", ["GPL-2.0"]),
+    (" * Neither the name of the copyright holder nor the names of its\n * contributors may be used to endorse or promote products derived "
+     "from\n * this software without permission.", ["BSD-3-Clause"]),
+    ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy", ["MPL-2.0"]),
+    (" * This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy", ["MPL-2.0"]),
+    ("Licensed under the Apache License, Version 2.0 or released under the MIT License", ["Apache-2.0", "MIT"]),
+    ("GPL-2.0, GPL-3.0, LGPL-3.0, LGPL-2.1, AGPL-3.0, CC0 1.0 and ISC License",
+     ["AGPL-3.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0"]),
+    ("a copyright by MIT.\nLicense plates", []), ("copyright MIT\n\nLicense plates", [])])
+def test_licenses_over_line_ends_and_all_of_a_block(text, names):
+    _, found = license_scan.Scanner(license_scan.TEMPLATES).scan(text)
+    assert sorted(f["license"] for f in found) == names
+
+
 def test_license_odd_rows(llm, docs):
     rows = [(1, None, "en"), (2, "", "en"), (3, "no cue", None), (4, "Released under the MIT License", "en"),
             (4, "Released under the MIT License", "en"), (None, "license", "en")]
