@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 from quizloom.llm import (
-    chat_format, decontaminate, language_id, license_scan, page_text, sentence_pieces, simhash_dedup, substring_dedup,
-    vector_dedup, warc_convert)
+    best_fit, chat_format, decontaminate, filter_audit, language_id, license_scan, page_text, sentence_pieces,
+    simhash_dedup, source_audit, substring_dedup, vector_dedup, warc_convert)
 from quizloom.session import configure
 
 
@@ -27,6 +27,9 @@ _OPS = [
     (chat_format.op8_chat_format, chat_format.OP8_SQL),
     (decontaminate.op9_benchmark_decontamination, decontaminate.OP9_SQL),
     (page_text.op10_html_text, None),
+    (source_audit.op11_source_divergence, source_audit.OP11_SQL),
+    (filter_audit.op12_filter_interaction, filter_audit.OP12_SQL),
+    (best_fit.op13_best_fit_packing, None),
 ]
 
 QUERIES = {fn.__name__: _query(fn) for fn, _ in _OPS}

@@ -164,3 +164,15 @@ def slabs(texts: list[bytes], size: int = SLAB_BYTES) -> Iterator[tuple[int, int
         held += len(t) + 1
     if at < len(texts):
         yield at, len(texts)
+
+
+def text_pieces(text: bytes, keep: np.ndarray = SPACE, size: int = SLAB_BYTES) -> Iterator[bytes]:
+    """``text`` in pieces of about ``size`` bytes, cut before a byte that ``keep`` has as no word byte."""
+    at = 0
+    while len(text) - at > size:
+        end = at + size
+        while end < len(text) and keep[text[end]]:
+            end += 1
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
