@@ -19,79 +19,125 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import prepare, stored, text_bytes
+from quizloom.llm.common import prepare, slabs, stored, text_bytes
 
 CAPACITY = 1024
 END_ID = 2
 #: Items packed in one task, and the most tokens that a finished bin may lack.
 NODE_ITEMS = 131072
 SLACK = 16
-#: Units whose ids a worker remembers, for each of two generations.
-REMEMBERED = 250_000
+#: Keys that a worker remembers, for each of two generations.
+REMEMBERED = 900_000
 
-# A pre-token of the vocabulary ends where white space begins, and where a letter or digit meets ASCII
-# punctuation, whatever follows: texts may be cut there and encoded unit by unit.
-_RISKY = re.compile(r"\s | \s")
+# A pre-token of the vocabulary ends where white space begins, and where a letter meets an ASCII
+# mark, whatever follows: texts may be cut there and encoded unit by unit.
+_RISKY = re.compile(r"\s | \s|<\|")
 _AT_SPACE = re.compile(r"(?<=\S)(?= )")
-_AT_MARK = re.compile(r"(?<=[A-Za-z0-9])(?=[!-/:-@\[-`{-~])")
+#: Letters and then marks: one pre-token each.
+_SHAPE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-/:-@\[-`{-~]*)")
 
 
-class _Memory:
-    """What a function gave for the keys met of late: two generations of a bounded number."""
-
-    def __init__(self, missing, size: int):
-        self.missing, self.size, self.young, self.old = missing, size, {}, {}
-
-    def all(self, keys: list[str]) -> list[bytes]:
-        got = list(map(self.young.get, keys))
-        if None in got:
-            need = {k for k, v in zip(keys, got) if v is None}
-            if len(self.young) + len(need) > self.size:
-                self.old, self.young = self.young, {}
-            found = {k: v for k in need if (v := self.old.get(k)) is not None}
-            rest = [k for k in need if k not in found]
-            found.update(zip(rest, self.missing(rest)))
-            got = [found[k] if v is None else v for k, v in zip(keys, got)]
-            self.young.update(found)
-        return got
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary writes for each byte: itself if it prints, else the next from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of whole texts by a vocabulary file of the ``tokenizers`` library, as little-endian 32-bit bytes.
 
-    The ids are the library's for the whole text; it is asked once for each unit (a word or a
-    run of marks) and remembers the answers.  A special token's string gives its id, as the
-    library has it by default.
+    The ids are the library's for the whole text.  Texts are cut where no pre-token crosses.  The
+    library's model gets new words of many texts at once (each begins with the vocabulary's sign for a
+    space, which tells them apart in the answer), the whole library gets every unit of another
+    kind.  Answers are remembered in two generations of a bounded number.  A special token's
+    string gives its id, as the library has it by default.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = REMEMBERED):
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.words, self.units = _Memory(self._words, REMEMBERED), _Memory(self._units, REMEMBERED)
-
-    def _units(self, units: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(units, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in got]
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        parts = [_AT_MARK.split(w) if "<|" not in w else [w] for w in words]
-        ids = iter(self.units.all([u for p in parts for u in p]))
-        return [b"".join([next(ids) for _ in p]) for p in parts]
-
-    def __call__(self, text: str) -> bytes:
-        if _RISKY.search(text):
-            words = _AT_SPACE.split(text)
-        else:
-            words = text.split(" ")
-            words[1:] = [" " + w for w in words[1:]]
-        return b"".join(self.words.all(words))
+        from tokenizers.pre_tokenizers import Split
+        self.tokenizer, self.size = Tokenizer.from_file(path), size
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = Split(" ", "removed")
+        letters = byte_letters()
+        self.spell = letters | {0x0A: " "}
+        ids = range(self.tokenizer.get_vocab_size())
+        self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith(letters[0x20]) for i in ids])
+        self.young: dict[str, bytes] = {}  # by the word that follows a space
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes() if text else b""
+
+    def _spelt(self, words: list[str]) -> Iterator[bytes]:
+        """Ids of a space and a word, for words of one pre-token each."""
+        spelt = "\n".join([" " + w for w in words]).encode().decode("latin-1").translate(self.spell)
+        ids = np.array(self.model.encode_batch_fast([spelt], add_special_tokens=False)[0].ids, "<u4")
+        at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
+        data, at = ids.tobytes(), at.tolist()
+        return (data[x:y] for x, y in zip(at, at[1:]))
+
+    def _run(self, marks: str) -> bytes:
+        """Ids of a run of ASCII marks after a letter."""
+        if marks not in self.marks:
+            if len(self.marks) > 10_000:
+                self.marks = {}
+            self.marks[marks] = self.whole(marks)
+        return self.marks[marks]
+
+    def _learn(self, words: set[str]) -> None:
+        """Makes ``young`` hold these words too."""
+        young, old, single, ended = self.young, self.old, {}, []
+        for w in words:
+            ids = old.get(w)
+            if ids is not None:
+                young[w] = ids
+            elif w.isascii() and w.isalpha():
+                single[w] = None
+            elif not (shape := _SHAPE.fullmatch(w)):
+                young[w] = self.whole(" " + w)
+            elif shape[1] and shape[2]:
+                ended.append((w, *shape.groups()))
+                if shape[1] not in young:
+                    single[shape[1]] = None
+            else:
+                single[w] = None
+        if single:
+            young.update(zip(single, self._spelt(list(single))))
+        for w, letters, marks in ended:
+            young[w] = young[letters] + self._run(marks)
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        heads, words, odd = [], [], {}
+        for i, t in enumerate(texts):
+            if _RISKY.search(t):
+                head, *rest = _AT_SPACE.split(t)
+                odd[i] = [_RISKY.search(w) or w[-1].isspace() for w in rest]
+                rest = [w if o else w[1:] for w, o in zip(rest, odd[i])]
+            else:
+                head, *rest = t.split(" ")
+            heads.append(head)
+            words.append(rest)
+        if len(self.young) > self.size:
+            self.old, self.young = self.young, {}
+        plain = (([w for w, o in zip(ws, odd[i]) if not o] if i in odd else ws) for i, ws in enumerate(words))
+        self._learn(set(chain.from_iterable(plain)).difference(self.young))
+        get, out = self.young.__getitem__, []
+        for i, (head, ws) in enumerate(zip(heads, words)):
+            ids = [self.whole(w) if o else get(w) for w, o in zip(ws, odd[i])] if i in odd else map(get, ws)
+            out.append(self.whole(head) + b"".join(ids))
+        return out
 
 
 def text_slices(text: str, size: int = 1 << 18) -> Iterator[str]:
@@ -109,11 +155,16 @@ def text_slices(text: str, size: int = 1 << 18) -> Iterator[str]:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encode(path: str, text: str) -> bytes:
-    """Ids of a text of any length."""
+def encode(path: str, texts: list[str]) -> Iterator[bytes]:
+    """Ids of texts of any length, one after the other."""
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
-    return b"".join(_ENCODERS[path](s) for s in text_slices(text))
+    encoder = _ENCODERS[path]
+    for a, b in slabs(texts):
+        if b - a > 1:
+            yield from encoder(texts[a:b])
+        else:
+            yield b"".join([encoder([s])[0] for s in text_slices(texts[a])])
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -134,8 +185,9 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, which = [], []
-            for i, body in enumerate(batch.column("body")):
-                ids = encode(tokenizer, str(body.as_py(), "utf-8", "replace")) + end
+            texts = [str(body.as_py(), "utf-8", "replace") for body in batch.column("body")]
+            for i, ids in enumerate(encode(tokenizer, texts)):
+                ids += end
                 for p, (a, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     rows.append((p, a, n, zlib.crc32(ids[4 * a:4 * (a + n)])))
                     which.append(i)
