@@ -216,7 +216,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
         F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss.cast("binary"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"), "layout")
+        F.length("formatted").cast("long").alias("formatted_chars"))
 
 
 #: DuckDB: the same digests from the rows themselves.

@@ -27,7 +27,7 @@ def same(llm, con):
         got = query(llm, SF)
         want = con.execute(sql)
         names = [d[0] for d in want.description]
-        assert set(names) <= set(got.columns)
+        assert sorted(names) == sorted(got.columns)
         rows = sorted((tuple(r[n] for n in names) for r in got.collect()), key=repr)
         assert rows == sorted(map(tuple, want.fetchall()), key=repr)
     return check
