@@ -5,6 +5,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 from html import unescape
 
 import numpy as np
@@ -315,6 +316,95 @@ def test_pages_odd_rows(llm):
     assert page_text.page_texts(table.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<" + "p" * 1_000_000, "<!" * 400_000, "<a \"" * 250_000, "<a '\">" * 150_000,
+                                  "<p x=\">\" '" * 100_000 + ">", "<script>" * 100_000, "<!--" * 200_000, "</" * 400_000,
+                                  "&" * 500_000, "<p>x" * 100_000, "<b><ul><li>x" * 40_000])
+def test_broken_pages_end(page):
+    began = time.monotonic()
+    page_text.extract(page, page_text._mark(page_text.infer([page, page + "<p>z", "<div>" + page])))
+    assert time.monotonic() - began < 60
+
+
+def test_scan_reads_tags():
+    page = "a<!-- <p> -->b<!DOCTYPE x><P Class='a>b'>c<br/>1 < 2<script>if (a<b) '</p>'</SCRIPT >d</p>e<p <3 > '<"
+    assert list(page_text.scan(page)) == [
+        (None, False, "a"), (None, False, "b"), ("p", False, " Class='a>b'"), (None, False, "c"), ("br", False, "/"),
+        (None, False, "1 "), (None, False, "<"), (None, False, " 2"), (None, False, "d"), ("p", True, ""), (None, False, "e"),
+        ("p", False, " <3 "), (None, False, " '<")]
+
+
+@pytest.mark.parametrize("cells", [1 << 28, 4])
+def test_longest_common_subsequence(cells):
+    rng = random.Random(4)
+    for _ in range(300):
+        a, b = (rng.choices("abcd"[:rng.randint(1, 4)], k=rng.randint(0, 12)) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        got = page_text.common(a, b, cells)
+        assert len(got) == best[-1][-1] and all(a[i] == b[j] for i, j in got)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(got, got[1:]))
+
+
+def test_long_siblings_align():
+    rng = random.Random(9)
+    pages = ["".join(f"<div class={rng.choice('abcdefg')}>t</div>" for _ in range(6000)) for _ in range(2)]
+    began = time.monotonic()
+    page_text.infer(pages)
+    assert time.monotonic() - began < 60
+
+
+def _words(i, n):
+    return " ".join(f"w{(i * 7919 + k * 104729) % 9973}" for k in range(n))
+
+
+def test_article_is_not_lost(llm):
+    """Layouts that few pages have, copies, teasers in main, class words and constants within the article."""
+    def page(inner):
+        return f"<body><nav><a href=/>Home</a></nav>{inner}<footer>foot</footer>"
+    rows, want = [], {}
+
+    def add(host, html, blocks):
+        want[len(rows)] = blocks
+        rows.append((len(rows), f"http://{host}/{len(rows)}", html))
+    for i in range(300):  # a hot host with a rare layout
+        a, b = _words(i, 20), _words(i + 1000, 30)
+        if i % 100 == 7:
+            add("hot", f"<body class=b><nav>n</nav><div class=post><p>{a}</p><p>{b}</p></div>", [a, b])
+        else:
+            add("hot", page(f"<div class=content><p>{a}</p><p>{b}</p></div>"), [a, b])
+    for i in range(30):  # main on a host of articles
+        a = _words(i, 25)
+        tag = "main" if i == 11 else "article"
+        add("mixed", page(f"<{tag}><p>{a}</p></{tag}>"), [a])
+    copy = _words(5, 25)
+    for i in range(40):  # copies and other layouts
+        a = copy if i < 26 else _words(i, 25)
+        add("copies", page(f"<div class=content><p>{a}</p></div>" if i < 36 else f"<section class=text><p>{a}</p></section>"), [a])
+    for i in range(12):  # teasers beside the article's text in main
+        a, b = _words(i, 40), _words(i + 50, 30)
+        add("teasers", page(f"<main><h1>T{i}</h1><p>{a}</p><p>{b}</p><article class=card><p>more {i}</p></article></main>"),
+            [f"T{i}", a, b, f"more {i}"])
+    lead = "The same lead stands on every page."
+    for i in range(12):
+        a = _words(i, 30)
+        add("words", page(f'<article><div class="entry-header"><h1>Head {i}</h1></div><p class=lead>{lead}</p>'
+                          f'<p class="share-price">{a}</p><p><a href=x>all a link {i}</a></p><div class="ad">Buy!</div></article>'),
+            [f"Head {i}", lead, a, f"all a link {i}"])
+    table = llm.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.blocks for r in page_text.page_texts(table).collect()}
+    assert got == want
+
+
+def test_wrappers_merge_in_rounds(llm, monkeypatch):
+    monkeypatch.setattr(page_text, "MERGE", 2)
+    pages = [(i, "http://h/", f"<div class=content><p>{_words(i, 9)}</p>{'<h2>x</h2><ul><li>a</ul>' * (i % 3)}"
+              f"<{'abcdefgh'[i % 8]}x>{i}</{'abcdefgh'[i % 8]}x></div>") for i in range(40)]
+    table = llm.createDataFrame(pages, "page_id long, url string, html string").repartition(4)
+    assert [r.host for r in page_text.host_wrappers(table).collect()] == ["h"]
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(llm, docs):
     raw = llm.read.parquet(f"{SF}/documents.parquet")
