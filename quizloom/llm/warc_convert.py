@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quizloom.llm.common import forget_at_end, prepare, scratch_folder
+from quizloom.llm.common import forget_at_end, prepare, scratch_folder, stored
 
 LEAST = 1000
 CRAWL_DATE = "19960401120000"
@@ -63,7 +63,7 @@ def write_arc(pages: DataFrame, path: str, id: str = "page_id", url: str = "url"
 
     first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
     row = F.when(first, F.concat(F.when(second, F.lit(opening(2))).otherwise(F.lit(opening(1))), record)).otherwise(record)
-    pages.select(row.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").text(path)
+    pages.select(row.alias("value")).write.option("lineSep", "\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -172,16 +172,20 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 
 
 def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int = LEAST) -> None:
-    """Convert the ARC files below ``arc_path`` to gzip WARC files; no input records give no records."""
-    light = arc_records(spark, arc_path, blocks=False).where((F.col("payload_bytes") >= least) & (F.col("type") == "response"))
-    light = light.select("path", "ordinal", "record_id", "id", "url", "date", "digest")
+    """Convert the ARC files below ``arc_path`` to gzip WARC files; no input records give no records.
+
+    A file is one gzip stream, as Spark writes it, not a member for each record.
+    """
+    light = stored(arc_records(spark, arc_path, blocks=False)
+                   .where((F.col("payload_bytes") >= least) & (F.col("type") == "response"))
+                   .select("path", "ordinal", "record_id", "id", "url", "date", "digest"))
     order = F.struct(F.coalesce("id", F.lit(-(1 << 63)).cast("long")), "path", "ordinal")
     chosen = light.groupBy("digest").agg(F.count("*").alias("n"), F.max_by(
         F.struct("record_id", "url", "date"), order).alias("first")).where("n > 1")
-    again = light.join(chosen, "digest").where(F.col("record_id") != F.col("first.record_id")).select(
-        F.col("record_id").alias("again_id"), "first")
-    rows = arc_records(spark, arc_path).join(again, F.col("record_id") == F.col("again_id"), "left")
-    revisit = F.col("again_id").isNotNull()
+    again = stored(light.join(chosen, "digest").where(F.col("record_id") != F.col("first.record_id"))
+                   .select("path", "ordinal", "first"))  # its size tells Spark whether to broadcast it
+    rows = arc_records(spark, arc_path).join(again, ["path", "ordinal"], "left")
+    revisit = F.col("first").isNotNull()
     block = F.when(revisit, F.substring(F.col("block"), F.lit(1), F.col("head_bytes"))).otherwise(F.col("block"))
 
     def line(name: str, value: Column) -> Column:
@@ -196,7 +200,7 @@ def arc_to_warc(spark: SparkSession, arc_path: str, warc_path: str, least: int =
         line("WARC-Refers-To-Date", F.col("first.date")), line("WARC-Profile", F.when(revisit, F.lit(REVISIT))),
         line("Content-Type", kind), line("Content-Length", F.octet_length(block).cast("string")), F.lit("\r\n"))
     rows.select(F.concat(head.cast("binary"), block).cast("string").alias("value")).write.option(
-        "lineSep", "\r\n\r\n").option("compression", "gzip").text(warc_path)
+        "lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(warc_path)
 
 
 _WARC = ("record_id string, type string, url string, date string, refers_to string, id long, payload_bytes long, "
@@ -253,7 +257,7 @@ def op7_warc_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     arc_to_warc(spark, arc, warc)
     forget_at_end(spark, arc)
     forget_at_end(spark, warc)
-    found = warc_records(spark, warc)
+    found = stored(warc_records(spark, warc))
     target = found.where("type = 'response' AND payload_bytes >= 1000").select(
         F.col("record_id").alias("refers_to"), F.col("id").alias("target"))
     return found.join(target, "refers_to", "left").select(
