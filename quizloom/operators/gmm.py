@@ -1,26 +1,29 @@
 """A5: 3-component 1-D Gaussian mixture per numeric column.
 
-Spark does the data work: a per-column histogram over ``MAX_BINS`` equal shares of
-the rows in value order (one rule at every size: a value that fills a share keeps a
-bin of its own, rarer neighbours share one).  Weighted EM then runs in a grouped-map
-Pandas UDF whose input per column is bounded by the bins, whatever the row count.
-Initialisation is deterministic (weighted quantiles).
+The data work is a per-column histogram over ``MAX_BINS`` equal shares of the rows in value order
+(one rule at every size: a value that fills a share keeps a bin of its own, rarer neighbours
+share one).  EM then runs ``ROUNDS`` times as a Spark aggregation over all columns' histograms at
+once: a bin's responsibilities from the column's parameters, and the sums of those as the next
+parameters.  Values are taken in deviations from the column's mean.  Initialisation is
+deterministic (weighted quantiles), and so is the result, to ``DIGITS`` decimals of a deviation.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_BINS = 2048
 N_COMPONENTS = 3
-MAX_ITER = 200
-TOL = 1e-8
+ROUNDS = 30
+#: Rounds planned together; their parameters (a row a column) are written between.
+PLANNED = 10
+DIGITS = 7
 REG_COVAR = 1e-6
-
-GM_SCHEMA = "var string, gm_means array<double>, gm_stds array<double>, gm_weights array<double>, gm_loglik double"
+EPS = 2.0 ** -49
+_K = range(N_COMPONENTS)
 
 
 def numeric_histogram(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
@@ -35,43 +38,62 @@ def numeric_histogram(values: DataFrame, stats: DataFrame, max_bins: int = MAX_B
             .drop("k"))
 
 
-def _fit(pdf: pd.DataFrame) -> pd.DataFrame:
-    var = pdf["var"].iloc[0]
-    x = pdf["x"].to_numpy(float)
-    w = pdf["n"].to_numpy(float)
-    order = np.argsort(x)
-    x, w = x[order], w[order]
-    tot = w.sum()
-    mean = float((w * x).sum() / tot)
-    var0 = float((w * (x - mean) ** 2).sum() / tot) + REG_COVAR
-    cdf = np.cumsum(w) / tot
-    mu = np.array([x[min(np.searchsorted(cdf, q), len(x) - 1)] for q in (1 / 6, 1 / 2, 5 / 6)], float)
-    sig2 = np.full(N_COMPONENTS, var0)
-    pi = np.full(N_COMPONENTS, 1.0 / N_COMPONENTS)
-    prev = -np.inf
-    ll = prev
-    for _ in range(MAX_ITER):
-        logp = (-0.5 * (x[:, None] - mu[None, :]) ** 2 / sig2[None, :]
-                - 0.5 * np.log(2 * np.pi * sig2[None, :]) + np.log(np.maximum(pi, 1e-300))[None, :])
-        m = logp.max(axis=1, keepdims=True)
-        lse = m[:, 0] + np.log(np.exp(logp - m).sum(axis=1))
-        ll = float((w * lse).sum() / tot)
-        resp = np.exp(logp - lse[:, None]) * w[:, None]
-        nk = resp.sum(axis=0) + 10 * np.finfo(float).eps
-        mu = (resp * x[:, None]).sum(axis=0) / nk
-        sig2 = (resp * (x[:, None] - mu[None, :]) ** 2).sum(axis=0) / nk + REG_COVAR
-        pi = nk / nk.sum()
-        if abs(ll - prev) < TOL:
-            break
-        prev = ll
-    return pd.DataFrame({"var": [var], "gm_means": [mu.tolist()], "gm_stds": [np.sqrt(sig2).tolist()],
-                         "gm_weights": [pi.tolist()], "gm_loglik": [ll]})
+def em_start(hist: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(var, z, n) with values in deviations, and (var, center, spread, reg, m0.., v0.., w0..) to begin with:
+    means at the 1/6, 3/6 and 5/6 quantiles, the whole variance, equal weights."""
+    total = hist.groupBy("var").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("center"), F.sum("n").alias("tot"))
+    spread = hist.join(F.broadcast(total), "var").groupBy("var").agg(
+        F.sqrt(F.sum(F.col("n") * (F.col("x") - F.col("center")) * (F.col("x") - F.col("center"))) / F.sum("n")).alias("spread"))
+    shape = total.join(spread, "var").withColumn("spread", F.when(F.col("spread") > 0, F.col("spread")).otherwise(1.0))
+    h = hist.join(F.broadcast(shape), "var").withColumn("z", (F.col("x") - F.col("center")) / F.col("spread"))
+    up_to = F.sum("n").over(Window.partitionBy("var").orderBy("z"))     # at most MAX_BINS bins
+    at = h.withColumn("share", up_to / F.col("tot")).groupBy("var").agg(
+        *[F.min(F.when(F.col("share") >= (2 * k + 1) / 6, F.col("z"))).alias(f"m{k}") for k in _K], F.max("z").alias("top"))
+    start = shape.join(at, "var").select(
+        "var", "center", "spread", (F.lit(REG_COVAR) / F.col("spread") / F.col("spread")).alias("reg"),
+        *[F.coalesce(f"m{k}", "top").alias(f"m{k}") for k in _K],
+        *[(1 + F.lit(REG_COVAR) / F.col("spread") / F.col("spread")).alias(f"v{k}") for k in _K],
+        *[F.lit(1 / N_COMPONENTS).alias(f"w{k}") for k in _K])
+    return h.select("var", "z", "n"), start
+
+
+def em_round(h: DataFrame, params: DataFrame) -> DataFrame:
+    """One EM step for all columns: ``params`` is a row a column."""
+    z = F.col("z")
+    logs = [F.lit(-0.5) * (z - F.col(f"m{k}")) * (z - F.col(f"m{k}")) / F.col(f"v{k}") - 0.5 * F.log(2 * math.pi * F.col(f"v{k}"))
+            + F.log(F.greatest(F.col(f"w{k}"), F.lit(1e-300))) for k in _K]
+    j = h.join(F.broadcast(params), "var").withColumns({f"l{k}": logs[k] for k in _K})
+    j = j.withColumn("top", F.greatest(*[F.col(f"l{k}") for k in _K]))
+    j = j.withColumn("lse", F.col("top") + F.log(sum(F.exp(F.col(f"l{k}") - F.col("top")) for k in _K)))
+    j = j.withColumns({f"r{k}": F.exp(F.col(f"l{k}") - F.col("lse")) * F.col("n") for k in _K})
+    s = j.groupBy("var").agg(*[F.first(c).alias(c) for c in ("center", "spread", "reg")], *[x for k in _K for x in (
+        F.sum(f"r{k}").alias(f"a{k}"), F.sum(F.col(f"r{k}") * z).alias(f"b{k}"), F.sum(F.col(f"r{k}") * z * z).alias(f"c{k}"))])
+    s = s.withColumns({f"k{k}": F.col(f"a{k}") + EPS for k in _K}).withColumns({f"m{k}": F.col(f"b{k}") / (F.col(f"a{k}") + EPS) for k in _K})
+    spread = lambda k: (F.col(f"c{k}") - 2 * F.col(f"m{k}") * F.col(f"b{k}") + F.col(f"m{k}") * F.col(f"m{k}") * F.col(f"a{k}")) / F.col(f"k{k}")
+    return s.select("var", "center", "spread", "reg", *[f"m{k}" for k in _K],
+                    *[(F.greatest(spread(k), F.lit(0.0)) + F.col("reg")).alias(f"v{k}") for k in _K],
+                    *[(F.col(f"k{k}") / sum(F.col(f"k{i}") for i in _K)).alias(f"w{k}") for k in _K])
+
+
+def em_fit(hist: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """(var, gm_means, gm_stds, gm_weights) after ``rounds`` steps over (var, x, n)."""
+    from quizloom.sources.files import stored
+    h, params = em_start(stored(hist, "histogram"))
+    h = stored(h, "deviations")
+    for i in range(rounds):
+        if i % PLANNED == 0:
+            params = stored(params, "mixture-step")
+        params = em_round(h, params)
+    return params.select(
+        "var", F.array(*[F.col("center") + F.col("spread") * F.round(f"m{k}", DIGITS) for k in _K]).alias("gm_means"),
+        F.array(*[F.col("spread") * F.round(F.sqrt(f"v{k}"), DIGITS) for k in _K]).alias("gm_stds"),
+        F.array(*[F.round(f"w{k}", DIGITS) for k in _K]).alias("gm_weights"))
 
 
 def gmm_profile(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:
     """(var, gm_means, gm_stds, gm_weights) for every kept column; zeros for
     columns without numeric keys (as the reference's profile)."""
-    fitted = numeric_histogram(values, stats, max_bins).groupBy("var").applyInPandas(_fit, GM_SCHEMA)
+    fitted = em_fit(numeric_histogram(values, stats, max_bins))
     zeros = F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0))
     kept = stats.where("keep").select("var")
     return (kept.join(fitted, "var", "left")
@@ -97,7 +119,6 @@ def ordered_counts(values: DataFrame, stats: DataFrame, buckets: int = 256) -> D
     width = (F.col("num_max") - F.col("num_min")) / buckets
     h = h.withColumn("_b", F.when(width > 0, F.least(F.floor((F.col("x") - F.col("num_min")) / width),
                                                       F.lit(buckets - 1))).otherwise(0).cast("long"))
-    from pyspark.sql import Window
     w_in = Window.partitionBy("var", "_b").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     h = h.withColumn("_lo_in", F.coalesce(F.sum("n").over(w_in), F.lit(0)))
     tot = h.groupBy("var", "_b").agg(F.sum("n").alias("_t"))

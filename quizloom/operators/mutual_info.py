@@ -39,14 +39,32 @@ def column_kinds(stats: DataFrame, values: DataFrame) -> tuple[dict, dict]:
     return disc, continuous
 
 
+def quantile_cuts(stats: DataFrame, values: DataFrame, cont: dict, bins: int = BINS) -> dict[str, list[float]]:
+    """{var: lower bounds of its bins}: at most ``bins`` numbers a column.  A value is in the share of the rows
+    in which its first row falls."""
+    from quizloom.operators.gmm import ordered_counts
+    rows = ordered_counts(values, stats).where(F.col("var").isin(list(cont)))
+    cuts = rows.groupBy("var", F.floor(F.col("lo") * bins / F.col("n_tot")).alias("b")).agg(F.min("x").alias("x"))
+    return {r["var"]: list(r["cuts"]) for r in
+            cuts.groupBy("var").agg(F.sort_array(F.collect_list("x")).alias("cuts")).collect()}
+
+
+def _up_to(cuts: list[float], x):
+    return F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= x)
+
+
 def code_columns(df: DataFrame, vars_order: list[str], disc: dict, cont: dict) -> list:
-    """(var_index, code) struct per column, in a fixed column order."""
+    """(var_index, code) struct per column, in a fixed column order.  ``cont`` has (least, greatest) for
+    equal-width bins, or the list of the bins' lower bounds."""
     out = []
     for i, v in enumerate(vars_order):
         c = F.col(v).cast("string")
         if v in disc:
             m = F.create_map(*[x for k, val in enumerate(disc[v]) for x in (F.lit(val), F.lit(k))])
             code = F.when(is_missing(c), F.lit(-1)).otherwise(F.coalesce(F.element_at(m, c), F.lit(-1)))
+        elif isinstance(cont[v], list):
+            x = c.try_cast("double")
+            code = F.when(x.isNull(), F.lit(-1)).otherwise(F.size(_up_to(cont[v], x)) - 1)
         else:
             lo, hi = cont[v]
             x = c.try_cast("double")
@@ -75,8 +93,12 @@ def pair_counts(df: DataFrame, vars_order: list[str], disc: dict, cont: dict) ->
             .groupBy("vi", "vj", "ci", "cj").agg(F.sum("n").alias("n")))
 
 
-def mi_from_counts(pc: DataFrame, vars_order: list[str]) -> DataFrame:
-    """Directional MI(target <- feature) from the unordered pair counts."""
+def mi_from_counts(pc: DataFrame, vars_order: list[str], discrete: list[str] = (), min_class: int = 0) -> DataFrame:
+    """Directional MI(target <- feature) from the unordered pair counts.
+
+    F10: with ``min_class`` a pair counts only if the rarest class of each ``discrete`` side, among the
+    rows with a target (a missing feature is a class), has that many rows; read off the pair's margins.
+    """
     d = (pc.select(F.col("vi").alias("t"), F.col("vj").alias("f"), F.col("ci").alias("ct"), F.col("cj").alias("cf"), "n")
          .unionByName(pc.select(F.col("vj").alias("t"), F.col("vi").alias("f"), F.col("cj").alias("ct"),
                                 F.col("ci").alias("cf"), "n"))
@@ -86,19 +108,32 @@ def mi_from_counts(pc: DataFrame, vars_order: list[str]) -> DataFrame:
          .withColumn("nt", F.sum("n").over(Window.partitionBy("t", "f", "ct")))
          .withColumn("nf", F.sum("n").over(Window.partitionBy("t", "f", "cf"))))
     term = F.col("n") / F.col("n_tf") * F.log(F.col("n") * F.col("n_tf") / (F.col("nt") * F.col("nf")))
-    mi = d.groupBy("t", "f").agg(F.sum(term).alias("mi"), F.first("n_tf").alias("n_rows")).where(F.col("n_rows") >= MIN_ROWS)
+    kinds = F.array(*[F.lit(v in discrete) for v in vars_order])
+    rarest = F.least(*[F.min(F.when(F.element_at(kinds, F.col(side) + 1), F.col(margin))) for side, margin in (("t", "nt"), ("f", "nf"))])
+    mi = d.groupBy("t", "f").agg(F.sum(term).alias("mi"), F.first("n_tf").alias("n_rows"), rarest.alias("rarest")).where(
+        (F.col("n_rows") >= MIN_ROWS) & (F.coalesce("rarest", F.lit(min_class)) >= min_class))
     names = F.array(*[F.lit(v) for v in vars_order])
     return mi.select(F.element_at(names, F.col("t") + 1).alias("target"), F.element_at(names, F.col("f") + 1).alias("feature"),
                      F.greatest(F.col("mi"), F.lit(0.0)).alias("mi"), F.col("n_rows").cast("long").alias("n_rows"))
 
 
-def mutual_info(df: DataFrame, stats: DataFrame, values: DataFrame, only_discrete: bool = False) -> DataFrame:
-    """Long MI matrix (target, feature, mi, n_rows) over all usable columns."""
+def mutual_info(df: DataFrame, stats: DataFrame, values: DataFrame, only_discrete: bool = False,
+                quantiles: bool = False, min_class: int = 0) -> DataFrame:
+    """Long MI matrix (target, feature, mi, n_rows) over all usable columns, in equal-width bins
+    or bins of equal shares of the rows (``quantiles``)."""
     disc, cont = column_kinds(stats, values)
     if only_discrete:
         cont = {}
+    if quantiles and cont:
+        cont = quantile_cuts(stats, values, cont)
     order = sorted(list(disc) + list(cont))
-    return mi_from_counts(pair_counts(df, order, disc, cont), order)
+    return mi_from_counts(pair_counts(df, order, disc, cont), order, list(disc), min_class)
+
+
+def dates_as_minutes(df: DataFrame, columns: list[str], anchor) -> DataFrame:
+    """Date columns as whole minutes since each record's own anchor (as text, like every column here)."""
+    minutes = lambda c: F.floor((F.unix_timestamp(F.col(c).try_cast("timestamp")) - F.unix_timestamp(anchor.cast("timestamp"))) / 60)
+    return df.withColumns({c: minutes(c).cast("string") for c in columns})
 
 
 def correlated_columns(mi: DataFrame, cutoff: float = MI_CUTOFF) -> DataFrame:

@@ -32,7 +32,7 @@ def _mcq_all_targets(spark, sf):
     return registry_qa.mcq_all_targets(spark, sf, gm_method="terciles")
 
 
-@register("mcq_all_targets_em")
+@register("mcq_all_targets_em", mcq_sql.with_em(mcq_sql.mcq_sql()))
 def _mcq_all_targets_em(spark, sf):
     """Flagship: as mcq_all_targets with the EM-fitted Gaussian mixture (A5)."""
     return registry_qa.mcq_all_targets(spark, sf, gm_method="em")
@@ -83,11 +83,13 @@ def _gmm_terciles(spark, sf):
                        r("gm_weights").alias("gm_weights"))
 
 
-@register("gmm_profile")
+@register("gmm_profile", mcq_sql.with_em(stats_sql.GM_TERCILES))
 def _gmm_profile(spark, sf):
-    """A5: 3-component Gaussian mixture per numeric column (EM on bounded histograms)."""
-    reg, p = _prof(spark, sf, gm_method="em")
-    return p.gm
+    """A5: 3-component Gaussian mixture per numeric column (EM as rounds of a Spark aggregation)."""
+    reg = _registry(spark, sf)
+    p = registry_qa.build_profile(reg, gm_method="em", materialize="values")
+    r = lambda c: F.transform(c, lambda x: F.round(x, 6))
+    return p.gm.select("var", r("gm_means").alias("gm_means"), r("gm_stds").alias("gm_stds"), r("gm_weights").alias("gm_weights"))
 
 
 def _mi_table(spark, sf, only_discrete):
@@ -116,6 +118,10 @@ def _correlated(spark, sf):
     return _mi.correlated_columns(_mi_table(spark, sf, False), _mi.MI_CUTOFF)
 
 
+register("mi_quantile", stats_sql.mi_quantile_sql())(registry_qa.mi_quantile)
+register("mi_knn", stats_sql.mi_knn_sql(registry_qa.KNN_ROWS))(registry_qa.mi_knn)
+
+
 # ---------------------------------------------------------------- question variants
 _CAT = ["status", "priority", "segment", "nation", "line_count"]
 _NUM = ["total_price", "acct_bal", "ship_days"]

@@ -93,6 +93,46 @@ gm AS (SELECT s.var,
 PROFILE_CTES = profile_ctes(long_sql())
 
 
+def em_ctes(rounds: int = 30, bins: int = 2048) -> str:
+    """``gm`` by EM: every step a CTE over the histogram of equal shares."""
+    ks = range(3)
+    steps = []
+    for i in range(1, rounds + 1):
+        logs = ", ".join(f"-0.5::DOUBLE * (z - m{k}) * (z - m{k}) / v{k} - 0.5::DOUBLE * ln(2 * pi() * v{k}) + ln(greatest(w{k}, 1e-300::DOUBLE)) AS l{k}" for k in ks)
+        sums = ", ".join(f"sum(r{k}) AS a{k}, sum(r{k} * z) AS b{k}, sum(r{k} * z * z) AS c{k}, sum(r{k}) + pow(2::DOUBLE, -49) AS k{k}, "
+                         f"sum(r{k} * z) / (sum(r{k}) + pow(2::DOUBLE, -49)) AS m{k}" for k in ks)
+        steps.append(f"""em{i} AS MATERIALIZED (SELECT var, center, spread, reg, m0, m1, m2,
+    {", ".join(f"greatest((c{k} - 2 * m{k} * b{k} + m{k} * m{k} * a{k}) / k{k}, 0) + reg AS v{k}" for k in ks)},
+    {", ".join(f"k{k} / (k0 + k1 + k2) AS w{k}" for k in ks)}
+  FROM (SELECT var, any_value(center) AS center, any_value(spread) AS spread, any_value(reg) AS reg, {sums}
+    FROM (SELECT var, center, spread, reg, z, {", ".join(f"exp(l{k} - lse) * n AS r{k}" for k in ks)}
+      FROM (SELECT *, top + ln({" + ".join(f"exp(l{k} - top)" for k in ks)}) AS lse
+        FROM (SELECT *, greatest(l0, l1, l2) AS top FROM (SELECT h.var, center, spread, reg, z, n, {logs} FROM emh h JOIN em{i - 1} USING (var))))) GROUP BY var))""")
+    return f"""emx AS (SELECT var, sum(x * n) / sum(n) AS x, CAST(sum(n) AS DOUBLE) AS n FROM hcum
+  GROUP BY var, floor(lo * {bins} / n_tot)),
+emt AS (SELECT var, sum(x * n) / sum(n) AS center, sum(n) AS tot FROM emx GROUP BY var),
+ems AS (SELECT x.var, any_value(center) AS center, any_value(tot) AS tot,
+    coalesce(nullif(sqrt(sum(n * (x - center) * (x - center)) / sum(n)), 0), 1) AS spread FROM emx x JOIN emt USING (var) GROUP BY x.var),
+emh AS MATERIALIZED (SELECT x.var, (x - center) / spread AS z, n FROM emx x JOIN ems USING (var)),
+emq AS (SELECT var, z, sum(n) OVER (PARTITION BY var ORDER BY z) / tot AS share FROM emh JOIN ems USING (var)),
+em0 AS MATERIALIZED (SELECT s.var, any_value(center) AS center, any_value(spread) AS spread, any_value(1e-6::DOUBLE / spread / spread) AS reg,
+    {", ".join(f"coalesce(min(CASE WHEN share >= {2 * k + 1}::DOUBLE / 6 THEN z END), max(z)) AS m{k}" for k in ks)},
+    {", ".join(f"1 + any_value(1e-6::DOUBLE / spread / spread) AS v{k}" for k in ks)}, {", ".join(f"1::DOUBLE / 3 AS w{k}" for k in ks)}
+  FROM ems s JOIN emq USING (var) GROUP BY s.var),
+{(","+chr(10)).join(steps)},
+gm AS (SELECT s.var, CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"center + spread * round(m{k}, 7)" for k in ks)}] END AS gm_means,
+    CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"spread * round(sqrt(v{k}), 7)" for k in ks)}] END AS gm_stds,
+    CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"round(w{k}, 7)" for k in ks)}] END AS gm_weights
+  FROM stats s LEFT JOIN em{rounds} e ON e.var = s.var WHERE s.keep)"""
+
+
+def with_em(sql: str, rounds: int = 30) -> str:
+    """A query over the profile CTEs with the EM mixture in place of the terciles'."""
+    begin = sql.index("hb AS (")
+    end = sql.index("FROM stats s WHERE s.keep)", begin) + len("FROM stats s WHERE s.keep)")
+    return sql[:begin] + em_ctes(rounds) + sql[end:]
+
+
 def strip_sql(x: str) -> str:
     return f"regexp_replace(regexp_replace({x}, '(\\d)\\.0+$', '\\1'), '(\\.\\d*?[1-9])0+$', '\\1')"
 

@@ -50,6 +50,68 @@ def missing_sql(x):
     return f"({x} IS NULL OR {x} IN ('', 'NA', 'N/A') OR lower({x}) = 'nan')"
 
 
+def dated_head() -> str:
+    """The profile CTEs over the registry with its date in minutes since the beginning of the record's year."""
+    base = registry_sql().replace("\nregistry AS (", "\nregistry0 AS (")
+    return f"""WITH {base},
+registry AS (SELECT * REPLACE (CAST(date_diff('minute', date_trunc('year', CAST(order_date AS DATE)), CAST(order_date AS DATE)) AS VARCHAR)
+  AS order_date) FROM registry0),
+{PROFILE_CTES}"""
+
+
+def mi_quantile_sql() -> str:
+    body = _mi_body(False).replace(HEAD, dated_head() + """,
+shares AS (SELECT var, x, CAST(dense_rank() OVER (PARTITION BY var ORDER BY floor(lo * 16 / n_tot)) - 1 AS INTEGER) AS code FROM hcum)""")
+    begin, end = body.index("         WHEN NOT (k.num_max"), body.index(" END AS c\n")
+    body = body[:begin] + "         ELSE q.code" + body[end:]
+    body = body.replace("AND d.value = l.value)", "AND d.value = l.value\n"
+                        "  LEFT JOIN shares q ON q.var = l.var AND q.x = TRY_CAST(l.value AS DOUBLE))")
+    body = body.replace("HAVING any_value(n_tf) >= 3", """HAVING any_value(n_tf) >= 3
+    AND coalesce(min(CASE WHEN target IN (SELECT var FROM usable WHERE disc) THEN nt END), 3) >= 3
+    AND coalesce(min(CASE WHEN feature IN (SELECT var FROM usable WHERE disc) THEN nf END), 3) >= 3""")
+    return body + "\nSELECT target, feature, round(mi, 6) AS mi, n_rows FROM mi"
+
+
+def mi_knn_sql(rows: int, k: int = 3, jitter: float = 1e-10) -> str:
+    from quizloom.plans.oracle.mcq_sql import u_
+    return dated_head() + f""",
+usable AS (SELECT var, n_keys <= 30 AS disc FROM stats WHERE keep AND (n_keys <= 30 OR is_numeric AND n_vocab = 0)),
+ids AS (SELECT record_id FROM registry ORDER BY {u_('ids', 'record_id')}, record_id LIMIT {rows}),
+dcodes AS (SELECT v.var, v.value, CAST(dense_rank() OVER (PARTITION BY v.var ORDER BY v.value) - 1 AS DOUBLE) AS code
+  FROM vals v JOIN usable k ON v.var = k.var WHERE k.disc AND v.value IS NOT NULL),
+cells AS (SELECT l.record_id, l.var, k.disc, CASE WHEN {missing_sql('l.value')} THEN NULL WHEN k.disc THEN d.code
+    ELSE TRY_CAST(l.value AS DOUBLE) END AS x, {u_('knn', 'l.record_id', 'l.var')} AS u
+  FROM long l JOIN ids USING (record_id) JOIN usable k ON k.var = l.var LEFT JOIN dcodes d ON d.var = l.var AND d.value = l.value),
+raw AS (SELECT t.var AS target, f.var AS feature, t.record_id, t.disc AS td, f.disc AS fd, t.x AS tx, coalesce(f.x, -1) AS fx, t.u AS tu, f.u AS fu
+  FROM cells t JOIN cells f ON t.record_id = f.record_id AND t.var <> f.var WHERE t.x IS NOT NULL AND NOT (t.disc AND f.disc)),
+sizes AS (SELECT *, count(*) OVER p AS n, count(*) OVER (PARTITION BY target, feature, tx) AS nt, count(*) OVER (PARTITION BY target, feature, fx) AS nf,
+    coalesce(nullif(stddev_pop(tx) OVER p, 0), 1) AS ts, coalesce(nullif(stddev_pop(fx) OVER p, 0), 1) AS fs FROM raw WINDOW p AS (PARTITION BY target, feature)),
+means AS (SELECT *, avg(abs(tx / ts)) OVER p AS tm, avg(abs(fx / fs)) OVER p AS fm, min(CASE WHEN td THEN nt WHEN fd THEN nf END) OVER p AS rarest
+  FROM sizes WINDOW p AS (PARTITION BY target, feature)),
+pts AS MATERIALIZED (SELECT target, feature, record_id, n, td OR fd AS mixed, CASE WHEN td THEN tx ELSE fx END AS cls, CASE WHEN td THEN nt ELSE nf END AS size,
+    CASE WHEN td THEN 0 ELSE tx / ts + {jitter} * greatest(1, tm) * (tu - CAST(0.5 AS DOUBLE)) END AS a,
+    CASE WHEN fd THEN 0 ELSE fx / fs + {jitter} * greatest(1, fm) * (fu - CAST(0.5 AS DOUBLE)) END AS b
+  FROM means WHERE n >= 3 AND coalesce(rarest, 3) >= 3),
+kept AS MATERIALIZED (SELECT * FROM pts WHERE NOT mixed OR size > 1),
+near AS (SELECT x.target, x.feature, x.record_id,
+    list_sort(list(greatest(abs(x.a - y.a), abs(x.b - y.b))))[1 + least({k}, min(CASE WHEN x.mixed THEN x.size ELSE x.n END) - 1)] AS r
+  FROM kept x JOIN kept y ON x.target = y.target AND x.feature = y.feature AND (NOT x.mixed OR x.cls = y.cls) GROUP BY ALL),
+counted AS (SELECT x.target, x.feature, x.record_id, any_value(x.mixed) AS mixed, any_value(x.size) AS size, any_value(x.n) AS n,
+    CAST(count(*) FILTER (abs(x.a - y.a) < r) AS BIGINT) AS na, CAST(count(*) FILTER (abs(x.b - y.b) < r) AS BIGINT) AS nb,
+    CAST(count(*) FILTER (greatest(abs(x.a - y.a), abs(x.b - y.b)) < r) AS BIGINT) AS nm
+  FROM kept x JOIN near USING (target, feature, record_id) JOIN kept y ON x.target = y.target AND x.feature = y.feature
+  GROUP BY x.target, x.feature, x.record_id),
+psi AS (SELECT n, -0.5772156649015329::DOUBLE + coalesce(sum(CASE WHEN n > 1 THEN CAST(1 AS DOUBLE) / (n - 1) END) OVER (ORDER BY n), 0) AS v
+  FROM range(1, {rows} + 2) t(n)),
+total AS (SELECT target, feature, count(*) AS kept_n, any_value(n) AS n, any_value(mixed) AS mixed FROM counted GROUP BY ALL)
+SELECT target, feature, round(greatest(0.0, any_value(pn.v) + CASE WHEN any_value(t.mixed)
+    THEN avg(pk.v) - avg(ps.v) - avg(pm.v) ELSE any_value(pk.v) - avg(pa.v) - avg(pb.v) END), 6) AS mi, CAST(any_value(t.n) AS BIGINT) AS n_rows
+FROM counted c JOIN total t USING (target, feature) JOIN psi pn ON pn.n = t.kept_n
+  JOIN psi pk ON pk.n = least({k}, CASE WHEN c.mixed THEN c.size ELSE c.n END - 1) JOIN psi ps ON ps.n = c.size
+  JOIN psi pm ON pm.n = greatest(1, c.nm) JOIN psi pa ON pa.n = greatest(1, c.na) JOIN psi pb ON pb.n = greatest(1, c.nb)
+GROUP BY target, feature"""
+
+
 MI_DISCRETE = _mi_body(True) + "\nSELECT target, feature, round(mi, 6) AS mi, n_rows FROM mi"
 MI_BINNED = _mi_body(False) + "\nSELECT target, feature, round(mi, 6) AS mi, n_rows FROM mi"
 CORRELATED = _mi_body(False) + """

@@ -12,6 +12,7 @@ from quizloom.operators import gmm, profile
 from quizloom.operators import mutual_info as mi_ops
 from quizloom.operators.distractors import choose_distractors
 from quizloom.operators.mutual_info import MI_CUTOFF
+from quizloom.operators.neighbour_mi import mutual_info_knn
 from quizloom.operators.questions import assemble, explode_targets, render_options
 from quizloom.operators.serialize import serialize_flat, serialize_sections
 from quizloom.sources.files import stored
@@ -64,6 +65,32 @@ def correlated(reg: DataFrame, prof: Profile, cutoff: float = MI_CUTOFF) -> Data
         F.col("target").alias("var"), "correlated")
 
 
+def dated_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with its date in minutes since the beginning of the record's year."""
+    return mi_ops.dates_as_minutes(registry(spark, sf_dir), ["order_date"], F.date_trunc("year", F.col("order_date").cast("date")))
+
+
+def mi_quantile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A10 + F10: MI in bins of equal shares, dates as minutes, pairs with a class of under three rows left out."""
+    reg = dated_registry(spark, sf_dir)
+    prof = build_profile(reg, gm_method=None, materialize="values")
+    m = mi_ops.mutual_info(reg, prof.stats, prof.values, quantiles=True, min_class=3)
+    return m.select("target", "feature", F.round("mi", 6).alias("mi"), "n_rows")
+
+
+KNN_ROWS = 400
+
+
+def mi_knn(spark: SparkSession, sf_dir: str, rows: int = KNN_ROWS) -> DataFrame:
+    """MI with continuous columns by nearest neighbours on ``rows`` records drawn by hash (the sample is
+    the estimator's parameter), dates as minutes."""
+    reg = dated_registry(spark, sf_dir)
+    prof = build_profile(reg, gm_method=None, materialize="values")
+    disc, cont = mi_ops.column_kinds(prof.stats, prof.values)
+    m = mutual_info_knn(reg, "record_id", disc, list(cont), rows)
+    return m.select("target", "feature", F.round("mi", 6).alias("mi"), "n_rows")
+
+
 def mcq_questions(reg: DataFrame, prof: Profile, targets: list[str] | None = None, seed: int = 42,
                   n_choices: int = 5, sectioned: bool = True, pick_one: bool = False) -> DataFrame:
     """M1-M3: in a sectioned text the columns correlated with the target are left out, since they
