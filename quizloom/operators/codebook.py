@@ -1,14 +1,16 @@
 """Codebook parsing and layout operators.
 
 A codebook is (sheet, ord, var, heading, range_text, coding_text).  Codes are read inside
-their own row; windows are partitioned by sheet, never over the whole codebook in one task.
+their own row; running values go down a sheet by ranges of its rows, however long it is.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quizloom.operators.scan import running
+
 # The forms of a coding line.
 SINGLE = r"\[(\d)\] (.*)"
 BRACKET = r"\[([A-Z0-9]+)\](.*)"
@@ -84,19 +86,65 @@ def parse_coding_list(cb: DataFrame, overrides: dict[str, dict] | None = None, w
 
 
 def header_ffill(cb: DataFrame) -> DataFrame:
-    """Forward-fill section headings down each sheet as ``[sheet/heading]``."""
-    w = Window.partitionBy("sheet").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    h = F.last("heading", ignorenulls=True).over(w)
-    return cb.select("var", F.when(h.isNotNull(), F.concat(F.lit("["), F.col("sheet"), F.lit("/"), h, F.lit("]"))).alias("header"))
+    """W1, one level: section headings carried down each sheet as ``[sheet/heading]``."""
+    h = F.col("h")
+    return running(cb, "sheet", "ord", last={"h": F.col("heading")}).select(
+        "var", F.when(h.isNotNull(), F.concat(F.lit("["), F.col("sheet"), F.lit("/"), h, F.lit("]"))).alias("header"))
+
+
+def header_levels(cb: DataFrame, levels: tuple[str, str] = ("domain", "section"), words: dict | None = None) -> DataFrame:
+    """W1, two levels, each carried down on its own: ``[domain/section]`` (``None`` before the first of a level).
+
+    A heading is looked up in ``words`` as it stands, then trimmed, its line breaks made spaces.
+    """
+    clean = lambda c: F.replace(F.regexp_replace(_translated(F.col(c), words), r"^\s+|\s+$", ""), F.lit("\n"), F.lit(" "))
+    names = [f"_{c}" for c in levels]
+    filled = running(cb, "sheet", "ord", last={n: F.when(F.col(c).isNotNull(), clean(c)) for n, c in zip(names, levels)})
+    shown = [F.coalesce(F.col(n), F.lit("None")) for n in names]
+    return filled.select("sheet", "ord", F.concat(F.lit("["), shown[0], F.lit("/"), shown[1], F.lit("]")).alias("header"))
 
 
 def block_segments(cb: DataFrame) -> DataFrame:
-    """A heading row starts a block (gaps-and-islands); a name keeps its first block."""
-    w = Window.partitionBy("sheet").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    b = cb.withColumn("block", F.sum(F.col("heading").isNotNull().cast("int")).over(w))
+    """W2, numbers only: a heading row starts a block; a name keeps its first block."""
+    b = running(cb, "sheet", "ord", total={"block": F.col("heading").isNotNull().cast("int")})
     return b.groupBy("sheet", "var").agg(F.min("block").alias("block"))
 
 
+def sheet_blocks(rows: DataFrame, cells: list[str]) -> DataFrame:
+    """The blocks of sheets of cells as (sheet, section, ord, name, value), nulls left out.
+
+    A row with nothing but its first cell is a title.  The row after it holds the block's column names,
+    the rows after that its records, up to the first blank row or the end of the sheet.  A title
+    that meets another title before a blank row is void.  Of several blocks of a sheet with one title
+    the first counts.  Rows outside blocks, and cells under no name, go.  Blocks have different columns, so
+    a record is a row for each of its names; of a name that a header has twice, the last counts.
+    """
+    empty = [F.col(c).isNull() for c in cells]
+    blank = F.lit(True)
+    for e in empty:
+        blank = blank & e
+    title = ~empty[0]
+    for e in empty[1:]:
+        title = title & e
+    r = running(rows.withColumns({"_title": title, "_blank": blank}), "sheet", "ord",
+                last={"_at": F.when(title, F.col("ord")), "_gap": F.when(blank, F.col("ord"))})
+    r = r.where(F.col("_at").isNotNull())
+    inside = (F.col("ord") > F.col("_at")) & (F.coalesce("_gap", F.col("_at") - 1) < F.col("_at"))
+    blocks = r.groupBy("sheet", "_at").agg(
+        F.max(F.when(F.col("_title"), F.col(cells[0]))).alias("section"), F.max("_blank").alias("_closed"),
+        F.min_by(F.array(*cells), F.when(inside, F.col("ord"))).alias("names"), F.min(F.when(inside, F.col("ord"))).alias("_head"))
+    ends = blocks.groupBy("sheet").agg(F.max("_at").alias("_end"))
+    first = blocks.join(ends, "sheet").where(F.col("_closed") | (F.col("_at") == F.col("_end"))) \
+        .groupBy("sheet", "section").agg(F.min_by(F.struct("_at", "names", "_head"), "_at").alias("b")) \
+        .select("sheet", "section", "b.*")
+    records = r.where(inside).select("sheet", "_at", "ord", F.array(*cells).alias("cells")).join(first, ["sheet", "_at"]) \
+        .where(F.col("ord") > F.col("_head"))
+    pairs = records.select("sheet", "section", "ord", F.posexplode(F.arrays_zip("names", "cells")).alias("_p", "_c")).where(
+        F.col("_c.names").isNotNull())
+    return pairs.groupBy("sheet", "section", "ord", F.col("_c.names").alias("name")).agg(
+        F.max_by("_c.cells", "_p").alias("value")).where("value IS NOT NULL")
+
+
 def align_names(a: DataFrame, b: DataFrame, col: str) -> DataFrame:
     """(A minus B, sorted) zipped by position with (B minus A, sorted)."""
     from quizloom.operators.sampling import global_position

@@ -10,6 +10,8 @@ however many raw events it has.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -188,3 +190,39 @@ def trajectory_text(traj: DataFrame, cutoff_seconds: int | None = None) -> DataF
     return head.join(blocks, "user_id", "left").select(
         "user_id", F.concat(static_header(), F.coalesce(F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit("")))
         .alias("text"))
+
+
+# Forms of slot columns (day and slot, day alone).
+SLOT_NAME, DAY_NAME = r"d(\d+)_(\d+)_(.+)", r"d(\d+)_(.+)"
+
+
+def slot_columns(columns: list[str]) -> list[tuple[str, int | None, int | None, str]]:
+    """(column, day, slot, variable) read off the names; a name of neither form has no day."""
+    out = []
+    for c in columns:
+        if m := re.fullmatch(SLOT_NAME, c):
+            out.append((c, int(m[1]), int(m[2]), m[3]))
+        elif m := re.fullmatch(DAY_NAME, c):
+            out.append((c, int(m[1]), None, m[2]))
+        else:
+            out.append((c, None, None, c))
+    return out
+
+
+def slot_rows(df: DataFrame, id_col: str) -> DataFrame:
+    """A wide table with slot columns as rows (id, day, slot, variable, value), nulls left out; values as text.
+
+    One pass over the wide rows: a row's cells become an array, whose length the schema bounds.
+    """
+    known = [x for x in slot_columns([c for c in df.columns if c != id_col]) if x[1] is not None]
+    cells = F.array(*[F.struct(F.lit(d).cast("int").alias("day"), F.lit(t).cast("int").alias("slot"), F.lit(v).alias("variable"),
+                               F.col(c).cast("string").alias("value")) for c, d, t, v in known])
+    return df.select(id_col, F.inline(F.filter(cells, lambda x: x["value"].isNotNull())))
+
+
+def slot_table(rows: DataFrame, id_col: str, columns: dict[str, str]) -> DataFrame:
+    """P32 back: the wide table with ``columns`` (name to type), for the ids that have a row."""
+    def cell(c, d, t, v):
+        at = (F.col("day") == d) & F.col("slot").eqNullSafe(F.lit(t).cast("int")) & (F.col("variable") == v)
+        return F.max(F.when(at, F.col("value"))).cast(columns[c]).alias(c)
+    return rows.groupBy(id_col).agg(*[cell(*x) for x in slot_columns(list(columns)) if x[1] is not None])

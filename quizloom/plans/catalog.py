@@ -164,6 +164,8 @@ register("trajectory_text", _tsql.TRAJECTORY_TEXT)(lambda spark, sf: _tq.traject
 register("stay_having", _tsql.STAY_HAVING)(
     lambda spark, sf: _tq.stay_having(_ts.trajectory(_tq.events(spark, sf))))
 register("forecast_question", _tsql.FORECAST_QUESTION)(lambda spark, sf: _tq.forecast_question(spark, sf))
+register("slot_rows", _tsql.SLOT_ROWS)(_tq.slot_rows)
+register("slot_round_trip", _tsql.SLOT_ROUND_TRIP)(_tq.slot_round_trip)
 register("outcome_chain", _tsql.OUTCOME_CHAIN)(lambda spark, sf: _tq.outcome_chain(spark, sf))
 register("outcome_question", _tsql.OUTCOME_QUESTION)(lambda spark, sf: _tq.outcome_question(spark, sf))
 
@@ -217,7 +219,8 @@ for _name in ["holdout_split", "sample_groups", "one_per_group", "oversample_ded
 from quizloom.plans import codebook_qa as _cb  # noqa: E402
 from quizloom.plans.oracle import codebook_sql as _cbs  # noqa: E402
 
-for _name in ["codebook_ranges", "codebook_list", "header_ffill", "block_segments", "name_align"]:
+for _name in ["codebook_ranges", "codebook_list", "header_ffill", "header_levels", "block_segments", "sheet_blocks", "name_align",
+              "appearance_codes"]:
     register(_name, getattr(_cbs, _name.upper()))(getattr(_cb, _name))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quizloom.operators import codebook as C
+from quizloom.operators.scan import first_codes
 from quizloom.sources.tables import table
 
 
@@ -55,3 +56,52 @@ def metadata_override(spark, sf, from_ord: int = 100):
     cb = codebook(spark, sf)
     return cb.select("var", F.when(F.col("ord") >= from_ord, F.col("coding_text")).otherwise(F.col("range_text"))
                      .alias("range_text"))
+
+
+# Translations of the fixture's headings.
+HEADING_WORDS = {"Domain 2": "Second domain", "  Part 1\n ": "First part"}
+
+
+def heading_rows(spark, sf):
+    """Sheets of headings on two levels: not every row has one, some have blanks and line breaks."""
+    k = F.col("p_partkey")
+    no = lambda n, m: F.pmod(F.floor(k / n), F.lit(m)).cast("string")
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("S"), F.floor(k / 500).cast("string")).alias("sheet"), k.alias("ord"),
+        F.when(F.pmod(k, 37) == 5, F.concat(F.lit("Domain "), no(37, 4))).alias("domain"),
+        F.when(F.pmod(k, 11) == 3, F.concat(F.lit("  Part "), no(11, 3), F.lit("\n "))).when(
+            F.pmod(k, 11) == 8, F.concat(F.lit("Part\nof "), F.col("p_brand"))).alias("section"))
+
+
+def header_levels(spark, sf):
+    """Domain and section carried down on their own, translated and trimmed."""
+    return C.header_levels(heading_rows(spark, sf), words=HEADING_WORDS)
+
+
+def sheet_cells(spark, sf):
+    """Sheets of cells: titles whose names come again, two layouts of headers, blank rows, rows outside
+    blocks, blocks that nothing closes."""
+    k, b = F.col("p_partkey"), F.floor(F.col("p_partkey") / 10)
+    at, odd, open_ = F.pmod(k, 10), F.pmod(b, 2) == 1, F.pmod(b, 5) == 4
+    def cell(title, head, odd_head, value):
+        body = F.when(at == 1, F.when(odd, odd_head).otherwise(head)).otherwise(value)
+        return F.when(at == 0, title).when((at == 8) & ~open_, F.lit(None)).otherwise(body)
+    none, text = F.lit(None).cast("string"), lambda c: F.col(c).cast("string")
+    return table(spark, sf, "part").select(
+        F.concat(F.lit("S"), F.floor(k / 400).cast("string")).alias("sheet"), k.alias("ord"),
+        cell(F.concat(F.lit("Block "), F.pmod(b, 7).cast("string")), F.lit("name"), F.lit("code"), text("p_name")).alias("c0"),
+        cell(none, F.lit("size"), F.lit("label"), F.when(F.pmod(k, 3) > 0, text("p_size"))).alias("c1"),
+        cell(none, F.lit("type"), F.lit("name"), text("p_type")).alias("c2"),
+        cell(none, F.lit("size"), none, F.when(F.pmod(k, 4) > 0, text("p_brand"))).alias("c3"))
+
+
+def sheet_blocks(spark, sf):
+    """Blocks with their own headers, closed by blank rows."""
+    return C.sheet_blocks(sheet_cells(spark, sf), ["c0", "c1", "c2", "c3"])
+
+
+def appearance_codes(spark, sf):
+    """A text column's values numbered in the order in which rows first have them."""
+    li = table(spark, sf, "lineitem").select(
+        F.concat_ws("-", "l_partkey", "l_suppkey").alias("pair"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row"))
+    return first_codes(li, "pair", "row")

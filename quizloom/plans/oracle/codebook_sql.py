@@ -55,3 +55,45 @@ SELECT oa.name AS name_a, ob.name AS name_b FROM oa JOIN ob ON oa.pos = ob.pos""
 
 METADATA_OVERRIDE = "WITH " + CB + """
 SELECT var, CASE WHEN ord >= 100 THEN coding_text ELSE range_text END AS range_text FROM cb"""
+
+HEADER_LEVELS = r"""
+WITH r AS (SELECT 'S' || (p_partkey // 500) AS sheet, p_partkey AS ord,
+    CASE WHEN p_partkey % 37 = 5 THEN 'Domain ' || ((p_partkey // 37) % 4) END AS domain,
+    CASE WHEN p_partkey % 11 = 3 THEN '  Part ' || ((p_partkey // 11) % 3) || chr(10) || ' '
+         WHEN p_partkey % 11 = 8 THEN 'Part' || chr(10) || 'of ' || p_brand END AS section FROM part),
+t AS (SELECT sheet, ord, CASE domain WHEN 'Domain 2' THEN 'Second domain' ELSE domain END AS d,
+    CASE section WHEN '  Part 1' || chr(10) || ' ' THEN 'First part' ELSE section END AS s FROM r),
+c AS (SELECT sheet, ord, replace(regexp_replace(d, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS d,
+    replace(regexp_replace(s, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS s FROM t)
+SELECT sheet, ord, '[' || coalesce(last_value(d IGNORE NULLS) OVER w, 'None') || '/' || coalesce(last_value(s IGNORE NULLS) OVER w, 'None') || ']' AS header
+FROM c WINDOW w AS (PARTITION BY sheet ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
+def _cell(title: str, head: str, odd_head: str, value: str) -> str:
+    return (f"CASE WHEN p_partkey % 10 = 0 THEN {title} WHEN p_partkey % 10 = 8 AND (p_partkey // 10) % 5 <> 4 THEN NULL "
+            f"WHEN p_partkey % 10 = 1 THEN CASE WHEN (p_partkey // 10) % 2 = 1 THEN {odd_head} ELSE {head} END ELSE {value} END")
+
+
+SHEET_BLOCKS = f"""
+WITH r AS (SELECT 'S' || (p_partkey // 400) AS sheet, p_partkey AS ord,
+    {_cell("'Block ' || ((p_partkey // 10) % 7)", "'name'", "'code'", "p_name")} AS c0,
+    {_cell("NULL", "'size'", "'label'", "CASE WHEN p_partkey % 3 > 0 THEN CAST(p_size AS VARCHAR) END")} AS c1,
+    {_cell("NULL", "'type'", "'name'", "p_type")} AS c2,
+    {_cell("NULL", "'size'", "NULL", "CASE WHEN p_partkey % 4 > 0 THEN p_brand END")} AS c3 FROM part),
+k AS (SELECT *, c0 IS NOT NULL AND c1 IS NULL AND c2 IS NULL AND c3 IS NULL AS title,
+    c0 IS NULL AND c1 IS NULL AND c2 IS NULL AND c3 IS NULL AS blank FROM r),
+t AS (SELECT *, max(CASE WHEN title THEN ord END) OVER w AS t0, max(CASE WHEN blank THEN ord END) OVER w AS gap FROM k
+  WINDOW w AS (PARTITION BY sheet ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+body AS (SELECT *, min(ord) OVER (PARTITION BY sheet, t0) AS head FROM t WHERE ord > t0 AND (gap IS NULL OR gap < t0)),
+ok AS (SELECT sheet, t0, max(CASE WHEN title THEN c0 END) AS section FROM t WHERE t0 IS NOT NULL GROUP BY sheet, t0
+  HAVING bool_or(blank) OR t0 = (SELECT max(z.t0) FROM t z WHERE z.sheet = t.sheet)),
+one AS (SELECT sheet, section, min(t0) AS t0 FROM ok GROUP BY sheet, section),
+names AS (SELECT sheet, t0, i, [c0, c1, c2, c3][i] AS name FROM body, range(1, 5) g(i) WHERE ord = head),
+cells AS (SELECT sheet, t0, ord, i, [c0, c1, c2, c3][i] AS value FROM body, range(1, 5) g(i) WHERE ord > head),
+j AS (SELECT sheet, section, ord, name, arg_max(coalesce(value, chr(0)), i) AS value
+  FROM cells JOIN names USING (sheet, t0, i) JOIN one USING (sheet, t0) WHERE name IS NOT NULL GROUP BY ALL)
+SELECT * FROM j WHERE value <> chr(0)"""
+
+APPEARANCE_CODES = """
+SELECT value, row_number() OVER (ORDER BY first, value) - 1 AS code FROM (
+  SELECT l_partkey || '-' || l_suppkey AS value, min(l_orderkey * 8 + l_linenumber) AS first FROM lineitem GROUP BY 1)"""

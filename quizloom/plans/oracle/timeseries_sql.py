@@ -155,3 +155,22 @@ SELECT c.o_orderkey AS record_id,
    || 'Q. Is the order likely to ship within 30 days?' || chr(10) || 'A. Yes' || chr(10) || 'B. No' AS user_message,
   CASE WHEN any_value(c.label) THEN 'A' ELSE 'B' END AS label_0, 'ship30' AS task, ['Yes', 'No'] AS choices_0
 FROM chain c JOIN lineitem l ON l.l_orderkey = c.o_orderkey GROUP BY c.o_orderkey"""
+
+
+def _slot_wide() -> str:
+    cells = []
+    for d in (1, 2, 3):
+        cells.append(f"nullif(count(*) FILTER (d = {d - 1}), 0) AS d{d}_events")
+        for t in (1, 2, 3):
+            here = f"FILTER (d = {d - 1} AND t = {t - 1})"
+            cells += [f"max(event_id) {here} AS d{d}_{t}_last_event", f"round(max(value) {here}, 4) AS d{d}_{t}_top"]
+    return f"""SELECT user_id, {", ".join(cells)}
+FROM (SELECT *, day(ts) % 3 AS d, hour(ts) // 8 AS t FROM events) GROUP BY user_id"""
+
+
+SLOT_ROUND_TRIP = _slot_wide()
+SLOT_ROWS = f"""WITH w AS ({_slot_wide()}),
+u AS (""" + " UNION ALL ".join(
+    [f"SELECT user_id, {d} AS day, NULL::INT AS slot, 'events' AS variable, CAST(d{d}_events AS VARCHAR) AS value FROM w" for d in (1, 2, 3)]
+    + [f"SELECT user_id, {d}, {t}, '{v}', CAST(d{d}_{t}_{v} AS VARCHAR) FROM w" for d in (1, 2, 3) for t in (1, 2, 3) for v in ("last_event", "top")]
+) + ") SELECT * FROM u WHERE value IS NOT NULL"

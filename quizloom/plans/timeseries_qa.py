@@ -126,3 +126,29 @@ def outcome_question(spark, sf) -> DataFrame:
         F.concat(head, F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit(QUESTION_OUTCOME)).alias("user_message"),
         F.when(F.col("label"), "A").otherwise("B").alias("label_0"),
         F.lit("ship30").alias("task"), F.array(F.lit("Yes"), F.lit("No")).alias("choices_0"))
+
+
+def slot_wide(spark, sf):
+    """A wide table of slot columns: a user's days 1 to 3 by slots of eight hours, events and last value of each."""
+    e = table(spark, sf, "events").select("user_id", "value", "event_id", F.pmod(F.dayofmonth("ts"), F.lit(3)).alias("d"),
+                                          F.floor(F.hour("ts") / 8).alias("t"))
+    cells = []
+    for d in range(1, 4):
+        day = F.col("d") == d - 1
+        cells.append(F.nullif(F.count(F.when(day, 1)), F.lit(0)).alias(f"d{d}_events"))
+        for t in range(1, 4):
+            here = day & (F.col("t") == t - 1)
+            cells += [F.max(F.when(here, F.col("event_id"))).alias(f"d{d}_{t}_last_event"),
+                      F.round(F.max(F.when(here, F.col("value"))), 4).alias(f"d{d}_{t}_top")]
+    return e.groupBy("user_id").agg(*cells)
+
+
+def slot_rows(spark, sf):
+    """Slot columns read into (day, slot, variable) rows."""
+    return ts.slot_rows(slot_wide(spark, sf), "user_id")
+
+
+def slot_round_trip(spark, sf):
+    """The wide table, from its rows again."""
+    wide = slot_wide(spark, sf)
+    return ts.slot_table(ts.slot_rows(wide, "user_id"), "user_id", {c: k for c, k in wide.dtypes if c != "user_id"})
