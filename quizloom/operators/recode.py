@@ -60,6 +60,15 @@ def sentinel_na(v, sentinels=(999, 9999)) -> Column:
     return F.when(v.isNull() | (F.trim(v) == ""), F.lit(None)).when(d.isin(*sentinels), F.lit("NA")).otherwise(v)
 
 
+def fill_by_rules(df: DataFrame, rules: list[tuple]) -> DataFrame:
+    """P15 by a rule table of (column, gate, gate value, fill): a missing value or the word ``None`` becomes ``fill``
+    where the gate has its value, or anywhere if the rule has no gate.  Gates are read before any fill."""
+    def filled(c, gate, value, fill):
+        gap = F.col(c).isNull() | (F.col(c) == "None")
+        return F.when(gap & (F.coalesce(F.col(gate) == value, F.lit(False)) if gate else F.lit(True)), F.lit(fill)).otherwise(F.col(c))
+    return df.withColumns({c: filled(c, gate, value, fill) for c, gate, value, fill in rules})
+
+
 def gate_fill(target, gate, gate_value: str = "yes", fill: str = "no") -> Column:
     """Missing -> ``fill`` only where the gate column equals ``gate_value``."""
     return F.when(_c(target).isNull() & (_c(gate) == gate_value), F.lit(fill)).otherwise(_c(target))
@@ -151,6 +160,20 @@ def merge_ordinal(a, b, table: dict) -> Column:
     return expr
 
 
+def merge_pair(a, b, table: dict, refused: str = "999") -> tuple[Column, Column]:
+    """P18 in full: codes (as text) to an ordinal label, and whether the pair is unknown (label null).
+
+    A blank first code gives null; a refused one on either side "NA"; so does a blank second code where the
+    table tells the first one's labels apart by the second.
+    """
+    x, y = F.coalesce(F.trim(_c(a)), F.lit("")), F.coalesce(F.trim(_c(b)), F.lit(""))
+    split = sorted({ka for ka, kb in table if kb is not None})
+    label = merge_ordinal(x, y, table)
+    done = (x == "") | (x == refused) | (y == refused) | (x.isin(*split) & (y == ""))
+    out = F.when(x == "", F.lit(None)).when(done, F.lit("NA")).otherwise(label)
+    return out, ~done & label.isNull()
+
+
 def translate_if_script(df: DataFrame, col: str, dictionary: DataFrame, script_class: str) -> DataFrame:
     """P24 + S3 + J6: values containing the script are replaced whole by their
     dictionary entry; others are kept and don't take part in the join's key."""
@@ -174,21 +197,30 @@ def name_with_unit(name, unit) -> Column:
     return F.when(u_.isin(*ACTIVE_UNITS), F.concat(n, F.lit(" ("), shown, F.lit(")"))).otherwise(n)
 
 
-def residual_recode(x, mapping: dict, aliases: dict | None = None) -> tuple[Column, Column]:
+def residual_recode(x, mapping: dict, aliases: dict | None = None, null_codes: tuple = (),
+                    texts: dict | None = None) -> tuple[Column, Column]:
     """Code -> label with the residual rules: a yes-type codebook maps 0 ->
     "no" and 9 -> "NA" (anything else is bad: null + flag); otherwise aliases
-    (e.g. 11 -> 10) resolve first, 9 -> "NA", anything else null."""
+    (e.g. 11 -> 10) resolve first, 9 -> "NA", anything else null.
+
+    A column's own rules: ``null_codes`` of a yes-type codebook are null without a flag, ``texts`` gives the
+    labels of whole texts.  A codebook of one entry that says "NA" leaves other values as they are.
+    """
+    if len(mapping) == 1 and "NA" in mapping.values():
+        return F.when(F.trim(_c(x).cast("string")) == str(next(iter(mapping))), F.lit("NA")).otherwise(_c(x)), F.lit(False)
     m = F.create_map(*[y for k, v in mapping.items() for y in (F.lit(str(k)), F.lit(v))])
     xs = F.trim(_c(x).cast("string"))
     direct = F.try_element_at(m, xs)
     if mapping.get(1) in ("yes", "Yes"):
         res = F.when(direct.isNotNull(), direct).when(xs == "0", F.lit("no")).when(xs == "9", F.lit("NA"))
-        bad = direct.isNull() & ~xs.isin("0", "9")
+        bad = direct.isNull() & ~xs.isin("0", "9", *[str(c) for c in null_codes])
         return res, bad
     al = F.create_map(*[y for k, v in (aliases or {}).items() for y in (F.lit(str(k)), F.lit(str(v)))])
     via = F.try_element_at(m, F.try_element_at(al, xs))
-    res = F.when(direct.isNotNull(), direct).when(via.isNotNull(), via).when(xs == "9", F.lit("NA"))
-    return res, F.lit(False)
+    res = F.when(direct.isNotNull(), direct).when(via.isNotNull(), via)
+    for text, label in (texts or {}).items():
+        res = res.when(xs == text, F.lit(label))
+    return res.when(xs == "9", F.lit("NA")), F.lit(False)
 
 
 def single_value_fill(df: DataFrame, col: str, pivot: str) -> DataFrame:
@@ -230,13 +262,19 @@ def fill_missing(df: DataFrame, cols: list[str], value: str = "") -> DataFrame:
     return df.fillna(value, subset=cols)
 
 
-def patch_dictionary(dictionary: DataFrame, patch: DataFrame) -> DataFrame:
-    """(var, ord, display_name, section) with the patch's entries in place of their own;
-    entries for new columns come after the last, by name."""
-    p = patch.select(F.col("var").alias("_v"), F.col("display_name").alias("_n"), F.col("section").alias("_s"))
-    both = dictionary.join(p, dictionary["var"] == p["_v"], "full")
-    return both.select(F.coalesce("var", "_v").alias("var"), F.coalesce("_n", "display_name").alias("display_name"),
-                       F.coalesce("_s", "section").alias("section"), F.col("ord").isNull().alias("added"))
+def patch_dictionary(dictionary: DataFrame, changes: DataFrame, identifying: list[str] = ()) -> DataFrame:
+    """(var, display_name, section, added) after ``changes`` (var, display_name, section, action).
+
+    ``replace`` gives a known column a new name and section (a null keeps the old), ``add`` does so too and
+    brings in an unknown column, ``remove`` takes a column out; a replacement of an unknown column is
+    passed over.  Columns that identify a person go whatever the changes say.
+    """
+    c = changes.select("var", F.col("display_name").alias("_n"), F.col("section").alias("_s"), F.col("action").alias("_a"))
+    both = dictionary.select("var", "display_name", "section", F.lit(True).alias("_known")).join(c, "var", "full")
+    known, action = F.col("_known").isNotNull(), F.coalesce("_a", F.lit(""))
+    both = both.where((action != "remove") & (known | (action == "add")) & ~F.col("var").isin(*identifying))
+    return both.select("var", F.coalesce("_n", "display_name").alias("display_name"), F.coalesce("_s", "section").alias("section"),
+                       (~known).alias("added"))
 
 
 def any_datetime(c, formats: list[str]) -> Column:
@@ -249,3 +287,10 @@ def rows_of_arrays(df: DataFrame, struct: str, fields: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != struct]
     zipped = F.arrays_zip(*[F.col(f"{struct}.{f}").alias(f) for f in fields])
     return df.select(*rest, F.inline(zipped)).toDF(*rest, *fields)
+
+
+def known_outcomes(df: DataFrame, unknown: dict[str, list[str]]) -> DataFrame:
+    """rows whose outcome columns are all there and none of the values that stand for "not known"."""
+    for c, values in unknown.items():
+        df = df.where(F.col(c).isNotNull() & ~F.col(c).isin(*values))
+    return df

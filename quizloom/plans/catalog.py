@@ -47,7 +47,7 @@ from quizloom.sources.registry import registry as _registry  # noqa: E402
 
 def _prof(spark, sf, gm_method="terciles"):
     reg = _registry(spark, sf)
-    return reg, registry_qa.build_profile(reg, gm_method=gm_method, materialize=False)
+    return reg, registry_qa.build_profile(reg, gm_method=gm_method, materialize="values")
 
 
 @register("col_values", stats_sql.COL_VALUES)
@@ -230,6 +230,12 @@ for _name in ["mv_reconcile", "edu_merge", "script_translate"]:
     register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))
 
 register("mcq_multi", stats_sql.mcq_multi_sql(_mi.MI_CUTOFF))(lambda spark, sf: registry_qa.mcq_multi(spark, sf))
+register("mcq_multi_three", stats_sql.mcq_multi_sql(_mi.MI_CUTOFF, 3))(lambda spark, sf: registry_qa.mcq_multi(spark, sf, k=3))
+register("merged_profile", stats_sql.MERGED_PROFILE)(registry_qa.merged_profile)
+register("merged_mi", stats_sql.MI_DISCRETE)(registry_qa.merged_mi)
+register("note_pipeline", _txs.NOTE_PIPELINE)(lambda spark, sf: _tx.note_pipeline(spark, sf))
+for _name in ["two_limits", "two_limits_short"]:
+    register(_name, getattr(_ss, _name.upper()))(getattr(_sq, _name))
 for _name in ["residual_codes", "single_value", "unit_names"]:
     register(_name, getattr(_cs, _name.upper()))(getattr(_cq, _name))
 register("metadata_override", _cbs.METADATA_OVERRIDE)(_cb.metadata_override)
@@ -242,3 +248,11 @@ from quizloom.plans.oracle import extra_sql as _exs  # noqa: E402
 for _name in ["wrong_codes", "drop_identifying", "row_sections", "fill_blank", "tokens_to_null", "patched_dict", "class_minimum",
               "flexible_dates", "parallel_explode", "map_of_pairs", "debug_subset", "csv_literal", "stored_profile"]:
     register(_name, getattr(_exs, _name.upper()))(getattr(_ex, _name))
+
+
+# ---------------------------------------------------------------- column rules
+from quizloom.plans import rules_qa as _rq  # noqa: E402
+from quizloom.plans.oracle import rules_sql as _rqs  # noqa: E402
+
+for _name in ["residual_columns", "fill_rules", "education_merge", "known_cohort", "dictionary_file"]:
+    register(_name, getattr(_rqs, _name.upper()))(getattr(_rq, _name))

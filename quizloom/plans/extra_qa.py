@@ -11,14 +11,14 @@ from quizloom.operators import sampling as S
 from quizloom.plans import registry_qa
 from quizloom.plans.codebook_qa import codebook
 from quizloom.sources.files import read_delimited, scratch_path, stored, write_delimited
-from quizloom.sources.registry import VARS, col_dict, registry
+from quizloom.sources.registry import VARS, registry
 from quizloom.sources.tables import table
 
-# Fixture corrections, identifying columns, sections by row range and dictionary patch.
+# Fixture corrections, identifying columns and sections by row range.
 WRONG_CODES = {"Brand#11": "brand_11", "Brand#23": "brand_23"}
 IDENTIFYING = ["c_name", "c_phone", "c_address"]
 ROW_SECTIONS = [(0, 50, "Intake"), (50, 120, "Course"), (120, None, "Outcome")]
-DICT_PATCH = {"ship_days": ("Days until shipped", "[Order/Status]"), "late_flag": ("Shipped late", "[Order/Status]")}
+IDENTIFYING_VARS = ["v1", "v3", "v20", "v33"]
 DATE_FORMATS = ["yyyy-MM-dd HH:mm:ss", "dd/MM/yyyy HH:mm", "yyyyMMdd"]
 
 
@@ -54,10 +54,17 @@ def tokens_to_null(spark, sf):
 
 
 def patched_dict(spark, sf):
-    """The column dictionary with some entries replaced and some appended, read with the record count."""
-    patch = spark.createDataFrame([(v, n, s) for v, (n, s) in DICT_PATCH.items()], "var string, display_name string, section string")
-    total = registry(spark, sf).agg(F.count("*").alias("n_records"))
-    return R.patch_dictionary(col_dict(spark), patch).crossJoin(total)      # one row
+    """The codebook's dictionary with entries replaced, added and removed, identifying columns left out."""
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand", "p_size")
+    var, named = F.concat(F.lit("v"), F.col("p_partkey").cast("string")), F.upper("p_name")
+    entries = p.where(F.pmod("p_partkey", F.lit(10)) > 0).select(
+        var.alias("var"), F.col("p_name").alias("display_name"), F.concat(F.lit("["), F.col("p_brand"), F.lit("]")).alias("section"))
+    size = F.col("p_size")
+    action = F.when(size <= 5, "replace").when(size <= 10, "add").when(size >= 48, "remove")
+    changes = p.where(action.isNotNull()).select(
+        var.alias("var"), F.when(size < 48, named).alias("display_name"),
+        F.when(F.pmod(size, 2) == 0, F.lit("[Patched]")).when(size.between(6, 10), F.lit("[Added]")).alias("section"), action.alias("action"))
+    return R.patch_dictionary(entries, changes, IDENTIFYING_VARS)
 
 
 def class_minimum(spark, sf, least: int = 3):

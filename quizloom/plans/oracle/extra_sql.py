@@ -24,10 +24,13 @@ SELECT var, CASE WHEN NOT {missing('value')} AND value NOT IN ('NA', 'Not measur
   count(*) AS n FROM long GROUP BY ALL"""
 
 _DICT = "(VALUES " + ", ".join(f"('{v}', '{n}', '{s}')" for v, n, s in COL_DICT) + ") d(var, display_name, section)"
-PATCHED_DICT = H + f""", n AS (SELECT count(*) AS n_records FROM registry),
-p(var, display_name, section) AS (VALUES ('ship_days', 'Days until shipped', '[Order/Status]'), ('late_flag', 'Shipped late', '[Order/Status]'))
-SELECT coalesce(d.var, p.var) AS var, coalesce(p.display_name, d.display_name) AS display_name, coalesce(p.section, d.section) AS section,
-  d.var IS NULL AS added, n_records FROM {_DICT} FULL JOIN p ON d.var = p.var, n"""
+PATCHED_DICT = """WITH e AS (SELECT 'v' || p_partkey AS var, p_name AS n, '[' || p_brand || ']' AS s FROM part WHERE p_partkey % 10 > 0),
+c AS (SELECT 'v' || p_partkey AS var, CASE WHEN p_size < 48 THEN upper(p_name) END AS n,
+    CASE WHEN p_size % 2 = 0 THEN '[Patched]' WHEN p_size BETWEEN 6 AND 10 THEN '[Added]' END AS s,
+    CASE WHEN p_size <= 5 THEN 'replace' WHEN p_size <= 10 THEN 'add' ELSE 'remove' END AS a FROM part WHERE p_size <= 10 OR p_size >= 48)
+SELECT var, coalesce(c.n, e.n) AS display_name, coalesce(c.s, e.s) AS section, e.n IS NULL AS added
+FROM e FULL JOIN c USING (var)
+WHERE coalesce(a, '') <> 'remove' AND (e.n IS NOT NULL OR a = 'add') AND var NOT IN ('v1', 'v3', 'v20', 'v33')"""
 
 CLASS_MINIMUM = HEAD + """
 SELECT var, CAST(min(n) AS BIGINT) AS min_class, count(*) AS n_classes, min(n) >= 3 AS usable FROM vals WHERE value IS NOT NULL GROUP BY var"""

@@ -52,3 +52,16 @@ s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS position, s_name FROM
 SELECT CAST(p.position AS BIGINT) AS position, p.p_name, s.s_name FROM p JOIN s ON p.position = s.position"""
 
 DROP_NULL_COLS = f"WITH {registry_sql()}\nSELECT * FROM registry"
+
+
+def _two_limits(want: int) -> str:
+    return f"""WITH d AS (SELECT doc_id, text, 'Read the note.' || chr(10) || split_part(text, chr(10), 1) AS prompt, {u_('two', 'doc_id')} AS u
+  FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS n FROM d),
+f AS (SELECT * FROM d ORDER BY u, doc_id LIMIT {4 * want}),
+k AS (SELECT doc_id, text, u FROM f, n WHERE n > {want} AND {tok_count('prompt')} < 120 AND {tok_count('text')} < 900
+  UNION ALL SELECT doc_id, text, u FROM d, n WHERE n <= {want})
+SELECT doc_id, CAST({tok_count('text')} AS BIGINT) AS n_tokens FROM k ORDER BY u, doc_id LIMIT {want}"""
+
+
+TWO_LIMITS, TWO_LIMITS_SHORT = _two_limits(60), _two_limits(100_000_000)

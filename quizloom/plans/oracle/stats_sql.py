@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from quizloom.plans.oracle.mcq_sql import PROFILE_CTES
-from quizloom.sources.registry import registry_sql
+from quizloom.sources.registry import COL_DICT, registry_sql
 
 HEAD = f"WITH {registry_sql()},\n{PROFILE_CTES}"
 
@@ -119,7 +119,7 @@ SELECT target, list_sort(list(feature)) AS correlated FROM mi WHERE mi > {cutoff
 
 
 
-def mcq_multi_sql(cutoff: float = 0.5) -> str:
+def mcq_multi_sql(cutoff: float = 0.5, k: int = 2) -> str:
     from itertools import groupby
     from quizloom.plans.oracle.mcq_sql import distractor_ctes, u_
     from quizloom.sources.registry import COL_DICT, VARS
@@ -128,7 +128,7 @@ def mcq_multi_sql(cutoff: float = 0.5) -> str:
     for sec, items in groupby(COL_DICT, key=lambda t: t[2]):
         items = list(items)
         pres = {c: f"(r.{c} IS NOT NULL AND r.{c} <> '' AND NOT list_contains(x.drop_, '{c}'))" for c, _, _ in items}
-        lines = [f"CASE WHEN {pres[c]} THEN '{n}: ' || CASE WHEN x.var1 = '{c}' OR x.var2 = '{c}' THEN '[MASK]' ELSE r.{c} END END"
+        lines = [f"CASE WHEN {pres[c]} THEN '{n}: ' || CASE WHEN list_contains(x.victims, '{c}') THEN '[MASK]' ELSE r.{c} END END"
                  for c, n, _ in items]
         blocks.append(f"CASE WHEN {' OR '.join(pres.values())} THEN concat_ws(chr(10), '{sec}', {', '.join(lines)}) END")
     text = f"concat_ws(chr(10) || chr(10), {', '.join(blocks)})"
@@ -142,31 +142,36 @@ def mcq_multi_sql(cutoff: float = 0.5) -> str:
     def render(o):
         return f"array_to_string(list_transform({o}, lambda c, i: chr(CAST(64 + i AS INTEGER)) || '. ' || c), chr(10))"
 
+    pick = "QUALIFY row_number() OVER (PARTITION BY d.record_id ORDER BY d.u_) = 1"
+    own = "d.var AS var{0}, d.qid AS qid{0}, d.label AS label{0}, d.choices AS choices{0}"
+    picks = [f"p0 AS (SELECT d.record_id, {own.format(0)}, [d.var] AS victims, coalesce(f.f, []::VARCHAR[]) AS drop_ "
+             f"FROM d LEFT JOIN feats f ON f.target = d.var {pick})"]
+    for i in range(1, k):
+        picks.append(f"p{i} AS (SELECT p.* EXCLUDE (victims, drop_), {own.format(i)}, list_append(p.victims, d.var) AS victims, "
+                     f"list_concat(p.drop_, coalesce(f.f, []::VARCHAR[])) AS drop_ FROM d JOIN p{i - 1} p ON p.record_id = d.record_id "
+                     f"LEFT JOIN feats f ON f.target = d.var "
+                     f"WHERE NOT list_contains(p.victims, d.var) AND NOT list_contains(p.drop_, d.var) {pick})")
+    mixed = ", ".join(f"{shuf(f'choices{i}', f'qid{i}')} AS sh{i}, CAST(floor({u_('pos', f'qid{i}')} * (len(choices{i}) + 1)) AS INTEGER) AS i{i}"
+                      for i in range(k))
+    options = ", ".join(f"list_concat(list_slice(sh{i}, 1, i{i}), [label{i}], list_slice(sh{i}, i{i} + 1, len(sh{i}))) AS choices_{i}" for i in range(k))
+    questions = " || chr(10) || ".join(
+        f"printf('Q{i + 1}. What would be the masked value of ''%s'' in section %s?', {names(f'x.var{i}')}, {secs(f'x.var{i}')})"
+        f" || chr(10) || {render(f'x.choices_{i}')}" for i in range(k))
     return _mi_body(False) + f""",
 q0 AS (SELECT record_id, var, label_raw, CAST(record_id AS VARCHAR) || '|' || var AS qid FROM ({qrows})
   WHERE label_raw IS NOT NULL AND label_raw NOT IN ('', 'NA') AND var IN (SELECT var FROM summary)),
 {distractor_ctes()},
 d AS (SELECT record_id, var, qid, label, choices, {u_('pick', 'record_id', 'var')} AS u_ FROM ch1),
-corr AS (SELECT target, feature FROM mi WHERE mi > {cutoff}),
-first AS (SELECT record_id, var AS var1, qid AS qid1, label AS label1, choices AS choices1 FROM d
-  QUALIFY row_number() OVER (PARTITION BY record_id ORDER BY u_) = 1),
-second AS (SELECT d.record_id, d.var AS var2, d.qid AS qid2, d.label AS label2, d.choices AS choices2
-  FROM d JOIN first f ON d.record_id = f.record_id
-  WHERE d.var <> f.var1 AND NOT EXISTS (SELECT 1 FROM corr c WHERE c.target = f.var1 AND c.feature = d.var)
-  QUALIFY row_number() OVER (PARTITION BY d.record_id ORDER BY d.u_) = 1),
-feats AS (SELECT target, list(feature) AS f FROM corr GROUP BY target),
-qq AS (SELECT f.*, s.var2, s.qid2, s.label2, s.choices2,
-    list_concat(coalesce(a.f, []::VARCHAR[]), coalesce(b.f, []::VARCHAR[])) AS drop_,
-    {shuf('f.choices1', 'f.qid1')} AS sh1, CAST(floor({u_('pos', 'f.qid1')} * (len(f.choices1) + 1)) AS INTEGER) AS i1,
-    {shuf('s.choices2', 's.qid2')} AS sh2, CAST(floor({u_('pos', 's.qid2')} * (len(s.choices2) + 1)) AS INTEGER) AS i2
-  FROM first f JOIN second s ON f.record_id = s.record_id
-  LEFT JOIN feats a ON a.target = f.var1 LEFT JOIN feats b ON b.target = s.var2),
-x AS (SELECT *, list_concat(list_slice(sh1, 1, i1), [label1], list_slice(sh1, i1 + 1, len(sh1))) AS choices_0,
-    list_concat(list_slice(sh2, 1, i2), [label2], list_slice(sh2, i2 + 1, len(sh2))) AS choices_1 FROM qq)
-SELECT x.record_id,
-  {text} || chr(10) || printf('Q1. What would be the masked value of ''%s'' in section %s?', {names('x.var1')}, {secs('x.var1')})
-    || chr(10) || {render('x.choices_0')} || chr(10)
-    || printf('Q2. What would be the masked value of ''%s'' in section %s?', {names('x.var2')}, {secs('x.var2')})
-    || chr(10) || {render('x.choices_1')} AS user_message,
-  chr(65 + x.i1) AS label_0, chr(65 + x.i2) AS label_1, x.choices_0, x.choices_1, [x.var1, x.var2] AS victims
+feats AS (SELECT target, list(feature) AS f FROM mi WHERE mi > {cutoff} GROUP BY target),
+{", ".join(picks)},
+qq AS (SELECT *, {mixed} FROM p{k - 1}),
+x AS (SELECT *, {options} FROM qq)
+SELECT x.record_id, {text} || chr(10) || {questions} AS user_message,
+  {", ".join(f"chr(65 + x.i{i}) AS label_{i}" for i in range(k))}, {", ".join(f"x.choices_{i}" for i in range(k))}, x.victims
 FROM x JOIN registry r ON x.record_id = r.record_id"""
+
+
+MERGED_PROFILE = HEAD + """
+SELECT s.var, d.display_name, d.section, s.n_keys, s.n_rows, s.n_vocab, s.vocab_total, round(s.float_ratio, 6) AS float_ratio,
+  s.is_numeric, s.drop_negative, s.round_int
+FROM summary s JOIN (VALUES """ + ", ".join(f"('{v}', '{n}', '{x}')" for v, n, x in COL_DICT) + """) d(var, display_name, section) ON d.var = s.var"""

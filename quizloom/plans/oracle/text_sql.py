@@ -127,3 +127,10 @@ SELECT g.doc_id, {u_('ab', 'g.doc_id')} < 0.5 AS shuffle,
   CASE WHEN {u_('ab', 'g.doc_id')} < 0.5 THEN g.generated ELSE d.text END AS option_b,
   CAST(floor((row_number() OVER (ORDER BY {u_('page', 'g.doc_id')}, g.doc_id) - 1) / 20) AS BIGINT) AS page
 FROM g JOIN documents d ON g.doc_id = d.doc_id"""
+
+_REDACTED = REDACT_REGEX[len("SELECT doc_id, "):REDACT_REGEX.index(" AS redacted FROM")]
+NOTE_PIPELINE = f"""WITH c AS ({NOTE_CATEGORY.replace("SELECT doc_id,", "SELECT doc_id, text,")} WHERE text IS NOT NULL),
+t AS (SELECT *, CAST({tok_count('text')} AS BIGINT) AS n_tokens FROM c WHERE category <> 'web' AND {tok_count('text')} >= 20),
+r AS (SELECT doc_id, category, n_tokens, {_REDACTED} AS text FROM t),
+h AS (SELECT *, regexp_extract(text, '\\n([^ \\n]+)', 1) AS header FROM r)
+SELECT doc_id, category, n_tokens, header, {_SPLIT} AS split_text FROM h"""

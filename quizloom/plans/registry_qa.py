@@ -15,8 +15,9 @@ from quizloom.operators.mutual_info import MI_CUTOFF
 from quizloom.operators.neighbour_mi import mutual_info_knn
 from quizloom.operators.questions import assemble, explode_targets, render_options
 from quizloom.operators.serialize import serialize_flat, serialize_sections
-from quizloom.sources.files import stored
-from quizloom.sources.registry import COL_DICT, VARS, registry
+from quizloom.sources import profile_store as store
+from quizloom.sources.files import scratch_path, stored
+from quizloom.sources.registry import COL_DICT, VARS, col_dict, registry
 
 
 @dataclass
@@ -149,45 +150,81 @@ def outcome_union(spark: SparkSession, sf_dir: str, seed: int = 42) -> DataFrame
     return parts[0].unionByName(parts[1])
 
 
+def pick_targets(candidates, k: int):
+    """M4: of a record's candidate targets in order, the first ``k`` of which none is correlated with an earlier
+    one: one fold with a growing exclusion set.  A candidate is a struct with ``var`` and ``correlated``."""
+    none = F.slice(candidates, 1, 0)
+    start = F.struct(none.alias("picked"), F.transform(none, lambda x: x["var"]).alias("out"))
 
-def mcq_multi(spark: SparkSession, sf_dir: str, seed: int = 42, cutoff: float = 0.5) -> DataFrame:
-    """M4 (k = 2): the second target excludes the first and the first's
-    correlated columns (MI > cutoff); the text masks both targets and leaves
-    out every column correlated with either (T2)."""
+    def step(acc, x):
+        take = (F.size(acc["picked"]) < k) & ~F.array_contains(acc["out"], x["var"])
+        return F.struct(F.when(take, F.concat(acc["picked"], F.array(x))).otherwise(acc["picked"]).alias("picked"),
+                        F.when(take, F.concat(acc["out"], F.array(x["var"]), x["correlated"])).otherwise(acc["out"]).alias("out"))
+    return F.aggregate(candidates, start, step)["picked"]
+
+
+def mcq_multi(spark: SparkSession, sf_dir: str, seed: int = 42, cutoff: float = MI_CUTOFF, k: int = 2) -> DataFrame:
+    """M4: ``k`` questions a record; each target excludes itself and its correlated columns (MI > cutoff)
+    from the next ones; the text masks all targets and leaves out every column correlated with one (T2).
+    Records without ``k`` such targets are skipped."""
     from quizloom.operators.questions import shuffle_insert
     from quizloom.operators.serialize import targets_array
     reg = registry(spark, sf_dir)
     prof = build_profile(reg, gm_method="terciles")
-    corr = mi_ops.mutual_info(reg, prof.stats, prof.values).where(F.col("mi") > cutoff).select("target", "feature")
-    corr = stored(corr, "correlated")             # at most (#columns)^2 rows
+    corr = stored(correlated(reg, prof, cutoff), "correlated")             # one row per column
     q = explode_targets(reg, "record_id", VARS, prof.summary).select("record_id", "var", "label_raw", "qid")
     d = choose_distractors(q, prof.summary, prof.gm, prof.vocab, prof.all_vocab, seed=seed).where(F.size("choices") > 0)
-    d = d.withColumn("_u", u(seed, "pick", F.col("record_id"), F.col("var"))).select("record_id", "var", "qid", "label", "choices", "_u")
-    w = Window.partitionBy("record_id").orderBy("_u")          # one record's columns
-    first = d.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "record_id", F.col("var").alias("var1"), F.col("qid").alias("qid1"), F.col("label").alias("label1"),
-        F.col("choices").alias("choices1"))
-    c2 = d.join(first.select("record_id", "var1"), "record_id").where(F.col("var") != F.col("var1"))
-    c2 = c2.join(F.broadcast(corr), (c2["var1"] == corr["target"]) & (c2["var"] == corr["feature"]), "left_anti")
-    second = c2.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(
-        "record_id", F.col("var").alias("var2"), F.col("qid").alias("qid2"), F.col("label").alias("label2"),
-        F.col("choices").alias("choices2"))
-    feats = corr.groupBy("target").agg(F.collect_list("feature").alias("f"))     # per column: schema sized
-    f1 = F.broadcast(feats.select(F.col("target").alias("var1"), F.col("f").alias("f1")))
-    f2 = F.broadcast(feats.select(F.col("target").alias("var2"), F.col("f").alias("f2")))
-    qq = first.join(second, "record_id").join(f1, "var1", "left").join(f2, "var2", "left")
-    o1, i1 = shuffle_insert(F.col("choices1"), F.col("label1"), F.col("qid1"), seed)
-    o2, i2 = shuffle_insert(F.col("choices2"), F.col("label2"), F.col("qid2"), seed)
-    qq = qq.withColumn("choices_0", o1).withColumn("_i1", i1).withColumn("choices_1", o2).withColumn("_i2", i2)
-    qq = qq.join(reg, "record_id")
-    drop = F.concat(F.coalesce("f1", F.array().cast("array<string>")), F.coalesce("f2", F.array().cast("array<string>")))
-    text = serialize_sections(COL_DICT, targets_array(F.array("var1", "var2")), drop)
+    d = d.join(F.broadcast(corr), "var", "left").select("record_id", F.struct(
+        u(seed, "pick", F.col("record_id"), F.col("var")).alias("u"), "var", "qid", "label", "choices",
+        F.coalesce("correlated", F.array().cast("array<string>")).alias("correlated")).alias("x"))
+    picked = d.groupBy("record_id").agg(F.sort_array(F.collect_list("x")).alias("all"))      # one record's columns
+    picked = picked.withColumn("p", pick_targets(F.col("all"), k)).where(F.size("p") == k).drop("all")
+    for i in range(k):
+        x = F.col("p")[i]
+        options, at = shuffle_insert(x["choices"], x["label"], x["qid"], seed)
+        picked = picked.withColumns({f"choices_{i}": options, f"_i{i}": at, f"_v{i}": x["var"]})
+    drop = F.flatten(F.transform("p", lambda x: x["correlated"]))
+    qq = picked.withColumn("victims", F.transform("p", lambda x: x["var"])).withColumn("_drop", drop).drop("p").join(reg, "record_id")
+    text = serialize_sections(COL_DICT, targets_array(F.col("victims")), F.col("_drop"))
     names = F.create_map(*[x for v, n, s in COL_DICT for x in (F.lit(v), F.lit(n))])
     secs = F.create_map(*[x for v, n, s in COL_DICT for x in (F.lit(v), F.lit(s))])
-    qtext = lambda k, v: F.format_string(f"Q{k}. What would be the masked value of '%s' in section %s?",
-                                         F.element_at(names, F.col(v)), F.element_at(secs, F.col(v)))
-    msg = F.concat(text, F.lit("\n"), qtext(1, "var1"), F.lit("\n"), render_options(F.col("choices_0")),
-                   F.lit("\n"), qtext(2, "var2"), F.lit("\n"), render_options(F.col("choices_1")))
-    return qq.select("record_id", msg.alias("user_message"), F.expr("char(65 + _i1)").alias("label_0"),
-                     F.expr("char(65 + _i2)").alias("label_1"), "choices_0", "choices_1",
-                     F.array("var1", "var2").alias("victims"))
+    parts = [text]
+    for i in range(k):
+        parts += [F.format_string(f"Q{i + 1}. What would be the masked value of '%s' in section %s?",
+                                  F.element_at(names, F.col(f"_v{i}")), F.element_at(secs, F.col(f"_v{i}"))),
+                  render_options(F.col(f"choices_{i}"))]
+    return qq.select("record_id", F.concat_ws("\n", *parts).alias("user_message"),
+                     *[F.expr(f"char(65 + _i{i})").alias(f"label_{i}") for i in range(k)], *[f"choices_{i}" for i in range(k)], "victims")
+
+
+# ---------------------------------------------------------------- profiles that are stored and merged
+def profile_batch(spark: SparkSession, reg: DataFrame, path: str) -> str:
+    """The mergeable profile of one batch of records, written below ``path``."""
+    values = stored(profile.col_values(profile.unpivot_long(reg, "record_id", VARS)), "col-values")
+    store.write_profile(path, values, store.value_pairs(reg, values, VARS), col_dict(spark))
+    return path
+
+
+def merged_store(spark: SparkSession, sf_dir: str, batches: int = 3) -> store.StoredProfile:
+    """The registry in ``batches``, profiled batch by batch, the stored profiles merged."""
+    reg = registry(spark, sf_dir)
+    paths = [profile_batch(spark, reg.where(F.pmod("record_id", F.lit(batches)) == i), scratch_path(spark, f"profile-{i}"))
+             for i in range(batches)]
+    return store.read_merged(spark, paths)
+
+
+def merged_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary from merged profiles, with the dictionary's names: no record is read again."""
+    got = merged_store(spark, sf_dir)
+    stats = profile.col_stats(got.values)
+    summary = profile.profile_summary(stats, profile.vocab_table(got.values, stats), profile.all_vocab_table(got.values, stats))
+    return summary.join(got.dictionary.select("var", "display_name", "section"), "var").select(
+        "var", "display_name", "section", "n_keys", "n_rows", "n_vocab", "vocab_total", F.round("float_ratio", 6).alias("float_ratio"),
+        "is_numeric", "drop_negative", "round_int")
+
+
+def merged_mi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The discrete MI matrix from merged contingency counts."""
+    got = merged_store(spark, sf_dir)
+    m = store.mi_of_pairs(got.pairs, got.values)
+    return m.select("target", "feature", F.round("mi", 6).alias("mi"), "n_rows")

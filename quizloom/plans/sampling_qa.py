@@ -118,3 +118,31 @@ def positional_zip(spark, sf):
     p = S.global_position(table(spark, sf, "part").select("p_partkey", "p_name"), ["p_partkey"])
     s = S.global_position(table(spark, sf, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
     return p.join(s, "position").select("position", "p_name", "s_name")
+
+
+def within_limits(df: DataFrame, want: int, limits: list, order: list) -> DataFrame:
+    """F6 + L8: ``want`` rows in ``order``.  Only of a table with more rows than that: the first 4 * ``want``, and of
+    those the rows under every limit, one limit after the other.  Which case holds is a subquery of the plan."""
+    spare = df.agg((F.count("*") > want).alias("spare")).scalar()
+    first = df.where(spare).orderBy(*order).limit(4 * want)
+    for size, limit in limits:
+        first = first.where(size < limit)
+    return first.unionByName(df.where(~spare)).orderBy(*order).limit(want)
+
+
+def _limited(spark, sf, want: int):
+    d = table(spark, sf, "documents").select("doc_id", "text").where("text IS NOT NULL") \
+        .withColumn("prompt", F.concat_ws("\n", F.lit("Read the note."), F.substring_index("text", "\n", 1))) \
+        .withColumn("_u", u(SEED, "two", F.col("doc_id")))
+    limits = [(N.token_count("prompt"), 120), (N.token_count("text"), 900)]
+    return within_limits(d, want, limits, ["_u", "doc_id"]).select("doc_id", N.token_count("text").cast("long").alias("n_tokens"))
+
+
+def two_limits(spark, sf):
+    """more notes than asked for: a prompt limit, then a text limit."""
+    return _limited(spark, sf, 60)
+
+
+def two_limits_short(spark, sf):
+    """fewer notes than asked for: none is filtered."""
+    return _limited(spark, sf, 100_000_000)

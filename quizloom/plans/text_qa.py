@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quizloom.functions.hashing import u
 from quizloom.operators import notes as N
 from quizloom.operators.sampling import global_position
+from quizloom.session import checkpoint_dir
+from quizloom.sources.stages import Stage, input_print, run_stages
 from quizloom.sources.tables import table
 
 SEED = 42
@@ -179,3 +181,37 @@ def blind_pairs(spark, sf):
                  u(SEED, "page", F.col("doc_id")).alias("_k"), "_chk").where(F.col("_chk").isNull()).drop("_chk")
     p = global_position(j, ["_k", "doc_id"])
     return p.select("doc_id", "shuffle", "option_a", "option_b", F.floor(F.col("position") / 20).cast("long").alias("page"))
+
+
+# ---------------------------------------------------------------- staged note pipeline
+def _category_stage(df, rules, skip):
+    return df.withColumn("category", N.categorize("text", [tuple(r) for r in rules])).where(~F.col("category").isin(skip))
+
+
+def _token_stage(df, least):
+    return df.withColumn("n_tokens", N.token_count("text").cast("long")).where(F.col("n_tokens") >= least)
+
+
+def _redaction_stage(df, pattern):
+    return df.withColumn("text", N.redact_captured("text", pattern))
+
+
+def _split_stage(df, header):
+    d = df.withColumn("header", F.regexp_extract("text", header, 1))
+    return d.withColumn("split_text", N.split_at_header("text", "header")).drop("text")
+
+
+NOTE_STAGES = [
+    Stage("category", _category_stage, {"rules": CATEGORY_RULES, "skip": ["web"]}),
+    Stage("tokens", _token_stage, {"least": 20}),
+    Stage("redaction", _redaction_stage, {"pattern": EMAIL}),
+    Stage("split", _split_stage, {"header": r"\n([^ \n]+)"}),
+]
+
+
+def note_pipeline(spark, sf, root: str | None = None):
+    """Notes by category, with tokens counted, names out and split at their header: four stages, each written
+    once for its input and parameters and taken up again from there."""
+    root = root or f"{checkpoint_dir(spark)}/note-stages"
+    source = documents(spark, sf).select("doc_id", "text").where("text IS NOT NULL")
+    return run_stages(spark, source, input_print(spark, f"{sf}/documents.parquet"), NOTE_STAGES, root)[0]

@@ -52,3 +52,16 @@ def write_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
 def read_split(spark: SparkSession, path: str, split: str, split_col: str = "split") -> DataFrame:
     """S5 + F5: one split, pruned to its partition directory at planning time."""
     return spark.read.parquet(path).where(F.col(split_col) == split)
+
+
+def write_dictionary(words: DataFrame, path: str) -> None:
+    """S3: (source, target) as JSON objects of one entry a line."""
+    words.select(F.to_json(F.map_from_arrays(F.array("source"), F.array("target"))).alias("value")).write.text(path)
+
+
+def read_dictionary(spark: SparkSession, path: str) -> DataFrame:
+    """S3: (source, target) from JSON files whose lines are objects of any number of entries.  Of a word that
+    comes twice the smallest translation counts; a line that is no such object is an error."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    entries = lines.select(F.explode(F.from_json("value", "map<string,string>", {"mode": "FAILFAST"})).alias("source", "target"))
+    return entries.groupBy("source").agg(F.min("target").alias("target"))
