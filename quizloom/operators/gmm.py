@@ -84,10 +84,11 @@ def em_fit(hist: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         if i % PLANNED == 0:
             params = stored(params, "mixture-step")
         params = em_round(h, params)
+    weights = [F.round(f"w{k}", DIGITS) for k in _K[:-1]]                  # the last makes their sum 1
     return params.select(
         "var", F.array(*[F.col("center") + F.col("spread") * F.round(f"m{k}", DIGITS) for k in _K]).alias("gm_means"),
         F.array(*[F.col("spread") * F.round(F.sqrt(f"v{k}"), DIGITS) for k in _K]).alias("gm_stds"),
-        F.array(*[F.round(f"w{k}", DIGITS) for k in _K]).alias("gm_weights"))
+        F.array(*weights, F.round(1 - sum(weights), DIGITS)).alias("gm_weights"))
 
 
 def gmm_profile(values: DataFrame, stats: DataFrame, max_bins: int = MAX_BINS) -> DataFrame:

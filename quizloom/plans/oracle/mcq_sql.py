@@ -122,7 +122,7 @@ em0 AS MATERIALIZED (SELECT s.var, any_value(center) AS center, any_value(spread
 {(","+chr(10)).join(steps)},
 gm AS (SELECT s.var, CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"center + spread * round(m{k}, 7)" for k in ks)}] END AS gm_means,
     CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"spread * round(sqrt(v{k}), 7)" for k in ks)}] END AS gm_stds,
-    CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [{", ".join(f"round(w{k}, 7)" for k in ks)}] END AS gm_weights
+    CASE WHEN e.var IS NULL THEN [0.0::DOUBLE, 0.0, 0.0] ELSE [round(w0, 7), round(w1, 7), round(1 - (round(w0, 7) + round(w1, 7)), 7)] END AS gm_weights
   FROM stats s LEFT JOIN em{rounds} e ON e.var = s.var WHERE s.keep)"""
 
 

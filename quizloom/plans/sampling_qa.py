@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quizloom.functions.hashing import u
@@ -120,14 +120,19 @@ def positional_zip(spark, sf):
     return p.join(s, "position").select("position", "p_name", "s_name")
 
 
+def first_rows(df: DataFrame, n: int, order: list) -> DataFrame:
+    """L2 for any ``n``: rows are numbered by ranges, so that no task holds ``n`` of them."""
+    return S.global_position(df, order).where(F.col("position") < n).drop("position")
+
+
 def within_limits(df: DataFrame, want: int, limits: list, order: list) -> DataFrame:
     """F6 + L8: ``want`` rows in ``order``.  Only of a table with more rows than that: the first 4 * ``want``, and of
     those the rows under every limit, one limit after the other.  Which case holds is a subquery of the plan."""
     spare = df.agg((F.count("*") > want).alias("spare")).scalar()
-    first = df.where(spare).orderBy(*order).limit(4 * want)
+    first = first_rows(df.where(spare), 4 * want, order)
     for size, limit in limits:
         first = first.where(size < limit)
-    return first.unionByName(df.where(~spare)).orderBy(*order).limit(want)
+    return first_rows(first, want, order).unionByName(df.where(~spare))
 
 
 def _limited(spark, sf, want: int):

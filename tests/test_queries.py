@@ -9,7 +9,10 @@ from tests.conftest import SF
 
 FAST = ["col_values", "col_profile", "mi_discrete", "mcq_categorical", "mcq_numeric", "mcq_fallback", "horizon_label",
         "prefix_prompts", "trajectory_text", "outcome_question", "note_tokens", "redact_regex", "split_header",
-        "exact_match", "holdout_split", "multi_code", "sentinel_na", "case_collision", "date_minutes"]
+        "exact_match", "holdout_split", "multi_code", "sentinel_na", "case_collision", "date_minutes",
+        "mi_quantile", "mi_knn", "gmm_profile", "header_levels", "sheet_blocks", "slot_rows", "slot_round_trip", "appearance_codes",
+        "merged_profile", "merged_mi", "mcq_multi", "mcq_multi_three", "note_pipeline", "two_limits", "two_limits_short", "patched_dict",
+        "residual_columns", "fill_rules", "education_merge", "known_cohort", "dictionary_file"]
 
 
 def _norm(v):
