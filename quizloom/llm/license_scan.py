@@ -26,10 +26,9 @@ from pyspark.sql import types as T
 
 from quizloom.llm.common import free_name, prepare
 
-#: Words that mark a block worth a look.
-CUE = (r"(?i)licen[sc]|copyright|spdx|public\W+domain|creative\W+commons|all\W+rights\W+reserved|"
+#: Words that mark a block worth a look, beside the first words of templates that hold none of these.
+CUES = (r"(?i)licen[sc]|copyright|spdx|public\W+domain|creative\W+commons|all\W+rights\W+reserved|"
        r"permission\W+is\W+hereby|redistribution\W+and\W+use|\bCC\W+BY\b|\bCC0\b|unlicense")
-_CUE = re.compile(CUE)
 #: Between a sentence's end and the next; "v. 2.0" is one word.
 _STOP = r"(?:(?<!\W[vV]\.)|(?!\s*\d))\s+"
 _BLOCK = re.compile(r"\n+|(?<=\w[.!?;])" + _STOP)
@@ -45,14 +44,17 @@ LONG_LEAD, MAY_DIFFER = 6, 0.6
 #: Wordings in public use.  [core]: must stand unbroken.
 TEMPLATES = {
     "MIT": ["Released under the [MIT License]", "Licensed under the [MIT license]", "[SPDX-License-Identifier: MIT]",
+            "[Licensed under MIT]", "[License: MIT]",
             "[Permission is hereby granted, free of charge, to any person obtaining a copy of this software] and associated "
             "documentation files (the Software), to deal in the Software without restriction"],
     "Apache-2.0": ["Licensed under the [Apache License, Version 2.0]", "Released under the [Apache License 2.0]",
                    "[SPDX-License-Identifier: Apache-2.0]"],
-    "GPL-3.0": ["This work is licensed under the [GNU General Public License, version 3]", "Released under the [GNU GPL v3]",
+    "GPL-3.0": ["This work is licensed under the [GNU General Public License, version 3]", "Released under the [GNU GPL v3]", "Released under the [GNU GPL version 3]",
+                "[Licensed under GPLv3]", "[Licensed under the GPLv3]",
                 "under the terms of the [GNU General Public License v3]", "Licensed under [GPL-3.0]",
                 "[GNU General Public License as published by the Free Software Foundation, either version 3]"],
-    "GPL-2.0": ["This work is licensed under the [GNU General Public License, version 2]", "Released under the [GNU GPL v2]",
+    "GPL-2.0": ["This work is licensed under the [GNU General Public License, version 2]", "Released under the [GNU GPL v2]", "Released under the [GNU GPL version 2]",
+                "[Licensed under GPLv2]", "[Licensed under the GPLv2]",
                 "under the terms of the [GNU General Public License v2]", "Licensed under [GPL-2.0]",
                 "[GNU General Public License as published by the Free Software Foundation, either version 2]"],
     "LGPL-3.0": ["This work is licensed under the [GNU Lesser General Public License, version 3]", "Licensed under [LGPL-3.0]"],
@@ -87,6 +89,13 @@ def words_of(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def cue_of(templates: dict[str, list[str]]) -> str:
+    """A pattern that some place of every wording meets: ``CUES``, or a core's first three words."""
+    cores = [m[1] if (m := re.search(r"\[(.*)\]", x)) else x for v in templates.values() for x in v if not re.search(CUES, x)]
+    firsts = sorted({r"\W+".join(words_of(c)[:3]) for c in cores if words_of(c)})
+    return CUES + "".join(rf"|\b{f}\b" for f in firsts)
+
+
 @dataclass(frozen=True)
 class Wording:
     words: tuple[str, ...]
@@ -99,6 +108,7 @@ class Scanner:
             core = re.search(r"\[(.*)\]", x)
             return Wording(tuple(words_of(x)), tuple(words_of(core[1] if core else x)))
 
+        self.cue = re.compile(cue_of(templates))
         self.wordings = {k: [wording(x) for x in v] for k, v in templates.items()}
         kind = {"write_content_size": False, "write_checksum": False, "write_dict_id": False, "level": LEVEL}
         self.plain = zstandard.ZstdCompressor(**kind)
@@ -159,11 +169,11 @@ class Scanner:
         """Number of candidate blocks, and the confirmed finds in order."""
         blocks, found = 0, []
         for sentence in _SENTENCE.split(text):
-            if not _CUE.search(sentence):
+            if not self.cue.search(sentence):
                 continue
             own: list[dict] = []
             for piece in _BLOCK.split(sentence):
-                block = words_of(piece) if _CUE.search(piece) else []
+                block = words_of(piece) if self.cue.search(piece) else []
                 if block:
                     blocks += 1
                     own += self.confirmed(block, piece)
@@ -189,7 +199,8 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, list[
     """``docs`` with one more column (its name is returned): struct of n_blocks (candidates) and
     finds (license, saved_bytes, rank, n_differences, differences, block).
 
-    Null and empty texts and texts without a cue have no candidates.  Ties in saved bytes go to
+    A find says that a wording stands there, also where the sentence denies it ("not licensed under ..."): its
+    differences show words put in.  Null and empty texts and texts without a cue have no candidates.  Ties in saved bytes go to
     the first name; repeated rows are scanned alike; all other columns pass through.
     """
     prepare(docs.sparkSession)
@@ -213,7 +224,7 @@ def license_scan(docs: DataFrame, text: str = "text", templates: dict[str, list[
                                              [*[f for j, f in enumerate(b.schema.names) if j != i], out])
 
     body = F.col(f"`{text}`").cast("string")
-    return docs.withColumn(seen, F.when(body.rlike(CUE), body)).mapInArrow(run, schema), out
+    return docs.withColumn(seen, F.when(body.rlike(cue_of(templates or TEMPLATES)), body)).mapInArrow(run, schema), out
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -221,7 +232,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     the differing words of all finds."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     # the text goes to Python only where it has a cue
-    rows, out = license_scan(docs.select("doc_id", F.when(F.col("text").rlike(CUE), F.col("text")).alias("text")))
+    rows, out = license_scan(docs.select("doc_id", F.when(F.col("text").rlike(cue_of(TEMPLATES)), F.col("text")).alias("text")))
     finds = F.col(f"{out}.finds")
     names = F.array_sort(F.array_distinct(F.transform(finds, lambda f: f["license"])))
     return rows.select(

@@ -405,6 +405,17 @@ def test_wrappers_merge_in_rounds(llm, monkeypatch):
     assert [r.host for r in page_text.host_wrappers(table).collect()] == ["h"]
 
 
+def test_every_wording_is_found_on_its_own_line(llm, docs):
+    scanner = license_scan.Scanner(license_scan.TEMPLATES)
+    wordings = [(name, x.replace("[", "").replace("]", "")) for name, v in license_scan.TEMPLATES.items() for x in v]
+    for name, line in wordings:
+        _, found = scanner.scan(f"some text before it\n\n{line}\n\nand after it")
+        assert name in {f["license"] for f in found}, line
+    out, column = license_scan.license_scan(docs([(i, f"words\n\n{line}\n", "en") for i, (_, line) in enumerate(wordings)]))
+    got = {r.doc_id: {f["license"] for f in r[column]["finds"]} for r in out.collect()}
+    assert all(name in got[i] for i, (name, _) in enumerate(wordings))
+
+
 # ------------------------------------------------------------------ pipeline
 def test_pipeline_stages(llm, docs):
     raw = llm.read.parquet(f"{SF}/documents.parquet")
