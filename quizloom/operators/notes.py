@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 # Token pattern of the default (regex) tokenizer.
 TOKEN_PATTERN = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\x0B\f\r]"
+# A token with the white space before it: put together again, these give the text up to its last token.
+SPACED_TOKEN = r"[ \t\n\x0B\f\r]*(?:" + TOKEN_PATTERN + ")"
 # Delimiters of the answer cut, in the reference's order.
 CUT_DELIMITERS = ["Q:", "\n\n", "</s>", "."]
 # Separator written between note parts.
@@ -15,6 +17,9 @@ SEPARATOR = "*" * 50
 # Chat prefixes.
 ASSISTANT_PREFIX = "Let's think step by step."
 ANSWER_PHRASE = "Therefore, the answer is "
+QUESTION_PHRASE = "Therefore, the answer to Q{} is "
+# Why a recorded generation ended at its token limit.
+FINISHED_BY_LENGTH = "length"
 # Punctuation removed by the exact-match metric (Python string.punctuation).
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
@@ -136,6 +141,31 @@ def budget_tokens(text, max_len: int, suffix_len: int) -> Column:
     return F.when(F.size(tk) + suffix_len + 1 >= max_len, F.slice(tk, 1, keep)).otherwise(tk)
 
 
+def answer_phrase(question: int | None = None) -> str:
+    """Words that ask for the letter: of the only question, or of question ``question`` (from 0)."""
+    return ANSWER_PHRASE if question is None else QUESTION_PHRASE.format(question + 1)
+
+
+def answer_input(prompt, generated, max_len: int, question: int | None = None) -> Column:
+    """Struct of ``n_tokens`` (of prompt and generation together), ``cut`` and ``input``, the text that asks for
+    the answer.  Where text, phrase and one answer token would reach ``max_len``, the text keeps its first
+    ``max_len - phrase - 1`` tokens (none if that is negative) with the white space between them; else all of it.
+    A null prompt or generation counts as empty."""
+    phrase = answer_phrase(question)
+    whole = F.concat(F.coalesce(_c(prompt), F.lit("")), F.coalesce(_c(generated), F.lit("")))
+    spaced = F.regexp_extract_all(whole, F.lit(SPACED_TOKEN), 0)
+    room = F.greatest(F.lit(max_len) - token_count(F.lit(phrase)) - 1, F.lit(0))
+    cut = F.size(spaced) >= F.lit(max_len) - token_count(F.lit(phrase)) - 1
+    return F.struct(F.size(spaced).cast("long").alias("n_tokens"), cut.alias("cut"),
+                    F.concat(F.when(cut, F.array_join(F.slice(spaced, F.lit(1), room), "")).otherwise(whole),
+                             F.lit(phrase)).alias("input"))
+
+
+def truncated(finish_reason) -> Column:
+    """Whether a recorded generation ended at its token limit; an unrecorded reason is none."""
+    return _c(finish_reason).eqNullSafe(F.lit(FINISHED_BY_LENGTH))
+
+
 def normalize_answer(text) -> Column:
     """A17 normalisation: spaces removed, lower case, punctuation removed."""
     s = F.lower(F.regexp_replace(_c(text), " ", ""))

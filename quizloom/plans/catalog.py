@@ -180,7 +180,8 @@ for _name, _sql in [
     ("chat_messages", _txs.CHAT_MESSAGES), ("chat_prompts", _txs.CHAT_PROMPTS), ("sys_fold", _txs.SYS_FOLD),
     ("boxed_answer", _txs.BOXED_ANSWER), ("cut_delims", _txs.CUT_DELIMS), ("budget_trim", _txs.BUDGET_TRIM),
     ("prompt_parts", _txs.PROMPT_PARTS), ("exact_match", _txs.EXACT_MATCH), ("accuracy_report", _txs.ACCURACY_REPORT),
-    ("reward_mean", _txs.REWARD_MEAN), ("truncation_rate", _txs.TRUNCATION_RATE), ("blind_pairs", _txs.BLIND_PAIRS),
+    ("reward_mean", _txs.REWARD_MEAN), ("truncation_rate", _txs.TRUNCATION_RATE),
+    ("answer_inputs", _txs.ANSWER_INPUTS), ("finish_rate", _txs.FINISH_RATE), ("blind_pairs", _txs.BLIND_PAIRS),
 ]:
     register(_name, _sql)(getattr(_tx, _name))
 

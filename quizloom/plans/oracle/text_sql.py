@@ -96,6 +96,13 @@ _TOK = f"regexp_extract_all(generated, '{TOKEN}')"
 BUDGET_TRIM = f"""WITH {GEN} SELECT doc_id, CAST(len({_TOK}) AS BIGINT) AS n_tokens,
   CAST(CASE WHEN len({_TOK}) + 5 + 1 >= 11000 THEN least(len({_TOK}), 11000 - 5 - 1) ELSE len({_TOK}) END AS BIGINT) AS n_kept FROM g"""
 
+_SPACED = f"regexp_extract_all(whole, '[ \\t\\n\\x0B\\f\\r]*(?:{TOKEN})')"
+ANSWER_INPUTS = f"""WITH {GEN}, w AS (SELECT doc_id, {SYS} || chr(10) || coalesce(source || chr(10), '') || coalesce(generated, '') AS whole FROM g),
+t AS (SELECT doc_id, whole, {_SPACED} AS sp FROM w),
+q(question_idx, phrase, room) AS (VALUES (0, 'Therefore, the answer to Q1 is ', 52), (1, 'Therefore, the answer to Q2 is ', 52))
+SELECT doc_id, question_idx, CAST(len(sp) AS BIGINT) AS n_tokens, len(sp) >= room AS was_cut,
+  CASE WHEN len(sp) >= room THEN array_to_string(sp[1:room], '') ELSE whole END || phrase AS answer_input FROM t, q"""
+
 PROMPT_PARTS = f"""WITH {FLAGS},
 {SECTIONS},
 {_HQ},
@@ -121,6 +128,11 @@ REWARD_MEAN = (f"WITH {GEN} SELECT source, count(*) AS n, round(avg(CASE WHEN va
 TRUNCATION_RATE = (f"WITH {GEN} SELECT source, count(*) AS n, round(avg(CASE WHEN {tok_count('generated')} >= 2000 "
                    f"THEN 1.0 ELSE 0.0 END), 6) AS truncation_rate FROM g GROUP BY source")
 
+FINISH_RATE = f"""WITH {GEN}, r AS (SELECT source, value_0, coalesce({u_('fin', 'doc_id')} < 0.15, false) AS tr FROM g)
+SELECT source, count(*) AS n, count(*) FILTER (tr) AS n_truncated, round(avg(CASE WHEN tr THEN 1.0 ELSE 0.0 END), 6) AS truncation_rate,
+  count(*) FILTER (tr AND value_0 <> '') AS answered_truncated, count(*) FILTER (NOT tr AND value_0 <> '') AS answered_finished
+FROM r GROUP BY source"""
+
 BLIND_PAIRS = f"""WITH {GEN}
 SELECT g.doc_id, {u_('ab', 'g.doc_id')} < 0.5 AS shuffle,
   CASE WHEN {u_('ab', 'g.doc_id')} < 0.5 THEN d.text ELSE g.generated END AS option_a,

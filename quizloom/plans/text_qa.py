@@ -23,6 +23,8 @@ SYS_PROMPT = ("Do not add a disclaimer or any other unnecessary sentences after
               "Put your final answer (letter choice only) within \\boxed{}.")
 MAX_MODEL_LEN = 11000
 MAX_ANSWER_TOKENS = 2000
+#: Model length of ``answer_inputs``: a short one, so that many of the texts have to be cut.
+SHORT_MODEL_LEN = 60
 
 
 def documents(spark, sf) -> DataFrame:
@@ -124,6 +126,19 @@ def budget_trim(spark, sf):
                     F.size(kept).cast("long").alias("n_kept"))
 
 
+def answer_inputs(spark, sf):
+    """For both questions of a generation, the prompt and what was generated, cut to the model's length so that
+    the words asking for the answer and one token fit behind."""
+    g = generations(spark, sf)
+    prompt = F.concat(F.lit(SYS_PROMPT + "\n"), F.coalesce(F.concat("source", F.lit("\n")), F.lit("")))
+    asked = F.explode(F.array(*[F.struct(F.lit(q).alias("question_idx"),
+                                         N.answer_input(prompt, "generated", SHORT_MODEL_LEN, q).alias("a"))
+                                for q in range(2)]))
+    return g.select("doc_id", asked.alias("x")).select(
+        "doc_id", "x.question_idx", F.col("x.a.n_tokens").alias("n_tokens"), F.col("x.a.cut").alias("was_cut"),
+        F.col("x.a.input").alias("answer_input"))
+
+
 def prompt_parts(spark, sf):
     """Recover context and question block from rendered horizon prompts."""
     from quizloom.plans.timeseries_qa import horizon_question
@@ -167,6 +182,24 @@ def truncation_rate(spark, sf):
     return g.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(t), 6).alias("truncation_rate"))
 
 
+def recorded_runs(spark, sf) -> DataFrame:
+    """Recorded generations with the reason each one ended (drawn by hash; a twentieth unrecorded)."""
+    k = u(SEED, "fin", F.col("doc_id"))
+    reason = F.when(k < 0.15, N.FINISHED_BY_LENGTH).when(k < 0.9, "stop").when(k < 0.95, "abort")
+    return generations(spark, sf).withColumn("finish_reason", reason)
+
+
+def finish_rate(spark, sf):
+    """Generations of each source that ended at their token limit, by the recorded reason, and how many of the
+    cut and of the finished ones hold an answer letter."""
+    g = recorded_runs(spark, sf).withColumn("truncated", N.truncated("finish_reason"))
+    answered = lambda c: F.count_if(c & (F.col("value_0") != ""))
+    return g.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("truncated").alias("n_truncated"),
+        F.round(F.avg(F.col("truncated").cast("double")), 6).alias("truncation_rate"),
+        answered(F.col("truncated")).alias("answered_truncated"), answered(~F.col("truncated")).alias("answered_finished"))
+
+
 def blind_pairs(spark, sf):
     """J10 + W9: two systems' outputs per item, A/B order by hash coin, 20 items per page."""
     g = generations(spark, sf)

@@ -77,3 +77,23 @@ def test_no_option_is_lost(spark, n):
     for r in df.select(options.alias("o"), pos.alias("p"), Q.render_options(options).alias("t")).collect():
         assert sorted(r.o) == sorted(["L"] + [f"c{j:02d}" for j in range(n)]) and r.o[r.p] == "L"
         assert r.t.split("\n")[r.p] == f"{chr(65 + r.p)}. L" and len(r.t.split("\n")) == n + 1
+
+
+def test_answer_input(spark):
+    rows = [("p:", " one  two\n three, four", 0), ("", "", 1), (None, "a", 2), ("a b c d ", "e f", 3), ("a b", " c  ", 4)]
+    df = spark.createDataFrame(rows, "p string, g string, k int")
+    ask = N.answer_phrase(0)  # seven tokens
+    got = {r.k: tuple(r.a) for r in df.select("k", N.answer_input("p", "g", 12, 0).alias("a")).collect()}  # room for four
+    assert got == {0: (7, True, "p: one  two" + ask), 1: (0, False, ask), 2: (1, False, "a" + ask),
+                   3: (6, True, "a b c d" + ask), 4: (3, False, "a b c  " + ask)}
+    none = df.select(N.answer_input("p", "g", 3, 0).alias("a")).collect()
+    assert {r.a["input"] for r in none} == {ask} and all(r.a["cut"] for r in none)
+    only = df.where("k = 2").select(N.answer_input("p", "g", 12).alias("a")).first()
+    assert only.a["input"] == "aTherefore, the answer is "
+    long = spark.createDataFrame([("x " * 50_000, "y")], "p string, g string").select(N.answer_input("p", "g", 11_000, 1).alias("a")).first()
+    assert long.a["n_tokens"] == 50_001 and long.a["input"] == ("x " * 10_992)[:-1] + N.answer_phrase(1)
+
+
+def test_finish_flag(spark):
+    df = spark.createDataFrame([("length",), ("stop",), (None,), ("Length",)], "r string")
+    assert [r[0] for r in df.select(N.truncated("r")).collect()] == [True, False, False, False]
