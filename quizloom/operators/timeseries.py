@@ -180,16 +180,13 @@ def trajectory_text(traj: DataFrame, cutoff_seconds: int | None = None) -> DataF
     With ``cutoff_seconds`` (F9) rows within that many seconds of the user's
     last row are left out.
     """
-    t = traj
+    block = F.struct("charttime", time_block(F.col("charttime"), F.col("onset")).alias("b"))
+    t = traj.groupBy("user_id").agg(F.max("charttime").alias("_last"), F.sort_array(F.collect_list(block)).alias("_bs"),
+                                    *[F.first(v).alias(v) for v, _ in STATIC])
+    blocks = F.col("_bs")
     if cutoff_seconds is not None:
-        t = t.withColumn("_mx", F.max("charttime").over(Window.partitionBy("user_id"))).where(
-            F.col("_mx") - F.col("charttime") >= cutoff_seconds)
-    blocks = t.groupBy("user_id").agg(
-        F.sort_array(F.collect_list(F.struct("charttime", time_block(F.col("charttime"), F.col("onset")).alias("b")))).alias("bs"))
-    head = traj.groupBy("user_id").agg(*[F.first(v).alias(v) for v, _ in STATIC])
-    return head.join(blocks, "user_id", "left").select(
-        "user_id", F.concat(static_header(), F.coalesce(F.array_join(F.transform("bs", lambda x: x["b"]), ""), F.lit("")))
-        .alias("text"))
+        blocks = F.filter(blocks, lambda x: F.col("_last") - x["charttime"] >= cutoff_seconds)
+    return t.select("user_id", F.concat(static_header(), F.array_join(F.transform(blocks, lambda x: x["b"]), "")).alias("text"))
 
 
 # Forms of slot columns (day and slot, day alone).

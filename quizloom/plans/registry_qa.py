@@ -41,22 +41,17 @@ def build_profile(reg: DataFrame, vars_=VARS, id_col: str = "record_id", gm_meth
         # The one pass over the data: (var, value, n).  Every other profile table
         # derives from it, so it is written once to the checkpoint folder.
         values = stored(values, "col-values")
-    stats = profile.col_stats(values)
-    vocab = profile.vocab_table(values, stats)
-    all_vocab = profile.all_vocab_table(values, stats)
-    summary = profile.profile_summary(stats, vocab, all_vocab)
-    if gm_method == "em":
-        gm = gmm.gmm_profile(values, stats)
-    elif gm_method == "terciles":
-        gm = gmm.tercile_mixture(values, stats)
-    else:
-        gm = None
-    if materialize is True:
-        # Profile tables are column- or vocabulary-sized and are read many times by
-        # the question plan: write them once as Parquet (survives executor loss, has
-        # sizes for the join choice) instead of recomputing the scan.
-        summary, gm, vocab, all_vocab = (stored(d, n) for d, n in (
-            (summary, "summary"), (gm, "mixture"), (vocab, "vocab"), (all_vocab, "all-vocab")))
+    # The other tables are column- or vocabulary-sized and are read many times by the question plan: each is
+    # written once as Parquet (survives executor loss, has sizes for the join choice) before the next derives from it.
+    kept = stored if materialize is True else lambda df, name: df
+    stats = kept(profile.col_stats(values), "stats")
+    vocab = kept(profile.vocab_table(values, stats), "vocab")
+    all_vocab = kept(profile.all_vocab_table(values, stats), "all-vocab")
+    summary = kept(profile.profile_summary(stats, vocab, all_vocab), "summary")
+    if gm_method is None:
+        return Profile(long, values, stats, vocab, all_vocab, summary, None)
+    mixture = gmm.gmm_profile if gm_method == "em" else gmm.tercile_mixture
+    gm = kept(mixture(values, stats), "mixture")
     return Profile(long, values, stats, vocab, all_vocab, summary, gm)
 
 

@@ -10,6 +10,7 @@ from quizloom.functions.hashing import u
 from quizloom.operators import timeseries as ts
 from quizloom.operators.distractors import choose_distractors
 from quizloom.plans.registry_qa import build_profile
+from quizloom.sources.files import stored
 from quizloom.sources.tables import table
 
 SEED = 42
@@ -50,18 +51,15 @@ def trajectory_text(spark, sf) -> DataFrame:
 
 def stay_having(traj: DataFrame) -> DataFrame:
     """F8 + A13: users whose span >= 48 h and who have a row exactly 24 h before their last."""
-    w = Window.partitionBy("user_id")
-    t = traj.withColumn("_mx", F.max("charttime").over(w)).withColumn("_mn", F.min("charttime").over(w))
-    g = t.groupBy("user_id").agg(
-        F.first("_mx").alias("last_time"), F.first("_mn").alias("first_time"),
-        F.max((F.col("charttime") == F.col("_mx") - 86400).cast("int")).alias("_has24"))
-    return g.where((F.col("last_time") - F.col("first_time") >= 48 * 3600) & (F.col("_has24") == 1)).drop("_has24")
+    ends = traj.groupBy("user_id").agg(F.max("charttime").alias("last_time"), F.min("charttime").alias("first_time"))
+    day_before = traj.select("user_id", (F.col("charttime") + 86400).alias("last_time"))
+    return ends.where(F.col("last_time") - F.col("first_time") >= 48 * 3600).join(day_before, ["user_id", "last_time"], "left_semi")
 
 
 def forecast_question(spark, sf, seed: int = SEED) -> DataFrame:
     """Per kept user and feature, predict the last row's value from the
     history that ends 24 h earlier; distractors from the trajectory profile."""
-    traj = ts.trajectory(events(spark, sf))
+    traj = stored(ts.trajectory(events(spark, sf)), "trajectory")   # read for profile, users, last rows and texts
     feats = [v for v, _ in ts.TRAJ_FEATURES]
     wide = traj.select(F.concat_ws("|", "user_id", "charttime").alias("record_id"),
                        *[F.col(v).cast("string").alias(v) for v in feats])
