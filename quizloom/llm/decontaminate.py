@@ -10,9 +10,11 @@ match of one word at most, so only runs of known neighbours are streamed word by
 runs are found by numpy over the whole batch, for any number of documents.  Hits found by
 word hashes are confirmed on the words themselves.
 
-The benchmark is split into parts of at most ``PART_WORDS`` words, so what is broadcast is
-bounded whatever its size; documents pass once for each part and the parts' hits are united.
-Documents are never shuffled.
+The benchmark is cut in tasks into segments that overlap by a window less one word, and other
+tasks gather segments into parts of at most ``PART_WORDS`` words, build the automaton of each and
+write it to the shared folder.  The driver hands on one part after the other, so what it holds
+and what is broadcast is bounded whatever the benchmark's or an item's size; documents pass once
+for each part and the parts' hits are united.  Documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -25,11 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.taskcontext import TaskContext
 
 from quizloom.llm.common import ALNUM, Words, free_name, prepare, slabs, stored, text_bytes
 
 WINDOW = 13
 PART_WORDS = 100_000
+#: Words of an item handled as one; longer items are cut into overlapping segments of that many.
+SEGMENT_WORDS = 2_000
 #: A document is contaminated if at least one word in ``COVERAGE`` is hit.
 COVERAGE = 20
 
@@ -198,24 +203,65 @@ _HITS = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()),
                    ("spans", pa.list_(pa.struct([(k, pa.int64()) for k in _SPAN]))), ("items", pa.list_(pa.string()))])
 
 
+def item_segments(bench: DataFrame, id: str, text: str, window: int, part_words: int) -> DataFrame:
+    """(item, n, words): the items' words, normalised and joined by a space, each segment once.
+
+    Segments overlap by ``window - 1`` words: each window of an item lies in one, and none but an
+    item of fewer words is shorter than a window.
+    """
+    size = max(window, min(SEGMENT_WORDS, part_words))
+
+    def cut(batches):
+        for b in batches:
+            rows = []
+            for item, body in zip(*(c.to_pylist() for c in b.columns)):
+                words = item_words(body)
+                for at in range(0, max(1, len(words) - window + 1) if words else 0, size - window + 1):
+                    piece = words[at:at + size]
+                    rows.append((item, len(piece), b" ".join(piece)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(
+                (pa.string(), pa.int64(), pa.binary()))], ["item", "n", "words"])
+
+    items = bench.select(F.col(f"`{id}`").cast("string").alias("item"), text_bytes(f"`{text}`").alias("body"))
+    return items.where("item IS NOT NULL").mapInArrow(cut, "item string, n long, words binary").distinct()
+
+
+def automata(segments: DataFrame, window: int, part_words: int) -> DataFrame:
+    """(part, n, body): pickled automata of segments of at most ``part_words`` words together, each built in a
+    task.  There are at most twice as many as need be, and one a task more."""
+    def build(batches):
+        def part(held, n, k):
+            name = f"{TaskContext.get().partitionId()}-{k}"
+            return pa.RecordBatch.from_arrays(
+                [pa.array([name]), pa.array([n], pa.int64()), pa.array([pickle.dumps(SuffixAutomaton(held, window))], pa.binary())],
+                ["part", "n", "body"])
+
+        held, n, k = [], 0, 0
+        for b in batches:
+            for item, m, words in zip(*(c.to_pylist() for c in b.columns)):
+                if held and n + m > part_words:
+                    yield part(held, n, k)
+                    held, n, k = [], 0, k + 1
+                held.append((item, words.split(b" ")))
+                n += m
+        if held:
+            yield part(held, n, k)
+
+    words = segments.agg(F.sum("n")).first()[0] or 0
+    return segments.coalesce(max(1, -(-words // part_words))).mapInArrow(build, "part string, n long, body binary")
+
+
 def _parts(bench: DataFrame, id: str, text: str, window: int, part_words: int):
-    """The benchmark as broadcast automata of at most ``part_words`` words and one item each; at least one."""
-    def built(items):
-        return bench.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, pickle.dumps(SuffixAutomaton(items, window))))
-
-    held, n, some = [], 0, False
-    for row in bench.select(F.col(f"`{id}`").cast("string"), text_bytes(text)).distinct().toLocalIterator():
-        words = item_words(bytes(row[1]))
-        if not words or row[0] is None:
-            continue
-        if held and n + len(words) > part_words:
-            some = True
-            yield built(held)
-            held, n = [], 0
-        held.append((row[0], words))
-        n += len(words)
-    if held or not some:
-        yield built(held)
+    """The benchmark as broadcast automata, one at a time; at least one."""
+    def sent(body):
+        return bench.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, body))
+
+    parts = stored(automata(stored(item_segments(bench, id, text, window, part_words)), window, part_words))
+    names = sorted(r.part for r in parts.select("part").collect())   # a short name for each PART_WORDS words
+    for name in names:
+        yield sent(bytes(parts.where(F.col("part") == name).select("body").first().body))
+    if not names:
+        yield sent(pickle.dumps(SuffixAutomaton([], window)))
 
 
 _LOADED: dict = {}
@@ -239,8 +285,13 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
     prepare(docs.sparkSession)
     out = free_name(docs, "__hits")
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T._parse_datatype_string(_HITS_DDL))])
-    rows = None
+    rows, last = docs, None
     for part in _parts(bench, item_id, item_text, window, part_words):
+        if last is not None:
+            rows = stored(rows)
+            last.unpersist()
+        last = part
+
         def run(batches, part=part):
             au = _automaton(part)
             for b in batches:
@@ -259,7 +310,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, text: str = "text", item_i
                 names = [f for j, f in enumerate(b.schema.names) if j != i]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(hits, _HITS)], [*names, out])
 
-        rows = (docs if rows is None else stored(rows)).mapInArrow(run, schema)
+        rows = rows.mapInArrow(run, schema)
     return rows, out
 
 

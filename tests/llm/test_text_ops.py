@@ -176,6 +176,26 @@ def test_decontamination_brute(llm, docs, part):
     assert got == {i: _brute_hits(t, real, 4) for i, t, _ in rows}
 
 
+def test_decontamination_long_items(llm, docs):
+    """Items over many segments and parts: every window found, parts bounded."""
+    rng = random.Random(5)
+    long = [f"v{rng.randint(0, 3000)}" for _ in range(9000)]
+    items = [("long", " ".join(long)), ("copy", " ".join(long[4000:4020])), ("long", " ".join(long)), ("other", "x y z")]
+    bench = llm.createDataFrame(items, "item_id string, text string")
+    rows = [(1, " ".join(long), "en"), (2, " ".join(["q"] * 9 + long[1980:2005] + ["q"]), "en"), (3, " ".join(long[8987:]), "en"),
+            (4, " ".join(long[3999:4011]), "en"), (5, "x Y z", "en"), (6, " ".join(long[3995:4021]), "en")]
+    want = {1: (9000, 9000, ["copy", "long"]), 2: (35, 25, ["long"]), 3: (13, 13, ["long"]), 4: (12, 0, []),
+            5: (3, 3, ["other"]), 6: (26, 26, ["copy", "long"])}
+    for part in (100_000, 2_500):
+        got = decontaminate.contamination(docs(rows), bench, part_words=part).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in got} == want
+    cut = decontaminate.item_segments(bench, "item_id", "text", 13, 2_500)
+    sizes = sorted(r.n for r in cut.collect())
+    assert sizes == [3, 20] + [9000 - 4 * 1988] + [2000] * 4
+    parts = decontaminate.automata(cut, 13, 2_500).select("n").collect()
+    assert sum(r.n for r in parts) == sum(sizes) and max(r.n for r in parts) <= 2_500
+
+
 def test_decontamination_odd_rows(llm, docs):
     bench = llm.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13"), (2, "twice")], "item_id long, text string")
     rows = decontaminate.contamination(docs(ODD), bench).collect()
