@@ -20,7 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -255,25 +255,39 @@ def held_out(id: str) -> Column:
     return F.coalesce(F.crc32(F.col(f"`{id}`").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit_language_model(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
-                       docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC) -> Crf | None:
-    """Fit on a sample of the rows that aren't held out and have a text and a language.
+def fitting_sample(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
+                   docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC) -> DataFrame | None:
+    """(l, h, t): language, place in the draw and words of a sample of the rows that aren't held out and have a text
+    and a language; None if there are none.
 
     At most ``docs_per_language`` rows of each language, ``words_per_doc`` words of each from a
-    place drawn by hash, come to the driver; languages are counted over all rows.
+    place drawn by hash; languages are counted over all rows.  Rows are drawn by id and text, so
+    that rows that share an id aren't drawn together; rows alike in both count once, and the
+    bound holds before anything leaves the tasks.
     """
     usable = docs.where(~held_out(id) & F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    own = [F.col(f"`{id}`").cast("string"), F.col(f"`{text}`")]
     rows = usable.select(F.col(f"`{lang}`").cast("string").alias("l"), F.col(f"`{text}`").alias("t"),
-                         F.xxhash64(F.lit(SEED), F.col(f"`{id}`").cast("string")).alias("h"))
+                         F.xxhash64(F.lit(SEED), *own).alias("h"), F.xxhash64(F.lit(SEED + 1), *own).alias("place"))
     counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
     share = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 1.3 * docs_per_language / n))])
-    drawn = rows.where(F.pmod("h", F.lit(1 << 20)) < share[F.col("l")] * float(1 << 20))
+    drawn = rows.where(F.pmod("h", F.lit(1 << 53)) < share[F.col("l")] * float(1 << 53))
     words = F.split(F.lower("t"), r"[\x20\x09-\x0D]+")
-    at = F.pmod(F.shiftright("h", 20), F.greatest(F.lit(1), F.size(words) - words_per_doc + 1)).cast("int") + 1
-    got = drawn.select("l", "h", F.array_join(F.slice(words, at, words_per_doc), " ").alias("t")).toPandas()
-    got = got.sort_values(["l", "h", "t"], kind="stable").groupby("l", sort=True).head(docs_per_language)
+    at = F.pmod("place", F.greatest(F.lit(1), F.size(words) - words_per_doc + 1)).cast("int") + 1
+    cut = drawn.select("l", "h", F.array_join(F.slice(words, at, words_per_doc), " ").alias("t")).distinct()
+    first = F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))
+    return cut.withColumn("_n", first).where(F.col("_n") <= docs_per_language).drop("_n")
+
+
+def fit_language_model(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang",
+                       docs_per_language: int = DOCS_PER_LANGUAGE, words_per_doc: int = WORDS_PER_DOC) -> Crf | None:
+    """Fit on ``fitting_sample``, the only rows that come to the driver; None if there is nothing to fit on."""
+    sample = fitting_sample(docs, id, text, lang, docs_per_language, words_per_doc)
+    if sample is None:
+        return None
+    got = sample.toPandas().sort_values(["l", "h", "t"], kind="stable")
     return fit_crf([t.encode() for t in got["t"]], got["l"].tolist())
 
 

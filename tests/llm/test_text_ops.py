@@ -234,6 +234,18 @@ def test_language_held_out_accuracy(llm):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_language_sample_with_a_shared_id(llm):
+    """One id on all rows and many copies: the draw keeps to its bound, spread over the texts; copies count once."""
+    wide = llm.range(100_000).selectExpr("4L AS doc_id", "concat('word', id, ' two three') AS text",
+                                         "CASE WHEN id % 10 = 0 THEN 'a' ELSE 'b' END AS lang")
+    copies = llm.range(50_000).selectExpr("4L AS doc_id", "'one text' AS text", "'c' AS lang")
+    got = language_id.fitting_sample(wide.unionByName(copies), words_per_doc=2).toPandas()
+    sizes = got.groupby("l").size().to_dict()
+    assert 300 <= sizes["a"] <= 400 and 300 <= sizes["b"] <= 400 and sizes.get("c", 0) <= 1  # all copies or none
+    assert got.h.nunique() == len(got) and got.t.str.split().str.len().max() <= 2
+    assert (got[got.l == "b"].t.str.extract(r"word(\d+)")[0].dropna().astype(int) > 50_000).mean() > 0.3
+
+
 def test_language_switches_are_labelled(llm, model, docs):
     d = pd.read_parquet(f"{SF}/documents.parquet")
     en, fr = (d[d.lang == x].text.iloc[0][:300] for x in ("en", "fr"))
