@@ -12,7 +12,8 @@ FAST = ["col_values", "col_profile", "mi_discrete", "mcq_categorical", "mcq_nume
         "exact_match", "holdout_split", "multi_code", "sentinel_na", "case_collision", "date_minutes",
         "mi_quantile", "mi_knn", "gmm_profile", "header_levels", "sheet_blocks", "slot_rows", "slot_round_trip", "appearance_codes",
         "merged_profile", "merged_mi", "mcq_multi", "mcq_multi_three", "note_pipeline", "two_limits", "two_limits_short", "patched_dict",
-        "residual_columns", "fill_rules", "education_merge", "known_cohort", "dictionary_file"]
+        "residual_columns", "fill_rules", "education_merge", "known_cohort", "dictionary_file", "answer_inputs",
+        "finish_rate", "stay_having"]
 
 
 def _norm(v):
