@@ -4,7 +4,8 @@ Every tree splits recursively: a node projects its vectors on a random direction
 the lower part left and the upper part right; vectors in the band of ``SPILL`` of the rows on
 either side of the median go to both, so near pairs are seldom parted.  A node's thresholds
 come from a sample of at most about ``SAMPLE`` of its vectors (drawn by hash), every vector is
-routed.  Rounds go on until no node that may be split holds more than ``LEAF`` vectors; each
+routed.  Vectors are stored once, in the width of their column; rounds write only which key is in
+which node.  Rounds go on until no node that may be split holds more than ``LEAF`` vectors; each
 round splits every large node by up to ``DEPTH`` levels, so the number of rounds grows with
 log(rows).
 
@@ -32,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quizloom.llm.common import mix, prepare, stored
 from quizloom.llm.graph import connected_components
@@ -43,6 +45,8 @@ SPILL = 0.04
 SAMPLE = 16_384
 DEPTH = 9
 ROUNDS = 12
+#: Up to this many split nodes, their splits are sent to the vectors; beyond it, vectors go to their nodes.
+FEW_NODES = 64
 #: Rows of a node that are routed together.
 PART = 20_000
 #: A node of the sample is split while it has as many vectors.
@@ -63,26 +67,35 @@ ROWS_AT_ONCE = 512
 FEW_LINKS = 1 << 16
 
 
+def component_type(rows: DataFrame, vector: str) -> str:
+    """How vectors are stored: as floats if the column holds floats, else as doubles."""
+    kind = rows.select(F.col(f"`{vector}`")).schema[0].dataType
+    return "<f4" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "<f8"
+
+
 def packed_vectors(rows: DataFrame, id: str, vector: str) -> DataFrame:
-    """(id, v): vectors as little-endian doubles; v is null unless all components are finite and one isn't zero."""
+    """(id, v): vectors as their components' bytes; v is null unless all components are finite and one isn't zero."""
+    kind = component_type(rows, vector)
+
     def run(batches):
         for b in batches:
             out = []
             for x in b.column(1).to_pylist():
                 a = None
                 if x and None not in x:
-                    a = np.array(x, np.float64)
+                    a = np.array(x, kind)
                     a = a.tobytes() if np.isfinite(a).all() and a.any() else None
                 out.append(a)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "v"])
 
-    picked = rows.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+    array = "array<float>" if kind == "<f4" else "array<double>"
+    picked = rows.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{vector}`").cast(array).alias("v"))
     return picked.mapInArrow(run, "id long, v binary")
 
 
-def _unit(blobs) -> np.ndarray:
-    """Rows of length one.  Scaled first, so that very large and very small components don't overflow."""
-    x = np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1)
+def _unit(blobs, kind: str) -> np.ndarray:
+    """Rows of length one, in doubles.  Scaled first, so that very large and very small components don't overflow."""
+    x = np.frombuffer(b"".join(blobs), kind).astype(np.float64).reshape(len(blobs), -1)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -155,55 +168,99 @@ def route(node: int, x: np.ndarray, splits: dict[int, tuple]) -> list[tuple[int,
     return out
 
 
-def _forest(nodes: DataFrame, trees: int, leaf: int, spill: float, threshold: float) -> DataFrame:
-    """(leaf, id): every vector in its leaves of every tree."""
-    at = nodes.select("id", "v", "w", F.explode(F.array(*[
-        F.xxhash64(F.lit(t), F.octet_length("v")) for t in range(trees)])).alias("node"))  # sizes never mix
+def _walked(rows: DataFrame, splits: dict[int, bytes], kind: str) -> DataFrame:
+    """(node, key, id) below the few nodes of ``splits``: rows (key, id, v, roots) are routed where they lie."""
+    def run(batches):
+        held = {}
+        for b in batches:
+            lists = b.column("roots")
+            nodes, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            for node in np.unique(nodes).tolist():
+                if node not in splits:
+                    continue
+                own = row[nodes == node]
+                x = _unit(b.column("v").take(pa.array(own)).to_pylist(), kind)
+                if node not in held:
+                    held[node] = with_directions(pickle.loads(splits[node]), x.shape[1])
+                found = route(node, x, held[node])
+                take = pa.array(own[np.concatenate([part for _, part in found])])
+                names = np.concatenate([np.full(len(part), to) for to, part in found])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column("key").take(take), b.column("id").take(take)],
+                                                 ["node", "key", "id"])
+
+    return rows.select("key", "id", "v", "roots").mapInArrow(run, "node long, key long, id long")
+
+
+def _moved(rows: DataFrame, splits: DataFrame, kind: str) -> DataFrame:
+    """The same for any number of nodes: rows (node, n, key, id, v) meet their node's splits in parts of about PART rows."""
+    parts = splits.select("node", F.ceil(F.col("n") / PART).cast("long").alias("parts"), "splits")
+    none = F.lit(None)
+    dealt = rows.select("node", F.pmod(F.xxhash64("key"), F.ceil(F.col("n") / PART).cast("long")).alias("part"), F.lit(1).alias("kind"),
+                        "key", "id", "v", none.cast("binary").alias("splits"))
+    heads = parts.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
+                         none.cast("long").alias("key"), none.cast("long").alias("id"), none.cast("binary").alias("v"), "splits")
+
+    def run(batches):
+        raw = held = None
+        for b in batches:
+            node, which = b.column("node").to_numpy(), b.column("kind").to_numpy()
+            cuts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (which[1:] != which[:-1]))).tolist()
+            for lo, hi in zip(cuts, [*cuts[1:], len(node)]):
+                if which[lo] == 0:
+                    raw, held = pickle.loads(b.column("splits")[lo].as_py()), None
+                    continue
+                x = _unit(b.column("v").slice(lo, hi - lo).to_pylist(), kind)
+                held = held or with_directions(raw, x.shape[1])
+                found = route(int(node[lo]), x, held)
+                take = pa.array(np.concatenate([own for _, own in found]) + lo)
+                names = np.concatenate([np.full(len(own), to) for to, own in found])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), b.column("key").take(take), b.column("id").take(take)],
+                                                 ["node", "key", "id"])
+
+    return heads.unionByName(dealt).repartition("node", "part").sortWithinPartitions("node", "part", "kind").mapInArrow(
+        run, "node long, key long, id long")
+
+
+def _forest(nodes: DataFrame, kind: str, trees: int, leaf: int, spill: float, threshold: float) -> DataFrame:
+    """(node, key, id): every vector of ``nodes`` (key, id, v, w, size) in its leaves of every tree.
+
+    Only keys go from round to round.  Vectors come to the sample of a node and to its routing; where few
+    nodes are split, the splits (``2 ** DEPTH`` numbers a node at most) go to the vectors instead.
+    """
+    roots = F.array(*[F.xxhash64(F.lit(t), "size") for t in range(trees)])  # sizes never mix
+    at = nodes.select(F.explode(roots).alias("node"), "key", "id")
+    vectors = nodes.select("key", "v")
+    here = nodes.select("key", "id", "v", roots.alias("roots"))
     shrink = math.log(1 / (0.5 + spill))
+    leaves = []
     for _ in range(ROUNDS):
-        count = at.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf)
-        drawn = at.join(count, "node").where(F.pmod(F.xxhash64("id", "node"), F.lit(1 << 30)) < (1 << 30) * F.least(
-            F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))).select("node", "n", "v")
+        large = stored(at.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > leaf))
+        drawn = at.join(large, "node").where(F.pmod(F.xxhash64("id", "node"), F.lit(1 << 30)) < (1 << 30) * F.least(
+            F.lit(1.0), F.lit(float(SAMPLE)) / F.col("n"))).select("node", "n", "key").join(vectors, "key")
 
         def fit(key, table):
             node, n = key[0].as_py(), table.column("n")[0].as_py()
             levels = min(DEPTH, max(1, math.ceil(math.log(n / (0.6 * leaf)) / shrink)))
-            splits = fit_splits(node, _unit(sorted(table.column("v").to_pylist())), levels, spill, threshold)
-            return pa.table({"node": pa.array([node], pa.int64()), "splits": pa.array([pickle.dumps(splits)], pa.binary())}
-                            if splits else {"node": pa.array([], pa.int64()), "splits": pa.array([], pa.binary())})
-
-        splits = stored(drawn.groupBy("node").applyInArrow(fit, "node long, splits binary"))
-        if splits.isEmpty():
+            splits = fit_splits(node, _unit(sorted(table.column("v").to_pylist()), kind), levels, spill, threshold)
+            some = [node] if splits else []
+            return pa.table({"node": pa.array(some, pa.int64()), "n": pa.array([n] * len(some), pa.int64()),
+                             "splits": pa.array([pickle.dumps(splits)] * len(some), pa.binary())})
+
+        splits = stored(drawn.groupBy("node").applyInArrow(fit, "node long, n long, splits binary"))
+        number = splits.count()
+        if not number:
             break
-        # the rows of a node are dealt over parts of about PART rows; each part is led by the node's splits
-        parts = splits.join(count, "node").select("node", F.ceil(F.col("n") / PART).cast("long").alias("parts"), "splits")
-        marked = at.join(parts.select("node", "parts"), "node", "left")
-        none = F.lit(None)
-        rows = marked.where("parts IS NOT NULL").select(
-            "node", F.pmod(F.xxhash64("id"), "parts").alias("part"), F.lit(1).alias("kind"), "id", "v", "w", none.cast("binary").alias("splits"))
-        heads = parts.select("node", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"),
-                             none.cast("long").alias("id"), none.cast("binary").alias("v"), none.cast("long").alias("w"), "splits")
-
-        def move(batches):
-            raw = held = None
-            for b in batches:
-                node, kind = b.column(0).to_numpy(), b.column(2).to_numpy()
-                cuts = np.flatnonzero(np.append(True, (node[1:] != node[:-1]) | (kind[1:] != kind[:-1]))).tolist()
-                for lo, hi in zip(cuts, [*cuts[1:], len(node)]):
-                    if kind[lo] == 0:
-                        raw, held = pickle.loads(b.column(6)[lo].as_py()), None
-                        continue
-                    x = _unit(b.column(4).slice(lo, hi - lo).to_pylist())
-                    held = held or with_directions(raw, x.shape[1])
-                    found = route(int(node[lo]), x, held)
-                    take = pa.array(np.concatenate([own for _, own in found]) + lo)
-                    names = np.concatenate([np.full(len(own), to) for to, own in found])
-                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), *[b.column(i).take(take) for i in (3, 4, 5)]],
-                                                     ["node", "id", "v", "w"])
-
-        moved = heads.unionByName(rows).repartition("node", "part").sortWithinPartitions("node", "part", "kind").mapInArrow(
-            move, "node long, id long, v binary, w long")
-        at = stored(moved.unionByName(marked.where("parts IS NULL").select("node", "id", "v", "w")))
+        leaves.append(stored(at.join(splits, "node", "left_anti")))  # a node that isn't split now never will be
+        if number <= FEW_NODES:
+            if here is None:
+                here = at.join(splits, "node", "left_semi").groupBy("key").agg(
+                    F.first("id").alias("id"), F.collect_list("node").alias("roots")).join(vectors, "key")
+            moved = _walked(here, {r.node: bytes(r.splits) for r in splits.collect()}, kind)
+        else:
+            moved = _moved(at.join(splits.select("node", "n"), "node").join(vectors, "key"), splits, kind)
+        at, here = stored(moved), None
+    for own in leaves:
+        at = at.unionByName(own)
     return at
 
 
@@ -305,18 +362,21 @@ def _leaf_links(ids, weights, x, leaves, name, cut, threshold):
     return np.rint(found).astype(np.int64), ids[far].tolist(), ids[label[far]].tolist()
 
 
-def leaf_links(forest: DataFrame, leaf: int, threshold: float) -> DataFrame:
-    """(u, v, n): rows with v = null say that u has n (weighted) links, the others are spanning links."""
-    lists = forest.groupBy("id").agg(F.collect_list("node").alias("leaves"))  # at most a few for each tree
+def leaf_links(forest: DataFrame, nodes: DataFrame, kind: str, leaf: int, threshold: float) -> DataFrame:
+    """(u, v, n): rows with v = null say that the vector of key u has n (weighted) links, the others are spanning links of ids."""
     crowded = forest.groupBy("node").agg(F.count("*").alias("n")).where(F.col("n") > 4 * leaf).select(
         "node", F.ceil(F.greatest(F.sqrt(F.col("n") / leaf), F.col("n") / BLOCK)).cast("long").alias("blocks"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1),
-                        lambda b: F.shiftleft(F.least(b, own), 32).bitwiseOR(F.greatest(b, own)))
     none = F.lit(0).cast("long")
-    dealt = (forest.join(lists, "id").join(crowded, "node", "left").withColumn("own", F.coalesce(own, none))
-             .withColumn("block", F.explode(F.when(F.col("blocks").isNull(), F.array(none)).otherwise(pairs)))
-             .select("node", "block", "own", "id", "w", "v", "leaves"))
+    # a vector is in at most a few leaves of each tree; it joins its list of them once and goes to each from there
+    lists = forest.join(crowded, "node", "left").groupBy("key").agg(
+        F.collect_list("node").alias("leaves"), F.collect_list(F.struct("node", F.coalesce("blocks", none).alias("blocks"))).alias("places"))
+    own = F.pmod(F.xxhash64("key"), F.greatest("blocks", F.lit(1)))
+    pairs = F.transform(F.sequence(none, F.col("blocks") - 1),
+                        lambda b: F.shiftleft(F.least(b, own), 32).bitwiseOR(F.greatest(b, own)))
+    dealt = (nodes.join(lists, "key").select("key", "id", "w", "v", "leaves", F.inline("places"))
+             .withColumn("own", F.when(F.col("blocks") == 0, none).otherwise(own))
+             .withColumn("block", F.explode(F.when(F.col("blocks") == 0, F.array(none)).otherwise(pairs)))
+             .select("node", "block", "own", "key", "id", "w", "v", "leaves"))
 
     def run(key, table):
         name, block = key[0].as_py(), key[1].as_py()
@@ -326,15 +386,15 @@ def leaf_links(forest: DataFrame, leaf: int, threshold: float) -> DataFrame:
         table = table.take(pa.array(order))
         cut = int((own == lo).sum()) if lo != (block & 0xFFFFFFFF) else 0
         ids, w = table.column("id").to_numpy(), table.column("w").to_numpy()
-        u, v, n = ids, [None] * len(ids), np.zeros(len(ids), np.int64)
+        keys, u, v, n = table.column("key").to_numpy(), ids, [None] * len(ids), np.zeros(len(ids), np.int64)
         if cut < len(ids):
             lists = table.column("leaves").combine_chunks()
             size = lists.value_lengths().to_numpy()
             leaves = np.full((len(size), int(size.max())), name, np.int64)
             leaves[np.arange(leaves.shape[1]) < size[:, None]] = lists.flatten().to_numpy()
             leaves = np.sort(np.where(leaves < name, leaves, name), axis=1)
-            n, a, b = _leaf_links(ids, w, _unit(table.column("v").to_pylist()), leaves, name, cut, threshold)
-            u, v, n = [*ids[n > 0], *a], [None] * int((n > 0).sum()) + b, [*n[n > 0], *[0] * len(a)]
+            n, a, b = _leaf_links(ids, w, _unit(table.column("v").to_pylist(), kind), leaves, name, cut, threshold)
+            u, v, n = [*keys[n > 0], *a], [None] * int((n > 0).sum()) + b, [*n[n > 0], *[0] * len(a)]
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(n, pa.int64())})
 
     return dealt.groupBy("node", "block").applyInArrow(run, "u long, v long, n long")
@@ -353,13 +413,15 @@ def vector_groups(rows: DataFrame, id: str = "vec_id", vector: str = "embedding"
     """
     prepare(rows.sparkSession)
     table = stored(packed_vectors(rows, id, vector))
+    kind = component_type(rows, vector)
     nodes = stored(table.where("v IS NOT NULL").groupBy("v").agg(
-        F.coalesce(F.min("id"), F.min(F.xxhash64("v"))).alias("id"), F.count("*").alias("w")))
-    forest = _forest(nodes, trees, leaf, spill, threshold)
-    links = stored(leaf_links(forest, leaf, threshold))
-    numbers = links.where("v IS NULL").groupBy(F.col("u").alias("node")).agg(F.sum("n").alias("n"))
+        F.coalesce(F.min("id"), F.min(F.xxhash64("v"))).alias("id"), F.count("*").alias("w")).select(
+        F.monotonically_increasing_id().alias("key"), "id", "v", "w", F.octet_length("v").alias("size")))
+    forest = _forest(nodes, kind, trees, leaf, spill, threshold)
+    links = stored(leaf_links(forest, nodes, kind, leaf, threshold))
+    numbers = links.where("v IS NULL").groupBy(F.col("u").alias("key")).agg(F.sum("n").alias("n"))
     found = connected_components(links.where("v IS NOT NULL").select("u", "v"))
-    label = nodes.join(numbers, nodes.id == numbers.node, "left").drop("node").join(
+    label = nodes.join(numbers, "key", "left").join(
         found, nodes.id == found.node, "left").select(
         "v", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
     return table.join(label, "v", "left").select(

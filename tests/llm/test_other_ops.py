@@ -80,6 +80,31 @@ def test_dense_groups_keep_their_links(llm):
     assert got.component_id.tolist() == component
 
 
+def test_forest_is_the_same_by_either_way(llm, monkeypatch):
+    """Splits sent to the vectors and vectors sent to their nodes find the same links."""
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(60, 16))
+    x = np.concatenate([c + 0.05 * rng.normal(size=(20, 16)) for c in centres]).astype(np.float32)
+    ids = list(range(len(x)))
+    n, component = _brute_vectors(ids, x.astype(float))
+    rows = llm.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<float>")
+    got = []
+    for few in (vector_dedup.FEW_NODES, 0):
+        monkeypatch.setattr(vector_dedup, "FEW_NODES", few)
+        got.append(vector_dedup.vector_groups(rows, leaf=60, trees=6).toPandas().sort_values("vec_id"))
+    assert got[0].n_links.tolist() == got[1].n_links.tolist()
+    assert got[0].component_id.tolist() == got[1].component_id.tolist()
+    assert got[0].n_links.sum() >= 0.97 * n.sum() and (got[0].n_links.values <= n).all()
+    assert (got[0].component_id.values == np.array(component)).mean() >= 0.97
+
+
+def test_vectors_of_one_id_are_separate(llm):
+    rows = llm.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [1.0, 0.02])],
+                               "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links) for r in vector_dedup.vector_groups(rows).collect())
+    assert got == [(1, 0), (1, 2), (2, 2), (3, 2)]
+
+
 def test_vectors_odd_rows(llm):
     nan = float("nan")
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [2.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, []),
