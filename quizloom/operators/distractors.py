@@ -71,9 +71,10 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
     canonically "3.0" but stands as "3" in the vocabulary.
     """
     lk = lookup_table(vocab, all_vocab)
-    pc = prof.select("var", "float_ratio", "n_vocab", "vocab_total", "n_all", "drop_negative", "round_int",
+    pc = prof.select("var", "float_ratio", "n_vocab", "vocab_total", "n_all",
                      F.greatest(F.lit(1), F.ceil(F.col("vocab_total") / F.greatest(F.col("n_vocab"), F.lit(1))))
-                     .cast("long").alias("bs")).join(gm, "var")
+                     .cast("long").alias("bs"))
+    mixture = prof.select("var", "drop_negative", "round_int").join(gm, "var")
     base = (q.withColumn("label_c", canonical_float("label_raw"))
             .withColumn("label_d", F.col("label_raw").try_cast("double"))
             .join(F.broadcast(pc), "var"))
@@ -127,6 +128,8 @@ def choose_distractors(q: DataFrame, prof: DataFrame, gm: DataFrame, vocab: Data
                .withColumn("cat_idx", F.when(hit, F.concat("cat_idx", F.array("b_idx"))).otherwise(F.col("cat_idx")))
                .drop("_rp", "_blk", *blocks.columns))
 
+    # The mixture comes after the draws, whose joins then carry no mixture arrays.
+    cur = cur.join(F.broadcast(mixture), "var")
     ux = spark_u_sql(seed, "gmx", "qid")
     uc = spark_u_sql(seed, "comp", "qid")
     uo = spark_u_sql(seed, "order", "qid")
