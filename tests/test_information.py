@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quizloom.functions.hashing import u
-from quizloom.operators import gmm, mutual_info, neighbour_mi, profile
+from quizloom.operators import gmm, mutual_info, neighbour_mi, profile, sampling
 from quizloom.sources import profile_store
 from quizloom.sources.files import scratch_path
 
@@ -88,6 +88,27 @@ def test_knn_odd_tables(spark):
     assert [(r.target, r.feature) for r in got] == [("x", "y")] and math.isfinite(got[0].mi)
 
 
+def test_knn_works_out_the_cells_of_drawn_records_only(spark):
+    """No filter on the cells is moved to the scan of all records, and ids are ordered by a hash worked out before."""
+    df = spark.read.parquet(_written(spark.createDataFrame(
+        [(i, str(i * 37 % 101), "ab"[i % 2]) for i in range(300)], "id long, x string, c string")))
+    got = neighbour_mi.mutual_info_knn(df, "id", {"c": ["a", "b"]}, ["x"], rows=50)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan and "Relation [id#" in plan
+    assert {(r.target, r.feature): r.n_rows for r in got.collect()} == {("x", "c"): 50, ("c", "x"): 50}
+    top = sampling.top_n_by_hash(df, "id", 50)
+    order = next(x for x in top._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Sort [" in x)
+    assert "md5" not in order
+    want = df.select("id").distinct().orderBy(u(42, F.lit("ids"), F.col("id")), "id").limit(50)
+    assert [r.id for r in top.collect()] == [r.id for r in want.collect()]
+
+
+def _written(df):
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return path
+
+
 # ---------------------------------------------------------------- bins, dates, class minimum
 def test_quantile_bins_hold_equal_shares(spark):
     rng = np.random.default_rng(3)
