@@ -4,7 +4,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quizloom.functions.hashing import sql_u, u
+from quizloom.functions.hashing import sql_u, u, u_at_least
 from quizloom.functions.text import canonical_float, strip_zeros
 from quizloom.operators import notes as N
 from quizloom.operators import timeseries as ts
@@ -21,6 +21,15 @@ def test_canonical_float(spark):
     assert [r[0] for r in df.select(canonical_float("v")).collect()] == ["1.0", "abc", "-112.0", "12.5"]
 
 
+def test_hash_digits_order_as_the_uniforms(spark):
+    ids = spark.range(400).withColumn("u", u(42, "x", F.col("id")))
+    some = [r.u for r in ids.limit(20).collect()]
+    at = [-1.0, 0.0, 1e-20, 0.05, 0.1, 0.5, 0.999, 1 - 2**-53, 1.0, 2.0, *some, *[math.nextafter(x, 1) for x in some],
+          *[math.nextafter(x, 0) for x in some]]
+    wrong = [F.sum((u_at_least(x, 42, "x", F.col("id")) != (F.col("u") >= x)).cast("int")) for x in at]
+    assert set(ids.agg(*wrong).first()) == {0}
+
+
 def test_hash_uniform_matches_duckdb(spark):
     import duckdb
     s = spark.range(5).select(u(42, "x", F.col("id")).alias("u")).collect()

@@ -1,6 +1,7 @@
 """Mutual information, mixtures and stored profiles against plain Python and closed forms."""
 
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -122,6 +123,30 @@ def test_quantile_bins_hold_equal_shares(spark):
     assert {r.c: r["count"] for r in coded.groupBy("c").count().collect()} == dict.fromkeys(range(16), 200)
 
 
+def test_pairs_are_counted_in_one_pass_over_the_rows(spark):
+    """Equal to a plain count; the rows are read once for both directions, and no row is shuffled or exploded."""
+    rng = np.random.default_rng(11)
+    cuts = sorted(float(x) for x in rng.normal(size=9).round(2))
+    x = [None if i % 7 == 0 else cuts[i % 9] if i % 5 == 0 else float(rng.normal()) for i in range(400)]
+    x[:5] = [float("nan"), math.inf, -math.inf, cuts[0], cuts[-1]]
+    words = [["p", "q", "r", "NA", None][i] for i in rng.integers(0, 5, 400)]
+    y = [str(i) for i in rng.integers(0, 50, 400)]
+    df = spark.read.parquet(_written(spark.createDataFrame(
+        [(None if a is None else str(a).replace("nan", "NaN").replace("inf", "Infinity"), b, c) for a, b, c in zip(x, words, y)],
+        "x string, w string, y string").repartition(3)))
+    disc, cont = {"w": ["p", "q", "r"]}, {"x": cuts, "y": [0.0, 10.0, 20.0]}
+    pc = mutual_info.pair_counts(df, ["w", "x", "y"], disc, cont)
+    at = lambda bounds, v: -1 if v is None else len(bounds) - 1 if math.isnan(v) else sum(c <= v for c in bounds) - 1
+    codes = [("pqr".index(b) if b in ("p", "q", "r") else -1, at(cuts, a), at(cont["y"], float(c))) for a, b, c in zip(x, words, y)]
+    want = Counter((i, j, c[i], c[j]) for c in codes for i in range(3) for j in range(i + 1, 3))
+    assert {(r.vi, r.vj, r.ci, r.cj): r.n for r in pc.collect()} == want
+    plan = mutual_info.mi_from_counts(pc, ["w", "x", "y"], ["w"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Generate explode" not in plan
+    for few in (["w"], []):
+        assert mutual_info.pair_counts(df, few, disc, cont).collect() == []
+    assert mutual_info.pair_counts(df.where("w = 'none'"), ["w", "x", "y"], disc, cont).collect() == []
+
+
 def test_dates_count_minutes_from_each_records_anchor(spark):
     df = spark.createDataFrame([(1, "2020-03-01 12:30:59", "2020-03-01"), (2, "2020-02-29", "2020-03-01"), (3, "no date", "2020-03-01"),
                                 (4, None, "2020-03-01"), (5, "2020-03-02", None)], "id long, d string, anchor string")
