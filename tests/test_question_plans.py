@@ -64,3 +64,31 @@ def test_fallback_draws_meet_all_vocab_only_where_needed(made):
     q = R.draw(R.record_targets(R.records(reg), prof, ["discount"]), prof, 42).collect()
     known = {r.discount.rstrip("0").rstrip(".") for r in reg.select("discount").collect()}
     assert q and all(len(r.choices) == 4 and r.label not in r.choices and set(r.choices) <= known for r in q)
+
+
+def test_small_vocabularies_and_numbers_take_no_draw_from_vocab(made):
+    reg, prof = made
+    recs = R.records(reg)
+    joins = lambda v: R.draw_records(recs, prof, [v], 42)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert R.tables_of(prof).kinds["status"]["n_vocab"] == 2 and R.tables_of(prof).kinds["nation"]["n_vocab"] == 9
+    assert joins("nation") == joins("status") + 4
+    assert joins("total_price") == joins("status") - 1          # not even the label is looked up
+    for r in R.draw_records(recs, prof, ["status"], 42).collect():
+        assert {r.label, *r.choices} == {"O", "F"} and r.choices == [x for x in ("F", "O") if x != r.label]
+
+
+def test_only_records_that_need_it_have_all_targets_drawn(made, monkeypatch):
+    reg, prof = made
+    seen = []
+    usable = R.usable_targets
+    monkeypatch.setattr(R, "usable_targets", lambda recs, *a: seen.append(recs.count()) or usable(recs, *a))
+    recs = R.records(reg)
+    got = R.picked_targets(recs, prof, R.VARS, 42).where(F.size("choices") > 0)
+    assert got.select("record_id").distinct().count() == 40
+    assert sum(seen) < 40                                       # before, all 40 records
+
+
+def test_records_of_repeated_keys(made):
+    reg, _ = made
+    got = {r.record_id: len(r.rows) for r in R.records(reg).collect()}
+    assert got == {**{i: 1 for i in range(39)}, 39: 20}
